@@ -1,0 +1,143 @@
+"""Run the assembly over days: all listed days as one job, or new days as they arrive."""
+
+from __future__ import annotations
+
+import datetime as dt
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from pairflow import schemas
+from pairflow.operators import assemble
+from pairflow.plans import assembly
+from pairflow.session import stage
+from pairflow.sources import io
+
+
+@dataclass
+class Inputs:
+    """The tables that do not change from day to day, and where the forcing grid lies."""
+
+    sites: DataFrame
+    weights: DataFrame
+    attributes: DataFrame
+    forcing_path: str
+    variables: list[str]
+
+
+def run_name(day: dt.date) -> str:
+    return f"experiment_{day.isoformat()}"
+
+
+def run_log(
+    spark: SparkSession,
+    run: str,
+    rows: DataFrame,
+    errors: DataFrame,
+    started: dt.datetime,
+    ended: dt.datetime,
+) -> DataFrame:
+    """Log of a run: start and end with the elapsed seconds, and done or error per site and day."""
+    whole = spark.createDataFrame(
+        [("started", None, started), ("finished", (ended - started).total_seconds(), ended)],
+        "event string, seconds double, logged_at timestamp",
+    )
+    done = rows.groupBy(F.to_date("time").alias("day"), "comid", "catid").agg(
+        F.lit("done").alias("event"), F.count(F.lit(1)).alias("rows")
+    )
+    failed = errors.select(
+        "day",
+        "comid",
+        "catid",
+        F.lit("error").alias("event"),
+        F.greatest("n_no_flow", "n_no_attributes").alias("rows"),
+    )
+    log = io.stack([whole, done, failed]).withColumn("run", F.lit(run))
+    log = log.withColumn("logged_at", F.coalesce("logged_at", F.lit(ended)))
+    return log.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.RUN_LOG.fields])
+
+
+def _assembled(inputs: Inputs, forcing: DataFrame, flow: DataFrame, order: str, times: DataFrame | None) -> DataFrame:
+    # Read by the row writer, the error split and the log: computed once.
+    return stage(
+        assembly.assemble_series(
+            assembly.described(inputs.sites),
+            forcing,
+            inputs.weights,
+            assemble.flow_keep_last(flow, order),
+            inputs.attributes,
+            inputs.variables,
+            times,
+        )
+    )
+
+
+def run_days(
+    spark: SparkSession,
+    inputs: Inputs,
+    flow: DataFrame,
+    order: str,
+    out_path: str,
+    log_path: str,
+    run: str,
+    start: str | None = None,
+    end: str | None = None,
+) -> None:
+    """Assemble all days from ``start`` to ``end`` in one job; a day written before is replaced.
+
+    ``flow`` has ``time, feature_id, streamflow`` and the reading ``order`` column.
+    """
+    started = dt.datetime.now()
+    forcing = io.select_forcing(spark.read.parquet(inputs.forcing_path), inputs.variables, start, end)
+    wanted = inputs.sites.select(F.col("comid").alias("feature_id"))
+    selected = io.select_flow(flow, wanted, start, end, order=order)
+    rows, errors = assemble.split_errors(_assembled(inputs, forcing, selected, order, None))
+    io.write_series(rows, out_path, by="day")
+    run_log(spark, run, rows, errors, started, dt.datetime.now()).write.mode("append").parquet(log_path)
+
+
+def _ingest(inputs: Inputs, out_path: str, log_path: str, run: str) -> Callable[[DataFrame, int], None]:
+    def batch(flow: DataFrame, batch_id: int) -> None:
+        spark = flow.sparkSession
+        started = dt.datetime.now()
+        arrived = stage(flow)
+        times = stage(arrived.select("time").distinct())
+        forcing = spark.read.parquet(inputs.forcing_path).join(times, "time", "left_semi")
+        forcing = io.select_forcing(forcing, inputs.variables)
+        rows, errors = assemble.split_errors(_assembled(inputs, forcing, arrived, "source", times))
+        # Named by the batch, so a batch run again after a failure replaces its own rows.
+        rows.write.mode("overwrite").parquet(f"{out_path}/ingest_batch={batch_id}")
+        log = run_log(spark, f"{run}-{batch_id}", rows, errors, started, dt.datetime.now())
+        log.write.mode("overwrite").parquet(f"{log_path}/ingest_batch={batch_id}")
+
+    return batch
+
+
+def stream_days(
+    spark: SparkSession,
+    inputs: Inputs,
+    flow_path: str,
+    out_path: str,
+    log_path: str,
+    checkpoint: str,
+    run: str = "stream",
+    files_per_batch: int | None = None,
+) -> StreamingQuery:
+    """Assemble the flow files not seen before and stop; call again when more have arrived.
+
+    The stream's checkpoint remembers which files are done. Per (time, feature) the record of
+    the file last in name order counts, within a batch.
+    """
+    reader = spark.readStream.schema(schemas.FLOW)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    flow = reader.parquet(flow_path).select("*", F.col("_metadata.file_path").alias("source"))
+    return (
+        flow.writeStream.foreachBatch(_ingest(inputs, out_path, log_path, run))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
