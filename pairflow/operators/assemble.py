@@ -118,9 +118,6 @@ def split_errors(series: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(rows, errors)``: a site that fails on a day is logged and left out for that day."""
     errors = site_errors(series)
     failed = errors.select("day", "comid", "catid")
-    rows = (
-        series.withColumn("day", F.to_date("time"))
-        .join(failed, ["day", "comid", "catid"], "left_anti")
-        .drop("day", "has_flow", "has_attributes")
-    )
-    return rows, errors
+    rows = series.withColumn("day", F.to_date("time")).join(failed, ["day", "comid", "catid"], "left_anti")
+    kept = [c for c in series.columns if c not in ("has_flow", "has_attributes")]
+    return rows.select(*[named(c) for c in kept]), errors
