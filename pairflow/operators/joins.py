@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairflow.session import MAX_BROADCAST_ROWS, fits, materialize
+from pairflow.session import MAX_BROADCAST_BYTES, fits, materialize
 
 HOT_ROWS = 5_000_000
 """Rows of one key above which its rows are spread over several tasks."""
@@ -20,19 +20,19 @@ def lookup(
     how: str = "inner",
     spread: list[str] | None = None,
     condition: Column | None = None,
-    max_rows: int = MAX_BROADCAST_ROWS,
+    max_bytes: int = MAX_BROADCAST_BYTES,
     hot_rows: int = HOT_ROWS,
-    weight: Column | None = None,
+    extra: Column | None = None,
 ) -> DataFrame:
     """Join the large ``df`` with ``table``; ``how`` is inner, left, left_semi or left_anti.
 
-    A table of at most ``max_rows`` rows is broadcast, so ``df`` is not shuffled. A larger
+    A table of at most ``max_bytes`` is broadcast, so ``df`` is not shuffled. A larger
     one is joined by shuffle: keys with more than ``hot_rows`` rows in ``df`` are split by a
     salt taken from the ``spread`` columns, and the table's rows for those keys are repeated
     per salt. At most rows/hot_rows keys are hot, which bounds the salt table. ``condition``
     may use columns of both sides. Call with a cheap or materialized ``table``: it is counted.
     """
-    if fits(table, max_rows, weight):
+    if fits(table, max_bytes, extra):
         return _join(df, F.broadcast(table), on, how, condition)
 
     salts = materialize(

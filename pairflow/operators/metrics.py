@@ -191,14 +191,15 @@ def early_stop(
 
     ``mode='min'``: a value below all earlier ones resets, one above best + delta counts.
     ``mode='max'``: a value at or above all earlier ones resets, one at or below best - delta counts.
-    NaN does neither. Only running least/greatest and running sums are used.
+    NaN does neither. A history may be long: it is cut into buckets of epochs. It is read four
+    times, so give a stored one.
     """
     if mode not in ("min", "max"):
         raise ValueError("mode is min or max")
     lowest = mode == "min"
     keys = list(keys)
     span = value_bucket(F.col(epoch), bucket)
-    v, best = F.col("__v"), F.col("__best")
+    v = F.col("__v")
     scored = ordering.running(
         history.withColumn("__v", nan_to_null(named(value).cast("double"))),
         keys,
@@ -211,39 +212,39 @@ def early_stop(
         inclusive=False,
     )
     if lowest:
-        best = F.coalesce(best, F.lit(float("inf")))
-        reset = F.coalesce(v < best, F.lit(False))
-        worse = F.coalesce(v > best + F.lit(min_delta), F.lit(False))
+        best = F.coalesce("__best", F.lit(float("inf")))
+        reset, worse = v < best, v > best + F.lit(min_delta)
     else:
-        best = F.greatest(best, F.lit(NSE_FLOOR))
-        reset = F.coalesce(v >= best, F.lit(False))
-        worse = F.coalesce(v <= best - F.lit(min_delta), F.lit(False))
-    flagged = scored.withColumn("__reset", reset).withColumn("__bad", (worse & ~F.col("__reset")).cast("bigint"))
-
-    total = ordering.running(
-        flagged,
-        keys,
-        [epoch],
-        span,
-        F.col("__bad"),
-        F.sum,
-        lambda carry, local: F.coalesce(carry, F.lit(0)) + F.coalesce(local, F.lit(0)),
-        "__bad_so_far",
+        best = F.greatest("__best", F.lit(NSE_FLOOR))
+        reset, worse = v >= best, v <= best - F.lit(min_delta)
+    reset = F.coalesce(reset, F.lit(False))
+    bad = F.coalesce(worse & ~reset, F.lit(False)).cast("bigint")
+
+    # Within a bucket: bad epochs so far, and how many there were at the last reset.
+    inside = Window.partitionBy(*keys, "__bucket").orderBy(epoch).rowsBetween(Window.unboundedPreceding, 0)
+    flagged = (
+        scored.withColumn("__bucket", span)
+        .withColumns({"__reset": reset, "__bad": bad})
+        .withColumn("__so_far", F.sum("__bad").over(inside))
+        .withColumn("__at_reset", F.max(F.when(F.col("__reset"), F.col("__so_far"))).over(inside))
     )
-    # The running count never falls, so its greatest value at a reset is that of the last reset.
-    at_reset = ordering.running(
-        total,
-        keys,
-        [epoch],
-        span,
-        F.when(F.col("__reset"), F.col("__bad_so_far")),
-        F.max,
-        F.greatest,
-        "__at_reset",
+    # Across buckets the same over one row each; the count never falls, so the greatest is the last.
+    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        flagged.groupBy(*keys, "__bucket")
+        .agg(F.sum("__bad").alias("__total"), F.max("__at_reset").alias("__last"))
+        .withColumn("__earlier", F.coalesce(F.sum("__total").over(before), F.lit(0)))
+        .withColumn("__earlier_reset", F.max(F.col("__earlier") + F.col("__last")).over(before))
+        .select(
+            *keys,
+            "__bucket",
+            (F.col("__earlier") - F.coalesce("__earlier_reset", F.lit(0))).alias("__carry"),
+        )
     )
-    counter = (F.col("__bad_so_far") - F.coalesce("__at_reset", F.lit(0))).cast("bigint")
+    counter = F.col("__so_far") - F.coalesce(F.col("__at_reset"), -F.col("__carry"))
     return (
-        at_reset.withColumn("counter", counter)
+        flagged.join(carried, [*keys, "__bucket"])
+        .withColumn("counter", counter.cast("bigint"))
         .withColumn("stop", (F.col("__bad") == 1) & (F.col("counter") >= patience))
-        .drop("__v", "__best", "__reset", "__bad", "__bad_so_far", "__at_reset")
+        .select(*[named(c) for c in history.columns], "counter", "stop")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.base import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
@@ -29,16 +29,19 @@ def score_windows(
     schema = T.StructType([*kept, T.StructField(output, T.DoubleType())])
     names = [f.name for f in kept]
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch) == 0:
+            n = batch.num_rows
+            if n == 0:
                 continue
-            stacked = np.stack([np.stack([np.asarray(r, dtype=float) for r in w]) for w in batch[x]])
-            out = batch[names].copy()
-            out[output] = np.asarray(predict(stacked), dtype=float).reshape(len(batch))
-            yield out
+            windows = batch.column(x)
+            steps = len(windows[0])
+            values = windows.flatten().flatten().to_numpy(zero_copy_only=False)
+            scores = np.asarray(predict(values.reshape(n, steps, -1)), dtype=float).reshape(n)
+            columns = [batch.column(c) for c in names] + [pa.array(scores)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, output])
 
-    return samples.mapInPandas(score, schema)
+    return samples.mapInArrow(score, schema)
 
 
 def _assembled(table: DataFrame, features: list[str]) -> DataFrame:

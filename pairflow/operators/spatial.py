@@ -10,9 +10,6 @@ from pairflow.functions.expr import lambert, ratio
 from pairflow.operators.joins import lookup
 from pairflow.session import materialize
 
-MAX_BROADCAST_VERTICES = 2_000_000
-
-
 def to_lcc(df: DataFrame, lon: str = "x", lat: str = "y", x: str = "x", y: str = "y") -> DataFrame:
     """Project longitude and latitude columns to the forcing grid's metres."""
     px, py = lambert(F.col(lon), F.col(lat))
@@ -74,8 +71,7 @@ def _points_join(points, polygons, keep, cell, how, x, y, ring, spread):
         how,
         spread=spread,
         condition=in_box & geometry.contains(F.col("__edges"), px, py),
-        max_rows=MAX_BROADCAST_VERTICES,
-        weight=F.size("__edges"),
+        extra=F.size("__edges") * 32,
     )
     return joined.drop("__cx", "__cy", "__edges", "__box")
 

@@ -116,14 +116,24 @@ def previous(positioned: DataFrame, column: str, name: str = "previous") -> Data
     )
 
 
-def assign_batches(samples: DataFrame, batch_size: int, width: int = 4096) -> DataFrame:
+def sample_counts(positioned: DataFrame, length: int) -> DataFrame:
+    """``n`` samples per network, without making them."""
+    n = F.greatest(F.count(F.lit(1)) - length, F.lit(0).cast("bigint"))
+    return positioned.groupBy("network_id").agg(n.alias("n"))
+
+
+def assign_batches(
+    samples: DataFrame, batch_size: int, counts: DataFrame | None = None, width: int = 4096
+) -> DataFrame:
     """Add ``batch_id``: samples of all networks in (network, start) order, ``batch_size`` a batch.
 
     ``start_idx`` runs 0..n-1 in each network, so a sample's place is the number of samples
     in earlier networks plus its start: counts per network are summed, the samples are not sorted.
+    ``counts`` is the result of ``sample_counts``; without it the samples are counted.
     """
-    counts = samples.groupBy("network_id").agg(F.count(F.lit(1)).alias("n"))
-    offsets = materialize(batch_offsets(counts, width))
+    if counts is None:
+        counts = samples.groupBy("network_id").agg(F.count(F.lit(1)).alias("n"))
+    offsets = materialize(batch_offsets(materialize(counts), width))
     placed = lookup(samples, offsets, ["network_id"], spread=["start_idx"])
     return placed.withColumn(
         "batch_id", F.floor((F.col("samples_before") + F.col("start_idx")) / F.lit(batch_size)).cast("bigint")

@@ -195,8 +195,7 @@ def window_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = training.persistence(_rows(spark, sf_dir), LONG).select("network_id", "start_idx")
-    return windows.assign_batches(samples, BATCH)
+    return _batched(spark, sf_dir).select("network_id", "start_idx", "batch_id")
 
 
 # --- scores ----------------------------------------------------------------------------------
@@ -207,7 +206,9 @@ def _forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _batched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.assign_batches(_forecast(spark, sf_dir), BATCH)
+    joined = _staged(spark, sf_dir)
+    forecast = training.persistence(networks.with_position(joined), LONG)
+    return windows.assign_batches(forecast, BATCH, windows.sample_counts(joined, LONG))
 
 
 def nse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,7 +261,9 @@ def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = ordering.row_index(
         weekly, ["run_id"], ["time"], F.year("time").cast("bigint"), "epoch"
     )
-    return numbered.select("run_id", "epoch", F.lit("flow").alias("metric"), F.col("streamflow").alias("value"))
+    return stage(
+        numbered.select("run_id", "epoch", F.lit("flow").alias("metric"), F.col("streamflow").alias("value"))
+    )
 
 
 def last_n(spark: SparkSession, sf_dir: str) -> DataFrame:

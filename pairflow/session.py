@@ -7,9 +7,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-MAX_BROADCAST_ROWS = 1_000_000
-"""Rows a side may have before it is no longer broadcast (narrow rows, tens of MB)."""
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+"""Size up to which a side of a join is broadcast."""
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -37,11 +38,31 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fits(df: DataFrame, limit: int = MAX_BROADCAST_ROWS, weight: Column | None = None) -> bool:
-    """True when ``df`` has at most ``limit`` rows (or a total ``weight`` of at most that)."""
-    if weight is None:
-        return df.limit(limit + 1).count() <= limit
-    total = df.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("total")).first()["total"]
+def row_bytes(schema: T.StructType) -> int:
+    """Rough width of a row: 8 bytes a number, 32 a string, 16 an empty array."""
+
+    def width(t: T.DataType) -> int:
+        if isinstance(t, T.StructType):
+            return 8 + sum(width(f.dataType) for f in t.fields)
+        if isinstance(t, (T.StringType, T.BinaryType)):
+            return 32
+        if isinstance(t, (T.ArrayType, T.MapType)):
+            return 16
+        return 8
+
+    return width(schema)
+
+
+def fits(df: DataFrame, limit: int = MAX_BROADCAST_BYTES, extra: Column | None = None) -> bool:
+    """True when ``df`` takes at most ``limit`` bytes: its rows are counted, not guessed.
+
+    ``extra`` gives the bytes of a row's arrays, where it has any.
+    """
+    width = row_bytes(df.schema)
+    if extra is None:
+        most = limit // width
+        return df.limit(most + 1).count() <= most
+    total = df.agg(F.coalesce(F.sum(extra + F.lit(width)), F.lit(0)).alias("total")).first()["total"]
     return total <= limit
 
 

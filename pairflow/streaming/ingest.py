@@ -103,8 +103,9 @@ def _ingest(inputs: Inputs, out_path: str, log_path: str, run: str) -> Callable[
     def batch(flow: DataFrame, batch_id: int) -> None:
         spark = flow.sparkSession
         started = dt.datetime.now()
-        arrived = stage(flow)
-        times = stage(arrived.select("time").distinct())
+        times = stage(flow.select("time").distinct())
+        wanted = inputs.sites.select(F.col("comid").alias("feature_id"))
+        arrived = stage(io.select_flow(flow, wanted, order="source"))
         forcing = spark.read.parquet(inputs.forcing_path).join(times, "time", "left_semi")
         forcing = io.select_forcing(forcing, inputs.variables)
         rows, errors = assemble.split_errors(_assembled(inputs, forcing, arrived, "source", times))

@@ -73,7 +73,7 @@ def test_lookup_beyond_the_broadcast_bound(spark, how):
     table = spark.createDataFrame([("hot", 1), ("hot", 2), ("warm", 3), ("none", 4)], "k string, w bigint")
     want = df.join(table, "k", how)
     small = joins.lookup(df, table, ["k"], how)
-    salted = joins.lookup(df, table, ["k"], how, spread=["t"], max_rows=1, hot_rows=100)
+    salted = joins.lookup(df, table, ["k"], how, spread=["t"], max_bytes=1, hot_rows=100)
     names = want.columns
     for got in (small, salted):
         assert sorted(map(str, got.select(*names).collect())) == sorted(map(str, want.collect()))
@@ -81,14 +81,14 @@ def test_lookup_beyond_the_broadcast_bound(spark, how):
     if how in ("left_semi", "inner"):
         want = df.join(table.withColumnRenamed("k", "k2"), (F.col("k") == F.col("k2")) & condition, how)
         kept = [c for c in want.columns if c != "k2"]
-        salted = joins.lookup(df, table, ["k"], how, ["t"], condition, max_rows=1, hot_rows=100)
+        salted = joins.lookup(df, table, ["k"], how, ["t"], condition, max_bytes=1, hot_rows=100)
         assert sorted(map(str, salted.select(*kept).collect())) == sorted(map(str, want.select(*kept).collect()))
 
 
 def test_salts_split_the_hot_key(spark):
     df = spark.range(1000).select(F.lit("hot").alias("k"), F.col("id").alias("t"))
     table = spark.createDataFrame([("hot", 1), ("cold", 2)], "k string, w bigint")
-    got = joins.lookup(df, table, ["k"], spread=["t"], max_rows=1, hot_rows=100)
+    got = joins.lookup(df, table, ["k"], spread=["t"], max_bytes=1, hot_rows=100)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert got.count() == 1000
     assert "__salt" in plan

@@ -20,8 +20,11 @@ def test_every_query_has_sql():
 
 @pytest.mark.parametrize("name", list(entry.queries()))
 def test_query_equals_sql(spark, con, name):
-    got = entry.queries()[name](spark, SF_DIR).toPandas()
-    assert difference(got, con.execute(entry.oracle_sql()[name]).df()) is None
+    df = entry.queries()[name](spark, SF_DIR)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for costly in ("CartesianProduct", "NestedLoop", "BatchEvalPython", "ArrowEvalPython"):
+        assert costly not in plan
+    assert difference(df.toPandas(), con.execute(entry.oracle_sql()[name]).df()) is None
 
 
 def test_entry_gives_rows(spark):
