@@ -76,3 +76,21 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+# What a session for these jobs should set; all are plain Spark settings.
+SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.session.timeZone": "UTC",
+    # Recording a Python call site for every column costs more than planning the query.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
+
+def configured(builder: SparkSession.Builder) -> SparkSession.Builder:
+    """A session builder with ``SETTINGS`` applied."""
+    for key, value in SETTINGS.items():
+        builder = builder.config(key, value)
+    return builder

@@ -59,10 +59,12 @@ def main() -> int:
     import __spark_entry__ as entry
     from pyspark.sql import SparkSession
 
+    from pairflow.session import configured
+
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:]
     spark = (
-        SparkSession.builder.master("local[8]")
+        configured(SparkSession.builder).master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
