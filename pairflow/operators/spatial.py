@@ -131,8 +131,9 @@ def cell_weights(
     edge = polygons.select(
         polygon_id,
         F.floor((F.array_min(geometry.ys(F.col(ring))) - y0) / dy).cast("bigint").alias("iy_floor"),
-        F.explode(geometry.edges(geometry.closed(F.col(ring)))).alias("e"),
-    ).select(
+        # Outer, so that the edges are not made once more to look for empty rings.
+        F.explode_outer(geometry.edges(geometry.closed(F.col(ring)))).alias("e"),
+    ).where(F.col("e").isNotNull()).select(
         polygon_id,
         "iy_floor",
         *[

@@ -37,8 +37,13 @@ def past_tie(c: str) -> Column:
     return F.round(F.col(c) + F.lit(3.217e-10), 6)
 
 
+def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weekly series as a stored table, as an assembled one is: check and join both read it."""
+    return stage(fixtures.weekly_series(spark, sf_dir))
+
+
 def _networks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return networks.build_networks(fixtures.weekly_series(spark, sf_dir), min_std=MIN_STD)
+    return networks.build_networks(_series(spark, sf_dir), min_std=MIN_STD)
 
 
 def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +76,7 @@ def pair_qc_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = networks.pair_join(fixtures.weekly_series(spark, sf_dir))
+    joined = networks.pair_join(_series(spark, sf_dir))
     return joined.withColumn("time", time_text(F.col("time")))
 
 
@@ -135,9 +140,9 @@ def split_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _train(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The networks, and those of the training set."""
-    series = fixtures.weekly_series(spark, sf_dir)
+    series = _series(spark, sf_dir)
     numbers = materialize(networks.number_networks(networks.pair_qc(series, min_std=MIN_STD)))
-    joined = networks.build_networks(series, numbers)
+    joined = stage(networks.build_networks(series, numbers))
     flags = split.split_networks(numbers, random_test=False)
     last = flags.where("in_train").agg(F.max("network_id").alias("n")).select("n").scalar()
     return joined, joined.where(F.col("network_id") <= last)
@@ -246,7 +251,7 @@ def evaluate_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fit_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linear model of upstream flow on the last downstream flow, scored per network."""
     features = ["streamflow_x_last"]
-    table = windows.window_features(_rows(spark, sf_dir), ["streamflow_x"], "streamflow_y", LONG, 1)
+    table = stage(windows.window_features(_rows(spark, sf_dir), ["streamflow_x"], "streamflow_y", LONG, 1))
     fitted = model.fit_flow(table, features)
     pred = model.predict_flow(fitted, table, features).withColumnRenamed("y", "o")
     out = metrics.nse(pred, ["network_id"], digits=None)
@@ -569,5 +574,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Persistence skill per network: check, pair, number, window, score."""
-    scores = training.persistence_scores(fixtures.weekly_series(spark, sf_dir), SHORT)
+    scores = training.persistence_scores(_series(spark, sf_dir), SHORT)
     return scores.withColumn("nse", r6("nse"))

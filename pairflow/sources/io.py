@@ -97,8 +97,11 @@ def parse_pair_map(objects: DataFrame, column: str = "value") -> DataFrame:
     """``(entry, key, value)`` of a JSON object per row, in the order written."""
     entries = F.map_entries(F.from_json(F.col(column), schemas.PAIR_MAP))
     rest = [c for c in objects.columns if c != column]
-    return objects.select(*rest, F.posexplode(entries).alias("entry", "e")).select(
-        *rest, F.col("entry").cast("bigint").alias("entry"), "e.key", "e.value"
+    # Outer, then without the empty ones: a plain explode would parse twice more to look for them.
+    return (
+        objects.select(*rest, F.posexplode_outer(entries).alias("entry", "e"))
+        .where(F.col("entry").isNotNull())
+        .select(*rest, F.col("entry").cast("bigint").alias("entry"), "e.key", "e.value")
     )
 
 
