@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairflow.functions.expr import md5_uniform
+from pairflow.operators.joins import lookup
+from pairflow.session import materialize
 
 # Corner offsets of the shapes that stand for catchments, by kind.
 TRIANGLE = [(0.0, 0.0), (2.1, 4.7), (5.0, 1.3), (0.0, 0.0)]
@@ -76,7 +78,7 @@ def customer_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     keys = ["c_nationkey", "c_mktsegment"]
     down = c.groupBy(*keys).agg(F.min_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("ds_catid"))
-    return c.join(down, keys).select(
+    return lookup(c, materialize(down), keys, spread=["c_custkey"]).select(
         "ds_catid",
         F.col("c_custkey").alias("divide_id"),
         F.col("c_acctbal").alias("X"),

@@ -155,10 +155,18 @@ def summary(networks: DataFrame) -> DataFrame:
     )
 
 
+# Spark cuts each task's rows to the wanted number before the shuffle up to this number.
+GROUP_LIMIT = 1000
+
+
 def last_values(history: DataFrame, n: int, keys: list[str] = ("run_id", "metric")) -> DataFrame:
-    """The last ``n`` epochs of each history. Spark cuts each task's rows to n before the shuffle."""
-    newest = Window.partitionBy(*keys).orderBy(F.col("epoch").desc())
-    return history.withColumn("__rn", F.row_number().over(newest)).where(F.col("__rn") <= n).drop("__rn")
+    """The last ``n`` epochs of each history; a long one is cut down in parts before it meets in one task."""
+    newest = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.col("epoch").desc()))
+    cut = history
+    if n > GROUP_LIMIT:
+        cut = cut.withColumn("__part", F.pmod(F.xxhash64("epoch"), F.lit(256)))
+        cut = cut.withColumn("__rn", newest(*keys, "__part")).where(F.col("__rn") <= n).drop("__part", "__rn")
+    return cut.withColumn("__rn", newest(*keys)).where(F.col("__rn") <= n).drop("__rn")
 
 
 def last_n(history: DataFrame, n: int = 10, keys: list[str] = ("run_id", "metric"), strict: bool = True) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pairflow import fixtures
 from pairflow.functions.expr import md5_uniform, ratio, time_text, value_bucket
 from pairflow.operators import assemble, metrics, model, networks, ordering, scale, sites, spatial, split, windows
+from pairflow.operators.joins import lookup
 from pairflow.plans import assembly, training
 from pairflow.session import materialize, stage
 from pairflow.sources import io
@@ -500,7 +501,8 @@ def flow_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per batch of ten ids in list order: what the batch's store holds."""
     ids = fixtures.site_list(spark, sf_dir).select("pos", F.col("comid").alias("feature_id"))
     flow = io.narrowed(_lines(spark, sf_dir).drop("gage_id"))
-    stored = flow.join(sites.id_batches(ids), "feature_id")
+    batches = materialize(sites.id_batches(ids))
+    stored = lookup(flow, batches, ["feature_id"], spread=["time"])
     return stored.groupBy("batch_start").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_distinct("feature_id").alias("n_ids"),

@@ -185,6 +185,10 @@ def test_last_values_as_published(spark):
     with pytest.raises(PySparkException):
         metrics.last_n(runs(spark, values[:9])).collect()
     assert metrics.last_values(runs(spark, values), 3).count() == 3
+    long = runs(spark, range(2500))
+    assert sorted(r.epoch for r in metrics.last_values(long, 1200).collect()) == list(range(1300, 2500))
+    plan = metrics.last_values(long, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
 
 
 def test_correlations_are_of_columns(spark):
