@@ -55,9 +55,13 @@ def seconds_of(time: Column) -> Column:
     )
 
 
-def time_bucket(time: Column, days: int) -> Column:
-    """Number of the ``days``-long span that ``time`` falls in."""
-    return F.floor(F.unix_date(time.cast("date")) / F.lit(days)).cast("bigint")
+def time_bucket(time: Column, seconds: int) -> Column:
+    """Number of the ``seconds``-long span that ``time`` falls in."""
+    if seconds % SECONDS_PER_DAY == 0:
+        units, width = F.unix_date(time.cast("date")), seconds // SECONDS_PER_DAY
+    else:
+        units, width = seconds_of(time), seconds
+    return F.floor(units / F.lit(width)).cast("bigint")
 
 
 def value_bucket(value: Column, width: int) -> Column:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairflow.functions.expr import named, value_bucket
+from pairflow.functions.expr import named, ratio, value_bucket
 from pairflow.operators import ordering
 from pairflow.operators.joins import lookup
 from pairflow.session import materialize
 
+LONG_WINDOW = 64
+
 
 def over_windows(
     positioned: DataFrame,
@@ -71,6 +73,17 @@ def sample_windows(
     return out.select("network_id", "start_idx", "x", "y")
 
 
+def _mean(value: Column, length: int, over: Window, ordered: Window) -> Column:
+    """Mean over the window. Spark sums a sliding frame anew for every row, so a long one is
+    taken as the difference of two running sums, which cost the same for any length."""
+    if length < LONG_WINDOW:
+        return F.avg(value).over(over)
+    to = lambda end: ordered.rowsBetween(Window.unboundedPreceding, end)
+    total = lambda end: F.coalesce(F.sum(value).over(to(end)), F.lit(0.0))
+    count = lambda end: F.count(value).over(to(end))
+    return ratio(total(-1) - total(-length - 1), (count(-1) - count(-length - 1)).cast("double"))
+
+
 def window_features(
     positioned: DataFrame,
     features: list[str],
@@ -89,7 +102,7 @@ def window_features(
     values = {}
     for f in features:
         values[f"{f}_last"] = lambda over, ordered, f=f: F.lag(named(f), 1).over(ordered)
-        values[f"{f}_mean"] = lambda over, ordered, f=f: F.avg(named(f)).over(over)
+        values[f"{f}_mean"] = lambda over, ordered, f=f: _mean(named(f), length, over, ordered)
         for k in lags:
             values[f"{f}_lag{k}"] = lambda over, ordered, f=f, k=k: F.lag(named(f), k + shift).over(ordered)
     reach = max([0, *lags]) + shift

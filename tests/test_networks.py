@@ -73,7 +73,7 @@ def test_repeated_times_multiply(spark):
 
 def test_slice_keeps_both_ends(spark):
     built = networks.build_networks(series(spark))
-    got = networks.row_slice(built, 1, 2, bucket_days=1)
+    got = networks.row_slice(built, 1, 2, bucket_seconds=3600)
     assert sorted((r.network_id, r.idx) for r in got.collect()) == [(0, 1), (0, 2), (2, 1), (2, 2)]
     assert networks.preview(built, 2).count() == 4
 
@@ -136,7 +136,8 @@ def test_seconds_and_buckets_ignore_the_session_zone(spark):
     try:
         spark.conf.set("spark.sql.session.timeZone", "America/New_York")
         assert df.select(expr.seconds_of(F.col("t"))).first()[0] == want
-        assert df.select(expr.time_bucket(F.col("t"), 1)).first()[0] == want // 86400
+        assert df.select(expr.time_bucket(F.col("t"), 86400)).first()[0] == want // 86400
+        assert df.select(expr.time_bucket(F.col("t"), 600)).first()[0] == want // 600
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
 

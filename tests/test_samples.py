@@ -78,6 +78,16 @@ def test_window_features_equal_the_arrays(spark, horizon):
         assert r.b_lag9 == (float((step - 9) % 7) if step >= 9 else None)
 
 
+def test_long_window_means(spark):
+    df = positioned(spark, [200, 71]).withColumn("b", F.when(F.col("idx") != 20, F.col("b")))
+    got = windows.window_features(df, ["a", "b"], "a", 70, width=90).collect()
+    assert len(got) == 130 + 1
+    for r in got:
+        steps = range(r.start_idx, r.start_idx + 70)
+        assert r.a_mean == pytest.approx(100 * r.network_id + np.mean(steps))
+        assert r.b_mean == pytest.approx(np.mean([i % 7 for i in steps if i != 20]))
+
+
 def test_batches(spark):
     samples = windows.sample_windows(positioned(spark, [6, 2, 5]), ["a"], "a", 3).select("network_id", "start_idx")
     got = sorted(windows.assign_batches(samples, 2, width=1).collect())
