@@ -13,8 +13,10 @@ from pairflow.functions.expr import clean_key, day_key, named
 from pairflow.operators.joins import lookup
 from pairflow.session import materialize
 
+# Names in the stored tables, and where an attribute file lies under its catchment's folder.
 INDEX_COLUMN = "Unnamed: 0"
 UNUSED_FORCING = "LQFRAC"
+ATTRIBUTE_FILE = "config/cfe_noahowp_attributes.csv"
 MAX_SITES = 1000
 MAX_PUSHED_IDS = 1000
 
@@ -173,10 +175,10 @@ def forcing_times(forcing: DataFrame) -> DataFrame:
 def read_attributes(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """All per-catchment attribute files as one table, with ``ds_catid`` from the path.
 
-    ``path`` is the folder that holds ``<ds_catid>/config/cfe_noahowp_attributes.csv``. ``idx`` is
+    ``path`` is the folder that holds ``<ds_catid>/<ATTRIBUTE_FILE>``. ``idx`` is
     the row's place in its file. Every file starts with the same header.
     """
-    files = f"{path.rstrip('/')}/*/config/cfe_noahowp_attributes.csv"
+    files = f"{path.rstrip('/')}/*/{ATTRIBUTE_FILE}"
     reader = spark.read.option("header", True)
     # Types from one pass over the files; give the schema where there are many.
     reader = reader.option("inferSchema", True) if schema is None else reader.schema(schema)
