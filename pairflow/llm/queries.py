@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairflow.llm import mixing, quality, secrets, simhash
+from pairflow.llm import mixing, pieces, quality, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         simhash.op6_simhash,
         quality.op7_quality_rules,
         mixing.op8_mixing,
+        pieces.op10_sentencepiece,
     )
 }
 
