@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairflow.llm import mixing, pieces, quality, secrets, simhash
+from pairflow.llm import lm, mixing, pieces, quality, secrets, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
+        tokens.op1_token_counts,
         secrets.op2_secrets,
         simhash.op6_simhash,
         quality.op7_quality_rules,
         mixing.op8_mixing,
+        lm.op9_lm_scores,
         pieces.op10_sentencepiece,
     )
 }
