@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairflow.llm import lm, mixing, pieces, quality, secrets, simhash, tokens
+from pairflow.llm import lm, mixing, pieces, quality, secrets, simhash, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
         tokens.op1_token_counts,
         secrets.op2_secrets,
+        warc.op3_warc,
         simhash.op6_simhash,
         quality.op7_quality_rules,
         mixing.op8_mixing,
@@ -21,4 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE = {"op7_quality_rules": quality.OP7_SQL, "op8_mixing": mixing.OP8_SQL}
+ORACLE = {
+    "op3_warc": warc.OP3_SQL,
+    "op7_quality_rules": quality.OP7_SQL,
+    "op8_mixing": mixing.OP8_SQL,
+}
