@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairflow.llm import lm, mixing, pieces, quality, secrets, simhash, tokens, warc
+from pairflow.llm import ann, lm, mixing, pieces, quality, secrets, simhash, tokens, tools, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
@@ -14,6 +14,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         tokens.op1_token_counts,
         secrets.op2_secrets,
         warc.op3_warc,
+        ann.op4_neighbours,
+        tools.op5_tool_calls,
         simhash.op6_simhash,
         quality.op7_quality_rules,
         mixing.op8_mixing,
