@@ -14,6 +14,7 @@ The piece file gives the vocabulary and its order of merit; a piece's score is t
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,10 +29,12 @@ from pairflow.llm.common import columns, quoted, spare, stored, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CHUNK = 32_768
+CHUNK = 65_536
 """Characters of a chunk."""
-CACHE = 300_000
-"""Words whose pieces a task remembers; only a matter of speed."""
+CACHE, CACHED = 300_000, 48
+"""Words and word ends whose pieces a task remembers, and their greatest length; only a matter of speed."""
+BATCH_CHARS = 4_000_000
+"""Characters that a task works on at once; only a matter of memory."""
 LOST = -(10**15)
 """Score of what cannot be."""
 UNIT = 1_000_000
@@ -68,7 +71,7 @@ class Vocabulary:
                 for c in p:
                     node = node.setdefault(c, {})
                 if p:
-                    node[""] = (i, self.scores[i])
+                    node[""] = (i, self.scores[i], np.int32(i).tobytes())
             self._trie = root
         return self._trie
 
@@ -86,8 +89,7 @@ def load(path: str = MODEL) -> Vocabulary:
         if p.is_byte(i):
             byte_ids[int(piece[3:5], 16)] = i
         elif not (p.is_control(i) or p.is_unknown(i) or p.is_unused(i)):
-            if SPACE in piece.lstrip(SPACE):
-                raise ValueError(f"piece {i} has a space after other characters; words could not be told apart")
+            _check(piece)
             pieces[i], scores[i] = piece, -round(UNIT * math.log(merit + 10))
             merit += 1
     if min(byte_ids) < 0:
@@ -97,48 +99,94 @@ def load(path: str = MODEL) -> Vocabulary:
 
 # --- one text in one task ----------------------------------------------------------------------
 
-
-def _best(v: Vocabulary, s: str) -> tuple[int, bytes]:
-    """Score and ids (int32) of the best segmentation of ``s``; of equal ones that with the longest last piece."""
-    n, root = len(s), v.trie()
-    score, back = [0] + [LOST * 2] * n, [None] * (n + 1)
-    for i in range(n):
-        at, node, j = score[i], root, i
-        if (x := at + v.unknown) > score[i + 1]:
-            score[i + 1], back[i + 1] = x, (i, -1)
-        while j < n and (node := node.get(s[j])) is not None:
-            j += 1
-            if (end := node.get("")) is not None and (x := at + end[1]) > score[j]:
-                score[j], back[j] = x, (i, end[0])
-    ids, j = [], n
-    while j:
-        i, p = back[j]
-        ids.append([p] if p >= 0 else [v.byte_ids[b] for b in s[i:j].encode("utf-8", "replace")])
-        j = i
-    return score[n], np.array([p for part in reversed(ids) for p in part], np.int32).tobytes()
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_PARTS = re.compile(f"{SPACE}*(?:[{_LATIN}]+|[^{_LATIN}{SPACE}]+)|{SPACE}+")
 
 
 def _words(s: str) -> list[str]:
-    """Parts that no piece crosses: a space begins one unless it follows a space, a line end stands alone."""
-    import re
+    """Parts that no piece crosses: space marks begin one, and Latin letters share none with other characters."""
+    return _PARTS.findall(s)
 
-    return re.findall(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+", s)
+
+def _check(piece: str) -> None:
+    """A piece must lie in one part, or cutting texts into parts would lose segmentations."""
+    if len(_words(piece)) != 1:
+        raise ValueError(f"the piece {piece!r} joins parts that are worked out apart")
 
 
 class _Cache(dict):
-    """Word to (score, ids), computed when missing; emptied when full."""
+    """Text to the ids (int32) of its best segmentation, worked out when missing.
+
+    When full it begins anew, but for what is asked again of the entries before.
+
+    The best segmentation of a part is its best first piece and the best of the rest, so ends of
+    words are remembered too. Of equal ones the one with the longest first piece is taken.
+    """
 
     def __init__(self, v: Vocabulary) -> None:
         super().__init__()
-        self.v = v
+        self.v, self.root, self.scores, self.before = v, v.trie(), {"": 0}, ({}, {})
+        self[""] = b""
+
+    def __missing__(self, s: str) -> bytes:
+        if len(s) > CACHED:
+            return self._long(s)
+        if len(self) >= CACHE:
+            self.before = dict(self), self.scores
+            self.clear()
+            self.scores = {"": 0}
+            self[""] = b""
+        return self._short(s)
+
+    def _short(self, s: str) -> bytes:
+        scores, node, best, found = self.scores, self.root, None, None
+        ids, sums = self.before
+        if s in ids:
+            scores[s] = sums[s]
+            self[s] = out = ids[s]
+            return out
+        for j, c in enumerate(s, 1):
+            node = node.get(c)
+            if node is None:
+                break
+            end = node.get("")
+            if end is not None:
+                rest = s[j:]
+                if rest not in scores:
+                    self._short(rest)
+                x = end[1] + scores[rest]
+                if best is None or x >= best:
+                    best, found = x, (end[2], rest)
+        if len(s) == 1 or s[0] not in self.root or "" not in self.root[s[0]]:
+            rest = s[1:]
+            if rest not in scores:
+                self._short(rest)
+            if best is None or self.v.unknown + scores[rest] > best:
+                best, found = self.v.unknown + scores[rest], (self._bytes(s[0]), rest)
+        scores[s] = best
+        self[s] = out = found[0] + dict.__getitem__(self, found[1])
+        return out
 
-    def __missing__(self, word: str) -> tuple[int, bytes]:
-        found = _best(self.v, word)
-        if len(word) <= 64:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = found
-        return found
+    def _bytes(self, c: str) -> bytes:
+        return np.array([self.v.byte_ids[b] for b in c.encode("utf-8", "replace")], np.int32).tobytes()
+
+    def _long(self, s: str) -> bytes:
+        """The same from the end to the start, without recursion and without remembering."""
+        n = len(s)
+        score, step = [0] * (n + 1), [None] * n
+        for i in range(n - 1, -1, -1):
+            node, j, best = self.root, i, self.v.unknown + score[i + 1]
+            found = None
+            while j < n and (node := node.get(s[j])) is not None:
+                j += 1
+                if (end := node.get("")) is not None and ((x := end[1] + score[j]) > best or x == best):
+                    best, found = x, (end[2], j)
+            score[i], step[i] = best, found or (self._bytes(s[i]), i + 1)
+        out, i = [], 0
+        while i < n:
+            ids, i = step[i]
+            out.append(ids)
+        return b"".join(out)
 
 
 def _cache(v: Vocabulary) -> _Cache:
@@ -147,13 +195,25 @@ def _cache(v: Vocabulary) -> _Cache:
     return v._cache["words"]
 
 
+def encode_ids(v: Vocabulary, s: str) -> bytes:
+    """Ids (int32) of a text whose spaces are already marks."""
+    return b"".join(map(_cache(v).__getitem__, _words(s)))
+
+
+def score_ids(v: Vocabulary, ids: np.ndarray) -> int:
+    """Sum of the pieces' scores; a character written in bytes counts once, at its first byte."""
+    if "scores" not in v._cache:
+        scores = np.array(v.scores, np.int64)
+        for b, i in enumerate(v.byte_ids):
+            scores[i] = 0 if 0x80 <= b < 0xC0 else v.unknown
+        v._cache["scores"] = scores
+    return int(v._cache["scores"][ids].sum())
+
+
 def encode_part(v: Vocabulary, s: str) -> tuple[int, bytes]:
     """Score and ids of a text whose spaces are already marks."""
-    if not s:
-        return 0, b""
-    cache = _cache(v)
-    scores, ids = zip(*map(cache.__getitem__, _words(s)))
-    return sum(scores), b"".join(ids)
+    ids = encode_ids(v, s)
+    return score_ids(v, np.frombuffer(ids, np.int32)), ids
 
 
 def marked(text: str) -> str:
@@ -200,6 +260,10 @@ def _forward(v: Vocabulary, s: str, start: int, length: int) -> np.ndarray:
     return out
 
 
+def _score(v: Vocabulary, s: str) -> int:
+    return encode_part(v, s)[0]
+
+
 def transfer(v: Vocabulary, s: str, length: int) -> np.ndarray:
     """Matrix (entry state, exit state) of a chunk: ``s`` is its ``length`` characters and what a piece may reach past them.
 
@@ -215,8 +279,8 @@ def transfer(v: Vocabulary, s: str, length: int) -> np.ndarray:
     if not cuts:
         return np.stack([_forward(v, s, i, length) if i <= length else np.full(states, LOST, np.int64) for i in range(states)])
     first, last = cuts[0], cuts[-1]
-    entry = np.array([encode_part(v, s[i:first])[0] if i <= first else LOST for i in range(states)], np.int64)
-    middle = encode_part(v, s[first:last])[0]
+    entry = np.array([_score(v, s[i:first]) if i <= first else LOST for i in range(states)], np.int64)
+    middle = _score(v, s[first:last])
     out = entry[:, None] + (middle + _forward(v, s, last, length))[None, :]
     return np.maximum(out, LOST)
 
@@ -258,6 +322,22 @@ def _lists(ids: list[bytes]) -> pa.Array:
     raise ValueError("more than 2 to the 31 pieces in one batch")
 
 
+def _small(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``BATCH_CHARS`` characters (or pieces) of ``column``, one row at least."""
+    import pyarrow.compute as pc
+
+    for b in batches:
+        values = b.column(b.schema.get_field_index(column))
+        length = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+        ends = np.cumsum(pc.fill_null(length, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            base = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, base + BATCH_CHARS, "right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def _appended(schema: T.StructType, *more: T.StructField) -> T.StructType:
     return T.StructType([*schema.fields, *more])
 
@@ -283,12 +363,10 @@ def encode(
     added = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(score, T.LongType())]
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [encode_part(v, marked(t or "")) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, _lists([i for _, i in found]), pa.array([s for s, _ in found], pa.int64())],
-                [*b.schema.names, ids, score],
-            )
+        for b in _small(batches, text):
+            found = [encode_ids(v, marked(t or "")) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+            sums = pa.array([score_ids(v, np.frombuffer(i, np.int32)) for i in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, _lists(found), sums], [*b.schema.names, ids, score])
 
     short = docs.where(length < chunk).mapInArrow(direct, _appended(docs.schema, *added))
     (sha,) = spare(docs, "sha")
@@ -345,7 +423,7 @@ def _encode_long(texts: DataFrame, v: Vocabulary, chunk: int) -> DataFrame:
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = zip(*(b.column(c).to_pylist() for c in range(2, 6)))
-            made = [encode_part(v, part[entry : n + exit_])[1] for n, part, entry, exit_ in rows]
+            made = [encode_ids(v, part[entry : n + exit_]) for n, part, entry, exit_ in rows]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(6), _lists(made)], ["sha", "chunk", "score", "ids"])
 
     traced = (
@@ -368,7 +446,7 @@ def decode(docs: DataFrame, ids: str = "ids", vocabulary: Vocabulary | None = No
     docs = docs.drop(*[c for c in docs.columns if c.lower() == into.lower()])
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _small(batches, ids):
             lists = b.column(b.schema.get_field_index(ids))
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             ends = np.cumsum(np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)).tolist()
