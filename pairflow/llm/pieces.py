@@ -31,8 +31,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 CHUNK = 65_536
 """Characters of a chunk."""
-CACHE, CACHED = 300_000, 48
-"""Words and word ends whose pieces a task remembers, and their greatest length; only a matter of speed."""
+CACHE, CACHED, TAIL = 400_000, 48, 8
+"""Parts whose pieces a task remembers, their greatest length, and that of the ends it remembers; only a matter of speed."""
 BATCH_CHARS = 4_000_000
 """Characters that a task works on at once; only a matter of memory."""
 LOST = -(10**15)
@@ -115,77 +115,85 @@ def _check(piece: str) -> None:
 
 
 class _Cache(dict):
-    """Text to the ids (int32) of its best segmentation, worked out when missing.
+    """Part to the ids (int32) of its best segmentation, worked out when missing.
 
-    When full it begins anew, but for what is asked again of the entries before.
-
-    The best segmentation of a part is its best first piece and the best of the rest, so ends of
-    words are remembered too. Of equal ones the one with the longest first piece is taken.
+    The best segmentation of a text is its best first piece and the best of the rest; of equal ones
+    the one with the longest first piece is taken. Short ends, which many words share, are
+    remembered with their scores. A full store begins anew, but for what is asked again.
     """
 
     def __init__(self, v: Vocabulary) -> None:
         super().__init__()
-        self.v, self.root, self.scores, self.before = v, v.trie(), {"": 0}, ({}, {})
-        self[""] = b""
+        self.v, self.root = v, v.trie()
+        self.before: dict[str, bytes] = {}
+        self.tails: dict[str, tuple[int, bytes]] = {"": (0, b"")}
 
     def __missing__(self, s: str) -> bytes:
-        if len(s) > CACHED:
-            return self._long(s)
-        if len(self) >= CACHE:
-            self.before = dict(self), self.scores
-            self.clear()
-            self.scores = {"": 0}
-            self[""] = b""
-        return self._short(s)
-
-    def _short(self, s: str) -> bytes:
-        scores, node, best, found = self.scores, self.root, None, None
-        ids, sums = self.before
-        if s in ids:
-            scores[s] = sums[s]
-            self[s] = out = ids[s]
-            return out
+        ids = self.before.get(s)
+        if ids is None:
+            ids = self._tail(s)[1] if len(s) <= TAIL else self._work(s)
+        if len(s) <= CACHED:
+            if len(self) >= CACHE:
+                self.before = dict(self)
+                self.clear()
+            self[s] = ids
+        return ids
+
+    def _bytes(self, c: str) -> bytes:
+        return np.array([self.v.byte_ids[b] for b in c.encode("utf-8", "replace")], np.int32).tobytes()
+
+    def _tail(self, s: str) -> tuple[int, bytes]:
+        tails, node, best, first, rest = self.tails, self.root, None, b"", b""
+        found = tails.get(s)
+        if found is not None:
+            return found
         for j, c in enumerate(s, 1):
             node = node.get(c)
             if node is None:
                 break
             end = node.get("")
             if end is not None:
-                rest = s[j:]
-                if rest not in scores:
-                    self._short(rest)
-                x = end[1] + scores[rest]
+                after = tails.get(s[j:]) or self._tail(s[j:])
+                x = end[1] + after[0]
                 if best is None or x >= best:
-                    best, found = x, (end[2], rest)
-        if len(s) == 1 or s[0] not in self.root or "" not in self.root[s[0]]:
-            rest = s[1:]
-            if rest not in scores:
-                self._short(rest)
-            if best is None or self.v.unknown + scores[rest] > best:
-                best, found = self.v.unknown + scores[rest], (self._bytes(s[0]), rest)
-        scores[s] = best
-        self[s] = out = found[0] + dict.__getitem__(self, found[1])
-        return out
-
-    def _bytes(self, c: str) -> bytes:
-        return np.array([self.v.byte_ids[b] for b in c.encode("utf-8", "replace")], np.int32).tobytes()
-
-    def _long(self, s: str) -> bytes:
-        """The same from the end to the start, without recursion and without remembering."""
+                    best, first, rest = x, end[2], after[1]
+            elif j == 1:
+                after = self._tail(s[1:])
+                best, first, rest = self.v.unknown + after[0], self._bytes(s[0]), after[1]
+        if best is None:
+            after = self._tail(s[1:])
+            best, first, rest = self.v.unknown + after[0], self._bytes(s[0]), after[1]
+        if len(tails) >= CACHE // 2:
+            tails.clear()
+            tails[""] = (0, b"")
+        tails[s] = found = best, first + rest
+        return found
+
+    def _work(self, s: str) -> bytes:
+        """From the end to the start; the last few characters are a tail."""
         n = len(s)
-        score, step = [0] * (n + 1), [None] * n
-        for i in range(n - 1, -1, -1):
-            node, j, best = self.root, i, self.v.unknown + score[i + 1]
-            found = None
+        m = n - TAIL
+        score: list[int] = [0] * (n + 1)
+        step: list[tuple] = [()] * m
+        ends: list[bytes] = [b""] * (TAIL + 1)
+        for j in range(m, n):
+            score[j], ends[j - m] = self._tail(s[j:])
+        unknown, root = self.v.unknown, self.root
+        for i in range(m - 1, -1, -1):
+            node, j, best, found = root, i, unknown + score[i + 1], None
             while j < n and (node := node.get(s[j])) is not None:
                 j += 1
-                if (end := node.get("")) is not None and ((x := end[1] + score[j]) > best or x == best):
-                    best, found = x, (end[2], j)
+                end = node.get("")
+                if end is not None:
+                    x = end[1] + score[j]
+                    if x >= best:
+                        best, found = x, (end[2], j)
             score[i], step[i] = best, found or (self._bytes(s[i]), i + 1)
         out, i = [], 0
-        while i < n:
+        while i < m:
             ids, i = step[i]
             out.append(ids)
+        out.append(ends[i - m])
         return b"".join(out)
 
 
