@@ -67,11 +67,11 @@ class Forest:
         return out
 
     def candidates(self, spans: np.ndarray) -> np.ndarray:
-        """Row numbers in the ranges of one query, each once."""
+        """Whether each entry lies in one of the ranges of one query."""
         hit = np.zeros(len(self.vectors), bool)
         for order, (a, b) in zip(self.orders, spans):
             hit[order[a:b]] = True
-        return np.nonzero(hit)[0]
+        return hit
 
 
 def best(vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,13 +125,14 @@ def search(
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
         points = points.sort_values("id")
         ids, vectors = points["id"].to_numpy(), np.stack(points["v"].to_numpy())
+        # Copies are one entry of the forest, so that they do not crowd out others.
+        distinct, entry = np.unique(vectors, axis=0, return_inverse=True)
         asked, qs = queries["id"].to_numpy(), np.stack(queries["v"].to_numpy())
-        forest = Forest(vectors, trees, bits)
-        spans = forest.ranges(qs, max(int(share * len(ids)), (k + 1) * trees))
+        forest = Forest(distinct, trees, bits)
+        spans = forest.ranges(qs, max(int(share * len(distinct)), (k + 1) * trees))
         found = []
         for q, query, span in zip(asked, qs, spans):
-            near = forest.candidates(span)
-            near = near[ids[near] != q]
+            near = np.nonzero(forest.candidates(span)[entry] & (ids != q))[0]
             own, score = best(vectors[near], ids[near], query, k)
             found.append((np.full(len(own), q), own, score))
         a, b, c = (np.concatenate(x) for x in zip(*found))

@@ -111,7 +111,8 @@ def _order(calls: DataFrame) -> DataFrame:
 
     A call takes the place of the latest thing it needs, one step deeper; all others keep their own
     place. Rounds go on only from calls whose place has just changed, and end with them. Places in
-    a circle never settle: a depth beyond the number of calls moved in the conversation tells them.
+    a circle, and behind one, never settle: a depth beyond the number of calls moved in the conversation
+    tells them, and twice that number is where pushing them on ends.
     """
     place = F.struct(F.col("turn").alias("turn"), F.col("idx").alias("idx"), F.lit(0).alias("depth"))
     nodes = stored(calls.select("conv", "id", place.alias("place")))
@@ -130,7 +131,7 @@ def _order(calls: DataFrame) -> DataFrame:
         moved = stored(both)
         most = moved.groupBy("conv").agg(F.count(F.lit(1)).alias("n"))
         frontier = (
-            news.join(most, "conv").where(F.col("late.depth") <= F.col("n"))
+            news.join(most, "conv").where(F.col("late.depth") <= 2 * F.col("n"))
             .select("conv", F.col("id").alias("need"), F.col("late").alias("behind"))
         )
     if moved is None:
@@ -149,8 +150,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     with a null conversation or id take no part. Of several calls with one id the first (turn, idx,
     name, arguments) counts and is marked; repeated equal rows are one call. Of several results the
     first counts and all are counted. ``position`` numbers a conversation's calls from 0 so that
-    each stands behind what it needs; what needs itself, or something missing, is marked and keeps
-    its place. ``valid`` is false where ``error`` tells anything. Empty tables give no rows.
+    each stands behind what it needs; what needs itself (or waits for what does) or something missing
+    is marked. ``valid`` is false where ``error`` tells anything. Empty tables give no rows.
     """
     own = (
         calls.select("conv", "turn", "idx", "id", "name", "arguments", "needs")
