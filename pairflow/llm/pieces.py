@@ -31,9 +31,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 CHUNK = 65_536
 """Characters of a chunk."""
-CACHE, CACHED, TAIL = 400_000, 48, 8
+CACHE, CACHED, TAIL = 250_000, 48, 8
 """Parts whose pieces a task remembers, their greatest length, and that of the ends it remembers; only a matter of speed."""
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 """Characters that a task works on at once; only a matter of memory."""
 LOST = -(10**15)
 """Score of what cannot be."""
@@ -357,31 +357,46 @@ def encode(
     ids: str = "ids",
     score: str = "score",
     chunk: int = CHUNK,
+    restored: str | None = None,
 ) -> DataFrame:
     """Each row of ``docs`` with its piece ids (array<int>) and their score (bigint, millionths).
 
+    With ``restored`` the ids are decoded at once, where they are, and a column of that name tells
+    whether the text came back (with a space for each mark U+2581 it held).
+
     A null or empty text has no pieces and score 0. A character that no piece matches gives its
     UTF-8 bytes. Of equally good segmentations the same one comes out in each run, for a given
     chunk length. Repeated texts longer than a chunk are worked out once; all rows come back.
-    An empty table gives an empty one. Columns of ``docs`` named like ``ids`` or ``score`` are replaced.
+    An empty table gives an empty one. Columns of ``docs`` named like the results are replaced.
     """
     v = vocabulary or load()
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in (ids.lower(), score.lower())])
+    names = [ids, score, *([restored] if restored else [])]
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in {n.lower() for n in names}])
     length = F.coalesce(F.length(F.col(quoted(text))), F.lit(0))
     added = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(score, T.LongType())]
+    added += [T.StructField(restored, T.BooleanType())] if restored else []
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _small(batches, text):
-            found = [encode_ids(v, marked(t or "")) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+            texts = [t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+            found = [encode_ids(v, marked(t)) for t in texts]
             sums = pa.array([score_ids(v, np.frombuffer(i, np.int32)) for i in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, _lists(found), sums], [*b.schema.names, ids, score])
+            back = [decode_ids(v, np.frombuffer(i, np.int32)) == t.replace(SPACE, " ") for i, t in zip(found, texts)] if restored else []
+            made = [_lists(found), sums, *([pa.array(back, pa.bool_())] if restored else [])]
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, *names])
 
     short = docs.where(length < chunk).mapInArrow(direct, _appended(docs.schema, *added))
     (sha,) = spare(docs, "sha")
     long = docs.where(length >= chunk).withColumn(sha, F.sha2(F.col(quoted(text)).cast("binary"), 256))
     texts = long.select(F.col(sha).alias("sha"), F.col(quoted(text)).alias("text")).dropDuplicates(["sha"])
     done = _encode_long(texts, v, chunk).select(F.col("sha").alias(sha), F.col("ids").alias(ids), F.col("score").alias(score))
-    return short.unionByName(long.join(done, sha).drop(sha))
+    whole = long.join(done, sha).drop(sha)
+    if restored:
+        (decoded,) = spare(whole, "decoded")
+        whole = decode(whole, ids, v, decoded).withColumn(
+            restored, F.col(decoded) == F.replace(F.col(quoted(text)), F.lit(SPACE), F.lit(" "))
+        ).drop(decoded)
+    return short.unionByName(whole)
 
 
 def _encode_long(texts: DataFrame, v: Vocabulary, chunk: int) -> DataFrame:
@@ -466,17 +481,13 @@ def decode(docs: DataFrame, ids: str = "ids", vocabulary: Vocabulary | None = No
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, decoded again and compared: ids, their number and score, and whether the text came back."""
-    v = load()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = decode(encode(docs, vocabulary=v), vocabulary=v)
-    same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(SPACE), F.lit(" "))
-    return back.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "score", same.alias("restored"), "ids")
+    made = encode(docs, restored="restored")
+    return made.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "score", "restored", "ids")
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last: every row with ``ids``, ``n_pieces`` and ``restored`` (the ids give the text back)."""
-    v = load()
-    score, decoded = spare(docs, "score", "decoded")
-    back = decode(encode(docs, vocabulary=v, score=score), vocabulary=v, into=decoded)
-    same = F.col(decoded) == F.replace(F.coalesce("text", F.lit("")), F.lit(SPACE), F.lit(" "))
-    return back.withColumns({"n_pieces": F.size("ids").cast("bigint"), "restored": same}).drop(score, decoded)
+    (score,) = spare(docs, "score")
+    made = encode(docs, score=score, restored="restored").drop(score)
+    return made.select(*columns(docs), "ids", F.size("ids").cast("bigint").alias("n_pieces"), "restored")
