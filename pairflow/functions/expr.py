@@ -68,11 +68,6 @@ def value_bucket(value: Column, width: int) -> Column:
     return F.floor(value / F.lit(width)).cast("bigint")
 
 
-def zone_free(time: Column) -> Column:
-    """``date_trunc`` and friends return a zoned timestamp; go back to a zone-free one."""
-    return time.cast("timestamp_ntz")
-
-
 def time_text(time: Column) -> Column:
     return F.date_format(time, "yyyy-MM-dd HH:mm:ss")
 
@@ -87,11 +82,6 @@ def clean_key(key: Column) -> Column:
     return F.regexp_replace(key, "[/*]", "")
 
 
-def elapsed_seconds(start: Column, end: Column) -> Column:
-    """Seconds between two zoned timestamps."""
-    return (F.unix_micros(end) - F.unix_micros(start)) / F.lit(1e6)
-
-
 def md5_uniform(seed: str, key: Column) -> Column:
     """Number in [0, 1) that depends only on seed and key, the same in every engine and run."""
     text = F.concat(F.lit(seed + "-"), key.cast("string"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairflow.functions.expr import named
@@ -17,19 +17,16 @@ SITE_COLUMNS = ["comid", "catid", "du", "pair_id"]
 def site_time_grid(times: DataFrame, sites: DataFrame, parts: int = 64) -> DataFrame:
     """Every site at every time step.
 
-    Made by an equi-join on (day, part): sites are listed under each day, times under each
-    part, so the work is spread over days times parts and no side has to be broadcast.
+    Made by an equi-join on the part of the site: a part lists its sites, and meets the times of
+    one month at once (gathered per month, at most 31 days of steps), so the work is spread over
+    months times parts, only over months that have steps, and no side has to be broadcast.
     """
-    steps = times.select("time").distinct().withColumn("__day", F.to_date("time"))
-    days = steps.select("__day").distinct()
-    span = days.agg(F.min("__day").alias("a"), F.max("__day").alias("b"))
-    span = span.select(F.struct("a", "b").alias("s")).scalar()
-    listed = (
-        sites.withColumn("__part", F.pmod(F.xxhash64(*sites.columns), F.lit(parts)).cast("int"))
-        .withColumn("__day", F.explode(F.sequence(span.getField("a"), span.getField("b"))))
-    )
-    by_part = steps.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return listed.join(by_part, ["__day", "__part"]).drop("__day", "__part")
+    steps = times.select("time").distinct()
+    months = steps.groupBy(F.trunc(F.to_date("time"), "month").alias("__month")).agg(F.collect_list("time").alias("__times"))
+    listed = sites.withColumn("__part", F.pmod(F.xxhash64(*sites.columns), F.lit(parts)).cast("int"))
+    by_part = months.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    joined = listed.join(by_part, "__part").withColumn("time", F.explode("__times"))
+    return joined.drop("__month", "__times", "__part")
 
 
 def flow_keep_last(
@@ -103,10 +100,14 @@ def build_series(
 
 
 def site_errors(series: DataFrame) -> DataFrame:
-    """Sites with a failed lookup on a day: ``(day, comid, catid, n_no_flow, n_no_attributes)``."""
+    """Places of the list with a failed lookup on a day, with the number of steps that failed.
+
+    ``(day, pair_id, du, comid, catid, n_no_flow, n_no_attributes)``: a reach may stand in several
+    pairs and fail in one of them.
+    """
     return (
         series.where(~F.col("has_flow") | ~F.col("has_attributes"))
-        .groupBy(F.to_date("time").alias("day"), "comid", "catid")
+        .groupBy(F.to_date("time").alias("day"), "pair_id", "du", "comid", "catid")
         .agg(
             F.count_if(~F.col("has_flow")).alias("n_no_flow"),
             F.count_if(~F.col("has_attributes")).alias("n_no_attributes"),
@@ -115,9 +116,13 @@ def site_errors(series: DataFrame) -> DataFrame:
 
 
 def split_errors(series: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(rows, errors)``: a site that fails on a day is logged and left out for that day."""
-    errors = site_errors(series)
-    failed = errors.select("day", "comid", "catid")
-    rows = series.withColumn("day", F.to_date("time")).join(failed, ["day", "comid", "catid"], "left_anti")
+    """``(rows, errors)``: a place of the list that fails on a day is logged and left out for that day.
+
+    One pass: a day of one place is a few steps, over which the failure is taken as a window
+    maximum. Windows keep null keys together, so a failed row without ``comid`` is found too.
+    """
+    place = Window.partitionBy(F.to_date("time"), "pair_id", "du", "comid", "catid")
+    failed = F.max(~F.col("has_flow") | ~F.col("has_attributes")).over(place)
     kept = [c for c in series.columns if c not in ("has_flow", "has_attributes")]
-    return rows.select(*[named(c) for c in kept]), errors
+    rows = series.withColumn("__failed", failed).where(~F.col("__failed"))
+    return rows.select(*[named(c) for c in kept]), site_errors(series)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.base import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairflow.operators import ordering
+
 
 def score_windows(
     samples: DataFrame,
@@ -44,6 +47,44 @@ def score_windows(
     return samples.mapInArrow(score, schema)
 
 
+def score_blocks(
+    positioned: DataFrame,
+    features: list[str],
+    length: int,
+    predict: Callable[[np.ndarray], np.ndarray],
+    output: str = "m",
+    width: int | None = None,
+) -> DataFrame:
+    """``(network_id, start_idx, m)``: ``predict`` on every window of every network, for long windows.
+
+    Rows go to the tasks once, in blocks of consecutive positions that borrow the ``length`` rows
+    ahead of them; the windows are views over a block and are made where they are scored, a few
+    thousand at a time. A window of rows i..i+length-1 has ``start_idx`` i; a network of T rows has
+    T - length of them, as for samples. ``predict`` takes (windows, steps, features).
+    """
+    plain = [f"__f{i}" for i in range(len(features))]
+    rows = positioned.select("network_id", "idx", *[F.col(f"`{f}`").cast("double").alias(p) for f, p in zip(features, plain)])
+    blocks = ordering.overlapping_blocks(rows, "idx", length, width)
+
+    def score(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("idx")
+        values, at, own = block[plain].to_numpy(float), block["idx"].to_numpy(), ~block["borrowed"].to_numpy()
+        # A window stands at the row that follows it; that row must be the block's own.
+        ends = np.nonzero(own & (np.arange(len(at)) >= length))[0]
+        views = np.lib.stride_tricks.sliding_window_view(values, length, axis=0) if len(ends) else None
+        step = max(1, 4_000_000 // (length * len(plain)))
+        scores = [
+            np.asarray(predict(views[ends[i : i + step] - length].transpose(0, 2, 1)), float).reshape(-1)
+            for i in range(0, len(ends), step)
+        ]
+        return pd.DataFrame(
+            {"network_id": block["network_id"].iloc[0], "start_idx": at[ends] - length, output: np.concatenate(scores) if scores else np.zeros(0)}
+        )
+
+    schema = T.StructType([rows.schema["network_id"], T.StructField("start_idx", T.LongType()), T.StructField(output, T.DoubleType())])
+    return blocks.groupBy("network_id", "block").applyInPandas(score, schema)
+
+
 def _assembled(table: DataFrame, features: list[str]) -> DataFrame:
     # Names may hold dots or '='; the assembler gets plain ones.
     plain = [f"__f{i}" for i in range(len(features))]

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairflow.functions.expr import named, ratio
+from pairflow.operators.joins import lookup
+from pairflow.session import materialize
 
 SENTINEL = -9999.0
 
@@ -71,6 +73,19 @@ def transform(df: DataFrame, state: DataFrame, features: list[str]) -> DataFrame
     return _apply(df, state, features, lambda v, mean, scale: ratio(v - mean, scale))
 
 
+def fit_by_network(rows: DataFrame, feature: str) -> DataFrame:
+    """``(network_id, mean, scale)`` of one feature over each network's own rows (e.g. its training span)."""
+    state = rows.groupBy("network_id").agg(_state(named(feature).cast("double")).alias("s"))
+    return state.select("network_id", "s.mean", "s.scale")
+
+
+def inverse_by_network(df: DataFrame, states: DataFrame, features: list[str], spread: list[str] | None = None) -> DataFrame:
+    """``value * scale + mean`` with the state of the row's own network; one not fitted gives NULL."""
+    table = materialize(states.select("network_id", F.col("mean").alias("__mean"), F.col("scale").alias("__scale")))
+    joined = lookup(df, table, ["network_id"], "left", spread=spread)
+    return joined.withColumns({f: named(f) * F.col("__scale") + F.col("__mean") for f in features}).drop("__mean", "__scale")
+
+
 def inverse(df: DataFrame, state: DataFrame, features: list[str]) -> DataFrame:
     """``value * scale + mean``, undoing ``transform``."""
     return _apply(df, state, features, lambda v, mean, scale: v * scale + mean)

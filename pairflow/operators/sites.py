@@ -62,9 +62,10 @@ def upstream_candidates(attributes: DataFrame, before: int = 10, after: int = 9)
 def select_pairs(attributes: DataFrame, seed: str = "pair", before: int = 10, after: int = 9) -> DataFrame:
     """One seeded random candidate per downstream catchment: ``(ds_catid, us_catid, us_x, us_y)``.
 
-    The least md5 of (seed, id) wins: a plain aggregate, the same pick in every run.
+    The least md5 of (seed, file, id) wins: a plain aggregate, the same pick in every run, and a
+    catchment listed in several files is drawn in each of them anew.
     """
-    draw = F.md5(F.concat(F.lit(seed + "-"), F.col("divide_id").cast("string")))
+    draw = F.md5(F.concat(F.lit(seed + "-"), F.col("ds_catid").cast("string"), F.lit("-"), F.col("divide_id").cast("string")))
     picked = F.struct("divide_id", "X", "Y")
     return (
         upstream_candidates(attributes, before, after)

@@ -10,6 +10,10 @@ from pairflow.functions.expr import lambert, ratio
 from pairflow.operators.joins import lookup
 from pairflow.session import materialize
 
+LEAST_SHARE = 1e-9
+"""Share of a cell up to which a polygon only touches it."""
+
+
 def to_lcc(df: DataFrame, lon: str = "x", lat: str = "y", x: str = "x", y: str = "y") -> DataFrame:
     """Project longitude and latitude columns to the forcing grid's metres."""
     px, py = lambert(F.col(lon), F.col(lat))
@@ -76,6 +80,13 @@ def _points_join(points, polygons, keep, cell, how, x, y, ring, spread):
     return joined.drop("__cx", "__cy", "__edges", "__box")
 
 
+def _outside_holes(points, polygons, polygon_id, cell, x, y, ring, spread):
+    """Points in a part of a polygon but in none of its holes, a row per polygon."""
+    hole = F.coalesce(F.col("hole"), F.lit(False))
+    within = lambda rings: _points_join(points, rings, [polygon_id], cell, "inner", x, y, ring, spread).distinct()
+    return within(polygons.where(~hole)).exceptAll(within(polygons.where(hole)))
+
+
 def points_in_polygons(
     points: DataFrame,
     polygons: DataFrame,
@@ -84,8 +95,16 @@ def points_in_polygons(
     y: str = "y",
     ring: str = "ring",
     spread: list[str] | None = None,
+    polygon_id: str = "divide_id",
 ) -> DataFrame:
-    """Points inside at least one polygon, each once. ``cell`` is the side of the square join grid."""
+    """Points inside at least one polygon, each once. ``cell`` is the side of the square join grid.
+
+    With a ``hole`` column (and then ``polygon_id``) a point in a polygon's hole is not inside it,
+    and equal points are one.
+    """
+    if "hole" in polygons.columns:
+        found = _outside_holes(points, polygons, polygon_id, cell, x, y, ring, spread)
+        return found.select(*points.columns).distinct()
     return _points_join(points, polygons, [], cell, "left_semi", x, y, ring, spread)
 
 
@@ -100,6 +119,8 @@ def locate_points(
     spread: list[str] | None = None,
 ) -> DataFrame:
     """Points with the id of the polygon they lie in; a row for each where polygons overlap."""
+    if "hole" in polygons.columns:
+        return _outside_holes(points, polygons, polygon_id, cell, x, y, ring, spread)
     return _points_join(points, polygons, [polygon_id], cell, "inner", x, y, ring, spread)
 
 
@@ -119,22 +140,33 @@ def cell_weights(
     y0: float = 0.0,
     dx: float = 1.0,
     dy: float = 1.0,
-    digits: int | None = 12,
+    least: float = LEAST_SHARE,
 ) -> DataFrame:
-    """``(polygon_id, iy, ix, w)``: share of each grid cell that a polygon covers; cells with none are left out.
+    """``(polygon_id, iy, ix, w)``: share of each grid cell that a polygon covers.
+
+    A polygon may have several rows: one per part, in either direction, and rows with ``hole`` true
+    (where there is such a column) are taken away again. Cells of which a polygon covers
+    ``least`` or less are left out; that is a tolerance for what rounding leaves of cells it
+    only touches.
 
     A polygon's area in a cell is the sum over its edges of the signed area between the edge, cut
     to the cell, and the cell's floor. So edges are exploded, met with the cells at or below
     them in the columns they cross, and summed: no clipping code, partial sums map-side, and a
     ring of any size is many small rows.
     """
+    hole = F.coalesce(F.col("hole"), F.lit(False)) if "hole" in polygons.columns else F.lit(False)
     edge = polygons.select(
         polygon_id,
+        # Rows of equal rings share their direction too, so they may be summed under one key.
+        F.xxhash64(F.col(ring), hole).alias("ring_key"),
+        hole.alias("hole"),
         F.floor((F.array_min(geometry.ys(F.col(ring))) - y0) / dy).cast("bigint").alias("iy_floor"),
         # Outer, so that the edges are not made once more to look for empty rings.
         F.explode_outer(geometry.edges(geometry.closed(F.col(ring)))).alias("e"),
     ).where(F.col("e").isNotNull()).select(
         polygon_id,
+        "ring_key",
+        "hole",
         "iy_floor",
         *[
             ((F.col(f"e.{p}.{axis}") - F.lit(o)) / F.lit(d)).alias(f"{axis}{i}")
@@ -148,6 +180,8 @@ def cell_weights(
     columns = F.sequence(F.floor(left).cast("bigint"), (F.ceil(right) - 1).cast("bigint"))
     strips = edge.withColumn("ix", F.explode(columns)).select(
         polygon_id,
+        "ring_key",
+        "hole",
         "ix",
         "iy_floor",
         F.signum(F.col("x2") - F.col("x1")).alias("sign"),
@@ -163,10 +197,11 @@ def cell_weights(
     mean = F.when(F.abs(rise) < 1e-9, middle).otherwise(
         (_area_under(F.col("yr"), low, high) - _area_under(F.col("yl"), low, high)) / F.nullif(rise, F.lit(0.0))
     )
-    w = F.abs(F.sum(F.col("sign") * F.col("run") * mean))
-    if digits is not None:
-        w = F.round(w, digits)
-    return cells.groupBy(polygon_id, "iy", "ix").agg(w.alias("w")).where(F.col("w") > 0)
+    # Each ring's own direction is taken out before rings are added up.
+    area = F.abs(F.sum(F.col("sign") * F.col("run") * mean))
+    rings = cells.groupBy(polygon_id, "ring_key", "hole", "iy", "ix").agg(area.alias("w"))
+    w = F.sum(F.when(F.col("hole"), -F.col("w")).otherwise(F.col("w")))
+    return rings.groupBy(polygon_id, "iy", "ix").agg(w.alias("w")).where(F.col("w") > least)
 
 
 def zonal_mean(

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairflow.functions.expr import md5_uniform
+from pairflow.operators.joins import lookup
+from pairflow.session import materialize
 
 
 def _share(n: Column, share: float) -> Column:
@@ -66,6 +68,32 @@ def split_time(
     )
 
 
+SETS = ["train", "val", "test"]
+
+
+def in_sets(samples: DataFrame, flags: DataFrame, length: int, bounds: DataFrame | None = None) -> DataFrame:
+    """The samples of each set: adds ``split`` and ``set_idx``, a sample's number within its network and set.
+
+    ``samples`` has ``network_id, start_idx``; a network in two sets gives its samples to both. With
+    ``bounds`` (one row of ``split_time``) a set only sees its span of rows, so a sample must lie in it
+    whole, its target step included, just as windows made of the cut-out rows would.
+    """
+    members = flags.select(
+        "network_id",
+        F.explode(F.array(*[F.when(F.col(f"in_{s}"), F.lit(s)) for s in SETS])).alias("split"),
+    ).where(F.col("split").isNotNull())
+    out = lookup(samples, materialize(members), ["network_id"], spread=["start_idx"])
+    if bounds is None:
+        return out.withColumn("set_idx", F.col("start_idx"))
+    at = lambda end: F.element_at(
+        F.create_map(*[x for s in SETS for x in (F.lit(s), bounds.select(f"{s}_{end}").scalar())]), F.col("split")
+    )
+    inside = out.withColumns({"__low": at("start"), "__high": at("end")}).where(
+        (F.col("start_idx") >= F.col("__low")) & (F.col("start_idx") + length <= F.col("__high"))
+    )
+    return inside.withColumn("set_idx", F.col("start_idx") - F.col("__low")).drop("__low", "__high")
+
+
 def in_time_set(positioned: DataFrame, bounds: DataFrame, name: str) -> DataFrame:
     """Rows whose ``idx`` lies in the named set of ``split_time`` (the bounds are one row)."""
     low = bounds.select(f"{name}_start").scalar()

@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairflow.functions.expr import named, ratio, value_bucket
+from pairflow.functions.expr import named, value_bucket
 from pairflow.operators import ordering
 from pairflow.operators.joins import lookup
 from pairflow.session import materialize
 
-LONG_WINDOW = 64
-
 
 def over_windows(
     positioned: DataFrame,
@@ -73,17 +71,6 @@ def sample_windows(
     return out.select("network_id", "start_idx", "x", "y")
 
 
-def _mean(value: Column, length: int, over: Window, ordered: Window) -> Column:
-    """Mean over the window. Spark sums a sliding frame anew for every row, so a long one is
-    taken as the difference of two running sums, which cost the same for any length."""
-    if length < LONG_WINDOW:
-        return F.avg(value).over(over)
-    to = lambda end: ordered.rowsBetween(Window.unboundedPreceding, end)
-    total = lambda end: F.coalesce(F.sum(value).over(to(end)), F.lit(0.0))
-    count = lambda end: F.count(value).over(to(end))
-    return ratio(total(-1) - total(-length - 1), (count(-1) - count(-length - 1)).cast("double"))
-
-
 def window_features(
     positioned: DataFrame,
     features: list[str],
@@ -95,14 +82,15 @@ def window_features(
 ) -> DataFrame:
     """The target ``y`` with summaries of its window: ``<f>_last``, ``<f>_mean``, ``<f>_lag<k>``.
 
-    Lag k is the value k steps before the target's step. Window aggregates of a constant size,
-    so long windows cost no memory; missing values must be dealt with before.
+    Lag k is the value k steps before the target's step. A mean is summed anew over its own rows,
+    for any length: differences of running sums would be cheaper but let a NaN or a huge value
+    reach windows that do not hold it. Memory does not grow with the length.
     """
     shift = 0 if horizon else 1
     values = {}
     for f in features:
         values[f"{f}_last"] = lambda over, ordered, f=f: F.lag(named(f), 1).over(ordered)
-        values[f"{f}_mean"] = lambda over, ordered, f=f: _mean(named(f), length, over, ordered)
+        values[f"{f}_mean"] = lambda over, ordered, f=f: F.avg(named(f)).over(over)
         for k in lags:
             values[f"{f}_lag{k}"] = lambda over, ordered, f=f, k=k: F.lag(named(f), k + shift).over(ordered)
     reach = max([0, *lags]) + shift
@@ -136,28 +124,35 @@ def sample_counts(positioned: DataFrame, length: int) -> DataFrame:
 
 
 def assign_batches(
-    samples: DataFrame, batch_size: int, counts: DataFrame | None = None, width: int = 4096
+    samples: DataFrame,
+    batch_size: int,
+    counts: DataFrame | None = None,
+    width: int = 4096,
+    by: list[str] = (),
+    start: str = "start_idx",
 ) -> DataFrame:
     """Add ``batch_id``: samples of all networks in (network, start) order, ``batch_size`` a batch.
 
-    ``start_idx`` runs 0..n-1 in each network, so a sample's place is the number of samples
+    With ``by`` (e.g. ``["split"]``) batches begin anew in each of its values.
+
+    ``start`` runs 0..n-1 in each network (of a set), so a sample's place is the number of samples
     in earlier networks plus its start: counts per network are summed, the samples are not sorted.
     ``counts`` is the result of ``sample_counts``; without it the samples are counted.
     """
     if counts is None:
-        counts = samples.groupBy("network_id").agg(F.count(F.lit(1)).alias("n"))
-    offsets = materialize(batch_offsets(materialize(counts), width))
-    placed = lookup(samples, offsets, ["network_id"], spread=["start_idx"])
+        counts = samples.groupBy(*by, "network_id").agg(F.count(F.lit(1)).alias("n"))
+    offsets = materialize(batch_offsets(materialize(counts), width, by))
+    placed = lookup(samples, offsets, [*by, "network_id"], spread=[start])
     return placed.withColumn(
-        "batch_id", F.floor((F.col("samples_before") + F.col("start_idx")) / F.lit(batch_size)).cast("bigint")
+        "batch_id", F.floor((F.col("samples_before") + F.col(start)) / F.lit(batch_size)).cast("bigint")
     ).drop("samples_before")
 
 
-def batch_offsets(counts: DataFrame, width: int = 4096) -> DataFrame:
+def batch_offsets(counts: DataFrame, width: int = 4096, by: list[str] = ()) -> DataFrame:
     """``samples_before`` per network from ``n`` per network, summed ``width`` network ids at a time."""
     return ordering.running(
         counts,
-        [],
+        list(by),
         ["network_id"],
         value_bucket(F.col("network_id"), width),
         F.col("n"),
@@ -165,4 +160,4 @@ def batch_offsets(counts: DataFrame, width: int = 4096) -> DataFrame:
         lambda carry, local: (F.coalesce(carry, F.lit(0)) + F.coalesce(local, F.lit(0))).cast("bigint"),
         "samples_before",
         inclusive=False,
-    ).select("network_id", "samples_before")
+    ).select(*by, "network_id", "samples_before")

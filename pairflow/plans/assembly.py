@@ -42,11 +42,6 @@ def assemble_series(
     return assemble.build_series(grid, zonal, kept, rows, variables, used.select(polygon_id), polygon_id)
 
 
-def assemble_rows(*args, **kwargs) -> tuple[DataFrame, DataFrame]:
-    """``(rows, errors)`` of ``assemble_all``."""
-    return assemble.split_errors(assemble_all(*args, **kwargs))
-
-
 def assemble_all(
     site_list: DataFrame,
     forcing: DataFrame,

@@ -182,7 +182,7 @@ cand AS (
    AND u.idx BETWEEN greatest(0, d.idx - 10) AND least(d.len - 1, d.idx + 9)),
 pick AS (
   SELECT ds_catid, divide_id AS us_catid, "X" AS us_x, "Y" AS us_y FROM cand
-  QUALIFY row_number() OVER (PARTITION BY ds_catid ORDER BY md5(concat('pair-', CAST(divide_id AS VARCHAR)))) = 1)"""
+  QUALIFY row_number() OVER (PARTITION BY ds_catid ORDER BY md5(concat('pair-', CAST(ds_catid AS VARCHAR), '-', CAST(divide_id AS VARCHAR)))) = 1)"""
 
 
 def _lcc() -> str:

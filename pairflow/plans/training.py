@@ -63,6 +63,35 @@ def samples(p: Prepared, length: int, horizon: int = 1) -> DataFrame:
     return windows.sample_windows(scaled(p), p.features, p.target, length, horizon)
 
 
+def evaluate_sets(
+    p: Prepared,
+    predicted: DataFrame,
+    length: int,
+    batch_size: int,
+    run_id: str,
+    epoch: int = 0,
+    bounds: DataFrame | None = None,
+    by_network: DataFrame | None = None,
+) -> DataFrame:
+    """Loss and NSE per (run, epoch, split) of predictions on scaled values.
+
+    ``predicted`` has ``network_id, start_idx, o, m`` on the scale of ``scaled``, one row per next-step
+    sample. The loss is taken on these; for the NSE both are first turned back, by the training
+    set's state or, with ``by_network`` (``scale.fit_by_network``), by each network's own. Batches
+    begin anew in each set. ``metrics.history`` turns the result into a history.
+    """
+    flow = predicted.withColumns({"o_scaled": F.col("o"), "m_scaled": F.col("m")})
+    if by_network is None:
+        state = p.scaler_out.select(F.struct(*[F.col("state").getField(p.target).alias(c) for c in ("o", "m")]).alias("state"))
+        flow = scale.inverse(flow, state, ["o", "m"])
+    else:
+        flow = scale.inverse_by_network(flow, by_network, ["o", "m"], spread=["start_idx"])
+    placed = stage(split.in_sets(flow, p.flags, length, bounds))
+    batched = windows.assign_batches(placed, batch_size, by=["split"], start="set_idx")
+    tagged = batched.withColumns({"run_id": F.lit(run_id), "epoch": F.lit(epoch).cast("bigint")})
+    return metrics.evaluate(tagged, ["run_id", "epoch", "split"], observed_scaled="o_scaled", modeled_scaled="m_scaled")
+
+
 def persistence(positioned: DataFrame, length: int, target: str = "streamflow_y") -> DataFrame:
     """The no-model forecast: what was last seen. One row per next-step sample, ``o`` and ``m``."""
     out = windows.over_windows(

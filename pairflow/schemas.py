@@ -43,8 +43,9 @@ def forcing(variables: list[str] = FORCINGS) -> T.StructType:
     return T.StructType([*FORCING_KEYS.fields, *[_F(v, T.DoubleType()) for v in variables]])
 
 
-POLYGONS = T.StructType([_F("divide_id", T.StringType()), _F("ring", RING)])
-BOUNDARY = T.StructType([_F("part_id", T.LongType()), _F("ring", RING)])
+# A row per ring: a polygon has as many rows as parts and holes.
+POLYGONS = T.StructType([_F("divide_id", T.StringType()), _F("ring", RING), _F("hole", T.BooleanType())])
+BOUNDARY = T.StructType([_F("part_id", T.LongType()), _F("ring", RING), _F("hole", T.BooleanType())])
 
 SERIES_KEYS = T.StructType(
     [
@@ -63,15 +64,6 @@ def series(variables: list[str] = FORCINGS, attributes: list[str] = ()) -> T.Str
     return T.StructType([*SERIES_KEYS.fields, *[_F(n, T.DoubleType()) for n in names]])
 
 
-HISTORY = T.StructType(
-    [
-        _F("run_id", T.StringType()),
-        _F("epoch", T.IntegerType()),
-        _F("metric", T.StringType()),
-        _F("value", T.DoubleType()),
-    ]
-)
-
 SCALER = T.StructType(
     [_F("feature", T.StringType()), _F("mean", T.DoubleType()), _F("scale", T.DoubleType())]
 )

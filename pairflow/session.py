@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,15 +54,29 @@ def row_bytes(schema: T.StructType) -> int:
     return width(schema)
 
 
+def _held(column: Column, kind: T.DataType) -> Column | None:
+    """Bytes that a text, binary or array column holds beyond its fixed width."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)).cast("bigint")
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.array_size(column), F.lit(0)).cast("bigint") * row_bytes(T.StructType([T.StructField("e", kind.elementType)]))
+    return None
+
+
 def fits(df: DataFrame, limit: int = MAX_BROADCAST_BYTES, extra: Column | None = None) -> bool:
     """True when ``df`` takes at most ``limit`` bytes: its rows are counted, not guessed.
 
-    ``extra`` gives the bytes of a row's arrays, where it has any.
+    ``extra`` gives the bytes of a row's arrays; without it text, binary and array columns are
+    measured by what they hold.
     """
     width = row_bytes(df.schema)
     if extra is None:
-        most = limit // width
-        return df.limit(most + 1).count() <= most
+        sized = [_held(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
+        sized = [c for c in sized if c is not None]
+        if sized:
+            extra = reduce(lambda a, b: a + b, sized)
+    if extra is None:
+        return df.count() <= limit // width
     total = df.agg(F.coalesce(F.sum(extra + F.lit(width)), F.lit(0)).alias("total")).first()["total"]
     return total <= limit
 

@@ -17,8 +17,8 @@ from pairflow.session import materialize
 INDEX_COLUMN = "Unnamed: 0"
 UNUSED_FORCING = "LQFRAC"
 ATTRIBUTE_FILE = "config/cfe_noahowp_attributes.csv"
-MAX_SITES = 1000
 MAX_PUSHED_IDS = 1000
+"""Ids up to which a list goes into the scan as a filter instead of a join; the rows are the same."""
 
 
 # --- sources ---------------------------------------------------------------------------------
@@ -62,8 +62,8 @@ def read_series(
     raise ValueError(f"unknown format {fmt}")
 
 
-def read_sites(spark: SparkSession, path: str, limit: int | None = MAX_SITES) -> DataFrame:
-    """The site list with ``pos`` stored, limited by position (1000 rows by default, as used so far).
+def read_sites(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """The site list with ``pos`` stored: all of it, or with ``limit`` the first so many positions.
 
     ``path`` is a parquet table that has ``pos``, or one CSV whose rows are in list order. A list
     is a single small file (thousands of rows); it is numbered once here and stored with ``pos``.
@@ -96,8 +96,18 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_pair_map(objects: DataFrame, column: str = "value") -> DataFrame:
-    """``(entry, key, value)`` of a JSON object per row, in the order written."""
-    entries = F.map_entries(F.from_json(F.col(column), schemas.PAIR_MAP))
+    """``(entry, key, value)`` of a JSON object per row, in the order written.
+
+    A key written twice counts once: in its first place, with its last value.
+    """
+    written = F.map_entries(F.from_json(F.col(column), schemas.PAIR_MAP))
+
+    def once(pairs: Column) -> Column:
+        keys = F.array_distinct(F.transform(pairs, lambda e: e["key"]))
+        last = F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda e: e["key"] == k), -1))
+        return F.when(F.size(keys) == F.size(pairs), pairs).otherwise(last)
+
+    entries = F.transform(F.array(written), once)[0]
     rest = [c for c in objects.columns if c != column]
     # Outer, then without the empty ones: a plain explode would parse twice more to look for them.
     return (
