@@ -44,8 +44,9 @@ def forcing(variables: list[str] = FORCINGS) -> T.StructType:
 
 
 # A row per ring: a polygon has as many rows as parts and holes.
-POLYGONS = T.StructType([_F("divide_id", T.StringType()), _F("ring", RING), _F("hole", T.BooleanType())])
-BOUNDARY = T.StructType([_F("part_id", T.LongType()), _F("ring", RING), _F("hole", T.BooleanType())])
+POLYGONS = T.StructType([_F("divide_id", T.StringType()), _F("ring", RING)])
+BOUNDARY = T.StructType([_F("part_id", T.LongType()), _F("ring", RING)])
+HOLE = _F("hole", T.BooleanType())
 
 SERIES_KEYS = T.StructType(
     [

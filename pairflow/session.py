@@ -93,6 +93,32 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's own file system, wherever it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+class Staging:
+    """Staged tables of one job; ``with Staging(spark) as staged:`` deletes them when the job has written its results."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = f"{ensure_checkpoint_dir(self.spark)}/staged-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Staging:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for path in self.paths:
+            delete(self.spark, path)
+
+
 # What a session for these jobs should set; all are plain Spark settings.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",

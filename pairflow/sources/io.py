@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pairflow import schemas
 from pairflow.functions.expr import clean_key, day_key, named
 from pairflow.operators.joins import lookup
-from pairflow.session import materialize
+from pairflow.session import delete, materialize
 
 # Names in the stored tables, and where an attribute file lies under its catchment's folder.
 INDEX_COLUMN = "Unnamed: 0"
@@ -44,11 +44,18 @@ def read_series(
     path: str | list[str],
     fmt: str = "parquet",
     schema: T.StructType | None = None,
+    start: str | None = None,
+    end: str | None = None,
 ) -> DataFrame:
     """Read all files of an assembled table, whatever their column sets, in one scan.
 
-    Row order is that of ``time``, not of files. CSV columns are read by the given schema.
+    Row order is that of ``time``, not of files. CSV columns are read by the given schema. Of a table
+    in day folders only those from ``start`` to ``end`` are read; the folder's name is not a column.
     """
+    return within_days(_stored_series(spark, path, fmt, schema), start, end).drop(DAY_FOLDER)
+
+
+def _stored_series(spark: SparkSession, path: str | list[str], fmt: str, schema: T.StructType | None) -> DataFrame:
     paths = [path] if isinstance(path, str) else list(path)
     if fmt == "parquet":
         reader = spark.read.option("mergeSchema", True)
@@ -131,8 +138,15 @@ def pair_map_ids(pairs: DataFrame) -> DataFrame:
     )
 
 
-def read_flow(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_flow(spark: SparkSession, path: str, features: list[int] | None = None) -> DataFrame:
+    """A flow store; of one clustered by feature only the folders of the listed ``features`` are read."""
+    flow = spark.read.parquet(path)
+    if "feature_group" not in flow.columns:
+        return flow if features is None else flow.where(F.col("feature_id").isin(features))
+    if features is not None:
+        groups = sorted({f // FEATURES_PER_FOLDER for f in features})
+        flow = flow.where(F.col("feature_group").isin(groups) & F.col("feature_id").isin(features))
+    return flow.drop("feature_group")
 
 
 def in_days(time: Column, start: str | None, end: str | None) -> Column:
@@ -145,6 +159,26 @@ def in_days(time: Column, start: str | None, end: str | None) -> Column:
     return cond
 
 
+DAY_FOLDER = "day_key"
+
+
+def within_days(df: DataFrame, start: str | None, end: str | None) -> DataFrame:
+    """Rows of the days ``start`` to ``end``; where the table lies in day folders only theirs are read."""
+    out = df.where(in_days(F.col("time"), start, end))
+    if DAY_FOLDER in df.columns:
+        folder = F.col(DAY_FOLDER).cast("string")
+        if start is not None:
+            out = out.where(folder >= _folder(start))
+        if end is not None:
+            out = out.where(folder <= _folder(end))
+    return out
+
+
+def _folder(day: str) -> str:
+    """Name of a day's folder: its file key without separators (keys of four-digit years sort by time)."""
+    return f"{day[:4]}{day[:4]}{day[5:7]}{day[8:10]}"
+
+
 def select_flow(
     flow: DataFrame,
     ids: DataFrame | list[int] | None = None,
@@ -160,7 +194,7 @@ def select_flow(
     repeats of the list, otherwise each id counts once).
     """
     kept = ["time", "feature_id", variable, *([order] if order else [])]
-    out = flow.where(in_days(F.col("time"), start, end)).select(*kept)
+    out = within_days(flow, start, end).select(*kept)
     if ids is None:
         return out
     if isinstance(ids, list) and len(set(ids)) <= MAX_PUSHED_IDS and not repeat:
@@ -175,7 +209,7 @@ def select_forcing(
     forcing: DataFrame, variables: list[str] = schemas.FORCINGS, start: str | None = None, end: str | None = None
 ) -> DataFrame:
     """Grid cells of a span of days, with the wanted variables only."""
-    return forcing.where(in_days(F.col("time"), start, end)).select("time", "iy", "ix", *variables)
+    return within_days(forcing, start, end).select("time", "iy", "ix", *variables)
 
 
 def forcing_times(forcing: DataFrame) -> DataFrame:
@@ -211,16 +245,25 @@ def _file_index(tagged: DataFrame, columns: list[str]) -> DataFrame:
     return out.select("ds_catid", "idx", *[named(c) for c in columns])
 
 
-def read_polygons(spark: SparkSession, path: str, project: bool = False, fmt: str = "parquet") -> DataFrame:
-    """Catchment rings by ``divide_id``; ``project`` turns lon/lat into the forcing grid's metres."""
+def _rings(schema: T.StructType, holes: bool) -> T.StructType:
+    return T.StructType([*schema.fields, schemas.HOLE]) if holes else schema
+
+
+def read_polygons(
+    spark: SparkSession, path: str, project: bool = False, fmt: str = "parquet", holes: bool = False
+) -> DataFrame:
+    """Catchment rings by ``divide_id``, a row per part; ``project`` turns lon/lat into the forcing grid's metres.
+
+    With ``holes`` rows also tell whether their ring is a hole of the polygon.
+    """
     from pairflow.operators.spatial import ring_to_lcc
 
-    rows = spark.read.schema(schemas.POLYGONS).format(fmt).load(path)
+    rows = spark.read.schema(_rings(schemas.POLYGONS, holes)).format(fmt).load(path)
     return ring_to_lcc(rows) if project else rows
 
 
-def read_boundary(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.schema(schemas.BOUNDARY).format(fmt).load(path)
+def read_boundary(spark: SparkSession, path: str, fmt: str = "parquet", holes: bool = False) -> DataFrame:
+    return spark.read.schema(_rings(schemas.BOUNDARY, holes)).format(fmt).load(path)
 
 
 def day_keys(times: DataFrame, steps_per_day: int = 24) -> DataFrame:
@@ -252,24 +295,46 @@ def write_series(df: DataFrame, path: str, by: str | None = None, fmt: str = "pa
         return
     if by != "day":
         raise ValueError("by is None or 'day'")
-    keyed = df.withColumn("day_key", clean_key(day_key(F.col("time"))))
+    _write_days(df, path, fmt)
+
+
+def _write_days(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    keyed = df.withColumn(DAY_FOLDER, clean_key(day_key(F.col("time"))))
+    # Spark sizes the tasks by the rows of a day, however many there are, and splits a crowded one.
     writer = (
-        keyed.repartition("day_key", F.pmod(F.xxhash64("time"), F.lit(8)))
+        keyed.hint("rebalance", DAY_FOLDER)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("day_key")
+        .partitionBy(DAY_FOLDER)
     )
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
 
 
+def replace_days(df: DataFrame, path: str, days: list[str]) -> None:
+    """Write by day; of ``days`` (folder names) those that ``df`` has no row for lose what they held."""
+    spark = df.sparkSession
+    _write_days(df, path)
+    held = df.select(clean_key(day_key(F.col("time"))).alias("k")).distinct()
+    for gone in set(days) - {r["k"] for r in held.collect()}:
+        delete(spark, f"{path}/{DAY_FOLDER}={gone}")
+
+
+FEATURES_PER_FOLDER = 1000
+
+
 def write_flow(flow: DataFrame, path: str, by: str = "feature", batches: DataFrame | None = None) -> None:
-    """One folder per feature, or per batch of ids (``batches`` has ``feature_id, batch_start``).
+    """Flow clustered by feature, or one folder per batch of ids (``batches`` has ``feature_id, batch_start``).
 
-    Rows of a folder are spread by month over several tasks, so that a crowded one is too.
+    By feature: folders of ``FEATURES_PER_FOLDER`` consecutive ids, in each of which files hold ranges of
+    features in order of time, so that a reader of one feature opens few files and a store of millions of
+    features has few. Rows of a batch folder are spread by month over several tasks.
     """
     if by == "feature":
-        keyed, folder = flow, "feature_id"
-    elif by == "batch":
+        keyed = flow.withColumn("feature_group", F.floor(F.col("feature_id") / FEATURES_PER_FOLDER).cast("bigint"))
+        ordered = keyed.repartitionByRange("feature_id", "time").sortWithinPartitions("feature_group", "feature_id", "time")
+        ordered.write.mode("overwrite").partitionBy("feature_group").parquet(path)
+        return
+    if by == "batch":
         keyed, folder = lookup(flow, materialize(batches), ["feature_id"], spread=["time"]), "batch_start"
     else:
         raise ValueError("by is 'feature' or 'batch'")

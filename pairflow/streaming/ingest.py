@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pairflow import schemas
 from pairflow.operators import assemble
 from pairflow.plans import assembly
-from pairflow.session import stage
+from pairflow.session import Staging, ensure_checkpoint_dir
 from pairflow.sources import io
 
 
@@ -61,20 +61,22 @@ def run_log(
 
 
 def _assembled(inputs: Inputs, forcing: DataFrame, flow: DataFrame, order: str, times: DataFrame | None) -> DataFrame:
-    # Read by the row writer, the error split and the log: computed once.
-    return stage(
-        assembly.assemble_series(
-            assembly.described(inputs.sites),
-            forcing,
-            inputs.weights,
-            assemble.flow_keep_last(flow, order),
-            inputs.attributes,
-            inputs.variables,
-            times,
-        )
+    return assembly.assemble_series(
+        assembly.described(inputs.sites),
+        forcing,
+        inputs.weights,
+        assemble.flow_keep_last(flow, order),
+        inputs.attributes,
+        inputs.variables,
+        times,
     )
 
 
+def _day_names(df: DataFrame) -> list[str]:
+    """Folder names of the days that a frame with ``time`` holds: one per calendar day."""
+    return sorted(r["k"] for r in df.select(io.clean_key(io.day_key(F.col("time"))).alias("k")).distinct().collect())
+
+
 def run_days(
     spark: SparkSession,
     inputs: Inputs,
@@ -88,31 +90,51 @@ def run_days(
 ) -> None:
     """Assemble all days from ``start`` to ``end`` in one job; a day written before is replaced.
 
-    ``flow`` has ``time, feature_id, streamflow`` and the reading ``order`` column.
+    A day of which no row is good any more is emptied. ``flow`` has ``time, feature_id,
+    streamflow`` and the reading ``order`` column.
     """
     started = dt.datetime.now()
     forcing = io.select_forcing(spark.read.parquet(inputs.forcing_path), inputs.variables, start, end)
     wanted = inputs.sites.select(F.col("comid").alias("feature_id"))
     selected = io.select_flow(flow, wanted, start, end, order=order)
-    rows, errors = assemble.split_errors(_assembled(inputs, forcing, selected, order, None))
-    io.write_series(rows, out_path, by="day")
-    run_log(spark, run, rows, errors, started, dt.datetime.now()).write.mode("append").parquet(log_path)
+    # Read by the row writer, the error split and the log: computed once.
+    with Staging(spark) as staged:
+        rows, errors = assemble.split_errors(staged(_assembled(inputs, forcing, selected, order, None)))
+        io.replace_days(rows, out_path, _day_names(forcing))
+        run_log(spark, run, rows, errors, started, dt.datetime.now()).write.mode("append").parquet(log_path)
+
+
+LANDED = "time timestamp_ntz, feature_id bigint, streamflow double, source string, ingest_batch bigint, day_key string"
 
 
-def _ingest(inputs: Inputs, out_path: str, log_path: str, run: str) -> Callable[[DataFrame, int], None]:
+def _ingest(inputs: Inputs, out_path: str, log_path: str, run: str, landing: str) -> Callable[[DataFrame, int], None]:
     def batch(flow: DataFrame, batch_id: int) -> None:
         spark = flow.sparkSession
         started = dt.datetime.now()
-        times = stage(flow.select("time").distinct())
         wanted = inputs.sites.select(F.col("comid").alias("feature_id"))
-        arrived = stage(io.select_flow(flow, wanted, order="source"))
-        forcing = spark.read.parquet(inputs.forcing_path).join(times, "time", "left_semi")
-        forcing = io.select_forcing(forcing, inputs.variables)
-        rows, errors = assemble.split_errors(_assembled(inputs, forcing, arrived, "source", times))
-        # Named by the batch, so a batch run again after a failure replaces its own rows.
-        rows.write.mode("overwrite").parquet(f"{out_path}/ingest_batch={batch_id}")
-        log = run_log(spark, f"{run}-{batch_id}", rows, errors, started, dt.datetime.now())
-        log.write.mode("overwrite").parquet(f"{log_path}/ingest_batch={batch_id}")
+        # All steps that arrived, also those of which no listed feature did.
+        steps = flow.select("time", F.lit(None).cast("bigint").alias("feature_id"), F.lit(None).cast("double").alias("streamflow"), "source")
+        arrived = io.select_flow(flow, wanted, order="source").unionByName(steps.distinct())
+        # Named by the batch, so a batch run again after a failure replaces its own records.
+        own = f"{landing}/ingest_batch={batch_id}"
+        arrived.withColumn(io.DAY_FOLDER, io.clean_key(io.day_key(F.col("time")))).write.mode("overwrite").partitionBy(io.DAY_FOLDER).parquet(own)
+        days = _day_names(spark.read.parquet(own))
+        if not days:
+            return
+        # The days that got something are made anew from all that ever came for them.
+        landed = spark.read.schema(LANDED).option("basePath", landing).parquet(f"{landing}/ingest_batch=*")
+        landed = landed.where(F.col(io.DAY_FOLDER).between(days[0], days[-1]) & F.col(io.DAY_FOLDER).isin(days))
+        with Staging(spark) as staged:
+            times = staged(landed.select("time").distinct())
+            records = landed.where(F.col("feature_id").isNotNull()).select("time", "feature_id", "streamflow", "source")
+            first, last = times.agg(F.min("time"), F.max("time")).first()
+            store = spark.read.parquet(inputs.forcing_path)
+            span = io.select_forcing(store, inputs.variables, first.date().isoformat(), last.date().isoformat())
+            forcing = span.join(times, "time", "left_semi")
+            rows, errors = assemble.split_errors(staged(_assembled(inputs, forcing, records, "source", times)))
+            io.replace_days(rows, out_path, days)
+            log = run_log(spark, f"{run}-{batch_id}", rows, errors, started, dt.datetime.now())
+            log.write.mode("overwrite").parquet(f"{log_path}/ingest_batch={batch_id}")
 
     return batch
 
@@ -126,18 +148,24 @@ def stream_days(
     checkpoint: str,
     run: str = "stream",
     files_per_batch: int | None = None,
+    landing: str | None = None,
 ) -> StreamingQuery:
     """Assemble the flow files not seen before and stop; call again when more have arrived.
 
-    The stream's checkpoint remembers which files are done. Per (time, feature) the record of
-    the file last in name order counts, within a batch.
+    The stream's checkpoint remembers which files are done. Records are kept in ``landing`` by
+    batch and day (by default next to ``out_path``); a day is assembled anew from all of its
+    records whenever some arrive, and replaces what it held. So the table is the same however
+    the files are cut into batches: per (time, feature) the record of the file last in name order
+    counts, and a place of the list fails for a day if any step of the day fails.
     """
     reader = spark.readStream.schema(schemas.FLOW)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     flow = reader.parquet(flow_path).select("*", F.col("_metadata.file_path").alias("source"))
+    landing = landing or f"{out_path.rstrip('/')}-landing"
+    ensure_checkpoint_dir(spark)
     return (
-        flow.writeStream.foreachBatch(_ingest(inputs, out_path, log_path, run))
+        flow.writeStream.foreachBatch(_ingest(inputs, out_path, log_path, run, landing))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -117,20 +117,19 @@ def test_nse(spark):
     assert metrics.nse(half, ["g"]).first().nse == round(0.125, 2) == 0.12
 
 
-@pytest.mark.parametrize("first,last,length", [(0, 9, 3), (4, 18, 5), (10, 40, 4), (0, 3, 3)])
-def test_nse_slice_equals_a_loop(spark, first, last, length):
-    rng = random.Random(3)
-    o = [rng.uniform(0, 9) for _ in range(25)]
-    m = [rng.uniform(0, 9) for _ in range(25)]
-    df = spark.createDataFrame([(0, i, o[i], m[i]) for i in range(25)], "network_id bigint, idx bigint, o double, m double")
-    got = metrics.nse_slice(df, first, last, length, digits=None).first().nse
-    inside = o[first : last + 1]
-    errors = spread = 0.0
-    for i in range(len(inside) - length):
-        t = i + length - 1
-        errors += (m[first + t] - inside[t]) ** 2
-        spread += (np.mean(inside) - inside[t]) ** 2
-    assert got == pytest.approx(1 - errors / spread)
+def test_nse_slice_of_short_series(spark):
+    """Worked by hand: all rows of the slice give the mean, only rows that a window ends at give errors."""
+    o, m = [9.0, 1.0, 3.0, 5.0, 7.0, 4.0, 8.0], [0.0, 0.0, 2.0, 6.0, 9.0, 4.0, 8.0]
+    df = spark.createDataFrame([(0, i, o[i], m[i]) for i in range(7)], "network_id bigint, idx bigint, o double, m double")
+    nse = lambda *args: metrics.nse_slice(df, *args, digits=None).first().nse
+    # Rows 1..5 are 1 3 5 7 4, mean 4. Windows of 2 end at rows 2, 3, 4: errors 1 + 1 + 4, spread 1 + 1 + 9.
+    assert nse(1, 5, 2) == pytest.approx(1 - 6 / 11)
+    # Windows of 4 end at row 4 only: error 4, spread 9.
+    assert nse(1, 5, 4) == pytest.approx(1 - 4 / 9)
+    # A slice past the end is cut there: rows 3..6 are 5 7 4 8, mean 6; windows of 1 end at 3, 4, 5.
+    assert nse(3, 40, 1) == pytest.approx(1 - (1 + 4 + 0) / (1 + 1 + 4))
+    # A slice no longer than the window has none.
+    assert nse(1, 3, 3) is None
 
 
 def test_batch_scores(spark):
@@ -149,19 +148,6 @@ def runs(spark, *lists):
     return spark.createDataFrame(rows, "run_id string, epoch int, metric string, value double")
 
 
-def fold(values, patience, delta, mode):
-    best, counter, out = (math.inf if mode == "min" else -1e8), 0, []
-    for v in values:
-        fired = False
-        if (v < best) if mode == "min" else (v >= best):
-            best, counter = v, 0
-        elif (v > best + delta) if mode == "min" else (v <= best - delta):
-            counter += 1
-            fired = counter >= patience
-        out.append((counter, fired))
-    return out
-
-
 def test_early_stop_examples(spark):
     a = metrics.early_stop(runs(spark, [1.0, 1.05, 1.2, 1.3, 0.9, 1.1]), patience=2, min_delta=0.1).orderBy("epoch")
     assert [(r.counter, r.stop) for r in a.collect()] == list(
@@ -173,21 +159,42 @@ def test_early_stop_examples(spark):
     assert [r.epoch for r in got if r.stop] == [3]
 
 
+@pytest.mark.parametrize("bucket", [2, 1000])
+def test_early_stop_of_literal_histories(spark, bucket):
+    nan = math.nan
+    worse, better = {"patience": 2, "min_delta": 0.5, "bucket": bucket}, {"patience": 2, "min_delta": 0.5, "mode": "max", "bucket": bucket}
+    for values, counters, options in (
+        ([3.0, 3.2, 4.0, nan, 4.0, 2.9, 9.0], [0, 0, 1, 1, 2, 0, 1], worse),
+        ([nan, 1.0, 2.0, 1.6, 1.5], [0, 0, 1, 2, 2], worse),
+        ([0.5, 0.5, 0.0, 0.1, -1.0, 0.5], [0, 0, 1, 1, 2, 0], better),
+        ([nan, -2.0, -3.0, -1.9], [0, 0, 1, 0], better),
+    ):
+        got = metrics.early_stop(runs(spark, values), **options).orderBy("epoch").collect()
+        assert [r.counter for r in got] == counters, values
+
+
 @pytest.mark.parametrize("mode", ["min", "max"])
-@pytest.mark.parametrize("bucket", [4, 1000])
-def test_early_stop_equals_a_fold(spark, mode, bucket):
+def test_early_stop_properties(spark, mode):
     rng = random.Random(5)
-    lists = [[math.nan if rng.random() < 0.1 else round(rng.uniform(0, 3), 1) for _ in range(60)] for _ in range(8)]
-    lists.append([math.nan, math.inf, 2.0, 3.0])
-    got = metrics.early_stop(runs(spark, *lists), patience=3, min_delta=0.2, mode=mode, bucket=bucket)
-    by_run = {}
-    for r in got.orderBy("run_id", "epoch").collect():
-        by_run.setdefault(r.run_id, []).append((r.counter, r.stop))
-    for k, values in enumerate(lists):
-        assert by_run[f"r{k}"] == fold(values, 3, 0.2, mode), (k, values)
+    lists = [[round(rng.uniform(0, 3), 1) for _ in range(60)] for _ in range(6)]
+    got = {}
+    for r in metrics.early_stop(runs(spark, *lists), patience=3, min_delta=0.2, mode=mode, bucket=7).orderBy("run_id", "epoch").collect():
+        got.setdefault(r.run_id, []).append((r.value, r.counter, r.stop))
+    sign = 1 if mode == "min" else -1
+    for rows in got.values():
+        for i, (value, counter, stop) in enumerate(rows):
+            best = min((sign * v for v, _, _ in rows[:i]), default=math.inf)
+            is_new_best = sign * value < best or (mode == "max" and sign * value == best)
+            assert counter == 0 or not is_new_best
+            assert counter - (rows[i - 1][1] if i else 0) <= 1
+            if stop:
+                since = next(k for k in range(i, -1, -1) if k == 0 or rows[k][1] < rows[k - 1][1] or rows[k][1] == 0)
+                bad = sum(sign * v > best + 0.2 - 1e-9 for v, _, _ in rows[since : i + 1])
+                assert counter >= 3 and bad >= 3
 
 
 def test_last_values_as_published(spark):
+    # The published last ten.
     values = [0.1, 0.2, 0.9875, 0.99, 0.99, 0.99, 0.99, 0.9875, 0.99, 0.99, 0.9875, 0.99]
     got = metrics.last_n(runs(spark, values)).first()
     assert got["values"] == "0.9875, 0.99, 0.99, 0.99, 0.99, 0.9875, 0.99, 0.99, 0.9875, 0.99"
@@ -216,6 +223,24 @@ def test_scoring_with_a_given_model(spark):
         assert r.m == 100 * r.network_id + steps[-1] + sum(i % 7 for i in steps)
 
 
+@pytest.mark.parametrize("width", [None, 50])
+def test_block_scores_equal_the_arrays(spark, width):
+    df = positioned(spark, [140, 41, 12])
+    scorer = lambda x: x[:, -1, 0] + x[:, :, 1].sum(axis=1)
+    full = model.score_windows(windows.sample_windows(df, ["a", "b"], "a", 40), scorer)
+    got = model.score_blocks(df, ["a", "b"], 40, scorer, width=width)
+    assert sorted(got.collect()) == sorted(full.select("network_id", "start_idx", "m").collect()) and got.count() == 101
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+
+
+def test_window_means_see_their_own_rows_only(spark):
+    df = positioned(spark, [300]).withColumn("b", F.when(F.col("idx") == 10, F.lit(float("nan"))).when(F.col("idx") < 10, F.lit(1e16)).otherwise(F.lit(0.1)))
+    got = windows.window_features(df, ["b"], "a", 64, width=90).collect()
+    wrong = [r.start_idx for r in got if math.isnan(r.b_mean) != (r.start_idx <= 10)]
+    assert not wrong and all(r.b_mean == pytest.approx(0.1) for r in got if r.start_idx > 10)
+
+
 def test_linear_model_beats_persistence(spark):
     rng = random.Random(7)
     rows = []

@@ -87,6 +87,18 @@ def test_weights_of_single_cells(spark):
     assert got == {(0, 0): 0.25, (0, 1): 0.5, (1, 0): 0.5, (1, 1): 1.0}
 
 
+def test_parts_and_holes_of_one_polygon(spark):
+    square = lambda x, y, w: [(x, y), (x, y + w), (x + w, y + w), (x + w, y), (x, y)]
+    rows = [("a", square(0.0, 0.0, 0.5), None), ("a", square(0.5, 0.5, 0.5)[::-1], False), ("b", square(0.0, 0.0, 3.0), False), ("b", square(1.0, 1.0, 1.0), True)]
+    polygons = spark.createDataFrame(rows, "divide_id string, ring array<struct<x: double, y: double>>, hole boolean")
+    got = {(r.divide_id, r.iy, r.ix): r.w for r in spatial.cell_weights(polygons).collect()}
+    assert got == {("a", 0, 0): 0.5, **{("b", y, x): 1.0 for y in range(3) for x in range(3) if (y, x) != (1, 1)}}
+    points = spark.createDataFrame([(1, 0.25, 0.25), (2, 1.5, 1.5), (3, 2.5, 2.5), (4, 0.75, 0.75)], "id bigint, x double, y double")
+    located = {(r.id, r.divide_id) for r in spatial.locate_points(points, polygons, "divide_id", 1.0).collect()}
+    assert located == {(1, "a"), (1, "b"), (3, "b"), (4, "a"), (4, "b")}
+    assert {r.id for r in spatial.points_in_polygons(points, polygons, 1.0).collect()} == {1, 3, 4}
+
+
 def test_zonal_mean_leaves_missing_cells_out(spark):
     weights = spark.createDataFrame(
         [("a", 0, 0, 0.25), ("a", 0, 1, 0.5), ("b", 0, 1, 1.0), ("c", 9, 9, 1.0)],

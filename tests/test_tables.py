@@ -6,6 +6,7 @@ import datetime as dt
 import glob
 import json
 import os
+import shutil
 
 import pytest
 from pyspark.errors import PySparkException
@@ -15,6 +16,7 @@ from pairflow import schemas
 from pairflow.operators import assemble, metrics
 from pairflow.plans import assembly, extraction
 from pairflow.sources import io
+from pairflow.session import ensure_checkpoint_dir
 from pairflow.streaming import ingest
 
 
@@ -94,7 +96,10 @@ def test_extraction_from_map_to_stores(spark, tmp_path):
     cached = spark.read.parquet(str(tmp_path / "cache"))
     assert cached.schema["streamflow"].dataType.simpleString() == "float" and cached.count() == 48 * 4
     io.write_flow(flow, str(tmp_path / "by_feature"))
-    assert len(glob.glob(str(tmp_path / "by_feature" / "feature_id=*"))) == 4
+    by_feature = io.read_flow(spark, str(tmp_path / "by_feature"), [103])
+    assert by_feature.count() == 48 and by_feature.columns == flow.columns
+    plan = by_feature._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "feature_group" in plan.split("PartitionFilters: [")[1].split("]")[0]
     io.write_flow(flow, str(tmp_path / "by_batch"), "batch", extraction.batches(ids, 2))
     back = spark.read.parquet(str(tmp_path / "by_batch"))
     # An id listed twice is in both of its batches: 102 at places 1 and 3.
@@ -268,6 +273,83 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     assert spark.read.parquet(log).where("event = 'done'").count() == 8
 
 
+def test_stream_table_does_not_depend_on_batches(spark, tmp_path):
+    """One day in two files with a missing value, and a record that comes again a file later."""
+    given = inputs(spark, str(tmp_path), 48)
+    parts = [
+        [(hour(h), i, float(i)) for h in range(12) for i in (100, 101, 102, 103) if (h, i) != (5, 103)],
+        [(hour(h), i, float(i)) for h in range(12, 24) for i in (100, 101, 102, 103)] + [(hour(3), 100, 105.0)],
+        [(hour(24 + h), i, float(i)) for h in range(24) for i in (100, 101, 102)],
+    ]
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, schemas.FLOW).coalesce(1).write.parquet(str(tmp_path / "made" / f"{k}"))
+        for f in glob.glob(str(tmp_path / "made" / f"{k}" / "*.parquet")):
+            os.makedirs(tmp_path / "flow", exist_ok=True)
+            shutil.copy(f, tmp_path / "flow" / f"part-{k}.parquet")
+    tables = []
+    for n in (None, 1, 2):
+        out, log, check = (str(tmp_path / f"{x}{n}") for x in ("out", "log", "check"))
+        ingest.stream_days(spark, given, str(tmp_path / "flow"), out, log, check, files_per_batch=n).awaitTermination()
+        tables.append(sorted(map(str, io.read_series(spark, out).select("time", "comid", "streamflow").collect())))
+    assert tables[0] == tables[1] == tables[2] and len(tables[0]) == 3 * 48
+    assert any("105.0" in r for r in tables[0]) and len({r.split("streamflow")[0] for r in tables[0]}) == 3 * 48
+
+
+def staged_folders(spark):
+    return glob.glob(ensure_checkpoint_dir(spark).removeprefix("file:") + "/staged-*")
+
+
+def test_jobs_leave_nothing_staged(spark, tmp_path):
+    before = set(staged_folders(spark))
+    given = inputs(spark, str(tmp_path), 24)
+    flow = spark.createDataFrame([(hour(h), i, 1.0) for h in range(24) for i in (100, 101, 102, 103)], schemas.FLOW)
+    flow.coalesce(1).write.parquet(str(tmp_path / "flow"))
+    out, log, check = (str(tmp_path / n) for n in ("out", "log", "check"))
+    ingest.stream_days(spark, given, str(tmp_path / "flow"), out, log, check).awaitTermination()
+    ingest.run_days(spark, given, flow.withColumn("seq", F.lit(0)), "seq", f"{out}2", f"{log}2", "r")
+    assert set(staged_folders(spark)) == before
+
+
+def test_a_day_without_good_rows_is_emptied(spark, tmp_path):
+    given = inputs(spark, str(tmp_path), 48)
+    good = [(hour(h), i, 1.0, 0) for h in range(48) for i in (100, 101, 102, 103)]
+    schema = "time timestamp_ntz, feature_id bigint, streamflow double, seq int"
+    out, log = str(tmp_path / "out"), str(tmp_path / "log")
+    ingest.run_days(spark, given, spark.createDataFrame(good, schema), "seq", out, log, "a")
+    assert io.read_series(spark, out).count() == 4 * 48
+    ingest.run_days(spark, given, spark.createDataFrame([r for r in good if r[0] >= hour(24)], schema), "seq", out, log, "b")
+    assert io.read_series(spark, out).count() == 4 * 24
+
+
+def test_day_folders_are_pruned(spark, tmp_path):
+    rows = spark.createDataFrame([(hour(h), 1, 1.0) for h in range(72)], schemas.FLOW)
+    io.write_series(rows, str(tmp_path / "days"), by="day")
+    day = hour(24).date().isoformat()
+    stored = spark.read.parquet(str(tmp_path / "days"))
+    for df in (io.select_flow(stored, None, day, day), io.read_series(spark, str(tmp_path / "days"), start=day, end=day)):
+        assert df.count() == 24
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [" in plan and "day_key" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_a_reach_in_two_pairs_fails_in_one(spark):
+    rows = [(hour(h), c, cat, du, p, 1.0, flow, attr) for h in (0, 1) for c, cat, du, p, flow, attr in (
+        (1, "a", "d", 0, True, True), (1, "a", "u", 1, True, False), (None, "b", "d", 1, False, True))]
+    df = spark.createDataFrame(rows, "time timestamp_ntz, comid bigint, catid string, du string, pair_id bigint, rain double, has_flow boolean, has_attributes boolean")
+    good, errors = assemble.split_errors(df)
+    assert {(r.comid, r.pair_id) for r in good.collect()} == {(1, 0)} and good.count() == 2
+    assert {(r.comid, r.pair_id, r.n_no_flow, r.n_no_attributes) for r in errors.collect()} == {(1, 1, 0, 2), (None, 1, 2, 0)}
+
+
+def test_long_site_lists_and_repeated_keys(spark, tmp_path):
+    path = tmp_path / "sites.csv"
+    path.write_text("catchment_id,du,x,y\n" + "".join(f"cat-{i},{'du'[i % 2]},0,{i}\n" for i in range(1500)))
+    assert io.read_sites(spark, str(path)).count() == 1500
+    (tmp_path / "map.json").write_text('{"1":2,"4":5,"1":3}')
+    got = io.read_pair_map(spark, str(tmp_path / "map.json")).orderBy("entry").collect()
+    assert [(r.key, r.value) for r in got] == [("1", 3), ("4", 5)]
+
+
 def test_short_history_is_an_error(spark):
     history = spark.createDataFrame([("r", 1, "m", 0.5)], "run_id string, epoch int, metric string, value double")
     with pytest.raises(PySparkException):
