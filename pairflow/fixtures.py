@@ -13,9 +13,10 @@ from pairflow.operators.joins import lookup
 from pairflow.session import materialize
 
 # Corner offsets of the shapes that stand for catchments, by kind.
-TRIANGLE = [(0.0, 0.0), (2.1, 4.7), (5.0, 1.3), (0.0, 0.0)]
-SQUARE = [(0.0, 0.0), (0.0, 3.7), (4.1, 3.7), (4.1, 0.0), (0.0, 0.0)]
-CORNER = [(0.0, 0.0), (0.0, 4.3), (1.3, 4.3), (1.3, 2.9), (3.7, 2.9), (3.7, 0.0), (0.0, 0.0)]
+# All in eighths, so that areas and weighted sums of the straight ones are exact.
+TRIANGLE = [(0.0, 0.0), (2.125, 4.75), (5.0, 1.25), (0.0, 0.0)]
+SQUARE = [(0.0, 0.0), (0.0, 3.75), (4.125, 3.75), (4.125, 0.0), (0.0, 0.0)]
+CORNER = [(0.0, 0.0), (0.0, 4.25), (1.25, 4.25), (1.25, 2.875), (3.75, 2.875), (3.75, 0.0), (0.0, 0.0)]
 
 GRID = 20
 VARIABLES = ["rain", "wind"]
@@ -93,8 +94,8 @@ def _ring(x: Column, y: Column, corners: list[tuple[float, float]]) -> Column:
 def catchments(spark: SparkSession, sf_dir: str, size: float = 100.0) -> DataFrame:
     """A shape per supplier at a place fixed by its key: triangles, squares and corners in turn."""
     s = table(spark, sf_dir, "supplier")
-    x = F.round(md5_uniform("px", F.col("s_suppkey")) * F.lit(size - 5.0), 2)
-    y = F.round(md5_uniform("py", F.col("s_suppkey")) * F.lit(size - 5.0), 2)
+    x = F.floor(md5_uniform("px", F.col("s_suppkey")) * F.lit(8 * (size - 5.0))) / 8
+    y = F.floor(md5_uniform("py", F.col("s_suppkey")) * F.lit(8 * (size - 5.0))) / 8
     kind = F.pmod("s_suppkey", F.lit(3))
     ring = (
         F.when(kind == 0, _ring(F.col("x"), F.col("y"), TRIANGLE))
@@ -108,6 +109,39 @@ def catchments(spark: SparkSession, sf_dir: str, size: float = 100.0) -> DataFra
     )
 
 
+# Rectangles (dx, dy, width, height, reversed, hole) that make up one catchment of several rings.
+RECTANGLES = [(0.0, 0.0, 4.0, 3.0, False, False), (4.5, 0.5, 0.5, 2.25, True, False), (1.0, 1.0, 1.5, 0.875, False, True)]
+
+
+def parted_catchments(spark: SparkSession, sf_dir: str, size: float = 100.0) -> DataFrame:
+    """Two parts of opposite direction and a hole per supplier, a row each."""
+    placed = catchments(spark, sf_dir, size).select("divide_id", F.col("ring")[0]["x"].alias("x"), F.col("ring")[0]["y"].alias("y"))
+
+    def rectangle(dx: float, dy: float, w: float, h: float, back: bool, hole: bool) -> Column:
+        corners = [(dx, dy), (dx, dy + h), (dx + w, dy + h), (dx + w, dy), (dx, dy)]
+        return F.struct(_ring(F.col("x"), F.col("y"), corners[::-1] if back else corners).alias("ring"), F.lit(hole).alias("hole"))
+
+    rows = placed.select("divide_id", F.explode(F.array(*[rectangle(*r) for r in RECTANGLES])).alias("r"))
+    return rows.select("divide_id", "r.ring", "r.hole")
+
+
+SECOND_LIST = 1_000_000_000
+"""Position at which each pair stands once more, the other way round."""
+
+
+def paired_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The site list with every pair listed a second time with its sides changed."""
+    s = site_list(spark, sf_dir)
+    even = F.pmod("pos", F.lit(2)) == 0
+    again = s.select(
+        (F.lit(SECOND_LIST) + F.col("pos") + F.when(even, 1).otherwise(-1)).cast("bigint").alias("pos"),
+        "catchment_id",
+        F.when(even, "u").otherwise("d").alias("du"),
+        "comid",
+    )
+    return s.unionByName(again)
+
+
 def order_points(spark: SparkSession, sf_dir: str, size: float = 100.0) -> DataFrame:
     """A uniform point per order, fixed by its key."""
     o = table(spark, sf_dir, "orders")

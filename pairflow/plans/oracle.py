@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairflow.fixtures import CORNER, GRID, SQUARE, TRIANGLE
+from pairflow.fixtures import CORNER, GRID, RECTANGLES, SECOND_LIST, SQUARE, TRIANGLE
 
 _TEXT = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
@@ -46,6 +46,15 @@ n AS (
   JOIN num ON num.pair_id = d.pair_id)"""
 
 
+def _size() -> str:
+    return """size AS (
+  SELECT count(*) AS k, floor(count(*) * 0.7::double) AS a, floor(count(*) * 0.2::double) AS v, floor(count(*) * 0.1::double) AS t FROM num)"""
+
+
+def _md5_uniform(seed: str, key: str) -> str:
+    return f"(('0x' || substr(md5(concat('{seed}-', CAST({key} AS VARCHAR))), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
 # The persistence forecast over samples of 24 steps, with global batches of 256.
 _FORECAST = f"""{_n()},
 lagged AS (
@@ -67,6 +76,39 @@ sc AS (
   SELECT {", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS s_{c}" for c in _FEATURES)}
   FROM train)"""
 
+# Networks of each set; one may be in two.
+_SETS = f"""{_size()},
+member AS (
+  SELECT 'train' AS split, network_id FROM num, size WHERE network_id <= a
+  UNION ALL SELECT 'val', network_id FROM num, size WHERE network_id BETWEEN a + 1 AND a + v
+  UNION ALL SELECT 'test', network_id FROM num, size
+    WHERE CASE WHEN t > 0 THEN network_id >= k - t ELSE network_id = floor({_md5_uniform('split', 'k')} * k) END)"""
+
+
+def _span(gap: int) -> str:
+    """Rows of each set by position, from the length of network 0."""
+    return f"""z AS (
+  SELECT CAST(floor(count(*) * 0.7::double) AS BIGINT) AS a, CAST(floor(count(*) * 0.2::double) AS BIGINT) AS v,
+         CAST(floor(count(*) * 0.1::double) AS BIGINT) AS t FROM n WHERE network_id = 0),
+span AS (
+  SELECT 'train' AS split, CAST({gap} AS BIGINT) AS low, a AS high FROM z
+  UNION ALL SELECT 'val', a + {gap}, a + {gap} + v FROM z
+  UNION ALL SELECT 'test', a + {2 * gap} + v, a + {2 * gap} + v + t FROM z)"""
+
+
+_BY_SET = f"""{_FORECAST}, {_SETS},
+placed AS (
+  SELECT split, network_id, start_idx, o, m,
+         CAST((row_number() OVER (PARTITION BY split ORDER BY network_id, start_idx) - 1) // 64 AS BIGINT) AS batch_id
+  FROM f JOIN member USING (network_id))"""
+
+_EVALUATED = f"""{_BY_SET},
+sd AS (SELECT stddev_pop(streamflow_y) AS s FROM n JOIN member USING (network_id) WHERE split = 'train'),
+scored AS (
+  SELECT split, batch_id, avg(power((o - m) / s, 2)) AS loss, round_even({_NSE}, 2) AS nse FROM placed, sd GROUP BY split, batch_id)"""
+
+_LINES = f"""SELECT {_t('l_shipdate')} AS time, l_suppkey AS feature_id, l_quantity AS streamflow, l_orderkey AS gage_id FROM lineitem"""
+
 _HISTORY = f"""{_s()},
 h AS (
   SELECT site AS run_id, CAST(row_number() OVER (PARTITION BY site ORDER BY time) - 1 AS BIGINT) AS epoch,
@@ -87,17 +129,13 @@ c AS (
 SELECT run_id, epoch, value, counter, bad AND counter >= 5 AS stop FROM c"""
 
 
-def _md5_uniform(seed: str, key: str) -> str:
-    return f"(('0x' || substr(md5(concat('{seed}-', CAST({key} AS VARCHAR))), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
-
-
 def _shapes(size: float) -> str:
     """Places ``p``, and the edges ``e`` of the shapes by supplier."""
     rows = []
     for kind, corners in enumerate((TRIANGLE, SQUARE, CORNER)):
         for (ax, ay), (bx, by) in zip(corners, corners[1:]):
             rows.append(f"({kind}, {ax}::DOUBLE, {ay}::DOUBLE, {bx}::DOUBLE, {by}::DOUBLE)")
-    place = lambda seed: f"round({_md5_uniform(seed, 's_suppkey')} * {size - 5.0}::DOUBLE, 2)"
+    place = lambda seed: f"(floor({_md5_uniform(seed, 's_suppkey')} * {8 * (size - 5.0)}::DOUBLE) / 8)"
     return f"""p AS (
   SELECT s_suppkey, s_acctbal, s_suppkey % 3 AS kind, {place('px')} AS x, {place('py')} AS y FROM supplier),
 shape(kind, ax, ay, bx, b_y) AS (VALUES {", ".join(rows)}),
@@ -108,6 +146,12 @@ box AS (
   SELECT s_suppkey, min(ax) AS x_min, max(ax) AS x_max, min(ay) AS y_min, max(ay) AS y_max FROM e GROUP BY s_suppkey)"""
 
 
+def _rectangles() -> str:
+    rows = ", ".join(f"({dx}::DOUBLE, {dy}::DOUBLE, {w}::DOUBLE, {h}::DOUBLE, {str(hole).lower()})" for dx, dy, w, h, _, hole in RECTANGLES)
+    return f"""corner(dx, dy, w, h, hole) AS (VALUES {rows}),
+rect AS (SELECT s_suppkey, x + dx AS x0, x + dx + w AS x1, y + dy AS y0, y + dy + h AS y1, hole FROM p, corner)"""
+
+
 _POINTS = f"""pt AS (
   SELECT o_orderkey AS point_id, {_md5_uniform('x', 'o_orderkey')} * 100.0::DOUBLE AS x,
          {_md5_uniform('y', 'o_orderkey')} * 100.0::DOUBLE AS y FROM orders)"""
@@ -157,18 +201,33 @@ z AS (
   FROM cells JOIN w USING (iy, ix) GROUP BY time, s_suppkey)"""
 
 _ASSEMBLED = f"""{_ZONAL},
+list AS (
+  SELECT s_suppkey, s_suppkey AS pos, s_acctbal FROM supplier
+  UNION ALL
+  SELECT s_suppkey, {SECOND_LIST} + s_suppkey + CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE -1 END, s_acctbal FROM supplier),
 grid AS (
-  SELECT s_suppkey, s_suppkey // 2 AS pair_id, CASE WHEN s_suppkey % 2 = 0 THEN 'd' ELSE 'u' END AS du, s_acctbal, time
-  FROM supplier, (SELECT DISTINCT time FROM cells)),
+  SELECT s_suppkey, pos // 2 AS pair_id, CASE WHEN pos % 2 = 0 THEN 'd' ELSE 'u' END AS du, pos, s_acctbal, time
+  FROM list, (SELECT DISTINCT time FROM cells)),
 q AS (
   SELECT CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS time, l_suppkey AS s_suppkey,
          arg_max(l_quantity, l_orderkey * 10 + l_linenumber) AS streamflow
-  FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL),
+  FROM lineitem GROUP BY ALL),
 a AS (
-  SELECT grid.*, z.rain, z.wind, q.streamflow, q.s_suppkey IS NOT NULL AS has_flow, s_acctbal > -500 AS has_attributes
+  SELECT grid.*, z.rain, z.wind, q.streamflow, q.s_suppkey IS NOT NULL AS has_flow,
+         s_acctbal > CASE WHEN pos < {SECOND_LIST} THEN -500 ELSE 1000 END AS has_attributes
   FROM grid LEFT JOIN z ON z.time = grid.time AND z.s_suppkey = grid.s_suppkey AND grid.s_acctbal > 0
   LEFT JOIN q ON q.time = grid.time AND q.s_suppkey = grid.s_suppkey)"""
 
+# Sites of the first list alone, with a polygon each and all attributes.
+_DAYS = f"""{_ASSEMBLED},
+days AS (
+  SELECT a.time, a.s_suppkey, du, pair_id, z.rain, z.wind, streamflow, has_flow, a.s_suppkey * 0.5::DOUBLE AS slope_mean
+  FROM a LEFT JOIN z ON z.time = a.time AND z.s_suppkey = a.s_suppkey WHERE pos < {SECOND_LIST})"""
+
+_DAY_ROWS = f"""WITH {_DAYS}
+SELECT {_t('time')} AS time, s_suppkey AS comid, du, pair_id, round(rain, 6) AS rain, round(wind, 6) AS wind, streamflow, slope_mean
+FROM days WHERE has_flow"""
+
 _FILES = """f AS (
   SELECT arg_min(c_custkey, (c_acctbal, c_custkey)) OVER (PARTITION BY c_nationkey, c_mktsegment) AS ds_catid,
          c_custkey AS divide_id, c_acctbal AS "X", c_acctbal / 2 AS "Y",
@@ -253,9 +312,9 @@ SELECT network_id, idx, {_t('time')} AS time, streamflow_x FROM n WHERE idx BETW
     "network_means": f"""WITH {_n()}
 SELECT network_id, round_even(avg(streamflow_x), 2) AS mean_downstream, round_even(avg(streamflow_y), 2) AS mean_upstream
 FROM n GROUP BY network_id""",
-    "correlations": f"WITH {_n()} "
+    "correlations": f"WITH {_TRAIN} "
     + " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, round(corr({c}, streamflow_y), 6) AS correlation FROM n"
+        f"SELECT '{c}' AS feature, round(corr({c}, streamflow_y), 6) AS correlation FROM train"
         for c in (*_FEATURES, "n_obs_y")
     ),
     "summary": f"""WITH {_n()}
@@ -313,13 +372,67 @@ SELECT 'persistence' AS run_id, round(avg(e), 6) AS nse FROM b""",
 b AS (
   SELECT network_id, start_idx // 64 AS k, avg(power(o - m, 2)) AS e, round_even({_NSE}, 2) AS s FROM f GROUP BY ALL)
 SELECT 'persistence' AS run_id, network_id, round(avg(e), 6) AS loss, round(avg(s), 6) AS nse FROM b GROUP BY network_id""",
-    "fit_flow": f"""WITH {_n()},
+    "fit_flow": f"""WITH {_n()}, {_SETS},
 w AS (
   SELECT network_id, idx, streamflow_y AS o, lag(streamflow_x) OVER (PARTITION BY network_id ORDER BY idx) AS x FROM n),
-t AS (SELECT * FROM w WHERE idx >= 24),
-line AS (SELECT regr_slope(o, x) AS b, regr_intercept(o, x) AS a FROM t),
-p AS (SELECT network_id, o, a + b * x AS m FROM t, line)
-SELECT network_id, round({_NSE}, 4) AS nse FROM p GROUP BY network_id""",
+t AS (SELECT member.split, w.* FROM w JOIN member USING (network_id) WHERE idx >= 24),
+line AS (SELECT regr_slope(o, x) AS b, regr_intercept(o, x) AS a FROM t WHERE split = 'train'),
+p AS (SELECT split, network_id, o, a + b * x AS m FROM t, line WHERE split <> 'train')
+SELECT split, network_id, round({_NSE}, 4) AS nse FROM p GROUP BY split, network_id""",
+    "evaluate_split": f"""WITH {_EVALUATED}
+SELECT 'persistence' AS run_id, CAST(0 AS BIGINT) AS epoch, split, round(avg(loss), 6) AS loss, round(avg(nse), 6) AS nse FROM scored GROUP BY split""",
+    "history_rows": f"""WITH {_EVALUATED},
+e AS (SELECT split, round(avg(loss), 6) AS loss, round(avg(nse), 6) AS nse FROM scored GROUP BY split)
+SELECT 'persistence' AS run_id, CAST(0 AS BIGINT) AS epoch, concat('loss_', split) AS metric, loss AS value FROM e
+UNION ALL SELECT 'persistence', 0, concat('nse_', split), nse FROM e""",
+    "batch_ids_by_set": f"WITH {_BY_SET} SELECT split, network_id, start_idx AS set_idx, batch_id FROM placed",
+    "windows_in_span": f"""WITH {_n()}, {_SETS}, {_span(8)},
+lagged AS (
+  SELECT network_id, idx, streamflow_y AS o, lag(streamflow_y) OVER (PARTITION BY network_id ORDER BY idx) AS m FROM n)
+SELECT split, network_id, idx - 8 AS start_idx, idx - 8 - low AS set_idx, o, m
+FROM lagged JOIN member USING (network_id) JOIN span USING (split) WHERE idx - 8 >= low AND idx <= high""",
+    "inverse_by_network": f"""WITH {_TRAIN}, {_span(8)},
+g AS (SELECT avg(streamflow_y) AS m, CASE WHEN stddev_pop(streamflow_y) = 0 THEN 1 ELSE stddev_pop(streamflow_y) END AS s FROM train),
+own AS (
+  SELECT network_id, avg(streamflow_y) AS m, CASE WHEN stddev_pop(streamflow_y) = 0 THEN 1 ELSE stddev_pop(streamflow_y) END AS s
+  FROM n, span WHERE split = 'train' AND idx BETWEEN low AND high GROUP BY network_id)
+SELECT n.network_id, idx, round((streamflow_y - g.m) / g.s * own.s + own.m, 6) AS streamflow_y
+FROM n JOIN g ON true LEFT JOIN own ON own.network_id = n.network_id""",
+    "score_windows": f"""WITH {_n()},
+w AS (
+  SELECT network_id, idx - 128 AS start_idx, round(0.5::DOUBLE * avg(streamflow_x) OVER f + 0.25::DOUBLE * last_value(rain_x) OVER f, 6) AS m
+  FROM n WINDOW f AS (PARTITION BY network_id ORDER BY idx ROWS BETWEEN 128 PRECEDING AND 1 PRECEDING))
+SELECT * FROM w WHERE start_idx >= 0""",
+    "window_features_long": f"""WITH {_n()},
+h AS (SELECT network_id, idx, streamflow_y, CASE WHEN idx % 37 <> 5 THEN streamflow_x END AS x FROM n),
+w AS (
+  SELECT network_id, idx - 128 AS start_idx, streamflow_y AS y, lag(x, 1) OVER o AS streamflow_x_last, lag(x, 3) OVER o AS streamflow_x_lag3,
+         round(avg(x) OVER (PARTITION BY network_id ORDER BY idx ROWS BETWEEN 128 PRECEDING AND 1 PRECEDING), 6) AS streamflow_x_mean
+  FROM h WINDOW o AS (PARTITION BY network_id ORDER BY idx))
+SELECT * FROM w WHERE start_idx >= 0""",
+    "stored_series": f"""WITH {_s()}
+SELECT site, {_t('time')} AS time, streamflow, CASE WHEN time >= TIMESTAMP '1995-01-01' THEN rain END AS rain FROM s""",
+    "stored_series_csv": f"WITH {_s()} SELECT site, pair_id, du, {_t('time')} AS time, streamflow, rain, n_obs FROM s",
+    "series_by_day": f"""WITH {_s()}
+SELECT site, {_t('time')} AS time, streamflow FROM s WHERE time >= TIMESTAMP '1996-01-01' AND time < TIMESTAMP '1998-07-01'""",
+    "stored_sites": """SELECT s_suppkey AS pos, concat('cat-', s_suppkey) AS catchment_id, CASE WHEN s_suppkey % 2 = 0 THEN 'd' ELSE 'u' END AS du,
+       s_suppkey / 8 AS x, -s_suppkey / 4 AS y, s_suppkey AS comid FROM supplier""",
+    "stored_points": "SELECT -s_suppkey / 4 AS lat, s_suppkey / 8 AS lon FROM supplier",
+    "stored_polygons": f"""WITH {_shapes(100.0)}, {_POINTS}, {_rectangles()},
+hit AS (
+  SELECT pt.point_id, s_suppkey, bool_or(hole) AS cut FROM pt JOIN rect
+    ON pt.x >= x0 AND pt.x < x1 AND pt.y >= y0 AND pt.y < y1 GROUP BY ALL)
+SELECT point_id, concat('cat-', s_suppkey) AS divide_id FROM hit WHERE NOT cut""",
+    "flow_by_feature": _LINES,
+    "flow_by_batch": f"SELECT feature_id - feature_id % 10 AS batch_start, time, feature_id, streamflow, gage_id FROM ({_LINES})",
+    "flow_cache": _LINES,
+    "chosen_features": f"""WITH {_n()}
+SELECT network_id, {_t('time')} AS time, streamflow_x, rain_x, rain_y, streamflow_y, 'streamflow_x,rain_x,rain_y' AS inputs FROM n""",
+    "days_run": _DAY_ROWS,
+    "run_events": f"""WITH {_DAYS}
+SELECT strftime(time, '%Y-%m-%d') AS day, CASE WHEN has_flow THEN 'done' ELSE 'error' END AS event, count(*) AS n, CAST(count(*) AS BIGINT) AS steps
+FROM days GROUP BY ALL""",
+    "streamed_days": _DAY_ROWS,
     "last_n": f"""WITH {_HISTORY},
 k AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY epoch DESC) <= 10)
 SELECT run_id, 'flow' AS metric, string_agg(CAST(value AS VARCHAR), ', ' ORDER BY epoch) AS values,
@@ -356,9 +469,16 @@ SELECT min(x_min) AS x_min, min(y_min) AS y_min, max(x_max) AS x_max, max(y_max)
 SELECT s_suppkey AS part_id FROM box WHERE x_min >= 10 AND y_min >= 10 AND x_max <= 80 AND y_max <= 90""",
     "lcc": _lcc(),
     "cell_weights": f"""WITH {_WEIGHTS}
-SELECT concat('cat-', s_suppkey) AS divide_id, iy, ix, round(w, 9) AS w FROM w WHERE round(w, 9) > 0""",
+SELECT concat('cat-', s_suppkey) AS divide_id, iy, ix, round(w, 9) AS w FROM w""",
+    "cell_weights_parts": f"""WITH {_shapes(float(GRID))}, {_rectangles()},
+c AS (
+  SELECT s_suppkey, ix, iy, sum(CASE WHEN hole THEN -1 ELSE 1 END
+    * greatest(least(x1, ix + 1) - greatest(x0, ix), 0) * greatest(least(y1, iy + 1) - greatest(y0, iy), 0)) AS w
+  FROM rect, range({GRID + 1}) AS a(ix), range({GRID + 1}) AS b(iy)
+  GROUP BY ALL HAVING w > 1e-9)
+SELECT concat('cat-', s_suppkey) AS divide_id, CAST(iy AS BIGINT) AS iy, CAST(ix AS BIGINT) AS ix, round(w, 9) AS w FROM c""",
     "zonal_mean": f"""WITH {_ZONAL}
-SELECT {_t('time')} AS time, concat('cat-', s_suppkey) AS divide_id, round(rain + 3.217e-10::DOUBLE, 6) AS rain, round(wind + 3.217e-10::DOUBLE, 6) AS wind FROM z""",
+SELECT {_t('time')} AS time, concat('cat-', s_suppkey) AS divide_id, round(rain, 6) AS rain, round(wind, 6) AS wind FROM z""",
     "site_time_grid": f"""SELECT s_suppkey AS comid, CASE WHEN s_suppkey % 2 = 0 THEN 'd' ELSE 'u' END AS du, {_t('time')} AS time
 FROM supplier, (SELECT DISTINCT date_trunc('month', l_shipdate)::TIMESTAMP AS time FROM lineitem)""",
     "flow_keep_last": f"""SELECT {_t("date_trunc('month', l_shipdate)")} AS time, l_suppkey AS feature_id,
@@ -367,13 +487,13 @@ FROM supplier, (SELECT DISTINCT date_trunc('month', l_shipdate)::TIMESTAMP AS ti
        arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY ALL""",
     "build_series": f"""WITH {_ASSEMBLED}
 SELECT {_t('time')} AS time, s_suppkey AS comid, concat('cat-', s_suppkey) AS catid, du, pair_id,
-       CASE WHEN s_acctbal > 0 THEN round(rain + 3.217e-10::DOUBLE, 6) ELSE -9999 END AS rain,
-       CASE WHEN s_acctbal > 0 THEN round(wind + 3.217e-10::DOUBLE, 6) ELSE -9999 END AS wind, streamflow, s_acctbal AS slope_mean
+       CASE WHEN s_acctbal > 0 THEN round(rain, 6) ELSE -9999 END AS rain,
+       CASE WHEN s_acctbal > 0 THEN round(wind, 6) ELSE -9999 END AS wind, streamflow, s_acctbal AS slope_mean
 FROM a WHERE has_flow AND has_attributes""",
     "site_errors": f"""WITH {_ASSEMBLED}
-SELECT strftime(time, '%Y-%m-%d') AS day, s_suppkey AS comid, concat('cat-', s_suppkey) AS catid,
+SELECT strftime(time, '%Y-%m-%d') AS day, pair_id, du, s_suppkey AS comid, concat('cat-', s_suppkey) AS catid,
        count(*) FILTER (NOT has_flow) AS n_no_flow, count(*) FILTER (NOT has_attributes) AS n_no_attributes
-FROM a WHERE NOT (has_flow AND has_attributes) GROUP BY time, s_suppkey""",
+FROM a WHERE NOT (has_flow AND has_attributes) GROUP BY time, pair_id, du, s_suppkey""",
     "union_series": """SELECT event_id, user_id, value FROM events WHERE event_type = 'view'
 UNION ALL BY NAME SELECT event_id, event_type, value FROM events WHERE event_type <> 'view'""",
     "day_keys": """WITH m AS (
@@ -381,7 +501,7 @@ UNION ALL BY NAME SELECT event_id, event_type, value FROM events WHERE event_typ
 d AS (SELECT month + to_days(CAST(unnest(range(0, n)) AS INTEGER)) AS day FROM m)
 SELECT strftime(day, '%Y-%m-%d') AS day, strftime(day, '%Y/%Y%m%d*') AS key FROM d""",
     "pair_map_ids": """SELECT o_orderkey, CAST(0 AS BIGINT) AS pos, o_orderkey + 1000000000 AS feature_id FROM orders
-UNION ALL SELECT o_orderkey, 1, o_custkey FROM orders
+UNION ALL SELECT o_orderkey, 1, o_custkey + 7 FROM orders
 UNION ALL SELECT o_orderkey, 2, o_orderkey FROM orders
 UNION ALL SELECT o_orderkey, 3, o_custkey FROM orders""",
     "select_flow": f"""SELECT {_t('l_shipdate')} AS time, l_suppkey AS feature_id, l_quantity AS streamflow FROM lineitem

@@ -5,8 +5,10 @@ Times come out as text and floats rounded, so that results compare across engine
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +17,9 @@ from pairflow.functions.expr import md5_uniform, ratio, time_text, value_bucket
 from pairflow.operators import assemble, metrics, model, networks, ordering, scale, sites, spatial, split, windows
 from pairflow.operators.joins import lookup
 from pairflow.plans import assembly, training
-from pairflow.session import materialize, stage
+from pairflow.session import ensure_checkpoint_dir, materialize, stage
 from pairflow.sources import io
+from pairflow.streaming import ingest
 
 MIN_STD = 34.0
 SHORT, LONG, BATCH = 8, 24, 256
@@ -29,15 +32,10 @@ def r6(c: Column | str) -> Column:
 
 
 def r9(c: Column | str) -> Column:
-    """Nine decimals where six would often fall on a tie (corners have two decimals)."""
+    """Nine decimals, where six would often fall on a tie (weights are multiples of a 64th)."""
     return F.round(c, 9) + F.lit(0.0)
 
 
-def past_tie(c: str) -> Column:
-    """Six decimals of a value that may be an exact tie but for the last bits: ties go up."""
-    return F.round(F.col(c) + F.lit(3.217e-10), 6)
-
-
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weekly series as a stored table, as an assembled one is: check and join both read it."""
     return stage(fixtures.weekly_series(spark, sf_dir))
@@ -111,7 +109,8 @@ def network_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = metrics.correlations(_networks(spark, sf_dir), [*FLOWS, "n_obs_y"], "streamflow_y")
+    _, train = _train(spark, sf_dir)
+    out = metrics.correlations(train, [*FLOWS, "n_obs_y"], "streamflow_y")
     return out.withColumn("correlation", r6("correlation"))
 
 
@@ -250,15 +249,227 @@ def evaluate_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fit_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Linear model of upstream flow on the last downstream flow, scored per network."""
+    """Linear model of upstream on the last downstream flow, both scaled: fitted on the training networks, scored on the others."""
+    p = _prepared(spark, sf_dir)
     features = ["streamflow_x_last"]
-    table = stage(windows.window_features(_rows(spark, sf_dir), ["streamflow_x"], "streamflow_y", LONG, 1))
-    fitted = model.fit_flow(table, features)
-    pred = model.predict_flow(fitted, table, features).withColumnRenamed("y", "o")
-    out = metrics.nse(pred, ["network_id"], digits=None)
+    table = windows.window_features(training.scaled(p), ["streamflow_x"], "streamflow_y", LONG, 1)
+    table = stage(split.in_sets(table, p.flags, LONG))
+    fitted = model.fit_flow(table.where(F.col("split") == "train"), features)
+    held = table.where(F.col("split") != "train")
+    pred = model.predict_flow(fitted, held, features).withColumnRenamed("y", "o")
+    state = p.scaler_out.select(F.struct(*[F.col("state").getField(p.target).alias(c) for c in ("o", "m")]).alias("state"))
+    out = metrics.nse(scale.inverse(pred, state, ["o", "m"]), ["split", "network_id"], digits=None)
     return out.withColumn("nse", F.round("nse", 4) + F.lit(0.0))
 
 
+# --- evaluation by set -----------------------------------------------------------------------
+
+
+def _prepared(spark: SparkSession, sf_dir: str) -> training.Prepared:
+    return training.prepare(_series(spark, sf_dir), FLOWS, min_std=MIN_STD)
+
+
+SMALL_BATCH = 64
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _prepared(spark, sf_dir)
+    predicted = training.persistence(training.scaled(p), LONG)
+    return training.evaluate_sets(p, predicted, LONG, SMALL_BATCH, "persistence")
+
+
+def evaluate_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scaled loss and NSE in flow units, per run, epoch and set."""
+    return _evaluated(spark, sf_dir).withColumns({"loss": r6("loss"), "nse": r6("nse")})
+
+
+def history_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.history(_evaluated(spark, sf_dir)).withColumn("value", r6("value"))
+
+
+def batch_ids_by_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _prepared(spark, sf_dir)
+    placed = stage(split.in_sets(training.persistence(p.rows, LONG), p.flags, LONG))
+    out = windows.assign_batches(placed, SMALL_BATCH, by=["split"], start="set_idx")
+    return out.select("split", "network_id", "set_idx", "batch_id")
+
+
+def windows_in_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that lie in the networks and in the span of time of each set."""
+    p = _prepared(spark, sf_dir)
+    bounds = split.split_time(p.rows, SHORT)
+    out = split.in_sets(training.persistence(p.rows, SHORT), p.flags, SHORT, bounds)
+    return out.select("split", "network_id", "start_idx", "set_idx", "o", "m")
+
+
+def inverse_by_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scaled by the training networks, turned back by each network's own training span."""
+    p = _prepared(spark, sf_dir)
+    own = scale.fit_by_network(split.in_time_set(p.rows, split.split_time(p.rows, SHORT), "train"), p.target)
+    out = scale.inverse_by_network(training.scaled(p), own, [p.target], spread=["idx"])
+    return out.select("network_id", "idx", r6(p.target).alias(p.target))
+
+
+def _weighed(x: np.ndarray) -> np.ndarray:
+    """A fixed linear model: half the mean downstream flow of the window and a quarter of its last rain."""
+    return 0.5 * x[:, :, 0].mean(axis=1) + 0.25 * x[:, -1, 1]
+
+
+LONGEST = 128
+
+
+def score_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = model.score_blocks(_rows(spark, sf_dir), ["streamflow_x", "rain_x"], LONGEST, _weighed)
+    return out.withColumn("m", r6("m"))
+
+
+def window_features_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means over long windows, with missing values among the rows."""
+    gone = F.pmod("idx", F.lit(37)) == 5
+    rows = _rows(spark, sf_dir).withColumn("streamflow_x", F.when(~gone, F.col("streamflow_x")))
+    out = windows.window_features(rows, ["streamflow_x"], "streamflow_y", LONGEST, 1, lags=[3])
+    return out.withColumn("streamflow_x_mean", r6("streamflow_x_mean"))
+
+
+# --- tables written and read back ------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appended in two forms, one with an unused column and without rain; read as one table."""
+    weekly = fixtures.weekly_series(spark, sf_dir).withColumnRenamed("time", io.INDEX_COLUMN)
+    early = F.col(io.INDEX_COLUMN) < F.lit("1995-01-01").cast("timestamp_ntz")
+    path = _folder(spark, "series")
+    io.write_series(weekly.where(early).drop("rain").withColumn(io.UNUSED_FORCING, F.lit(1.0)), path)
+    io.write_series(weekly.where(~early), path)
+    out = io.read_series(spark, path)
+    return out.select("site", time_text(F.col("time")).alias("time"), "streamflow", "rain")
+
+
+def stored_series_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weekly = fixtures.weekly_series(spark, sf_dir)
+    path = _folder(spark, "csv")
+    io.write_series(weekly, path, fmt="csv")
+    out = io.read_series(spark, path, "csv", weekly.schema)
+    return out.select("site", "pair_id", "du", time_text(F.col("time")).alias("time"), "streamflow", "rain", "n_obs")
+
+
+def series_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days written twice stay one; a span of days is read back."""
+    path = _folder(spark, "days")
+    weekly = fixtures.weekly_series(spark, sf_dir)
+    io.write_series(weekly.withColumn("streamflow", F.lit(0.0)), path, by="day")
+    io.write_series(weekly, path, by="day")
+    out = io.read_series(spark, path, start="1996-01-01", end="1998-06-30")
+    return out.select("site", time_text(F.col("time")).alias("time"), "streamflow")
+
+
+def _site_csv(spark: SparkSession, sf_dir: str) -> str:
+    path = f"{_folder(spark, 'sites')}.csv"
+    located = fixtures.site_list(spark, sf_dir).withColumns(
+        {"x": F.col("pos") / 8, "y": -F.col("pos") / 4}
+    )
+    ordered = located.repartitionByRange(4, "pos").sortWithinPartitions("pos")
+    ordered.select("catchment_id", "du", "x", "y", "comid").write.option("header", True).csv(path)
+    return path
+
+
+def stored_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The site list as CSV, numbered in file order."""
+    return io.read_sites(spark, _site_csv(spark, sf_dir)).select("pos", "catchment_id", "du", "x", "y", "comid")
+
+
+def stored_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return io.read_points(spark, _site_csv(spark, sf_dir))
+
+
+def stored_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings with holes written and read; the points of all orders that lie in one."""
+    path = _folder(spark, "polygons")
+    fixtures.parted_catchments(spark, sf_dir).write.parquet(path)
+    rings = io.read_polygons(spark, path, holes=True)
+    found = spatial.locate_points(fixtures.order_points(spark, sf_dir), rings, "divide_id", 10.0, spread=["point_id"])
+    return found.select("point_id", "divide_id")
+
+
+def flow_by_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "flow")
+    io.write_flow(_lines(spark, sf_dir), path)
+    out = io.read_flow(spark, path)
+    return out.select(time_text(F.col("time")).alias("time"), "feature_id", "streamflow", "gage_id")
+
+
+def flow_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids in batches of ten: the store of the batches, read back."""
+    path = _folder(spark, "batches")
+    ids = fixtures.site_list(spark, sf_dir).select("pos", F.col("comid").alias("feature_id"))
+    io.write_flow(_lines(spark, sf_dir), path, "batch", sites.id_batches(ids).select("feature_id", "batch_start"))
+    out = spark.read.parquet(path)
+    return out.select(F.col("batch_start").cast("bigint").alias("batch_start"), time_text(F.col("time")).alias("time"), "feature_id", "streamflow", "gage_id")
+
+
+def flow_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "cache")
+    io.write_cache(_lines(spark, sf_dir), path)
+    out = io.read_flow(spark, path)
+    return out.select(time_text(F.col("time")).alias("time"), "feature_id", F.col("streamflow").cast("double").alias("streamflow"), "gage_id")
+
+
+def chosen_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named columns dropped, then the listed model inputs in their order."""
+    kept = networks.drop_features(_networks(spark, sf_dir), ["n_obs_x", "n_obs_y"])
+    inputs = networks.feature_columns(kept, ids=["site"])
+    out = networks.select_features(kept, inputs)
+    return out.withColumns({"time": time_text(F.col("time")), "inputs": F.lit(",".join(inputs))})
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> tuple[ingest.Inputs, DataFrame, str]:
+    """What the assembly takes, with months as time steps, the forcing grid as a stored table, and where to write."""
+    site = fixtures.site_list(spark, sf_dir)
+    forcing = _folder(spark, "forcing")
+    fixtures.forcing_grid(spark, sf_dir).write.parquet(forcing)
+    attributes = sites.attribute_key(site).select(
+        "ds_catid", F.col("catchment_id").alias("divide_id"), (F.col("pos") * 0.5).alias("slope_mean")
+    )
+    weights = materialize(spatial.cell_weights(_grid_catchments(spark, sf_dir)))
+    flow = fixtures.monthly_flow(fixtures.table(spark, sf_dir, "lineitem"))
+    return ingest.Inputs(site, weights, attributes, forcing, fixtures.VARIABLES), flow, _folder(spark, "out")
+
+
+def _assembled_days(spark: SparkSession, path: str) -> DataFrame:
+    out = io.read_series(spark, path)
+    return out.select(time_text(F.col("time")).alias("time"), "comid", "du", "pair_id", *[r6(v).alias(v) for v in fixtures.VARIABLES], "streamflow", "slope_mean")
+
+
+def days_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All time steps assembled as one job, and once more over them."""
+    given, flow, path = _ingested(spark, sf_dir)
+    for run in ("first", "again"):
+        ingest.run_days(spark, given, flow, "seq", path, f"{path}-log", run)
+    return _assembled_days(spark, path)
+
+
+def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of that run: how many places and steps were done or in error, by day."""
+    given, flow, path = _ingested(spark, sf_dir)
+    ingest.run_days(spark, given, flow, "seq", path, f"{path}-log", "only")
+    log = spark.read.parquet(f"{path}-log").where(F.col("day").isNotNull())
+    return log.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"), "event").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("steps"))
+
+
+def streamed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same days as they arrive: every day's records lie in several files, taken two at a time."""
+    given, flow, path = _ingested(spark, sf_dir)
+    arrived = _folder(spark, "arrived")
+    last = assemble.flow_keep_last(flow, "seq").select("time", "feature_id", "streamflow")
+    last.repartition(4, "feature_id").write.parquet(arrived)
+    ingest.stream_days(spark, given, arrived, path, f"{path}-log", _folder(spark, "check"), files_per_batch=2).awaitTermination()
+    return _assembled_days(spark, path)
+
+
 # --- metric histories ------------------------------------------------------------------------
 
 
@@ -375,14 +586,20 @@ def _grid_catchments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cell_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spatial.cell_weights(_grid_catchments(spark, sf_dir))
-    return out.select("divide_id", "iy", "ix", r9("w").alias("w")).where(F.col("w") > 0)
+    return out.select("divide_id", "iy", "ix", r9("w").alias("w"))
+
+
+def cell_weights_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catchments of two parts in opposite directions and a hole."""
+    out = spatial.cell_weights(fixtures.parted_catchments(spark, sf_dir, float(fixtures.GRID)))
+    return out.select("divide_id", "iy", "ix", r9("w").alias("w"))
 
 
 def zonal_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = spatial.cell_weights(_grid_catchments(spark, sf_dir))
     out = spatial.zonal_mean(fixtures.forcing_grid(spark, sf_dir), weights, fixtures.VARIABLES)
     return out.select(
-        time_text(F.col("time")).alias("time"), "divide_id", *[past_tie(v).alias(v) for v in fixtures.VARIABLES]
+        time_text(F.col("time")).alias("time"), "divide_id", *[r6(v).alias(v) for v in fixtures.VARIABLES]
     )
 
 
@@ -410,17 +627,17 @@ def keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers with a low balance have no attributes or no polygon; only returned lines count as flow."""
-    site = fixtures.site_list(spark, sf_dir)
-    balance = fixtures.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pos"), "s_acctbal")
-    attributes = sites.attribute_key(site).join(balance, "pos").where(F.col("s_acctbal") > -500)
-    polygons = _grid_catchments(spark, sf_dir).join(balance, F.col("part_id") == F.col("pos"))
-    returned = fixtures.table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R")
+    """Each pair stands twice in the list. Attributes of the second are only there for a high balance, polygons for a positive one."""
+    site = fixtures.paired_sites(spark, sf_dir)
+    balance = fixtures.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("comid"), "s_acctbal")
+    least = F.when(F.col("pos") < fixtures.SECOND_LIST, -500).otherwise(1000)
+    attributes = sites.attribute_key(sites.with_pair_id(site)).join(balance, "comid").where(F.col("s_acctbal") > least)
+    polygons = _grid_catchments(spark, sf_dir).join(balance, F.col("part_id") == F.col("comid"))
     return assembly.assemble_all(
         site,
         fixtures.forcing_grid(spark, sf_dir),
         spatial.cell_weights(polygons.where(F.col("s_acctbal") > 0)),
-        fixtures.monthly_flow(returned),
+        fixtures.monthly_flow(fixtures.table(spark, sf_dir, "lineitem")),
         attributes.select(
             "ds_catid", F.col("catchment_id").alias("divide_id"), F.col("s_acctbal").alias("slope_mean")
         ),
@@ -437,7 +654,7 @@ def build_series(spark: SparkSession, sf_dir: str) -> DataFrame:
         "catid",
         "du",
         "pair_id",
-        *[past_tie(v).alias(v) for v in fixtures.VARIABLES],
+        *[r6(v).alias(v) for v in fixtures.VARIABLES],
         "streamflow",
         "slope_mean",
     )
@@ -465,14 +682,11 @@ def day_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_map_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order's JSON object names its customer and its place; keys are numbers as text."""
+    """An order's JSON object names its customer and its place; its first key comes again with another value."""
     o = fixtures.table(spark, sf_dir, "orders")
+    far = F.col("o_orderkey") + 1_000_000_000
     text = F.format_string(
-        '{"%d": %d, "%d": %d}',
-        F.col("o_orderkey") + 1_000_000_000,
-        F.col("o_custkey"),
-        F.col("o_orderkey"),
-        F.col("o_custkey"),
+        '{"%d": %d, "%d": %d, "%d": %d}', far, F.col("o_custkey"), F.col("o_orderkey"), F.col("o_custkey"), far, F.col("o_custkey") + 7
     )
     pairs = io.parse_pair_map(o.select("o_orderkey", text.alias("value")))
     return io.pair_map_ids(pairs)
@@ -541,6 +755,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         epoch_nse,
         evaluate_persistence,
         fit_flow,
+        evaluate_split,
+        history_rows,
+        batch_ids_by_set,
+        windows_in_span,
+        inverse_by_network,
+        score_windows,
+        window_features_long,
+        stored_series,
+        stored_series_csv,
+        series_by_day,
+        stored_sites,
+        stored_points,
+        stored_polygons,
+        flow_by_feature,
+        flow_by_batch,
+        flow_cache,
+        chosen_features,
+        days_run,
+        run_events,
+        streamed_days,
         last_n,
         last_values,
         early_stop,
@@ -559,6 +793,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         parts_within_box,
         lcc,
         cell_weights,
+        cell_weights_parts,
         zonal_mean,
         site_time_grid,
         flow_keep_last,

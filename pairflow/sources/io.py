@@ -72,28 +72,29 @@ def _stored_series(spark: SparkSession, path: str | list[str], fmt: str, schema:
 def read_sites(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """The site list with ``pos`` stored: all of it, or with ``limit`` the first so many positions.
 
-    ``path`` is a parquet table that has ``pos``, or one CSV whose rows are in list order. A list
-    is a single small file (thousands of rows); it is numbered once here and stored with ``pos``.
+    ``path`` is a parquet table that has ``pos``, or a CSV (of several files in order of name) whose
+    rows are in list order; it is numbered once here and stored with ``pos``.
     """
     if path.endswith(".csv"):
         lines = spark.read.option("header", True).csv(path)
         known = [f for f in schemas.SITE_FILE.fields if f.name in lines.columns]
         typed = spark.read.option("header", True).option("enforceSchema", False)
         rows = typed.schema(T.StructType([next(f for f in known if f.name == c) for c in lines.columns]))
-        # Rising with file and row order; the number within the list is the count of lesser ones.
-        tagged = rows.csv(path).withColumn("__at", F.monotonically_increasing_id())
-        sites = _numbered(tagged, "__at")
+        # A block of a file is read by one task in order; blocks stand by the file's name and their place in it.
+        block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+        tagged = rows.csv(path).select("*", block.alias("__block"), F.monotonically_increasing_id().alias("__at"))
+        sites = _numbered(tagged, "__at", "__block")
     else:
         sites = spark.read.parquet(path)
     return sites if limit is None else sites.where(F.col("pos") < limit)
 
 
-def _numbered(df: DataFrame, order: str) -> DataFrame:
-    """``pos`` from a rising row number whose upper bits are the partition."""
+def _numbered(df: DataFrame, order: str, block: str) -> DataFrame:
+    """``pos``: all rows of earlier blocks, and those before within the own block."""
     from pairflow.operators import ordering
 
-    kept = [c for c in df.columns if c != order]
-    out = ordering.row_index(df, [], [order], F.shiftright(F.col(order), 33), "pos")
+    kept = [c for c in df.columns if c not in (order, block)]
+    out = ordering.row_index(df, [], [order], F.col(block), "pos")
     return out.select("pos", *kept)
 
 
