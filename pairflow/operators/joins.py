@@ -12,6 +12,9 @@ from pairflow.session import MAX_BROADCAST_BYTES, fits, materialize
 HOT_ROWS = 5_000_000
 """Rows of one key above which its rows are spread over several tasks."""
 
+NULL_SALTS = 1024
+"""Tasks that rows with a null key are spread over."""
+
 
 def lookup(
     df: DataFrame,
@@ -29,7 +32,8 @@ def lookup(
     A table of at most ``max_bytes`` is broadcast, so ``df`` is not shuffled. A larger
     one is joined by shuffle: keys with more than ``hot_rows`` rows in ``df`` are split by a
     salt taken from the ``spread`` columns, and the table's rows for those keys are repeated
-    per salt. At most rows/hot_rows keys are hot, which bounds the salt table. ``condition``
+    per salt. At most rows/hot_rows keys are hot, which bounds the salt table; it is broadcast
+    only if it too fits. Rows with a null key, which match nothing, are spread as well. ``condition``
     may use columns of both sides. Call with a cheap or materialized ``table``: it is counted.
     """
     if fits(table, max_bytes, extra):
@@ -41,15 +45,18 @@ def lookup(
         .where(F.col("__n") > hot_rows)
         .select(*on, F.ceil(F.col("__n") / hot_rows).cast("int").alias("__salts"))
     )
+    small = F.broadcast if fits(salts, max_bytes) else (lambda x: x)
     n_salts = F.coalesce(F.col("__salts"), F.lit(1))
+    # A row with a null key meets nothing, so it may go anywhere.
+    unmatched = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
     by = [F.col(c) for c in (spread or df.columns)]
     left = (
-        df.join(F.broadcast(salts), on, "left")
-        .withColumn("__salt", F.pmod(F.xxhash64(*by), n_salts).cast("int"))
+        df.join(small(salts), on, "left")
+        .withColumn("__salt", F.pmod(F.xxhash64(*by), F.when(unmatched, F.lit(NULL_SALTS)).otherwise(n_salts)).cast("int"))
         .drop("__salts")
     )
     right = (
-        table.join(F.broadcast(salts), on, "left")
+        table.join(small(salts), on, "left")
         .withColumn("__salt", F.explode(F.sequence(F.lit(0), n_salts - 1)))
         .drop("__salts")
     )

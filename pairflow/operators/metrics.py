@@ -218,6 +218,7 @@ def early_stop(
         F.least if lowest else F.greatest,
         "__best",
         inclusive=False,
+        keep_bucket=True,
     )
     if lowest:
         best = F.coalesce("__best", F.lit(float("inf")))
@@ -231,8 +232,7 @@ def early_stop(
     # Within a bucket: bad epochs so far, and how many there were at the last reset.
     inside = Window.partitionBy(*keys, "__bucket").orderBy(epoch).rowsBetween(Window.unboundedPreceding, 0)
     flagged = (
-        scored.withColumn("__bucket", span)
-        .withColumns({"__reset": reset, "__bad": bad})
+        scored.withColumns({"__reset": reset, "__bad": bad})
         .withColumn("__so_far", F.sum("__bad").over(inside))
         .withColumn("__at_reset", F.max(F.when(F.col("__reset"), F.col("__so_far"))).over(inside))
     )

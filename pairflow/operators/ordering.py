@@ -74,8 +74,12 @@ def running(
     combine: Callable[[Column, Column], Column],
     name: str,
     inclusive: bool = True,
+    keep_bucket: bool = False,
 ) -> DataFrame:
-    """Running aggregate of ``value`` along ``order``: inside the bucket, then with what came before it."""
+    """Running aggregate of ``value`` along ``order``: inside the bucket, then with what came before it.
+
+    With ``keep_bucket`` the column ``__bucket`` stays: further windows over (keys, bucket) need no new shuffle.
+    """
     tagged = df.withColumn(_BUCKET, bucket).withColumn("__value", value)
     carried = (
         tagged.groupBy(*keys, _BUCKET)
@@ -91,7 +95,7 @@ def running(
     return (
         tagged.join(carried, [*keys, _BUCKET])
         .withColumn(name, combine(F.col("__carry"), aggregate(F.col("__value")).over(inside)))
-        .drop(_BUCKET, "__value", "__carry")
+        .drop(*([] if keep_bucket else [_BUCKET]), "__value", "__carry")
     )
 
 
