@@ -417,6 +417,7 @@ SELECT site, {_t('time')} AS time, streamflow, CASE WHEN time >= TIMESTAMP '1995
 SELECT site, {_t('time')} AS time, streamflow FROM s WHERE time >= TIMESTAMP '1996-01-01' AND time < TIMESTAMP '1998-07-01'""",
     "stored_sites": """SELECT s_suppkey AS pos, concat('cat-', s_suppkey) AS catchment_id, CASE WHEN s_suppkey % 2 = 0 THEN 'd' ELSE 'u' END AS du,
        s_suppkey / 8 AS x, -s_suppkey / 4 AS y, s_suppkey AS comid FROM supplier""",
+    "stored_attributes": f'WITH {_FILES} SELECT ds_catid, idx, divide_id, "X", "Y" FROM f',
     "stored_points": "SELECT -s_suppkey / 4 AS lat, s_suppkey / 8 AS lon FROM supplier",
     "stored_polygons": f"""WITH {_shapes(100.0)}, {_POINTS}, {_rectangles()},
 hit AS (

@@ -382,6 +382,17 @@ def stored_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.read_sites(spark, _site_csv(spark, sf_dir)).select("pos", "catchment_id", "du", "x", "y", "comid")
 
 
+def stored_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV per downstream catchment, read back as one table with the rows' places."""
+    path = _folder(spark, "attributes")
+    files = fixtures.customer_attributes(spark, sf_dir)
+    ordered = files.repartition("ds_catid").sortWithinPartitions("ds_catid", "divide_id")
+    ordered.write.partitionBy("ds_catid").option("header", True).csv(path)
+    schema = files.drop("ds_catid").schema
+    out = io.read_attributes(spark, path, schema, "part-*.csv")
+    return out.withColumn("ds_catid", F.col("ds_catid").cast("bigint"))
+
+
 def stored_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.read_points(spark, _site_csv(spark, sf_dir))
 
@@ -766,6 +777,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         stored_series_csv,
         series_by_day,
         stored_sites,
+        stored_attributes,
         stored_points,
         stored_polygons,
         flow_by_feature,

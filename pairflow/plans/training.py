@@ -63,6 +63,11 @@ def samples(p: Prepared, length: int, horizon: int = 1) -> DataFrame:
     return windows.sample_windows(scaled(p), p.features, p.target, length, horizon)
 
 
+def set_samples(p: Prepared, length: int, horizon: int = 1, bounds: DataFrame | None = None) -> DataFrame:
+    """``samples`` of each set: adds ``split`` and ``set_idx``; with ``bounds`` only those inside the set's span of time."""
+    return split.in_sets(samples(p, length, horizon), p.flags, length, bounds)
+
+
 def evaluate_sets(
     p: Prepared,
     predicted: DataFrame,

@@ -217,20 +217,24 @@ def forcing_times(forcing: DataFrame) -> DataFrame:
     return forcing.select("time").distinct()
 
 
-def read_attributes(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_attributes(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, file: str = ATTRIBUTE_FILE
+) -> DataFrame:
     """All per-catchment attribute files as one table, with ``ds_catid`` from the path.
 
-    ``path`` is the folder that holds ``<ds_catid>/<ATTRIBUTE_FILE>``. ``idx`` is
-    the row's place in its file. Every file starts with the same header.
+    ``path`` is the folder that holds ``<ds_catid>/<file>`` (or ``ds_catid=<ds_catid>/<file>``, as Spark
+    writes folders; ``file`` may be a pattern). ``idx`` is the row's place in its file. Every file
+    starts with the same header.
     """
-    files = f"{path.rstrip('/')}/*/{ATTRIBUTE_FILE}"
+    files = f"{path.rstrip('/')}/*/{file}"
+    folder = "([^/=]+)" + "/[^/]+" * (file.count("/") + 1) + "$"
     reader = spark.read.option("header", True)
     # Types from one pass over the files; give the schema where there are many.
     reader = reader.option("inferSchema", True) if schema is None else reader.schema(schema)
     rows = reader.csv(files)
     columns = rows.columns
     tagged = rows.select(
-        F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/config/[^/]+$", 1).alias("ds_catid"),
+        F.regexp_extract(F.col("_metadata.file_path"), folder, 1).alias("ds_catid"),
         *[named(c) for c in columns],
         F.monotonically_increasing_id().alias("__at"),
     )

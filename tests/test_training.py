@@ -10,7 +10,7 @@ from conftest import SF_DIR
 from pyspark.sql import functions as F
 
 from pairflow import fixtures
-from pairflow.operators import metrics, model, scale
+from pairflow.operators import metrics, model, scale, split
 from pairflow.plans import training
 
 
@@ -78,3 +78,18 @@ def test_no_window_holds_a_whole_network(prepared):
     for functions, keys in specs:
         if "row_number" in functions or "collect_list" in functions:
             assert "bucket" in keys or "block" in keys, (functions, keys)
+
+
+def test_samples_of_sets_and_spans(spark, prepared):
+    every = training.samples(prepared, 24).groupBy("network_id").count().collect()
+    by_set = training.set_samples(prepared, 24)
+    flags = {r.network_id: [s for s in ("train", "val", "test") if r[f"in_{s}"]] for r in prepared.flags.collect()}
+    got = {(r.split, r.network_id): r["count"] for r in by_set.groupBy("split", "network_id").count().collect()}
+    assert got == {(s, r.network_id): r["count"] for r in every for s in flags[r.network_id]}
+    bounds = split.split_time(prepared.rows, 8)
+    b = bounds.first()
+    rows = training.set_samples(prepared, 8, bounds=bounds).select("split", "network_id", "start_idx", "set_idx").collect()
+    assert rows
+    for r in rows:
+        low, high = b[f"{r.split}_start"], b[f"{r.split}_end"]
+        assert low <= r.start_idx and r.start_idx + 8 <= high and r.set_idx == r.start_idx - low
