@@ -8,10 +8,21 @@ from pyspark.sql import functions as F
 from pairflow.llm.common import stored
 
 
+SALTS = 32
+"""Tasks that the pairs of one node are spread over: the root of a large component has very many."""
+
+
 def _with_least(pairs: DataFrame) -> DataFrame:
-    """Rows (u, v, m): m is the least of u and all its v. The least is summed map-side, then joined."""
-    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return pairs.join(least, "u")
+    """Rows (u, v, m): m is the least of u and all its v.
+
+    The least is taken per part of a node's pairs first and goes back to each part under the part's
+    own key, so that no node's pairs meet in one task.
+    """
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    parts = salted.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    whole = parts.groupBy("u").agg(F.least(F.min("m"), F.col("u")).alias("m"), F.collect_list("salt").alias("salts"))
+    least = whole.select("u", "m", F.explode("salts").alias("salt"))
+    return salted.join(least, ["u", "salt"]).drop("salt")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
