@@ -17,15 +17,16 @@ SITE_COLUMNS = ["comid", "catid", "du", "pair_id"]
 def site_time_grid(times: DataFrame, sites: DataFrame, parts: int = 64) -> DataFrame:
     """Every site at every time step.
 
-    Made by an equi-join on the part of the site: a part lists its sites, and meets the times of
-    one month at once (gathered per month, at most 31 days of steps), so the work is spread over
-    months times parts, only over months that have steps, and no side has to be broadcast.
+    Made by an equi-join on (part, month): sites are listed under the months that have steps, the
+    steps of a month (at most 31 days of them) under each part. So the work is spread over months
+    times parts, and no side has to be broadcast.
     """
     steps = times.select("time").distinct()
     months = steps.groupBy(F.trunc(F.to_date("time"), "month").alias("__month")).agg(F.collect_list("time").alias("__times"))
-    listed = sites.withColumn("__part", F.pmod(F.xxhash64(*sites.columns), F.lit(parts)).cast("int"))
+    names = steps.agg(F.collect_set(F.trunc(F.to_date("time"), "month")).alias("m")).select("m").scalar()
+    listed = sites.withColumn("__part", F.pmod(F.xxhash64(*sites.columns), F.lit(parts)).cast("int")).withColumn("__month", F.explode(names))
     by_part = months.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    joined = listed.join(by_part, "__part").withColumn("time", F.explode("__times"))
+    joined = listed.join(by_part, ["__part", "__month"]).withColumn("time", F.explode("__times"))
     return joined.drop("__month", "__times", "__part")
 
 
