@@ -19,9 +19,9 @@ def site_time_grid(times: DataFrame, sites: DataFrame, parts: int = 64) -> DataF
 
     Made by an equi-join on (part, month): sites are listed under the months that have steps, the
     steps of a month (at most 31 days of them) under each part. So the work is spread over months
-    times parts, and no side has to be broadcast.
+    times parts, and no side has to be broadcast. The steps, one row each, are worked out once.
     """
-    steps = times.select("time").distinct()
+    steps = materialize(times.select("time").distinct())
     months = steps.groupBy(F.trunc(F.to_date("time"), "month").alias("__month")).agg(F.collect_list("time").alias("__times"))
     names = steps.agg(F.collect_set(F.trunc(F.to_date("time"), "month")).alias("m")).select("m").scalar()
     listed = sites.withColumn("__part", F.pmod(F.xxhash64(*sites.columns), F.lit(parts)).cast("int")).withColumn("__month", F.explode(names))
