@@ -3,12 +3,18 @@
 A tree is a sorted array of long hash strings, one bit for each of many random directions. A query
 goes down every tree to the entries that share its longest prefix, and then climbs all trees
 together, one bit at a time, until the entries that share the prefix are enough; these are scored
-exactly. The vectors are dealt into shards of bounded size, each with a forest of its own, and the
+exactly. The vectors are dealt into shards of bounded size, each with forests of its own, and the
 queries meet the shards block by block.
+
+A shard has one forest for each band of like lengths (norms). Within a band a vector is hashed with
+one more component that brings it to the band's greatest length, and a query with 0 there, so that
+the angle hashed falls as the inner product rises.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,6 +28,8 @@ SHARD, BLOCK = 8192, 4096
 SHARE = 0.6
 """Entries that a query gathers over all trees, as a share of the shard (an entry of two trees counts twice)."""
 SEED = 11
+OCTAVE = 1.0
+"""The logarithm (base 2) of how much longer the longest vector of a band may be than the shortest."""
 
 
 class Forest:
@@ -74,6 +82,45 @@ class Forest:
         return hit
 
 
+def lengths(vectors: np.ndarray) -> np.ndarray:
+    """Logarithms (base 2) of the norms of vectors that are not zero, without overflow."""
+    most = np.abs(vectors).max(axis=1)
+    return np.log2(most) + 0.5 * np.log2(((vectors / most[:, None]) ** 2).sum(axis=1))
+
+
+def bands(logs: np.ndarray) -> list[np.ndarray]:
+    """Positions by bands of like length, the longest first."""
+    order = np.argsort(-logs, kind="stable")
+    falling, out, at = -logs[order], [], 0
+    while at < len(order):
+        to = int(np.searchsorted(falling, falling[at] + OCTAVE, "right"))
+        out.append(order[at:to])
+        at = to
+    return out
+
+
+class Shard:
+    """The forests of one shard, a band of like lengths each; of every band a query gathers the same share."""
+
+    def __init__(self, vectors: np.ndarray, trees: int = TREES, bits: int = BITS) -> None:
+        self.n, self.trees, self.bands = len(vectors), trees, []
+        logs = lengths(vectors)
+        for own in bands(logs):
+            v = np.ldexp(vectors[own], -int(np.ceil(logs[own[0]])))  # lengths of at most 1
+            squares = (v * v).sum(axis=1)
+            self.bands.append((own, Forest(np.c_[v, np.sqrt(np.maximum(squares.max() - squares, 0))], trees, bits)))
+
+    def candidates(self, queries: np.ndarray, share: float, least: int) -> Iterator[np.ndarray]:
+        """For each query whether each vector is looked at."""
+        q = np.c_[queries / np.abs(queries).max(axis=1, keepdims=True), np.zeros(len(queries))]
+        spans = [f.ranges(q, max(int(share * len(own)), least * self.trees)) for own, f in self.bands]
+        for i in range(len(q)):
+            hit = np.zeros(self.n, bool)
+            for (own, f), span in zip(self.bands, spans):
+                hit[own] = f.candidates(span[i])
+            yield hit
+
+
 def best(vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and inner products of the ``k`` nearest, ties to the smaller id; products are summed alike for equal vectors."""
     if len(ids) > k:
@@ -95,8 +142,7 @@ def search(
     ``is_query`` is a condition in SQL. Rows with a null id, and vectors that are null, empty, zero
     or hold null or non-finite components, take no part. Of rows with one id the least vector
     counts. Vectors only meet those of their own length. Where fewer than ``k`` others are there all
-    come back. Ties go to the smaller id. Hash directions are for vectors of like length (norm):
-    with very unlike norms ``share`` must be larger for the same recall.
+    come back. Ties go to the smaller id. Vectors of any lengths (norms) may stand together.
     """
     v = F.col(quoted(vector)).cast("array<double>")
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -128,11 +174,9 @@ def search(
         # Copies are one entry of the forest, so that they do not crowd out others.
         distinct, entry = np.unique(vectors, axis=0, return_inverse=True)
         asked, qs = queries["id"].to_numpy(), np.stack(queries["v"].to_numpy())
-        forest = Forest(distinct, trees, bits)
-        spans = forest.ranges(qs, max(int(share * len(distinct)), (k + 1) * trees))
         found = []
-        for q, query, span in zip(asked, qs, spans):
-            near = np.nonzero(forest.candidates(span)[entry] & (ids != q))[0]
+        for q, query, hit in zip(asked, qs, Shard(distinct, trees, bits).candidates(qs, share, k + 1)):
+            near = np.nonzero(hit[entry] & (ids != q))[0]
             own, score = best(vectors[near], ids[near], query, k)
             found.append((np.full(len(own), q), own, score))
         a, b, c = (np.concatenate(x) for x in zip(*found))

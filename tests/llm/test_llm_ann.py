@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pairflow.llm import ann
@@ -46,6 +47,29 @@ def test_recall_over_several_shards_and_blocks(spark):
     assert len(got) == 600 and hit >= 0.9 * 600
 
 
+@pytest.mark.parametrize("sigma", [0.6, 1.0])
+def test_recall_on_vectors_of_unlike_length(spark, sigma):
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((4000, 64))
+    v *= np.exp(sigma * rng.standard_normal((4000, 1))) / np.linalg.norm(v, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], SCHEMA)
+    got = ann.search(frame, "vec_id", "embedding", "vec_id % 80 = 0").collect()
+    v = v.astype(np.float32).astype(np.float64)
+    hit = 0
+    for q in range(0, 4000, 80):
+        s = v @ v[q]
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s)[:20]) & {r["vec_id"] for r in got if r["query_id"] == q})
+    assert len(got) == 1000 and hit >= 0.95 * 1000
+
+
+def test_lengths_at_the_ends_of_double():
+    v = np.array([[1e300, 1e300], [1e-300, 0.0], [3.0, 4.0], [2.0, 0.0]])
+    assert ann.lengths(v)[2] == pytest.approx(np.log2(5))
+    assert [b.tolist() for b in ann.bands(ann.lengths(v))] == [[0], [2], [3], [1]]
+    assert all(c.all() for c in ann.Shard(v, trees=2, bits=4).candidates(v, 0.1, 5))
+
+
 def test_few_tied_odd_and_repeated_rows(spark):
     a, b = [1.0, 0.0, 0.5], [0.0, 1.0, 0.0]
     rows = [
