@@ -1,14 +1,16 @@
 """A hidden Markov language model of word classes, and the likelihood of whole texts under it.
 
-A word's class is a digest of it, so no vocabulary has to be held anywhere: latent states emit one
-of a fixed number of classes, and the class emits the word in proportion to its training count.
-Baum-Welch counts are gathered by every task over its own texts and summed by Spark; the driver
-only ever holds the model (states x classes). Words meet their counts by a join on the words of a
-block of texts, never by sending the vocabulary around.
+Latent states emit each word that the training texts hold often enough, so that the emission table
+grows with their vocabulary. Of rarer words they emit one of a fixed number of classes, a digest of the word,
+and the class emits the word in proportion to its training count. Baum-Welch counts are gathered by
+every task over its own texts and summed by Spark; the driver only ever holds what is shared
+(states x classes). The words' own emissions are a Spark table, made anew in each round, whose
+rows meet the texts by block, never by sending the vocabulary around.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -23,8 +25,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairflow.llm.common import quoted, shared_path, stored, table
+from pairflow.session import delete
 
 STATES, CLASSES, ROUNDS = 8, 4096, 10
+OFTEN = 8
+"""Training tokens from which a word is emitted by itself and not by its class, whatever the size of the input."""
 SEGMENT = 256
 """Tokens that one forward-backward pass of the training spans; scoring spans the whole text."""
 GROUP = 1024
@@ -172,20 +177,20 @@ def segments(tokens: np.ndarray, length: int = SEGMENT) -> list[np.ndarray]:
 # --- Spark -----------------------------------------------------------------------------------
 
 
-def tokenised(docs: DataFrame, classes: int = CLASSES) -> tuple[DataFrame, DataFrame]:
+def tokenised(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(texts, words) of ``docs`` (id, held_out, text), in one pass.
 
-    texts: (block, id, held_out, n_tokens, local: ``packed`` numbers of the words within the block,
-    classes: uint16, the end of the text last). words: (block, local, word, train_count). A block is
-    what one Arrow batch holds, which is bounded in rows and bytes. Both are written at once, so
-    that a block's numbers always belong together.
+    texts: (block, id, held_out, n_tokens, local: ``packed`` numbers of the words within the block).
+    words: (block, number, word, train_count). A block is what one Arrow batch holds, which is
+    bounded in rows and bytes. Both are written at once, so that a block's numbers always belong
+    together.
     """
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for number, b in enumerate(batches):
-            block = (part << 24) + number
+        for at, b in enumerate(batches):
+            block = (part << 24) + at
             numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
             held = b.column(1).to_pylist()
             texts = [
@@ -193,18 +198,15 @@ def tokenised(docs: DataFrame, classes: int = CLASSES) -> tuple[DataFrame, DataF
                 for t in b.column(2).to_pylist()
             ]
             words = list(numbers)
-            of = np.array([word_class(w, classes) for w in words] or [0], np.uint16)
             train = [t for t, h in zip(texts, held) if not h]
             counts = np.bincount(np.concatenate([*train, np.zeros(0, np.int32)]), minlength=len(words))
-            end = np.array([classes], np.uint16).tobytes()
             none = pa.nulls
             n, m = len(texts), len(words)
-            names = ["kind", "block", "id", "held_out", "n_tokens", "local", "classes", "number", "word", "train_count"]
+            names = ["kind", "block", "id", "held_out", "n_tokens", "local", "number", "word", "train_count"]
             rows = [
                 pa.array([0] * n, pa.int32()), pa.array([block] * n, pa.int64()), b.column(0).cast(pa.int64()), b.column(1),
                 pa.array([len(t) + 1 for t in texts], pa.int64()),
                 pa.array([packed(t) for t in texts], pa.binary()),
-                pa.array([of[t].tobytes() + end for t in texts], pa.binary()),
                 none(n, pa.int32()), none(n, pa.binary()), none(n, pa.int64()),
             ]
             yield pa.RecordBatch.from_arrays(rows, names)
@@ -213,14 +215,13 @@ def tokenised(docs: DataFrame, classes: int = CLASSES) -> tuple[DataFrame, DataF
                 k = len(few)
                 rows = [
                     pa.array(np.ones(k, np.int32)), pa.array(np.full(k, block)), none(k, pa.int64()), none(k, pa.bool_()),
-                    none(k, pa.int64()), none(k, pa.binary()), none(k, pa.binary()),
+                    none(k, pa.int64()), none(k, pa.binary()),
                     pa.array(np.arange(a, a + k, dtype=np.int32)), pa.array(few, pa.binary()), pa.array(counts[a : a + k].astype(np.int64)),
                 ]
                 yield pa.RecordBatch.from_arrays(rows, names)
 
     schema = (
-        "kind int, block bigint, id bigint, held_out boolean, n_tokens bigint, local binary, classes binary, "
-        "number int, word binary, train_count bigint"
+        "kind int, block bigint, id bigint, held_out boolean, n_tokens bigint, local binary, number int, word binary, train_count bigint"
     )
     path = shared_path(spark, "tokens")
     (
@@ -229,118 +230,192 @@ def tokenised(docs: DataFrame, classes: int = CLASSES) -> tuple[DataFrame, DataF
     )
     reader = spark.read.schema(schema)  # read twice, so that the two frames share no column
     return (
-        reader.parquet(path).where("kind = 0").select("block", "id", "held_out", "n_tokens", "local", "classes"),
+        reader.parquet(path).where("kind = 0").select("block", "id", "held_out", "n_tokens", "local"),
         reader.parquet(path).where("kind = 1").select("block", "number", "word", "train_count"),
     )
 
 
-def fit(texts: DataFrame, shares: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over the training texts: each round reads all of them and sums every task's counts."""
+def _matrix(rows: pa.Table, names: list[str]) -> np.ndarray:
+    return np.stack([rows[x].to_numpy().astype(np.float64) for x in names], axis=1)
+
+
+def symbols_of(rows: pa.Table, end: int) -> np.ndarray:
+    """The symbol of each number of a block's words: its class, or a place behind the ``end`` for a word of its own.
+
+    ``rows`` (number, class: null for words of their own) are sorted by number.
+    """
+    number, own = rows["number"].to_numpy(), rows["class"].is_null().to_numpy()
+    out = np.zeros(int(number[-1]) + 1 if len(number) else 0, np.int32)
+    out[number] = rows["class"].fill_null(0).to_numpy()
+    out[number[own]] = end + 1 + np.arange(own.sum(), dtype=np.int32)
+    return out
+
+
+def _by_block(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written in buckets of blocks, so that rounds read it where it lies; and the name of its table."""
+    spark = df.sparkSession
+    path = shared_path(spark, "train")
+    name = f"train_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, "block").sortBy("block").option("compression", "zstd").option("path", path).saveAsTable(name)
+    return spark.table(name), name
+
+
+def fit(
+    texts: DataFrame, known: DataFrame, shares: np.ndarray, total: float, n_own: int, states: int = STATES, rounds: int = ROUNDS
+) -> tuple[Model, np.ndarray, DataFrame]:
+    """Baum-Welch over the training texts: each round reads all of them and sums every task's counts.
+
+    ``shares`` are those of the classes and the end, which the driver holds; ``total`` is what
+    they are shares of. The words of their own stay in Spark: (model, norm, own), with own (block,
+    number, word, c, e0, ...) a row per block and word; divided by ``norm`` they are emissions.
+    """
     spark = texts.sparkSession
-    model = Model.initial(shares, states)
     n = len(shares)
+    end = n - 1
+    e, v = [f"e{k}" for k in range(states)], [f"v{k}" for k in range(states)]
+
+    def numbered(texts: pa.Table, rows: pa.Table) -> pa.Table:
+        symbol = symbols_of(rows.sort_by("number"), end)
+        made = [packed(np.append(symbol[unpacked(x)], end)) for x in texts["local"].to_pylist()]
+        return pa.table({"block": texts["block"], "symbols": pa.array(made, pa.binary())})
 
-    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = Counts.zero(n, states), False
-        for b in batches:
-            own, heads = [], []
-            for raw in b.column(0).to_pylist():
-                parts = segments(np.frombuffer(raw, np.uint16))
-                own += parts
-                heads += [True] + [False] * (len(parts) - 1)
-            if own:
-                counts.add(model, own, heads)
-                seen = True
-        if seen:
-            flat = np.concatenate([counts.first, counts.later, counts.step.ravel(), counts.emit.ravel()])
-            at = np.nonzero(flat)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at])], ["at", "value"])
-
-    train = texts.where(~F.col("held_out")).select("classes")
+    train, name = _by_block(
+        texts.where(~F.col("held_out")).select("block", "local").groupBy("block")
+        .cogroup(known.select("block", "number", "class").groupBy("block")).applyInArrow(numbered, "block bigint, symbols binary")
+    )
+    share = (F.col("c") + 0.5) / F.lit(total)
+    # The square of a normal number, drawn by a digest of the word, is the gamma number of ``Model.initial``.
+    even = lambda k: (F.pmod(F.xxhash64("word", F.lit(SEED), F.lit(k)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    normal = lambda k: F.sqrt(-2 * F.log(even(2 * k))) * F.cos(2 * np.pi * even(2 * k + 1))
+    own = known.where("class is null").select(
+        "block", "number", "word", "c", "head", *[(share * (F.pow(normal(k), 2) + 1e-3)).cast("float").alias(e[k]) for k in range(states)]
+    )
+    model = Model.initial(shares, states)
+    rng = np.random.default_rng(SEED)
+    of_classes = shares[:, None] * rng.gamma(0.5, 2.0, (n, states)) + 1e-3 * shares[:, None]
+    of_own = own.where("head").agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in e]).first()
+    norm = of_classes.sum(0) + np.array(of_own, np.float64)
+    model = Model(model.first, model.later, model.step, of_classes / norm)
+    own = own.drop("head")
+    by_word = Window.partitionBy("word")
+    weight = PRIOR * (n + n_own)
+    schema = "block bigint, number int, word binary, c bigint, " + ", ".join(f"{x} double" for x in v)
+
+    def expect(key: tuple, texts: pa.Table, own: pa.Table) -> pa.Table:
+        own = own.sort_by("number")
+        whole = Model(model.first, model.later, model.step, np.concatenate([model.emit, _matrix(own, e) / norm]))
+        counts = Counts.zero(len(whole.emit), states)
+        parts, heads = [], []
+        for raw in texts["symbols"].to_pylist():
+            pieces = segments(unpacked(raw))
+            parts += pieces
+            heads += [True] + [False] * (len(pieces) - 1)
+        if parts:
+            counts.add(whole, parts, heads)
+        shared = np.concatenate([counts.emit[:n], counts.first[None], counts.later[None], counts.step])
+        few = len(shared)
+        number = np.concatenate([-1 - np.arange(few, dtype=np.int32), own["number"].to_numpy()])
+        values = np.concatenate([shared, counts.emit[n:]])
+        words = pa.chunked_array([pa.nulls(few, pa.binary()), *own["word"].cast(pa.binary()).chunks])
+        c = pa.chunked_array([pa.nulls(few, pa.int64()), *own["c"].chunks])
+        columns = [pa.array(np.full(len(number), key[0].as_py())), pa.array(number), words, c, *[pa.array(values[:, k]) for k in range(states)]]
+        return pa.table(columns, names=["block", "number", "word", "c", *v])
+
+    path = None
     for _ in range(rounds):
-        # Bounded by the model's own size: states x (classes + states + 2) rows.
-        rows = train.mapInArrow(expect, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()
-        flat = np.zeros(2 * states + states * states + n * states)
-        flat[rows["at"].to_numpy()] = rows["value"].to_numpy()
-        first, later, step, emit = np.split(flat, [states, 2 * states, 2 * states + states * states])
-        model = improved(Counts(first, later, step.reshape(states, states), emit.reshape(n, states)), shares)
-    return model
+        path, before = shared_path(spark, "round"), path
+        train.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(expect, schema).write.option("compression", "zstd").parquet(path)
+        out = spark.read.schema(schema).parquet(path)
+        if before:
+            delete(spark, before)  # the round before is summed up in this one
+        # Bounded by what the driver holds of the model: classes + states + 3 rows, and one for the sum of all words of their own.
+        at = F.when(F.col("word").isNull(), F.col("number")).otherwise(0)
+        sums = out.groupBy(at.alias("at")).agg(*[F.sum(x).alias(x) for x in v]).toPandas()
+        rows = np.zeros((n + states + 3, states))
+        rows[-sums["at"].to_numpy(np.int64)] = sums[v].to_numpy()
+        first, later, step, emit = rows[n + 1], rows[n + 2], rows[n + 3 :], rows[1 : n + 1]
+        new = emit + weight * shares[:, None]
+        norm = new.sum(0) + rows[0] + weight * (1 - shares.sum())
+        model = improved(Counts(first, later, step, emit), shares)
+        model = Model(model.first, model.later, model.step, new / norm)
+        own = out.where("word is not null").select(
+            "block", "number", "word", "c", *[(F.sum(x).over(by_word) + weight * share).cast("float").alias(y) for x, y in zip(v, e)]
+        )
+    spark.sql(f"DROP TABLE {name}")
+    return model, norm, own
 
 
 def score_texts(
-    docs: DataFrame, id_: str, text: str, held_out: Column, states: int = STATES, classes: int = CLASSES, rounds: int = ROUNDS
+    docs: DataFrame, id_: str, text: str, held_out: Column, states: int = STATES, classes: int = CLASSES, rounds: int = ROUNDS, often: int = OFTEN
 ) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row per row of ``docs``.
 
     The model learns from the rows where ``held_out`` is not true. Scores are log10 probabilities of
     the whole text and its end: ``base_score`` of the unigram counts alone, ``score`` of the hidden
-    Markov model. Null and empty texts are just an end; null ids stay null. Repeated rows count as
-    often as they stand. Without training rows nothing is known, and all probability rests on what
-    was never seen. ``id`` must be a whole number. Only the two columns named are read.
+    Markov model. Words that stand ``often`` times in the training rows are emitted by themselves,
+    others by their class. Null and empty texts are just an end; null ids stay null. Repeated rows
+    count as often as they stand. Without training rows nothing is known, and all probability rests
+    on what was never seen. ``id`` must be a whole number. Only the two columns named are read.
     """
     rows = docs.select(
         F.col(quoted(id_)).cast("bigint").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(quoted(text)).alias("text")
     )
-    texts, words = tokenised(rows, classes)
+    texts, words = tokenised(rows)
     # A word has a row per block that holds it: one for some 60 MB of text, so its rows are few.
     by_word = Window.partitionBy("word")
+    own = F.col("c") >= often
     known = stored(
-        words.withColumns(
-            {
-                "c": F.sum("train_count").over(by_word),
-                "head": F.row_number().over(by_word.orderBy("block")) == 1,
-                "class": F.crc32("word") % classes,
-            }
+        words.withColumns({"c": F.sum("train_count").over(by_word), "head": F.row_number().over(by_word.orderBy("block")) == 1})
+        .select(
+            "block", "number", "c", "head", F.when(own, F.col("word")).alias("word"),
+            F.when(~own, (F.crc32("word") % classes).cast("int")).alias("class"),
         )
-        .where(F.col("c") > 0)
-        .select("block", "number", "c", "class", "head")
-    )
-    heads = known.where("head").groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v"))
-    by_class = {r["class"]: (r["c"], r["v"]) for r in heads.collect()}  # a row per class, their number is fixed
+    )
+    heads = known.where("head and c > 0").groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v"))
+    by_class = {r["class"]: (r["c"], r["v"]) for r in heads.collect()}  # a row per class and one for the words of their own
+    own_size, n_own = by_class.get(None, (0, 0))
     ends = texts.where(~F.col("held_out")).count()
     size = np.array([by_class.get(k, (0, 0))[0] for k in range(classes)] + [ends], np.float64)
     kinds = np.array([by_class.get(k, (0, 0))[1] for k in range(classes)] + [int(ends > 0)], np.float64)
-    n, v = int(size.sum()), int(kinds.sum())
-    shares = (size + 0.5) / (size + 0.5).sum()
-    model = fit(texts, shares, states, rounds)
+    n, v = int(size.sum()) + own_size, int(kinds.sum()) + n_own
+    total = n + 0.5 * (len(size) + n_own)
+    model, norm, emitted = fit(texts, known, (size + 0.5) / total, total, n_own, states, rounds)
     floor = np.log10(n + 0.5 * (v + 1))
     within = np.log10(size + 0.5 * (kinds + 1))
     known_end = int(ends > 0)
     end_base = np.log10(ends + 0.5) - floor
-
-    def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The model's part of the score needs no counts: it is worked out before texts and counts meet."""
-        for b in batches:
-            symbols = [np.frombuffer(x, np.uint16) for x in b.column(5).to_pylist()]
-            hmm = log10_likelihoods(model, symbols) if symbols else np.zeros(0)
-            # The end is the only word of its class: the class says it all.
-            spread = np.array([within[s[:-1]].sum() for s in symbols])
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(hmm - spread)], ["block", "id", "held_out", "n_tokens", "local", "model"])
-
-    def score(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        local = [unpacked(x) for x in own["local"]]
-        most = max((int(x.max()) for x in local if len(x)), default=-1)
-        c = np.zeros(most + 1)
-        at = found["number"].to_numpy()
-        c[at[at <= most]] = found["c"].to_numpy()[at <= most]
+    e = [f"e{k}" for k in range(states)]
+
+    def score(texts: pa.Table, found: pa.Table) -> pa.Table:
+        found = found.sort_by("number")
+        symbol, at, own = symbols_of(found, classes), found["number"].to_numpy(), found["class"].is_null().to_numpy()
+        whole = Model(model.first, model.later, model.step, np.concatenate([model.emit, _matrix(found.filter(pa.array(own)), e) / norm]))
+        c = np.zeros(len(symbol))
+        c[at] = found["c"].to_numpy()
         logs = np.log10(c + 0.5)
-        sums = np.array([logs[x].sum() for x in local])
+        # What the class leaves open; nothing for a word of its own, and for the end, the only one of its class.
+        spread = np.zeros(len(symbol))
+        spread[at[~own]] = (logs - within[np.minimum(symbol, classes)])[at[~own]]
+        local = [unpacked(x) for x in texts["local"].to_pylist()]
+        hmm = log10_likelihoods(whole, [np.append(symbol[x], classes) for x in local]) if local else np.zeros(0)
         lengths = np.array([len(x) for x in local])
-        return pd.DataFrame(
+        base = np.array([logs[x].sum() for x in local]) - lengths * floor + end_base
+        return pa.table(
             {
-                "id": own["id"].astype("Int64"),
-                "held_out": own["held_out"],
-                "n_tokens": own["n_tokens"],
-                "n_known": [int((c[x] > 0).sum()) + known_end for x in local],
-                "base_score": sums - lengths * floor + end_base,
-                "score": own["model"] + sums,
+                "id": texts["id"],
+                "held_out": texts["held_out"],
+                "n_tokens": texts["n_tokens"],
+                "n_known": pa.array([int((c[x] > 0).sum()) + known_end for x in local], pa.int64()),
+                "base_score": pa.array(base, pa.float64()),
+                "score": pa.array(hmm + np.array([spread[x].sum() for x in local]), pa.float64()),
             }
         )
 
     result = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
-    scaled = texts.mapInArrow(forward, "block bigint, id bigint, held_out boolean, n_tokens bigint, local binary, model double")
-    counts = known.select("block", "number", "c")
-    scored = scaled.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(score, result)
+    by_class = known.where("class is not null").select("block", "number", "c", "class", *[F.lit(None).cast("float").alias(x) for x in e])
+    counts = by_class.unionByName(emitted.select("block", "number", "c", F.lit(None).cast("int").alias("class"), *e))
+    scored = texts.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(score, result)
     return scored.select(
         F.col("id").alias(id_), "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score"
     )

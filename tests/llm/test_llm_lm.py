@@ -105,3 +105,18 @@ def test_odd_rows(spark, docs):
     only = lm.score_texts(frame, "doc_id", "text", F.lit(True), states=2, classes=16, rounds=1).collect()
     assert {r["train_tokens"] for r in only} == {0} and {r["n_known"] for r in only} == {0}
     assert lm.score_texts(frame.where("false"), "doc_id", "text", F.lit(False), rounds=1).count() == 0
+
+
+def test_frequent_words_are_emitted_by_themselves_however_blocks_are_cut(spark, docs):
+    """All words share one class: what tells the two subjects apart is the words themselves."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"{'ab'[i % 2]}{k}" for k in rng.integers(0, 20, 30)) + f" rare{i}" for i in range(120)]
+    frame = docs(texts)
+    got = [
+        {r["doc_id"]: r for r in lm.score_texts(frame.repartition(n), "doc_id", "text", F.col("doc_id") % 5 == 0, states=4, classes=1, rounds=6).collect()}
+        for n in (1, 5)
+    ]
+    for i, r in got[0].items():
+        assert got[1][i]["score"] == pytest.approx(r["score"], abs=1e-3) and got[1][i]["base_score"] == pytest.approx(r["base_score"])
+    held = [r for r in got[0].values() if r["held_out"]]
+    assert sum(r["score"] - r["base_score"] for r in held) > 0.1 * sum(r["n_tokens"] for r in held)
