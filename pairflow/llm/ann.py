@@ -122,14 +122,20 @@ class Shard:
 
 
 def best(vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and inner products of the ``k`` nearest, ties to the smaller id; products are summed alike for equal vectors."""
+    """Ids and inner products of the ``k`` nearest, ties to the smaller id; products are summed alike for equal vectors.
+
+    ``ids`` are sorted; of an id with several vectors the nearest counts.
+    """
     if len(ids) > k:
         rough = vectors @ query
-        floor = np.partition(rough, len(rough) - k)[len(rough) - k]
+        top = np.maximum.reduceat(rough, np.nonzero(np.r_[True, ids[1:] != ids[:-1]])[0])
+        floor = np.partition(top, len(top) - k)[len(top) - k] if len(top) > k else top.min()
         near = rough >= floor - 1e-9 * max(1.0, abs(floor))
         vectors, ids = vectors[near], ids[near]
     score = (vectors * query).sum(axis=1)
-    order = np.lexsort((ids, -score))[:k]
+    order = np.lexsort((-score, ids))
+    order = order[np.r_[True, ids[order][1:] != ids[order][:-1]]] if len(order) else order
+    order = order[np.lexsort((ids[order], -score[order]))][:k]
     return ids[order], score[order]
 
 
@@ -137,11 +143,11 @@ def search(
     rows: DataFrame, id_: str, vector: str, is_query: str, k: int = 20, trees: int = TREES, bits: int = BITS,
     share: float = SHARE, shard: int = SHARD, block: int = BLOCK,
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each query row its ``k`` nearest other rows found, by inner product in double.
+    """(query_id, rank, vec_id, score): for each query id its ``k`` nearest other ids found, by inner product in double.
 
     ``is_query`` is a condition in SQL. Rows with a null id, and vectors that are null, empty, zero
-    or hold null or non-finite components, take no part. Of rows with one id the least vector
-    counts. Vectors only meet those of their own length. Where fewer than ``k`` others are there all
+    or hold null or non-finite components, take no part. Of rows with one id
+    every distinct vector counts, and the best score of any two stands. Vectors only meet those of their own length. Where fewer than ``k`` others are there all
     come back. Ties go to the smaller id. Vectors of any lengths (norms) may stand together.
     """
     v = F.col(quoted(vector)).cast("array<double>")
@@ -149,14 +155,14 @@ def search(
     kept = stored(
         rows.where(F.col(quoted(id_)).isNotNull() & F.coalesce(sound, F.lit(False)))
         .withColumns({"_id": F.col(quoted(id_)).cast("bigint"), "_v": v, "_q": F.expr(is_query)})
-        .groupBy("_id").agg(F.min("_v").alias("v"), F.max("_q").alias("q"))
-        .select(F.col("_id").alias("id"), "v", F.coalesce("q", F.lit(False)).alias("q"), F.size("v").alias("dim"))
+        .groupBy("_id", "_v").agg(F.max("_q").alias("q"))
+        .select(F.col("_id").alias("id"), F.col("_v").alias("v"), F.coalesce("q", F.lit(False)).alias("q"), F.size("v").alias("dim"))
     )
     sizes = kept.groupBy("dim").agg(
         F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"),
         F.greatest(F.ceil(F.count_if("q") / block), F.lit(1)).cast("int").alias("blocks"),
     )
-    placed = kept.join(sizes, "dim").withColumn("at", F.xxhash64("id"))
+    placed = kept.join(sizes, "dim").withColumn("at", F.xxhash64("id", "v"))
     # A shard goes to every block of queries and a block to every shard: all queries meet all rows.
     points = placed.select(
         "dim", F.pmod("at", "shards").alias("shard"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "v"
@@ -186,6 +192,7 @@ def search(
     found = queries.groupBy(*keys).cogroup(points.groupBy(*keys)).applyInPandas(
         lambda q, p: run(p, q), "query_id bigint, vec_id bigint, score double"
     )
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

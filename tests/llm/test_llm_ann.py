@@ -89,6 +89,14 @@ def test_few_tied_odd_and_repeated_rows(spark):
     assert ann.search(frame.where("false"), "vec_id", "embedding", "true").count() == 0
 
 
+def test_every_vector_of_a_repeated_id_is_met(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [0.0, 1.0], 0), (2, [3.0, 0.0], 0), (2, [2.0, 0.0], 0), (3, [1.5, 0.0], 0), (4, [0.5, 0.0], 0), (4, [0.0, 9.0], 0)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    for shard in (100, 2):
+        got = ann.search(frame, "vec_id", "embedding", "vec_id in (1, 4)", k=2, shard=shard).orderBy("query_id", "rank").collect()
+        assert [tuple(r)[:4] for r in got] == [(1, 1, 2, 3.0), (1, 2, 3, 1.5), (4, 1, 2, 9.0), (4, 2, 3, 0.75)]
+
+
 def test_copies_of_one_vector(spark):
     rng = np.random.default_rng(2)
     unit = lambda x: (x / np.linalg.norm(x)).tolist()
