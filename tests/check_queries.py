@@ -12,6 +12,9 @@ import duckdb
 import numpy as np
 import pandas as pd
 
+SF_DIR = "/root/testdata/sf0.001"
+"""Scale of the test tables."""
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"

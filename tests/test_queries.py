@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from check_queries import connect, difference
-from conftest import SF_DIR
+from check_queries import SF_DIR, connect, difference
 from pyspark.sql import DataFrameWriter
 from pyspark.sql.classic.dataframe import DataFrame
 

@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import SF_DIR
+from check_queries import SF_DIR
 from pyspark.sql import functions as F
 
 from pairflow import fixtures
