@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairflow.llm import ann, lm, mixing, pieces, quality, secrets, simhash, tokens, tools, warc
+from pairflow.llm import ann, language, lm, mixing, phrases, pieces, quality, secrets, simhash, tokens, tools, warc, whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
@@ -21,6 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         mixing.op8_mixing,
         lm.op9_lm_scores,
         pieces.op10_sentencepiece,
+        phrases.op11_phrases,
+        language.op12_languages,
+        whiten.op13_whitening,
     )
 }
 
@@ -28,4 +31,5 @@ ORACLE = {
     "op3_warc": warc.OP3_SQL,
     "op7_quality_rules": quality.OP7_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "op11_phrases": phrases.OP11_SQL,
 }
