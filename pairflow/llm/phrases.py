@@ -255,8 +255,8 @@ def _remaining(summaries: DataFrame, least: int) -> DataFrame:
     return summaries.groupBy("p").applyInArrow(run, "block bigint, p int, keys binary")
 
 
-def _exact(words: list[bytes], tokens: np.ndarray, at: np.ndarray, n: int) -> tuple[list[str], np.ndarray]:
-    """The phrases of ``n`` words that begin at the given places, each with its count: told apart by words, not hashes."""
+def _exact(words: list[bytes], tokens: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(which of ``at`` it is, phrase, count) of each phrase of ``n`` words that begins there: told apart by words, not hashes."""
     code = tokens[at].astype(np.int64)
     for k in range(1, n):
         _, code = np.unique(code, return_inverse=True)
@@ -264,15 +264,19 @@ def _exact(words: list[bytes], tokens: np.ndarray, at: np.ndarray, n: int) -> tu
     _, first, times = np.unique(code, return_index=True, return_counts=True)
     begins = at[first]
     columns = [[words[i - 1] for i in tokens[begins + k].tolist()] for k in range(n)]
-    return [b" ".join(x).decode("utf-8", "replace") for x in zip(*columns)], times
+    return first, [b" ".join(x) for x in zip(*columns)], times
 
 
-def _counted(blocks: DataFrame, remaining: DataFrame, bits: int, longest: int) -> DataFrame:
-    """(lang, phrase, words, a) summed over each block for the hashes that remain there."""
+def _counted(blocks: DataFrame, remaining: DataFrame, bits: int, longest: int, least: int) -> DataFrame:
+    """(lang, phrase, words, a) of every phrase that stands ``least`` times.
+
+    Each block counts the phrases whose hashes remain there and sends one row to each hash partition, which adds them up.
+    """
 
     def run(own: pa.Table, kept: pa.Table) -> pa.Table:
-        langs, phrases, sizes, times = [], [], [], []
+        rows = []
         if kept.num_rows:
+            squeeze = zstandard.ZstdCompressor(level=1).compress
             live = np.sort(
                 np.concatenate(
                     [unpack(k.as_py(), counted=False)[0].astype(np.uint64) | np.uint64(p.as_py() << 32) for p, k in zip(kept["p"], kept["keys"])]
@@ -280,27 +284,47 @@ def _counted(blocks: DataFrame, remaining: DataFrame, bits: int, longest: int) -
             )
             for lang, packed, listed in zip(*[own[x].to_pylist() for x in ("lang", "tokens", "words")]):
                 tokens, words, hashes = _opened(lang, packed, listed)
+                parts, phrases, times = [np.zeros(0, np.int64)], [], [np.zeros(0, np.int64)]
                 for n, at, keys in grams(tokens, hashes, longest):
                     keys = short(keys, bits)
                     place = np.minimum(np.searchsorted(live, keys), len(live) - 1)
-                    found, a = _exact(words, tokens, at[live[place] == keys], n)
-                    langs += [lang] * len(found)
+                    held = live[place] == keys
+                    first, found, a = _exact(words, tokens, at[held], n)
+                    parts.append((keys[held][first] >> np.uint64(32)).astype(np.int64))
                     phrases += found
-                    sizes += [n] * len(found)
                     times.append(a)
+                part, count_ = np.concatenate(parts), np.concatenate(times)
+                order = np.argsort(part, kind="stable")
+                ends = np.searchsorted(part[order], np.arange(1 << bits), side="right").tolist()
+                for p, (low, high) in enumerate(zip([0, *ends], ends)):
+                    if high > low:
+                        some = order[low:high]
+                        rows.append((p, lang, squeeze(b"\n".join([phrases[i] for i in some.tolist()])), squeeze(_planes(count_[some]))))
+        columns = list(zip(*rows)) or [()] * 4
+        return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.string(), pa.binary(), pa.binary()))], ["p", "lang", "phrases", "counts"])
+
+    def total(group: pa.Table) -> pa.Table:
+        expand = zstandard.ZstdDecompressor().decompress
+        sums: defaultdict[str, defaultdict[bytes, int]] = defaultdict(lambda: defaultdict(int))
+        for lang, phrases, counts in zip(group["lang"], group["phrases"], group["counts"]):
+            own = sums[lang.as_py()]
+            for phrase, a in zip(expand(phrases.as_py()).split(b"\n"), _numbers(expand(counts.as_py())).tolist()):
+                own[phrase] += a
+        found = [(lang, phrase, a) for lang, own in sums.items() for phrase, a in own.items() if a >= least]
         return pa.table(
             {
-                "lang": pa.array(langs, pa.string()),
-                "phrase": pa.array(phrases, pa.string()),
-                "words": pa.array(sizes, pa.int32()),
-                "a": pa.array(np.concatenate([np.zeros(0, np.int64), *times]), pa.int64()),
+                "lang": pa.array([x[0] for x in found], pa.string()),
+                "phrase": pa.array([x[1].decode("utf-8", "replace") for x in found], pa.string()),
+                "words": pa.array([x[1].count(b" ") + 1 for x in found], pa.int32()),
+                "a": pa.array([x[2] for x in found], pa.int64()),
             }
         )
 
-    return (
+    sent = (
         blocks.select("block", "lang", "tokens", "words").groupBy("block").cogroup(remaining.groupBy("block"))
-        .applyInArrow(run, "lang string, phrase string, words int, a bigint")
+        .applyInArrow(run, "p int, lang string, phrases binary, counts binary")
     )
+    return sent.groupBy("p").applyInArrow(total, "lang string, phrase string, words int, a bigint")
 
 
 def frequent(docs: DataFrame, text: str, lang: str, longest: int = LONGEST, least: int = LEAST, block_bytes: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -316,10 +340,7 @@ def frequent(docs: DataFrame, text: str, lang: str, longest: int = LONGEST, leas
     bits = (max(LEAST_PARTITIONS, -(-size // PARTITION_BYTES)) - 1).bit_length()
     blocks = _blocks(rows, block_bytes)
     remaining = _remaining(_summaries(blocks, bits, longest), least)
-    counts = (
-        _counted(blocks, remaining, bits, longest)
-        .groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("a").alias("a")).where(F.col("a") >= least)
-    )
+    counts = _counted(blocks, remaining, bits, longest, least)
     return blocks.groupBy("lang").agg(F.sum("n").alias("n")), stored(counts)
 
 
