@@ -59,3 +59,40 @@ def contains(edge_list: Column, x: Column, y: Column) -> Column:
         return F.when(spans, x < at).otherwise(F.lit(False))
 
     return F.aggregate(edge_list, F.lit(False), lambda inside, e: inside != crosses(e))
+
+
+def _left_of_edge(e: Column, x: Column, y: Column) -> Column:
+    """Whether (x, y) lies to the left of the line from ``a`` to ``b``; on the line counts as not."""
+    a, b = e["a"], e["b"]
+    return (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"]) > 0
+
+
+def right_of(e: Column, x: Column, y: Column) -> Column:
+    """Whether an edge that spans the height y passes to the right of (x, y); a vertex at x counts as left of it."""
+    a, b = e["a"]["x"] > x, e["b"]["x"] > x
+    return F.when(a == b, a).otherwise((e["b"]["y"] > e["a"]["y"]) == _left_of_edge(e, x, y))
+
+
+def above(e: Column, x: Column, y: Column) -> Column:
+    """Whether an edge that spans x passes above (x, y); a vertex at y counts as below it."""
+    a, b = e["a"]["y"] > y, e["b"]["y"] > y
+    return F.when(a == b, a).otherwise((e["b"]["x"] > e["a"]["x"]) != _left_of_edge(e, x, y))
+
+
+def inside_square(corner: Column, edge_list: Column, x0: Column, y0: Column, x: Column, y: Column) -> Column:
+    """``contains`` for a point of a square, from the edges that cross it and the state of its lower left corner (x0, y0).
+
+    Goes from the corner up to the point's height and then right to the point, and changes sides at each edge
+    on the way. For the turn of the way, as for the corner, ``right_of`` and ``above`` ask the same side of an
+    edge, so that rounding cannot make the two legs differ; the point itself is tested as ``contains`` does.
+    """
+
+    def changes(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        up = ((a["x"] > x0) != (b["x"] > x0)) & (above(e, x0, y0) != above(e, x0, y))
+        at = a["x"] + (y - a["y"]) * (b["x"] - a["x"]) / F.nullif(b["y"] - a["y"], F.lit(0.0))
+        spans = (a["y"] > y) != (b["y"] > y)
+        along = F.when(spans, (x < at) != right_of(e, x0, y)).otherwise(F.lit(False))
+        return up != along
+
+    return F.aggregate(edge_list, corner, lambda inside, e: inside != changes(e))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairflow.functions import geometry
@@ -48,25 +48,74 @@ def bounds(parts: DataFrame, ring: str = "ring") -> DataFrame:
     )
 
 
-def _by_cell(polygons: DataFrame, keep: list[str], cell: float, ring: str) -> DataFrame:
-    """Polygons listed under every square of side ``cell`` their box touches, with edges made once."""
+def _touched(edges: DataFrame, cell: float) -> DataFrame:
+    """A row for each square (``__cx, __cy``) that an edge ``e`` crosses or all but touches."""
+    pad = cell * 1e-6
     at = lambda v: F.floor(v / F.lit(cell)).cast("bigint")
-    shaped = polygons.select(
-        *keep,
-        geometry.edges(geometry.closed(F.col(ring))).alias("__edges"),
-        geometry.bbox(F.col(ring)).alias("__box"),
+    ax, ay, bx, by = (F.col(c) for c in ("e.a.x", "e.a.y", "e.b.x", "e.b.y"))
+    by_column = edges.withColumn("__cx", F.explode(F.sequence(at(F.least(ax, bx) - pad), at(F.greatest(ax, bx) + pad))))
+    # Height of the edge where it enters and leaves the column.
+    side = lambda x: F.greatest(F.least(ax, bx), F.least(F.greatest(ax, bx), x))
+    height = lambda x: F.when(ax == bx, ay).otherwise(ay + (side(x) - ax) / F.nullif(bx - ax, F.lit(0.0)) * (by - ay))
+    first, last = height(F.col("__cx") * F.lit(cell) - pad), height((F.col("__cx") + 1) * F.lit(cell) + pad)
+    low = F.when(ax == bx, F.least(ay, by)).otherwise(F.least(first, last)) - pad
+    high = F.when(ax == bx, F.greatest(ay, by)).otherwise(F.greatest(first, last)) + pad
+    return by_column.withColumn("__cy", F.explode(F.sequence(at(low), at(high))))
+
+
+def _corners_inside(edges: DataFrame, cell: float) -> DataFrame:
+    """``(__rid, __cx, __cy)``: squares whose lower left corner lies inside the ring.
+
+    An edge is a row per grid line that it crosses, with the last corner to the left of it; between the
+    first and second, third and fourth, ... of a line's crossings the corners are inside.
+    """
+    at = lambda v: F.floor(v / F.lit(cell)).cast("bigint")
+    a, b = F.col("e.a"), F.col("e.b")
+    lines = edges.withColumn(
+        "__cy", F.explode(F.sequence(at(F.least(a["y"], b["y"])), at(F.greatest(a["y"], b["y"])) + 1))
+    ).withColumn("__y", F.col("__cy") * F.lit(cell))
+    met = lines.where((a["y"] > F.col("__y")) != (b["y"] > F.col("__y")))
+    guess = at(a["x"] + (F.col("__y") - a["y"]) * (b["x"] - a["x"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)))
+    # Rounding may place the crossing one corner off; the corners beside it settle that by the rule used for points.
+    left_of = lambda i: geometry.right_of(F.col("e"), i * F.lit(cell), F.col("__y"))
+    g = F.col("__g")
+    last = F.when(left_of(g + 1), g + 1).when(left_of(g), g).otherwise(g - 1)
+    per_line = (
+        met.withColumn("__g", guess).select("__rid", "__cy", last.alias("__last"))
+        .groupBy("__rid", "__cy", "__last").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") % 2 == 1)
+        .groupBy("__rid", "__cy").agg(F.array_sort(F.collect_list("__last")).alias("__at"))
+    )
+    pairs = F.transform(
+        F.sequence(F.lit(1), F.floor(F.size("__at") / 2).cast("int")),
+        lambda k: F.struct(F.element_at("__at", 2 * k - 1).alias("low"), F.element_at("__at", 2 * k).alias("high")),
     )
-    return shaped.withColumn(
-        "__cx", F.explode(F.sequence(at(F.col("__box.x_min")), at(F.col("__box.x_max"))))
-    ).withColumn("__cy", F.explode(F.sequence(at(F.col("__box.y_min")), at(F.col("__box.y_max")))))
+    spans = per_line.where(F.size("__at") >= 2).select("__rid", "__cy", F.explode(pairs).alias("s"))
+    return spans.select("__rid", F.explode(F.sequence(F.col("s.low") + 1, F.col("s.high"))).alias("__cx"), "__cy")
+
+
+def edge_index(polygons: DataFrame, keep: list[str], cell: float, ring: str = "ring") -> DataFrame:
+    """``(keep..., __cx, __cy, __inside, __edges)``: a row per ring and square of side ``cell`` that it meets or covers.
+
+    A square holds only the edges that cross it, and whether its lower left corner is inside. So the rows that make
+    it are as many as crossings of edges and squares plus squares covered, however many vertices a ring has.
+    """
+    # Numbered once and stored, so that equal rows stay apart.
+    rings = materialize(polygons.select(*keep, F.col(ring).alias("__ring")).withColumn("__rid", F.monotonically_increasing_id()))
+    # Outer, so that the edges are not made once more to look for empty rings.
+    edges = rings.select("__rid", F.explode_outer(geometry.edges(geometry.closed(F.col("__ring")))).alias("e")).where(F.col("e").isNotNull())
+    crossed = _touched(edges, cell).select("__rid", "__cx", "__cy", "e", F.lit(False).alias("__in"))
+    covered = _corners_inside(edges, cell).select("__rid", "__cx", "__cy", F.lit(None).cast(edges.schema["e"].dataType).alias("e"), F.lit(True).alias("__in"))
+    squares = crossed.unionByName(covered).groupBy("__rid", "__cx", "__cy").agg(F.max("__in").alias("__inside"), F.collect_list("e").alias("__edges"))
+    if not keep:
+        return squares.drop("__rid")
+    return squares.join(rings.drop("__ring"), "__rid").select(*keep, "__cx", "__cy", "__inside", "__edges")
 
 
 def _points_join(points, polygons, keep, cell, how, x, y, ring, spread):
-    table = materialize(_by_cell(polygons, keep, cell, ring))
+    table = materialize(edge_index(polygons, keep, cell, ring))
     at = lambda v: F.floor(F.col(v) / F.lit(cell)).cast("bigint")
-    px, py = F.col(x), F.col(y)
-    in_box = px.between(F.col("__box.x_min"), F.col("__box.x_max")) & py.between(
-        F.col("__box.y_min"), F.col("__box.y_max")
+    within = geometry.inside_square(
+        F.col("__inside"), F.col("__edges"), F.col("__cx") * F.lit(cell), F.col("__cy") * F.lit(cell), F.col(x), F.col(y)
     )
     joined = lookup(
         points.withColumns({"__cx": at(x), "__cy": at(y)}),
@@ -74,10 +123,10 @@ def _points_join(points, polygons, keep, cell, how, x, y, ring, spread):
         ["__cx", "__cy"],
         how,
         spread=spread,
-        condition=in_box & geometry.contains(F.col("__edges"), px, py),
+        condition=within,
         extra=F.size("__edges") * 32,
     )
-    return joined.drop("__cx", "__cy", "__edges", "__box")
+    return joined.drop("__cx", "__cy", "__inside", "__edges")
 
 
 def _outside_holes(points, polygons, polygon_id, cell, x, y, ring, spread):
@@ -150,9 +199,9 @@ def cell_weights(
     only touches.
 
     A polygon's area in a cell is the sum over its edges of the signed area between the edge, cut
-    to the cell, and the cell's floor. So edges are exploded, met with the cells at or below
-    them in the columns they cross, and summed: no clipping code, partial sums map-side, and a
-    ring of any size is many small rows.
+    to the cell, and the cell's floor. An edge makes rows for the cells it crosses, and one step for
+    all cells below them in its column; a running sum down the column makes the cover. So rows are as
+    many as cells crossed and cells covered, however far below an edge its ring goes.
     """
     hole = F.coalesce(F.col("hole"), F.lit(False)) if "hole" in polygons.columns else F.lit(False)
     edge = polygons.select(
@@ -160,48 +209,74 @@ def cell_weights(
         # Rows of equal rings share their direction too, so they may be summed under one key.
         F.xxhash64(F.col(ring), hole).alias("ring_key"),
         hole.alias("hole"),
-        F.floor((F.array_min(geometry.ys(F.col(ring))) - y0) / dy).cast("bigint").alias("iy_floor"),
         # Outer, so that the edges are not made once more to look for empty rings.
         F.explode_outer(geometry.edges(geometry.closed(F.col(ring)))).alias("e"),
     ).where(F.col("e").isNotNull()).select(
         polygon_id,
         "ring_key",
         "hole",
-        "iy_floor",
         *[
             ((F.col(f"e.{p}.{axis}") - F.lit(o)) / F.lit(d)).alias(f"{axis}{i}")
             for p, i in (("a", 1), ("b", 2))
             for axis, o, d in (("x", x0, dx), ("y", y0, dy))
         ],
     ).where(F.col("x1") != F.col("x2"))
-    # In cell units from here on: a cell is the unit square (ix, iy)..(ix+1, iy+1).
+    column = [polygon_id, "ring_key", "hole", "ix"]
+    events = _column_events(edge, column)
+    down = Window.partitionBy(*column).orderBy(F.col("iy").desc())
+    covered = events.select(
+        *column,
+        "iy",
+        "part",
+        F.sum("step").over(down.rowsBetween(Window.unboundedPreceding, 0)).alias("cover"),
+        F.lead("iy").over(down).alias("below"),
+    )
+    # Cells between two events have the cover alone; what rounding leaves of an ended cover is none.
+    between = F.when(
+        (F.col("below") < F.col("iy") - 1) & (F.abs("cover") > least),
+        F.transform(
+            F.sequence(F.col("below") + 1, F.col("iy") - 1),
+            lambda iy: F.struct(iy.alias("iy"), F.abs("cover").alias("w")),
+        ),
+    )
+    own = F.array(F.struct("iy", F.abs(F.col("part") + F.col("cover")).alias("w")))
+    # Each ring's own direction is taken out before rings are added up.
+    rings = covered.select(
+        *column, F.explode(F.when(between.isNull(), own).otherwise(F.concat(own, between))).alias("c")
+    ).select(polygon_id, "hole", "ix", "c.iy", "c.w")
+    w = F.sum(F.when(F.col("hole"), -F.col("w")).otherwise(F.col("w")))
+    return rings.groupBy(polygon_id, "iy", "ix").agg(w.alias("w")).where(F.col("w") > least)
+
+
+def _column_events(edge: DataFrame, column: list[str]) -> DataFrame:
+    """``(column..., iy, part, step)`` of edges in cell units (a cell is the unit square (ix, iy)..(ix+1, iy+1)).
+
+    ``part`` is the signed area under the edges that cross a cell, within it; ``step`` what the edges above
+    it add to this cell and to every one below.
+    """
     left, right = F.least("x1", "x2"), F.greatest("x1", "x2")
     slope = (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1"))
     columns = F.sequence(F.floor(left).cast("bigint"), (F.ceil(right) - 1).cast("bigint"))
+    ends = F.greatest(left, F.col("ix")), F.least(right, F.col("ix") + 1)
     strips = edge.withColumn("ix", F.explode(columns)).select(
-        polygon_id,
-        "ring_key",
-        "hole",
-        "ix",
-        "iy_floor",
-        F.signum(F.col("x2") - F.col("x1")).alias("sign"),
-        (F.least(right, F.col("ix") + 1) - F.greatest(left, F.col("ix"))).alias("run"),
-        (F.col("y1") + (F.greatest(left, F.col("ix")) - F.col("x1")) * slope).alias("yl"),
-        (F.col("y1") + (F.least(right, F.col("ix") + 1) - F.col("x1")) * slope).alias("yr"),
+        *column,
+        (F.signum(F.col("x2") - F.col("x1")) * (ends[1] - ends[0])).alias("run"),
+        (F.col("y1") + (ends[0] - F.col("x1")) * slope).alias("yl"),
+        (F.col("y1") + (ends[1] - F.col("x1")) * slope).alias("yr"),
     )
-    top = F.greatest(F.floor(F.greatest("yl", "yr")).cast("bigint"), F.col("iy_floor"))
-    cells = strips.withColumn("iy", F.explode(F.sequence(F.col("iy_floor"), top)))
+    lowest, highest = F.floor(F.least("yl", "yr")).cast("bigint"), F.floor(F.greatest("yl", "yr")).cast("bigint")
+    cells = strips.withColumn("__under", lowest - 1).withColumn("iy", F.explode(F.sequence(F.col("__under"), highest)))
     low, high = F.col("iy").cast("double"), F.col("iy").cast("double") + 1
     rise = F.col("yr") - F.col("yl")
     middle = F.least(F.greatest((F.col("yl") + F.col("yr")) / 2, low), high) - low
     mean = F.when(F.abs(rise) < 1e-9, middle).otherwise(
         (_area_under(F.col("yr"), low, high) - _area_under(F.col("yl"), low, high)) / F.nullif(rise, F.lit(0.0))
     )
-    # Each ring's own direction is taken out before rings are added up.
-    area = F.abs(F.sum(F.col("sign") * F.col("run") * mean))
-    rings = cells.groupBy(polygon_id, "ring_key", "hole", "iy", "ix").agg(area.alias("w"))
-    w = F.sum(F.when(F.col("hole"), -F.col("w")).otherwise(F.col("w")))
-    return rings.groupBy(polygon_id, "iy", "ix").agg(w.alias("w")).where(F.col("w") > least)
+    under = F.col("iy") == F.col("__under")
+    return cells.groupBy(*column, "iy").agg(
+        F.sum(F.when(under, 0.0).otherwise(F.col("run") * mean)).alias("part"),
+        F.sum(F.when(under, F.col("run")).otherwise(0.0)).alias("step"),
+    )
 
 
 def zonal_mean(

@@ -169,3 +169,90 @@ def test_id_batches_and_missing_ids(spark):
     assert {r.batch_start for r in sites.id_batches(ids).collect()} == {0, 10, 20}
     flow = spark.createDataFrame([(0,), (2,), (2,)], "feature_id bigint")
     assert sorted(r.feature_id for r in sites.missing_ids(ids, flow).collect()) == [1, 3]
+
+
+def _plain_inside(corners, x, y):
+    closed = corners if corners[0] == corners[-1] else [*corners, corners[0]]
+    odd = False
+    for (ax, ay), (bx, by) in zip(closed, closed[1:]):
+        if (ay > y) != (by > y):
+            odd ^= x < ax + (y - ay) * (bx - ax) / (by - ay)
+    return odd
+
+
+@pytest.mark.parametrize("cell", [0.5, 1.0, 2.5])
+def test_points_equal_a_ray_test_on_the_grid_and_off_it(spark, cell):
+    """Vertices, edges and points on grid lines, rings that cross themselves, degenerate rings."""
+    rng = random.Random(11)
+    near = lambda: rng.choice([rng.randint(-4, 4) * 0.5, rng.uniform(-2, 2)])
+    shapes = {f"r{i}": [(near(), near()) for _ in range(rng.randint(1, 9))] for i in range(60)}
+    shapes["line"] = [(0.0, 0.0), (1.0, 0.0), (0.0, 0.0)]
+    points = [(i, near() + rng.choice([0, 0.013]), near() + rng.choice([0, 0.017])) for i in range(250)]
+    df = spark.createDataFrame(points, "id bigint, x double, y double")
+    got = {(r.id, r.divide_id) for r in spatial.locate_points(df, rings(spark, shapes), "divide_id", cell).collect()}
+    assert got == {(i, k) for i, x, y in points for k, c in shapes.items() if _plain_inside(c, x, y)}
+
+
+def test_equal_rings_stay_apart(spark):
+    polygons = rings(spark, {"a": SHAPES["square"]})
+    df = spark.createDataFrame([(1, 1.0, 1.0)], "id bigint, x double, y double")
+    assert spatial.locate_points(df, polygons.unionByName(polygons), "divide_id", 0.7).count() == 2
+
+
+def test_a_long_ring_makes_rows_by_its_edges(spark):
+    """100,000 vertices over about 10,000 squares: edges are listed where they are, not in every square."""
+    n = 100_000
+    star = [(50 + (40 + 9 * math.sin(40 * t)) * math.cos(t), 50 + (40 + 9 * math.sin(40 * t)) * math.sin(t)) for t in (2 * math.pi * i / n for i in range(n))]
+    index = spatial.edge_index(rings(spark, {"star": star}), ["divide_id"], 1.0)
+    squares, listed, most = index.agg(F.count("*"), F.sum(F.size("__edges")), F.max(F.size("__edges"))).first()
+    assert 5_000 < squares < 10_000
+    assert listed < 1.1 * n and most < 2_000
+    rng = random.Random(2)
+    points = [(i, rng.uniform(0, 100), rng.uniform(0, 100)) for i in range(60)]
+    df = spark.createDataFrame(points, "id bigint, x double, y double")
+    got = {r.id for r in spatial.points_in_polygons(df, rings(spark, {"star": star}), 1.0).collect()}
+    assert got == {i for i, x, y in points if _plain_inside(star, x, y)}
+
+
+def test_cover_makes_rows_by_edges_crossed_and_cells_covered(spark, monkeypatch):
+    """A thin bar far above the ring's floor adds nothing below it: the sum runs over events only."""
+    tall = [(0.0, 0.0), (0.0, 1.0), (50.25, 1.0), (50.25, 900.0), (51.5, 900.0), (51.5, 0.0)]
+    comb = [p for i in range(100) for p in ((i, 1000.0), (i + 0.5, 1002.0))] + [(100.0, 1000.0), (100.0, 0.5), (0.0, 0.5)]
+    seen = []
+    events = spatial._column_events
+    monkeypatch.setattr(spatial, "_column_events", lambda *a: seen.append(events(*a)) or seen[-1])
+    for shape, cells in ((tall, 50 + 2 * 900), (comb, 100 * 1002)):
+        got = spatial.cell_weights(rings(spark, {"a": shape}))
+        rows, total = got.agg(F.count("*"), F.sum("w")).first()
+        assert total == pytest.approx(area(shape), rel=1e-12)
+        assert cells * 0.99 < rows <= cells + 200
+        assert seen.pop().count() < 3_000
+
+
+def test_cover_of_gaps_and_tilted_edges(spark):
+    """Columns that a ring leaves and enters again, cell by cell against the area of the clipped ring."""
+    shape = [(0.3, 0.2), (4.7, 0.9), (4.1, 9.6), (3.2, 9.9), (3.5, 2.2), (1.6, 1.9), (1.2, 8.3), (0.1, 7.7)]
+
+    def clipped(corners, side, keep):
+        out = []
+        for p, q in zip(corners, corners[1:] + corners[:1]):
+            inp, inq = keep(p), keep(q)
+            if inp:
+                out.append(p)
+            if inp != inq:
+                axis, at = side
+                t = (at - p[axis]) / (q[axis] - p[axis])
+                out.append(tuple(at if k == axis else p[k] + t * (q[k] - p[k]) for k in (0, 1)))
+        return out
+
+    want = {}
+    for ix in range(5):
+        for iy in range(10):
+            c = shape
+            for side, keep in (((0, ix), lambda p: p[0] >= ix), ((0, ix + 1), lambda p: p[0] <= ix + 1), ((1, iy), lambda p: p[1] >= iy), ((1, iy + 1), lambda p: p[1] <= iy + 1)):
+                c = clipped(c, side, keep) if c else c
+            if c and area(c) > 1e-9:
+                want[iy, ix] = area(c)
+    for corners in (shape, shape[::-1]):
+        got = {(r.iy, r.ix): r.w for r in spatial.cell_weights(rings(spark, {"a": corners})).collect()}
+        assert got == pytest.approx(want, abs=1e-12)
