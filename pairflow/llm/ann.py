@@ -127,10 +127,12 @@ def best(vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, k: int) -> tup
     ``ids`` are sorted; of an id with several vectors the nearest counts.
     """
     if len(ids) > k:
-        rough = vectors @ query
+        # At lengths of at most 1, where no product overflows and rounding is far below the margin.
+        down = -int(np.ceil(max(lengths(vectors).max(), lengths(query[None])[0])))
+        rough = np.ldexp(vectors, down) @ np.ldexp(query, down)
         top = np.maximum.reduceat(rough, np.nonzero(np.r_[True, ids[1:] != ids[:-1]])[0])
         floor = np.partition(top, len(top) - k)[len(top) - k] if len(top) > k else top.min()
-        near = rough >= floor - 1e-9 * max(1.0, abs(floor))
+        near = rough >= floor - 1e-9
         vectors, ids = vectors[near], ids[near]
     score = (vectors * query).sum(axis=1)
     order = np.lexsort((-score, ids))

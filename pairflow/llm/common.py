@@ -64,6 +64,13 @@ def row_key(df: DataFrame, *names: str) -> Column:
     return F.xxhash64(*[F.col(quoted(c)) for c in (names or df.columns)])
 
 
+def row_digest(df: DataFrame) -> Column:
+    """128 bits of a row's values, by two digests of unlike seeds, as hexadecimal digits: the row's identity in joins."""
+    # A digest passes over nulls, so each value goes with whether it is one.
+    values = [x for c in columns(df) for x in (c.isNull(), c)]
+    return F.concat(*[F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(*values), F.xxhash64(F.lit("row"), *values))])
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder below the one that the driver and all executors see."""
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

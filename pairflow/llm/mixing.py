@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairflow.llm.common import columns, n_words, quoted, row_key, spare, stored, table
+from pairflow.llm.common import columns, n_words, quoted, row_digest, spare, stored, table
 from pairflow.operators.ordering import row_index
 
 WEIGHTS = [5, 2, 1]
@@ -65,14 +65,15 @@ def offset(source: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
-def copies(docs: DataFrame, key: str, size: str, source: str, seed: str = SEED, **aims: object) -> DataFrame:
+def copies(docs: DataFrame, key: str, size: str, source: str, seed: str = SEED, ties: tuple[str, ...] = (), **aims: object) -> DataFrame:
     """``docs`` with source_size, target, and how many copies of each row the mix takes (``n_copies``).
 
     Rows stand by the leading bits of their size, then by a digest of ``key``: neighbours are of
     like size, so the words taken come near the target too. All rows of a source have the same
     expectation, target / source_size; a source without words gives no copies. Null sources are
-    one source; null and repeated keys each keep a row's place of their own, and as such rows
-    stand next to each other their copies come out the same in each run. An empty table gives an empty one.
+    one source; null and repeated keys each keep a row's place of their own. Rows of equal key and size stand
+    by the columns ``ties``; what these leave equal is told apart by nothing here, so that only rows equal in
+    all of these columns can change places between runs. An empty table gives an empty one.
     """
     own, at, none = spare(docs, "source", "place", "isnull")
     s = F.col(quoted(source))
@@ -84,7 +85,7 @@ def copies(docs: DataFrame, key: str, size: str, source: str, seed: str = SEED,
     digest = F.md5(F.coalesce(F.col(quoted(key)).cast("string"), F.lit("null")).cast("binary"))
     place = F.struct(F.length(bits).alias("a"), F.substring(bits, 1, 4).alias("b"), F.substring(digest, 1, 2).alias("c"))
     keyed = docs.withColumns({own: F.coalesce(s, F.lit("")), none: s.isNull()})
-    placed = row_index(keyed, [own, none], [digest.asc(), F.col(quoted(size)).asc()], place, name=at)
+    placed = row_index(keyed, [own, none], [digest.asc(), F.col(quoted(size)).asc(), *[F.col(quoted(t)) for t in ties]], place, name=at)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     start = offset(s, seed)
     crossed = F.floor((F.col(at) + 1) * rate + start) - F.floor(F.col(at) * rate + start)
@@ -109,19 +110,19 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Copies are found on (key, size, source) alone and then joined to the texts by the row's content,
     of which the larger side is only streamed past. Rows equal in every column share one key and
-    so the sum of their copies.
+    so the sum of their copies. Rows of one id stand by their content, so reruns take the same texts.
     """
     key, size, of, n, number = spare(docs, "key", "size", "same", "n", "number")
     thin = stored(
-        docs.select("doc_id", "source", row_key(docs).alias(key), n_words(F.col("text")).alias(size))
+        docs.select("doc_id", "source", row_digest(docs).alias(key), n_words(F.col("text")).alias(size))
     )
     taken = (
-        copies(thin, "doc_id", size, "source")
+        copies(thin, "doc_id", size, "source", ties=(key,))
         .groupBy(F.col(key))
         .agg(F.sum("n_copies").alias(n), F.count(F.lit(1)).alias(of))
         .where(F.col(n) > 0)
     )
-    met = docs.withColumn(key, row_key(docs)).join(taken.hint("shuffle_hash"), key)
+    met = docs.withColumn(key, row_digest(docs)).join(taken.hint("shuffle_hash"), key)
     # Equal rows cannot be told apart: one of them stands for all and carries their copies.
     once = met.where(F.col(of) == 1)
     many = met.where(F.col(of) > 1).dropDuplicates([key])

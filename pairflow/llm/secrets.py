@@ -41,7 +41,8 @@ RULES = [
     # Beyond the base: other public credential forms.
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 15),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 30),
+    # From the start of a run of its characters, each run read once.
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++", 30),
     Rule("pem", r"-----BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY-----", 20),
 ]
 BASE = 3
@@ -303,35 +304,59 @@ def listed(spans_: Column, rules: list[Rule] = RULES) -> Column:
     )
 
 
-def redact(text: Column, spans_: Column, filler: str = "[REDACTED]") -> Column:
-    """The text with each maximal run of overlapping or touching spans exchanged for ``filler``."""
-    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-
-    def join(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        own = F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))
-        merged = F.array(
-            F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        )
-        return F.when(
-            (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= s["start"]),
-            F.concat(F.slice(done, 1, F.size(done) - 1), merged),
-        ).otherwise(F.concat(done, own))
-
-    def rebuild(runs: Column) -> Column:
-        kept = F.transform(
-            F.sequence(F.lit(0), F.size(runs)),
-            lambda i: let(
-                F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.get(runs, i - 1)["end"]),
-                lambda a: F.substring(
-                    text, (a + 1).cast("int"), (F.coalesce(F.get(runs, i)["start"], F.length(text)) - a).cast("int")
+PIECE = 4096
+"""Characters of the pieces that a text is cut into before parts of it are taken."""
+def _running_max(values: Column) -> Column:
+    """The greatest of each value and all before it (values are not negative): within blocks, then over blocks."""
+
+    def within(xs: Column) -> Column:
+        zero = F.struct(F.array().cast("array<bigint>").alias("s"), F.lit(0).cast("bigint").alias("m"))
+
+        def add(a: Column, x: Column) -> Column:
+            most = F.greatest(a["m"], x)
+            return F.struct(F.concat(a["s"], F.array(most)).alias("s"), most.alias("m"))
+
+        return F.aggregate(xs, zero, add, lambda a: a["s"])
+
+    def by_block(xs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int")), lambda b: F.slice(xs, b * BLOCK + 1, BLOCK))
+        return let(
+            blocks,
+            lambda bs: let(
+                within(F.transform(bs, F.array_max)),
+                lambda most: F.flatten(
+                    F.transform(bs, lambda b, i: F.transform(within(b), lambda v: F.when(i > 0, F.greatest(v, F.get(most, i - 1))).otherwise(v)))
                 ),
             ),
         )
-        return F.array_join(kept, filler)
 
-    runs = F.aggregate(spans_, empty, join)
-    return F.when(F.size(spans_) == 0, text).otherwise(let(runs, rebuild))
+    return let(values, by_block)
+
+
+def redact(text: Column, spans_: Column, filler: str = "[REDACTED]") -> Column:
+    """The text with each maximal run of overlapping or touching spans exchanged for ``filler``.
+
+    ``spans_`` are sorted by start. A gap lies between the greatest end so far and the next start; it is taken from the
+    pieces of the text that it lies in, so the work grows with the text and the spans, not with their product.
+    """
+
+    def rebuild(pieces_: Column, ends: Column) -> Column:
+        def cut(a: Column, b: Column) -> Column:
+            first = F.floor(a / PIECE).cast("int")
+            some = F.array_join(F.slice(pieces_, first + 1, F.floor(F.greatest(b - 1, a) / PIECE).cast("int") - first + 1), "")
+            return F.substring(some, (a - first * PIECE + 1).cast("int"), (b - a).cast("int"))
+
+        def gap(i: Column) -> Column:
+            a = F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.get(ends, i - 1))
+            b = F.coalesce(F.get(spans_, i)["start"], F.length(text).cast("bigint"))
+            # Spans that touch leave no gap, unless it is the one ahead of the first or behind the last.
+            return F.when((i == 0) | (i == F.size(ends)) | (b > a), F.when(b > a, cut(a, b)).otherwise(F.lit("")))
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(ends)), gap), filler)
+
+    pieces_ = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    ends = _running_max(F.transform(spans_, lambda s: s["end"]))
+    return F.when(F.size(spans_) == 0, text).otherwise(let(pieces_, lambda p: let(ends, lambda e: rebuild(p, e))))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairflow.llm.common import columns, quoted, row_key, spare, stored, table
+from pairflow.llm.common import columns, quoted, row_digest, spare, stored, table
 from pairflow.llm.components import components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -201,7 +201,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null ids come after all others. Rows equal in every column are one row.
     """
     key, fp, least, twin = spare(docs, "key", "fp", "least", "twin")
-    keyed = docs.withColumns({key: row_key(docs)})
+    keyed = docs.withColumns({key: row_digest(docs)})
     prints = stored(
         with_fingerprint(keyed.select("doc_id", "text", key), "text", "fp").select("doc_id", F.col(key).alias("key"), "fp")
     )

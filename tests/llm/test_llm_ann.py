@@ -113,3 +113,14 @@ def test_climbing_reaches_everything():
     assert ((few[:, :, 1] - few[:, :, 0]).sum(1) >= 6).all()
     assert all(forest.candidates(few[i])[i] for i in range(4))
     assert all(forest.candidates(s).all() for s in all_)
+
+
+@pytest.mark.parametrize("size", [1e160, 1e307, 1e-160])
+def test_products_beyond_the_range_of_doubles(spark, size):
+    """Finite vectors whose products overflow (or vanish) still have all their neighbours."""
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.standard_normal(8) * size).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = ann.search(df, "vec_id", "embedding", "vec_id % 20 = 0").toPandas()
+    assert got.groupby("query_id").size().to_dict() == {0: 20, 20: 20, 40: 20}
+    assert sorted(got["rank"].unique()) == list(range(1, 21))

@@ -6,7 +6,7 @@ import pytest
 from check_queries import connect, difference
 from pyspark.sql import functions as F
 
-from pairflow.llm import mixing
+from pairflow.llm import common, mixing
 
 SF = "/root/testdata/sf0.001"
 
@@ -69,3 +69,21 @@ def test_stage_repeats_rows(spark, docs):
     assert sum(len((t or "").split()) * n for (_, t), n in seen.items()) == pytest.approx(1.5 * sum(len((t or "").split()) for t in texts), rel=0.1)
     assert mixing.mix(spark, frame.where("false"), "").count() == 0
     assert mixing.mix(spark, docs([None, ""]), "").count() == 0
+
+
+def test_rows_of_one_id_are_mixed_alike_in_each_run(spark):
+    """Forty rows without id and of one size: which texts stand twice depends on the texts alone."""
+    rows = [(None, f"word{i:02d}", None, "s", 6) for i in range(40)] + [(None, None, "word00", "s", 6)]
+    runs = []
+    for k, order in enumerate((rows, rows[::-1], rows[20:] + rows[:20])):
+        df = spark.createDataFrame(order, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(k + 1)
+        runs.append(sorted((r.text or "", r.lang or "") for r in mixing.mix(spark, df, "").collect()))
+    assert runs[0] == runs[1] == runs[2]
+    assert len(set(runs[0])) < len(runs[0])
+
+
+def test_a_digest_tells_rows_apart(spark):
+    rows = [("a", None), (None, "a"), ("a", "a"), (None, None), ("", None), ("aa", None)]
+    df = spark.createDataFrame(rows, "x string, y string")
+    assert df.select(common.row_digest(df).alias("d")).distinct().count() == len(rows)
+    assert {len(r.d) for r in df.select(common.row_digest(df).alias("d")).collect()} == {32}

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from plain import base_spans, listed
@@ -88,3 +90,49 @@ def test_query_digest(spark):
         spans = base_spans(texts[r["doc_id"]])
         assert r["base_sha256"] == hashlib.sha256(listed(spans).encode()).hexdigest()
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == n for _, k, _ in spans) for n in range(3)]
+
+
+def test_hostile_tokens_take_linear_time(spark):
+    """Runs that begin like a token again and again, and never are one; seconds, where each start read on for itself."""
+    n = 2_000_000
+    texts = ["eyJ" * (n // 3) + ".eyJ", "eyJa.eyJb" * (n // 9), "x" + "eyJ" * 10 + ".eyJa." + "b" * 30]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    start = time.time()
+    got = {r.doc_id: r.n for r in secrets.scan(df).select("doc_id", F.size(F.filter("secrets", lambda s: s["number"] == 5)).alias("n")).collect()}
+    assert got[0] == 0 and got[2] == 0 and time.time() - start < 60
+
+
+def _hidden(text, spans):
+    out, at = [], 0
+    runs = []
+    for a, b in spans:
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], b)
+        else:
+            runs.append([a, b])
+    for a, b in runs:
+        out.append(text[at:a])
+        at = b
+    return "[REDACTED]".join([*out, text[at:]])
+
+
+def test_redact_equals_a_plain_merge(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "PIECE", 7)
+    rng = random.Random(4)
+    rows = []
+    for i in range(120):
+        text = "".join(rng.choice("ab\n é日\U0001f600") for _ in range(rng.randint(0, 60)))
+        cuts = sorted((a, a + rng.randint(1, 9)) for a in (rng.randrange(len(text)) for _ in range(rng.randint(0, 9) if text else 0)))
+        rows.append((i, text, [(a, 0, min(b, len(text))) for a, b in cuts]))
+    df = spark.createDataFrame(rows, "i int, text string, spans array<struct<start:bigint,number:int,end:bigint>>")
+    got = {r.i: r.t for r in df.select("i", secrets.redact(F.col("text"), F.col("spans")).alias("t")).collect()}
+    assert got == {i: _hidden(t, [(a, b) for a, _, b in s]) for i, t, s in rows}
+
+
+def test_a_text_of_many_secrets_is_hidden_in_linear_time(spark, docs):
+    n = 50_000
+    text = "".join(f"word{i} AKIA{'X' * 16} é " for i in range(n))
+    start = time.time()
+    got = secrets.hide_secrets(spark, docs([text]), "").first().text
+    assert got == "".join(f"word{i} [REDACTED] é " for i in range(n))
+    assert time.time() - start < 60
