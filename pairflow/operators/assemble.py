@@ -14,13 +14,19 @@ MISSING_FORCING = -9999.0
 SITE_COLUMNS = ["comid", "catid", "du", "pair_id"]
 
 
-def site_time_grid(times: DataFrame, sites: DataFrame, parts: int = 64) -> DataFrame:
+PART_SITES = 256
+"""Sites of one part of the list, on average."""
+
+
+def site_time_grid(times: DataFrame, sites: DataFrame, part_sites: int = PART_SITES) -> DataFrame:
     """Every site at every time step.
 
     Made by an equi-join on (part, month): sites are listed under the months that have steps, the
     steps of a month (at most 31 days of them) under each part. So the work is spread over months
-    times parts, and no side has to be broadcast. The steps, one row each, are worked out once.
+    times parts, and no side has to be broadcast. The steps, one row each, are worked out once. There are as many
+    parts as ``part_sites`` goes into the list, which is counted: give a stored one.
     """
+    parts = max(1, -(-sites.count() // part_sites))
     steps = materialize(times.select("time").distinct())
     months = steps.groupBy(F.trunc(F.to_date("time"), "month").alias("__month")).agg(F.collect_list("time").alias("__times"))
     names = steps.agg(F.collect_set(F.trunc(F.to_date("time"), "month")).alias("m")).select("m").scalar()
@@ -55,6 +61,7 @@ def build_series(
     variables: list[str],
     catchments: DataFrame | None = None,
     polygon_id: str = "divide_id",
+    places: DataFrame | None = None,
 ) -> DataFrame:
     """The assembled rows, with ``has_flow`` and ``has_attributes`` telling whether the lookups hit.
 
@@ -62,21 +69,33 @@ def build_series(
     polygon id and the variables; ``flow`` has one value per (time, feature_id). A missing
     forcing becomes -9999; with ``catchments`` (ids of known polygons) only that of a
     catchment without polygon does, as NaN of a known one would stay missing.
+
+    With ``places`` (``place, catid, comid``, also a column of ``grid``) forcing and flow are first brought to the
+    places of the list by that small table, so that all three meet on (place, time) and the grid, by
+    far the largest, is shuffled once. Without it they meet on catchment and on reach.
     """
     known = None
-    forced = grid.join(zonal.withColumnRenamed(polygon_id, "catid"), ["time", "catid"], "left")
+    zonal = zonal.withColumnRenamed(polygon_id, "catid")
+    q = flow.select("time", F.col("feature_id").alias("comid"), "streamflow", F.lit(True).alias("has_flow"))
+    on_zonal, on_flow = ["time", "catid"], ["time", "comid"]
+    if places is not None:
+        on_zonal = on_flow = ["place", "time"]
+        zonal = lookup(zonal, places.select("catid", "place"), ["catid"], spread=["time"]).drop("catid")
+        q = lookup(q, places.select("comid", "place"), ["comid"], spread=["time"]).drop("comid")
+    forced = grid.join(zonal, on_zonal, "left")
     if catchments is not None:
         known = materialize(
             catchments.select(F.col(polygon_id).alias("catid")).distinct().withColumn("__known", F.lit(True))
         )
-        forced = lookup(forced, known, ["catid"], "left", spread=["time"])
     fill = lambda v: (
         F.coalesce(named(v), F.lit(MISSING_FORCING))
         if known is None
         else F.when(F.col("__known").isNull(), F.lit(MISSING_FORCING)).otherwise(named(v))
     )
-    q = flow.select("time", F.col("feature_id").alias("comid"), "streamflow", F.lit(True).alias("has_flow"))
-    with_flow = forced.withColumns({v: fill(v) for v in variables}).join(q, ["time", "comid"], "left")
+    with_flow = forced.join(q, on_flow, "left")
+    if known is not None:
+        with_flow = lookup(with_flow, known, ["catid"], "left", spread=["time"])
+    with_flow = with_flow.withColumns({v: fill(v) for v in variables})
 
     names = [c for c in attributes.columns if c not in ("ds_catid", "divide_id", "idx")]
     table = materialize(
@@ -100,20 +119,22 @@ def build_series(
     )
 
 
+def place_days(series: DataFrame) -> DataFrame:
+    """``(day, pair_id, du, comid, catid, n, n_no_flow, n_no_attributes)``: steps of each place and day, and those that failed."""
+    return series.groupBy(F.to_date("time").alias("day"), "pair_id", "du", "comid", "catid").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(~F.col("has_flow")).alias("n_no_flow"),
+        F.count_if(~F.col("has_attributes")).alias("n_no_attributes"),
+    )
+
+
 def site_errors(series: DataFrame) -> DataFrame:
     """Places of the list with a failed lookup on a day, with the number of steps that failed.
 
     ``(day, pair_id, du, comid, catid, n_no_flow, n_no_attributes)``: a reach may stand in several
     pairs and fail in one of them.
     """
-    return (
-        series.where(~F.col("has_flow") | ~F.col("has_attributes"))
-        .groupBy(F.to_date("time").alias("day"), "pair_id", "du", "comid", "catid")
-        .agg(
-            F.count_if(~F.col("has_flow")).alias("n_no_flow"),
-            F.count_if(~F.col("has_attributes")).alias("n_no_attributes"),
-        )
-    )
+    return place_days(series).where((F.col("n_no_flow") > 0) | (F.col("n_no_attributes") > 0)).drop("n")
 
 
 def split_errors(series: DataFrame) -> tuple[DataFrame, DataFrame]:

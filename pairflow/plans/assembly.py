@@ -30,7 +30,7 @@ def assemble_series(
 
     Weights and attributes are first cut to the listed sites.
     """
-    wanted = materialize(described_sites)
+    wanted = materialize(described_sites.withColumn("place", F.monotonically_increasing_id()))
     catids = wanted.select(F.col("catid").alias(polygon_id)).distinct()
     used = materialize(weights.join(catids, polygon_id, "left_semi"))
     files = wanted.select("ds_catid", F.col("catid").alias("divide_id")).distinct()
@@ -39,7 +39,7 @@ def assemble_series(
     grid = assemble.site_time_grid(forcing.select("time") if times is None else times, wanted)
     comids = wanted.select(F.col("comid").alias("feature_id")).distinct()
     kept = lookup(flow, comids, ["feature_id"], "left_semi", spread=["time"])
-    return assemble.build_series(grid, zonal, kept, rows, variables, used.select(polygon_id), polygon_id)
+    return assemble.build_series(grid, zonal, kept, rows, variables, used.select(polygon_id), polygon_id, wanted)
 
 
 def assemble_all(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,9 +125,21 @@ def parse_pair_map(objects: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
-def read_pair_map(spark: SparkSession, path: str) -> DataFrame:
-    """The pair map file: one JSON object ``{"<id>": <id>, ...}``."""
-    return parse_pair_map(spark.read.text(path, wholetext=True))
+def read_pair_map(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The pair map file: one JSON object ``{"<id>": <id>, ...}``, or with ``lines`` an object per line.
+
+    Lines are read by many tasks: files in order of name, lines in order within. A key written twice keeps its first
+    place and its last value in either form.
+    """
+    if not lines:
+        return parse_pair_map(spark.read.text(path, wholetext=True))
+    block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    text = spark.read.text(path).select("value", block.alias("__block"), F.monotonically_increasing_id().alias("__line"))
+    # A task numbers its lines upwards, but blocks stand by file and place.
+    at = F.struct(F.col("__block"), F.col("__line"), F.col("entry"))
+    once = parse_pair_map(text).groupBy("key").agg(F.min(at).alias("__at"), F.max_by("value", at).alias("value"))
+    placed = materialize(once.select("key", "value", "__at", F.col("__at.__block").alias("__block")))
+    return _numbered(placed, "__at", "__block").withColumnRenamed("pos", "entry")
 
 
 def pair_map_ids(pairs: DataFrame) -> DataFrame:
@@ -318,9 +330,10 @@ def _write_days(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 def replace_days(df: DataFrame, path: str, days: list[str]) -> None:
     """Write by day; of ``days`` (folder names) those that ``df`` has no row for lose what they held."""
     spark = df.sparkSession
-    _write_days(df, path)
-    held = df.select(clean_key(day_key(F.col("time"))).alias("k")).distinct()
-    for gone in set(days) - {r["k"] for r in held.collect()}:
+    # One pass writes the rows and tells the days they are of.
+    seen = Observation()
+    _write_days(df.observe(seen, F.collect_set(clean_key(day_key(F.col("time")))).alias("days")), path)
+    for gone in set(days) - set(seen.get["days"]):
         delete(spark, f"{path}/{DAY_FOLDER}={gone}")
 
 
@@ -335,7 +348,7 @@ def write_flow(flow: DataFrame, path: str, by: str = "feature", batches: DataFra
     features has few. Rows of a batch folder are spread by month over several tasks.
     """
     if by == "feature":
-        keyed = flow.withColumn("feature_group", F.floor(F.col("feature_id") / FEATURES_PER_FOLDER).cast("bigint"))
+        keyed = flow.withColumn("feature_group", F.expr(f"(feature_id - pmod(feature_id, {FEATURES_PER_FOLDER})) div {FEATURES_PER_FOLDER}"))
         ordered = keyed.repartitionByRange("feature_id", "time").sortWithinPartitions("feature_group", "feature_id", "time")
         ordered.write.mode("overwrite").partitionBy("feature_group").parquet(path)
         return

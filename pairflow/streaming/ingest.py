@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pairflow import schemas
 from pairflow.operators import assemble
 from pairflow.plans import assembly
-from pairflow.session import Staging, ensure_checkpoint_dir
+from pairflow.session import Staging, ensure_checkpoint_dir, materialize
 from pairflow.sources import io
 
 
@@ -35,20 +35,20 @@ def run_name(day: dt.date) -> str:
 def run_log(
     spark: SparkSession,
     run: str,
-    rows: DataFrame,
-    errors: DataFrame,
+    places: DataFrame,
     started: dt.datetime,
     ended: dt.datetime,
 ) -> DataFrame:
-    """Log of a run: start and end with the elapsed seconds, and done or error per site and day."""
+    """Log of a run: start and end with the elapsed seconds, and done or error per site and day (``assemble.place_days``)."""
+    failed_here = (F.col("n_no_flow") > 0) | (F.col("n_no_attributes") > 0)
     whole = spark.createDataFrame(
         [("started", None, started), ("finished", (ended - started).total_seconds(), ended)],
         "event string, seconds double, logged_at timestamp",
     )
-    done = rows.groupBy(F.to_date("time").alias("day"), "comid", "catid").agg(
-        F.lit("done").alias("event"), F.count(F.lit(1)).alias("rows")
+    done = places.where(~failed_here).groupBy("day", "comid", "catid").agg(
+        F.lit("done").alias("event"), F.sum("n").alias("rows")
     )
-    failed = errors.select(
+    failed = places.where(failed_here).select(
         "day",
         "comid",
         "catid",
@@ -97,16 +97,22 @@ def run_days(
     forcing = io.select_forcing(spark.read.parquet(inputs.forcing_path), inputs.variables, start, end)
     wanted = inputs.sites.select(F.col("comid").alias("feature_id"))
     selected = io.select_flow(flow, wanted, start, end, order=order)
-    # Read by the row writer, the error split and the log: computed once.
+    # Read by the row writer and the log: computed once.
     with Staging(spark) as staged:
-        rows, errors = assemble.split_errors(staged(_assembled(inputs, forcing, selected, order, None)))
-        io.replace_days(rows, out_path, _day_names(forcing))
-        run_log(spark, run, rows, errors, started, dt.datetime.now()).write.mode("append").parquet(log_path)
+        series = staged(_assembled(inputs, forcing, selected, order, None))
+        io.replace_days(assemble.split_errors(series)[0], out_path, _day_names(forcing))
+        places = materialize(assemble.place_days(series))
+        run_log(spark, run, places, started, dt.datetime.now()).write.mode("append").parquet(log_path)
 
 
 LANDED = "time timestamp_ntz, feature_id bigint, streamflow double, source string, ingest_batch bigint, day_key string"
 
 
+def landed_days(landing: str, days: list[str]) -> list[str]:
+    """Folders that hold all records of the given days (folder names)."""
+    return [f"{landing}/{io.DAY_FOLDER}={d}" for d in days]
+
+
 def _ingest(inputs: Inputs, out_path: str, log_path: str, run: str, landing: str) -> Callable[[DataFrame, int], None]:
     def batch(flow: DataFrame, batch_id: int) -> None:
         spark = flow.sparkSession
@@ -115,15 +121,15 @@ def _ingest(inputs: Inputs, out_path: str, log_path: str, run: str, landing: str
         # All steps that arrived, also those of which no listed feature did.
         steps = flow.select("time", F.lit(None).cast("bigint").alias("feature_id"), F.lit(None).cast("double").alias("streamflow"), "source")
         arrived = io.select_flow(flow, wanted, order="source").unionByName(steps.distinct())
-        # Named by the batch, so a batch run again after a failure replaces its own records.
-        own = f"{landing}/ingest_batch={batch_id}"
-        arrived.withColumn(io.DAY_FOLDER, io.clean_key(io.day_key(F.col("time")))).write.mode("overwrite").partitionBy(io.DAY_FOLDER).parquet(own)
-        days = _day_names(spark.read.parquet(own))
+        days = _day_names(flow)
         if not days:
             return
-        # The days that got something are made anew from all that ever came for them.
-        landed = spark.read.schema(LANDED).option("basePath", landing).parquet(f"{landing}/ingest_batch=*")
-        landed = landed.where(F.col(io.DAY_FOLDER).between(days[0], days[-1]) & F.col(io.DAY_FOLDER).isin(days))
+        # A folder per day and in it one per batch, so a batch run again after a failure replaces its own records.
+        placed = arrived.withColumns({io.DAY_FOLDER: io.clean_key(io.day_key(F.col("time"))), "ingest_batch": F.lit(batch_id).cast("bigint")})
+        writer = placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(io.DAY_FOLDER, "ingest_batch").parquet(landing)
+        # The days that got something are made anew from all that ever came for them; no other folder is listed.
+        landed = spark.read.schema(LANDED).option("basePath", landing).parquet(*landed_days(landing, days))
         with Staging(spark) as staged:
             times = staged(landed.select("time").distinct())
             records = landed.where(F.col("feature_id").isNotNull()).select("time", "feature_id", "streamflow", "source")
@@ -131,9 +137,9 @@ def _ingest(inputs: Inputs, out_path: str, log_path: str, run: str, landing: str
             store = spark.read.parquet(inputs.forcing_path)
             span = io.select_forcing(store, inputs.variables, first.date().isoformat(), last.date().isoformat())
             forcing = span.join(times, "time", "left_semi")
-            rows, errors = assemble.split_errors(staged(_assembled(inputs, forcing, records, "source", times)))
-            io.replace_days(rows, out_path, days)
-            log = run_log(spark, f"{run}-{batch_id}", rows, errors, started, dt.datetime.now())
+            series = staged(_assembled(inputs, forcing, records, "source", times))
+            io.replace_days(assemble.split_errors(series)[0], out_path, days)
+            log = run_log(spark, f"{run}-{batch_id}", materialize(assemble.place_days(series)), started, dt.datetime.now())
             log.write.mode("overwrite").parquet(f"{log_path}/ingest_batch={batch_id}")
 
     return batch

@@ -73,3 +73,12 @@ def test_entry_gives_rows(spark):
     got = entry.entry(spark).toPandas()
     assert sorted(got.columns) == ["network_id", "nse"]
     assert len(got) > 0
+
+
+def test_assembly_shuffles_its_grid_once(spark, inner_plans):
+    """Forcing and flow come to the grid on one key: between the two joins nothing is exchanged."""
+    plan = plan_of(entry.queries()["build_series"](spark, SF_DIR))
+    lines = plan.splitlines()
+    joins = [i for i, x in enumerate(lines) if "SortMergeJoin [place" in x]
+    assert len(joins) == 2
+    assert not any("Exchange" in x for x in lines[joins[0] + 1 : joins[1]])

@@ -355,3 +355,39 @@ def test_short_history_is_an_error(spark):
     with pytest.raises(PySparkException):
         metrics.last_n(history).collect()
     assert metrics.last_n(history, strict=False).first().average == 0.5
+
+
+def test_pair_map_by_lines_equals_the_one_object(spark, tmp_path):
+    """Several files of lines; keys that come again keep their first place and their last value."""
+    pairs = [(100 + i % 37, i) for i in range(60)]
+    (tmp_path / "lines").mkdir()
+    for k in range(3):
+        part = "".join(json.dumps({str(a): b}) + "\n" for a, b in pairs[k * 20 : k * 20 + 20])
+        (tmp_path / "lines" / f"part-{k}.json").write_text(part + "\n")
+    whole = "{" + ", ".join(f'"{a}": {b}' for a, b in pairs) + "}"
+    (tmp_path / "whole.json").write_text(whole)
+    rows = lambda df: sorted((r.entry, r.key, r.value) for r in df.select("entry", "key", "value").collect())
+    want = rows(io.read_pair_map(spark, str(tmp_path / "whole.json")))
+    assert rows(io.read_pair_map(spark, str(tmp_path / "lines"), lines=True)) == want
+    ids = io.pair_map_ids(io.read_pair_map(spark, str(tmp_path / "lines"), lines=True))
+    assert sorted(r.pos for r in ids.collect()) == list(range(2 * 37))
+
+
+def test_large_ids_lie_where_the_reader_looks(spark, tmp_path):
+    ids = [2**53 + 1999, 2**53 + 2000, -1, 0, 999, 1000]
+    rows = [(dt.datetime(2008, 1, 1), i, 1.0) for i in ids]
+    io.write_flow(spark.createDataFrame(rows, "time timestamp_ntz, feature_id bigint, streamflow double"), str(tmp_path / "flow"))
+    for i in ids:
+        assert [r.feature_id for r in io.read_flow(spark, str(tmp_path / "flow"), [i]).collect()] == [i]
+
+
+def test_a_batch_lists_its_own_days_only(spark, tmp_path):
+    """What a batch opens does not depend on the days of earlier ones."""
+    landing = str(tmp_path / "landing")
+    schema = "time timestamp_ntz, feature_id bigint, streamflow double, source string, ingest_batch bigint, day_key string"
+    for batch in range(5):
+        row = (dt.datetime(2008, 1, 1 + batch), 1, 1.0, "f", batch, f"2008200801{1 + batch:02d}")
+        writer = spark.createDataFrame([row], schema).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("day_key", "ingest_batch").parquet(landing)
+    got = spark.read.option("basePath", landing).parquet(*ingest.landed_days(landing, ["200820080105"]))
+    assert len(got.inputFiles()) == 1 and got.count() == 1
