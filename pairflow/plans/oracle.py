@@ -417,6 +417,13 @@ SELECT site, {_t('time')} AS time, streamflow, CASE WHEN time >= TIMESTAMP '1995
 SELECT site, {_t('time')} AS time, streamflow FROM s WHERE time >= TIMESTAMP '1996-01-01' AND time < TIMESTAMP '1998-07-01'""",
     "stored_sites": """SELECT s_suppkey AS pos, concat('cat-', s_suppkey) AS catchment_id, CASE WHEN s_suppkey % 2 = 0 THEN 'd' ELSE 'u' END AS du,
        s_suppkey / 8 AS x, -s_suppkey / 4 AS y, s_suppkey AS comid FROM supplier""",
+    "first_sites": "SELECT s_suppkey AS pos, concat('cat-', s_suppkey) AS catchment_id FROM supplier WHERE s_suppkey < 7",
+    "stored_pair_map": """WITH o AS (SELECT o_orderkey, o_custkey, 2 * (row_number() OVER (ORDER BY o_orderkey) - 1) AS place FROM orders)
+SELECT CAST(place AS BIGINT) AS pos, o_orderkey AS feature_id FROM o UNION ALL SELECT CAST(place + 1 AS BIGINT), o_custkey FROM o""",
+    "stored_summary": f"""WITH {_HISTORY},
+k AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY epoch DESC) <= 10)
+SELECT 'flow' AS metric, string_agg(CAST(value AS VARCHAR), ', ' ORDER BY epoch) AS values, round(avg(value), 6) AS average
+FROM k GROUP BY run_id""",
     "stored_attributes": f'WITH {_FILES} SELECT ds_catid, idx, divide_id, "X", "Y" FROM f',
     "stored_points": "SELECT -s_suppkey / 4 AS lat, s_suppkey / 8 AS lon FROM supplier",
     "stored_polygons": f"""WITH {_shapes(100.0)}, {_POINTS}, {_rectangles()},
@@ -433,6 +440,7 @@ SELECT network_id, {_t('time')} AS time, streamflow_x, rain_x, rain_y, streamflo
     "run_events": f"""WITH {_DAYS}
 SELECT strftime(time, '%Y-%m-%d') AS day, CASE WHEN has_flow THEN 'done' ELSE 'error' END AS event, count(*) AS n, CAST(count(*) AS BIGINT) AS steps
 FROM days GROUP BY ALL""",
+    "run_span": f"""WITH {_DAYS} SELECT 'only' AS run, count(DISTINCT CAST(time AS DATE)) AS days, true AS took_time, true AS agrees FROM days""",
     "streamed_days": _DAY_ROWS,
     "last_n": f"""WITH {_HISTORY},
 k AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY epoch DESC) <= 10)

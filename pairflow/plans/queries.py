@@ -382,6 +382,28 @@ def stored_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.read_sites(spark, _site_csv(spark, sf_dir)).select("pos", "catchment_id", "du", "x", "y", "comid")
 
 
+def first_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first seven places of the list, by their position in the file."""
+    return io.read_sites(spark, _site_csv(spark, sf_dir), limit=7).select("pos", "catchment_id")
+
+
+def stored_pair_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pair map of one line per order, in several files: its ids in the order written."""
+    path = _folder(spark, "pairs")
+    o = fixtures.table(spark, sf_dir, "orders")
+    lines = o.select("o_orderkey", F.format_string('{"%d": %d}', "o_orderkey", "o_custkey").alias("value"))
+    lines.repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey").select("value").write.text(path)
+    return io.pair_map_ids(io.read_pair_map(spark, path, lines=True)).select("pos", "feature_id")
+
+
+def stored_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary file of all histories, read back."""
+    path = _folder(spark, "summary")
+    io.write_summary(metrics.last_n(_history(spark, sf_dir)), path)
+    back = spark.read.schema("Metric string, Values string, Average double").option("header", True).csv(path)
+    return back.select(F.col("Metric").alias("metric"), F.col("Values").alias("values"), r6("Average").alias("average"))
+
+
 def stored_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A CSV per downstream catchment, read back as one table with the rows' places."""
     path = _folder(spark, "attributes")
@@ -471,6 +493,21 @@ def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"), "event").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("steps"))
 
 
+def run_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start and end of that run: its days, and whether the seconds told are those between the two."""
+    given, flow, path = _ingested(spark, sf_dir)
+    ingest.run_days(spark, given, flow, "seq", path, f"{path}-log", "only")
+    of = lambda event, c: F.max(F.when(F.col("event") == event, F.col(c)))
+    whole = spark.read.parquet(f"{path}-log").groupBy("run").agg(
+        F.count_distinct("day").alias("days"),
+        of("started", "logged_at").alias("start"),
+        of("finished", "logged_at").alias("end"),
+        of("finished", "seconds").alias("seconds"),
+    )
+    apart = F.col("end").cast("double") - F.col("start").cast("double")
+    return whole.select("run", "days", (F.col("seconds") > 0).alias("took_time"), (F.abs(apart - F.col("seconds")) < 0.001).alias("agrees"))
+
+
 def streamed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same days as they arrive: every day's records lie in several files, taken two at a time."""
     given, flow, path = _ingested(spark, sf_dir)
@@ -777,6 +814,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         stored_series_csv,
         series_by_day,
         stored_sites,
+        first_sites,
+        stored_pair_map,
+        stored_summary,
         stored_attributes,
         stored_points,
         stored_polygons,
@@ -786,6 +826,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         chosen_features,
         days_run,
         run_events,
+        run_span,
         streamed_days,
         last_n,
         last_values,
