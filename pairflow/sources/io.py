@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -327,13 +327,17 @@ def _write_days(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
 
 
-def replace_days(df: DataFrame, path: str, days: list[str]) -> None:
-    """Write by day; of ``days`` (folder names) those that ``df`` has no row for lose what they held."""
+def replace_days(df: DataFrame, path: str, days: list[str], held: list[str] | None = None) -> None:
+    """Write by day; of ``days`` (folder names) those that ``df`` has no row for lose what they held.
+
+    ``held`` are the days that ``df`` has rows for; where it is not given they are found by another pass.
+    """
     spark = df.sparkSession
-    # One pass writes the rows and tells the days they are of.
-    seen = Observation()
-    _write_days(df.observe(seen, F.collect_set(clean_key(day_key(F.col("time")))).alias("days")), path)
-    for gone in set(days) - set(seen.get["days"]):
+    _write_days(df, path)
+    if held is None:
+        names = df.select(clean_key(day_key(F.col("time"))).alias("k")).distinct()
+        held = [r["k"] for r in names.collect()]
+    for gone in set(days) - set(held):
         delete(spark, f"{path}/{DAY_FOLDER}={gone}")
 
 

@@ -28,6 +28,14 @@ class Inputs:
     variables: list[str]
 
 
+_GOOD = "n_no_flow = 0 AND n_no_attributes = 0"
+
+
+def _good_days(places: DataFrame) -> list[str]:
+    """Folder names of the days on which some place did not fail."""
+    return _day_names(places.where(_GOOD).select(F.col("day").alias("time")))
+
+
 def run_name(day: dt.date) -> str:
     return f"experiment_{day.isoformat()}"
 
@@ -40,15 +48,14 @@ def run_log(
     ended: dt.datetime,
 ) -> DataFrame:
     """Log of a run: start and end with the elapsed seconds, and done or error per site and day (``assemble.place_days``)."""
-    failed_here = (F.col("n_no_flow") > 0) | (F.col("n_no_attributes") > 0)
     whole = spark.createDataFrame(
         [("started", None, started), ("finished", (ended - started).total_seconds(), ended)],
         "event string, seconds double, logged_at timestamp",
     )
-    done = places.where(~failed_here).groupBy("day", "comid", "catid").agg(
+    done = places.where(_GOOD).groupBy("day", "comid", "catid").agg(
         F.lit("done").alias("event"), F.sum("n").alias("rows")
     )
-    failed = places.where(failed_here).select(
+    failed = places.where(f"NOT ({_GOOD})").select(
         "day",
         "comid",
         "catid",
@@ -100,8 +107,8 @@ def run_days(
     # Read by the row writer and the log: computed once.
     with Staging(spark) as staged:
         series = staged(_assembled(inputs, forcing, selected, order, None))
-        io.replace_days(assemble.split_errors(series)[0], out_path, _day_names(forcing))
         places = materialize(assemble.place_days(series))
+        io.replace_days(assemble.split_errors(series)[0], out_path, _day_names(forcing), _good_days(places))
         run_log(spark, run, places, started, dt.datetime.now()).write.mode("append").parquet(log_path)
 
 
@@ -138,8 +145,9 @@ def _ingest(inputs: Inputs, out_path: str, log_path: str, run: str, landing: str
             span = io.select_forcing(store, inputs.variables, first.date().isoformat(), last.date().isoformat())
             forcing = span.join(times, "time", "left_semi")
             series = staged(_assembled(inputs, forcing, records, "source", times))
-            io.replace_days(assemble.split_errors(series)[0], out_path, days)
-            log = run_log(spark, f"{run}-{batch_id}", materialize(assemble.place_days(series)), started, dt.datetime.now())
+            places = materialize(assemble.place_days(series))
+            io.replace_days(assemble.split_errors(series)[0], out_path, days, _good_days(places))
+            log = run_log(spark, f"{run}-{batch_id}", places, started, dt.datetime.now())
             log.write.mode("overwrite").parquet(f"{log_path}/ingest_batch={batch_id}")
 
     return batch
