@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,3 +83,15 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     path = shared_path(spark, "llm")
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def swept_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Jobs within let go of a query's shuffle files as it ends: for rounds that each write their result."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -4,8 +4,10 @@ Latent states emit each word that the training texts hold often enough, so that
 grows with their vocabulary. Of rarer words they emit one of a fixed number of classes, a digest of the word,
 and the class emits the word in proportion to its training count. Baum-Welch counts are gathered by
 every task over its own texts and summed by Spark; the driver only ever holds what is shared
-(states x classes). The words' own emissions are a Spark table, made anew in each round, whose
-rows meet the texts by block, never by sending the vocabulary around.
+(states x classes). The words' own emissions never meet in one place: words are dealt to parts by a digest,
+a block of texts numbers its words part by part, and in each round sends every part the expected counts
+of its words, as one packed row in a fixed order. The part adds them up word by word and sends each block
+its emissions back in the same order, so that no word, number or key of a word travels after the first count.
 """
 
 from __future__ import annotations
@@ -18,22 +20,24 @@ from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairflow.llm.common import quoted, shared_path, stored, table
+from pairflow.llm.common import quoted, shared_path, swept_shuffles, table
 from pairflow.session import delete
 
 STATES, CLASSES, ROUNDS = 8, 4096, 10
 OFTEN = 8
 """Training tokens from which a word is emitted by itself and not by its class, whatever the size of the input."""
-SEGMENT = 256
-"""Tokens that one forward-backward pass of the training spans; scoring spans the whole text."""
-GROUP = 1024
-"""Segments worked on side by side."""
+SEGMENT = 2048
+"""Tokens of a text walked in one go; longer texts are walked in segments side by side, with the same result."""
+GROUP, CELLS = 1024, 1 << 19
+"""Sequences worked on side by side, and the places of their padded matrix (a longer sequence is alone)."""
+PARTS, PART_BYTES = 64, 64_000_000
+"""Parts of the vocabulary: so many at least, one more for so many bytes of text."""
 PRIOR = 0.5
 """Pseudo-counts of each class in each state, split by the classes' own shares."""
 SEED = 7
@@ -45,10 +49,9 @@ def word_class(word: bytes, classes: int = CLASSES) -> int:
 
 @dataclass
 class Model:
-    """Probabilities: start of a text, start of a later segment, transitions, emissions (class, state)."""
+    """Probabilities: start of a text, transitions, emissions (class, state)."""
 
     first: np.ndarray
-    later: np.ndarray
     step: np.ndarray
     emit: np.ndarray
 
@@ -58,15 +61,25 @@ class Model:
         rng = np.random.default_rng(seed)
         emit = shares[:, None] * rng.gamma(0.5, 2.0, (len(shares), states)) + 1e-3 * shares[:, None]
         step = np.full((states, states), 0.05 / max(1, states - 1)) + np.eye(states) * 0.95
-        even = np.full(states, 1 / states)
-        return Model(even, even, step / step.sum(1, keepdims=True), emit / emit.sum(0))
+        return Model(np.full(states, 1 / states), step / step.sum(1, keepdims=True), emit / emit.sum(0))
 
 
 # --- numpy over many sequences at once -----------------------------------------------------------
 
 
+def groups(sequences: list[np.ndarray], most: int = GROUP, cells: int = CELLS) -> Iterator[np.ndarray]:
+    """Places of the sequences by falling length, in groups whose padded matrix is bounded."""
+    lengths = np.array([len(s) for s in sequences], np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    at = 0
+    while at < len(order):
+        width = max(1, min(most, cells // max(1, int(lengths[order[at]]))))
+        yield order[at : at + width]
+        at += width
+
+
 def _padded(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sequences, longest first, as rows of one matrix; and how many are still running at each step."""
+    """Sequences, longest first, as columns of one matrix; and how many are still running at each step."""
     lengths = np.array([len(s) for s in sequences])
     out = np.zeros((lengths[0], len(sequences)), np.int32)
     for i, s in enumerate(sequences):
@@ -77,10 +90,8 @@ def _padded(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def log10_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     """Scaled forward recursion over each whole sequence."""
-    order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
     result = np.zeros(len(sequences))
-    for at in range(0, len(order), 4 * GROUP):
-        own = order[at : at + 4 * GROUP]
+    for own in groups(sequences, 4 * GROUP, 8 * CELLS):
         tokens, running = _padded([sequences[i] for i in own])
         total, a = np.zeros(len(own)), None
         for t in range(len(tokens)):
@@ -94,40 +105,90 @@ def log10_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     return result
 
 
+def segments(tokens: np.ndarray, length: int = SEGMENT) -> list[np.ndarray]:
+    return [tokens[i : i + length] for i in range(0, len(tokens), length)]
+
+
+def transfers(emit: np.ndarray, step: np.ndarray, pieces: list[np.ndarray]) -> np.ndarray:
+    """For each piece and state at its first token, what flows to each state at its last one, up to a factor of the piece."""
+    states = len(step)
+    out = np.zeros((len(pieces), states, states))
+    for own in groups(pieces, GROUP // states, CELLS):
+        tokens, running = _padded([pieces[i] for i in own])
+        e = emit[tokens[0]]
+        flow = np.eye(states, dtype=emit.dtype) * (e / e.max(1, keepdims=True))[:, None, :]
+        for t in range(1, len(tokens)):
+            n = running[t]
+            e = emit[tokens[t, :n]]
+            e /= e.max(1, keepdims=True)
+            flow[:n] = (flow[:n].reshape(-1, states) @ step).reshape(n, states, states) * e[:, None, :]
+            if t % 4 == 0:
+                flow[:n] /= flow[:n].max((1, 2), keepdims=True)
+        out[own] = flow / flow.max((1, 2), keepdims=True)
+    return out
+
+
 @dataclass
 class Counts:
     """Expected counts of one task."""
 
     first: np.ndarray
-    later: np.ndarray
     step: np.ndarray
     emit: np.ndarray
 
     @staticmethod
     def zero(classes: int, states: int) -> Counts:
-        return Counts(np.zeros(states), np.zeros(states), np.zeros((states, states)), np.zeros((classes, states)))
-
-    def add(self, model: Model, segments: list[np.ndarray], heads: list[bool]) -> None:
-        """One forward-backward pass over the segments; ``heads`` tells which begin a text."""
-        order = sorted(range(len(segments)), key=lambda i: -len(segments[i]))
-        for at in range(0, len(order), GROUP):
-            own = order[at : at + GROUP]
-            self._add(model, *_padded([segments[i] for i in own]), np.array([heads[i] for i in own]))
-
-    def _add(self, model: Model, tokens: np.ndarray, running: np.ndarray, head: np.ndarray) -> None:
-        emit, step = model.emit.astype(np.float32), model.step.astype(np.float32)
+        return Counts(np.zeros(states), np.zeros((states, states)), np.zeros((classes, states)))
+
+    def add(self, model: Model, texts: list[np.ndarray], length: int = SEGMENT) -> None:
+        """Forward and backward over whole texts (none empty).
+
+        A text of several segments is first reduced to a transfer matrix a segment; their products give the
+        states before and behind each segment, with which all segments are walked side by side.
+        """
+        emit, step = model.emit.astype(np.float32, copy=False), model.step.astype(np.float32)
+        states = len(step)
+        cut = [segments(x, length) for x in texts]
+        pieces = [x for own in cut for x in own]
+        heads = np.cumsum([0, *[len(own) for own in cut]])[:-1].astype(np.int64)
+        head = np.zeros(len(pieces), bool)
+        head[heads] = True
+        start, before, end = np.tile(model.first, (len(pieces), 1)), np.zeros((len(pieces), states)), np.ones((len(pieces), states))
+        long = [(int(at), len(own)) for at, own in zip(heads, cut) if len(own) > 1]
+        flows = iter(transfers(emit, step, [x for at, n in long for x in pieces[at : at + n]]))
+        for at, n in long:
+            flow = [next(flows) for _ in range(n)]
+            for s in range(1, n):
+                left = start[at + s - 1] @ flow[s - 1]
+                before[at + s] = left / left.sum()
+                start[at + s] = before[at + s] @ model.step
+            for s in range(n - 2, -1, -1):
+                right = model.step @ (flow[s + 1] @ end[at + s + 1])
+                end[at + s] = right / right.max()
+        for own in groups(pieces):
+            self._add(emit, step, *_padded([pieces[i] for i in own]), head[own], start[own], before[own], end[own])
+
+    def _add(
+        self, emit: np.ndarray, step: np.ndarray, tokens: np.ndarray, running: np.ndarray, head: np.ndarray,
+        start: np.ndarray, before: np.ndarray, end: np.ndarray,
+    ) -> None:
+        """``start``: states at the first token; ``before``: at the token ahead of it (zero: none); ``end``: what follows."""
         length, width, states = len(tokens), tokens.shape[1], emit.shape[1]
         alpha = np.zeros((length, width, states), np.float32)
         weigh = np.zeros((length, width, states), np.float32)  # emission over scale: what a step back multiplies by
-        start = np.where(head[:, None], model.first, model.later).astype(np.float32)
+        start = start.astype(np.float32)
         for t in range(length):
             n = running[t]
             e = emit[tokens[t, :n]]
-            a = (start[:n] if t == 0 else alpha[t - 1, :n] @ step) * e
+            a = (start if t == 0 else alpha[t - 1, :n] @ step) * e
             scale = a.sum(1, keepdims=True)
             alpha[t, :n] = a / scale
             weigh[t, :n] = e / scale
-        beta = np.ones((width, states), np.float32)
+        live = np.arange(width)[None, :] < running[:, None]
+        last, at = live.sum(0) - 1, np.arange(width)
+        beta = end / (alpha[last, at] * end).sum(1, keepdims=True)
+        beta = beta.astype(np.float32)
+        alpha[last, at] *= beta  # from here on the share of each state
         back = step.T.copy()
         moves = np.zeros((states, states), np.float64)
         for t in range(length - 2, -1, -1):
@@ -135,11 +196,10 @@ class Counts:
             w = weigh[t + 1, :n] * beta[:n]
             moves += alpha[t, :n].T @ w
             beta[:n] = w @ back
-            alpha[t, :n] *= beta[:n]  # from here on the share of each state
-        self.step += moves * model.step
+            alpha[t, :n] *= beta[:n]
+        moves += before.T @ (weigh[0] * beta)
+        self.step += moves * step
         self.first += alpha[0][head].sum(0)
-        self.later += alpha[0][~head].sum(0)
-        live = np.arange(width)[None, :] < running[:, None]
         symbols = tokens[live]
         for k in range(states):
             self.emit[:, k] += np.bincount(symbols, alpha[:, :, k][live], minlength=len(self.emit))
@@ -154,7 +214,6 @@ def improved(counts: Counts, shares: np.ndarray) -> Model:
     weight = PRIOR * len(shares)
     return Model(
         normal(counts.first + 1, 0),
-        normal(counts.later + 1, 0),
         normal(counts.step + 1, 1),
         normal(counts.emit + weight * shares[:, None], 0),
     )
@@ -170,27 +229,36 @@ def unpacked(planes: bytes) -> np.ndarray:
     return low | mid << 8 | high << 16
 
 
-def segments(tokens: np.ndarray, length: int = SEGMENT) -> list[np.ndarray]:
-    return [tokens[i : i + length] for i in range(0, len(tokens), length)]
+def chance(digests: np.ndarray, states: int) -> np.ndarray:
+    """Gamma numbers of shape 1/2 and scale 2, the squares of normal ones, drawn by a digest for each state."""
+
+    def even(k: int) -> np.ndarray:
+        z = digests + np.uint64((SEED + 1 + k) * 0x9E3779B97F4A7C15 % (1 << 64))
+        z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        return ((z ^ z >> np.uint64(31)) >> np.uint64(24)).astype(np.float64) / 2.0**40 + 2.0**-41
+
+    normal = [np.sqrt(-2 * np.log(even(2 * k))) * np.cos(2 * np.pi * even(2 * k + 1)) for k in range(states)]
+    return np.stack(normal, axis=1) ** 2
 
 
 # --- Spark -----------------------------------------------------------------------------------
 
 
-def tokenised(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def tokenised(docs: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
     """(texts, words) of ``docs`` (id, held_out, text), in one pass.
 
     texts: (block, id, held_out, n_tokens, local: ``packed`` numbers of the words within the block).
-    words: (block, number, word, train_count). A block is what one Arrow batch holds, which is
-    bounded in rows and bytes. Both are written at once, so that a block's numbers always belong
-    together.
+    words: (block, part, words, counts: of the training texts); the numbers of a block's words run through
+    its parts in order. A block is what one Arrow batch holds, which is bounded in rows and bytes. Both
+    are written at once, so that a block's numbers always belong together.
     """
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
+        task = TaskContext.get().partitionId()
         for at, b in enumerate(batches):
-            block = (part << 24) + at
+            block = (task << 24) + at
             numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
             held = b.column(1).to_pylist()
             texts = [
@@ -198,30 +266,37 @@ def tokenised(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 for t in b.column(2).to_pylist()
             ]
             words = list(numbers)
+            n, m = len(texts), len(words)
+            part = np.fromiter(map(zlib.crc32, words), np.int64, m) % parts
+            order = np.argsort(part, kind="stable")
+            place = np.empty(m, np.int32)
+            place[order] = np.arange(m, dtype=np.int32)
+            texts = [place[t] for t in texts]
             train = [t for t, h in zip(texts, held) if not h]
-            counts = np.bincount(np.concatenate([*train, np.zeros(0, np.int32)]), minlength=len(words))
+            counts = np.bincount(np.concatenate([*train, np.zeros(0, np.int32)]), minlength=m)
             none = pa.nulls
-            n, m = len(texts), len(words)
-            names = ["kind", "block", "id", "held_out", "n_tokens", "local", "number", "word", "train_count"]
+            lists = pa.list_(pa.binary()), pa.list_(pa.int64())
+            names = ["kind", "block", "id", "held_out", "n_tokens", "local", "part", "words", "counts"]
             rows = [
                 pa.array([0] * n, pa.int32()), pa.array([block] * n, pa.int64()), b.column(0).cast(pa.int64()), b.column(1),
                 pa.array([len(t) + 1 for t in texts], pa.int64()),
                 pa.array([packed(t) for t in texts], pa.binary()),
-                none(n, pa.int32()), none(n, pa.binary()), none(n, pa.int64()),
+                none(n, pa.int32()), none(n, lists[0]), none(n, lists[1]),
+            ]
+            yield pa.RecordBatch.from_arrays(rows, names)
+            found, starts = np.unique(part[order], return_index=True)
+            bounds = pa.array(np.append(starts, m).astype(np.int32))
+            k = len(found)
+            rows = [
+                pa.array([1] * k, pa.int32()), pa.array([block] * k, pa.int64()), none(k, pa.int64()), none(k, pa.bool_()),
+                none(k, pa.int64()), none(k, pa.binary()), pa.array(found.astype(np.int32)),
+                pa.ListArray.from_arrays(bounds, pa.array([words[i] for i in order], pa.binary())),
+                pa.ListArray.from_arrays(bounds, pa.array(counts.astype(np.int64))),
             ]
             yield pa.RecordBatch.from_arrays(rows, names)
-            for a in range(0, m, 50_000):
-                few = words[a : a + 50_000]
-                k = len(few)
-                rows = [
-                    pa.array(np.ones(k, np.int32)), pa.array(np.full(k, block)), none(k, pa.int64()), none(k, pa.bool_()),
-                    none(k, pa.int64()), none(k, pa.binary()),
-                    pa.array(np.arange(a, a + k, dtype=np.int32)), pa.array(few, pa.binary()), pa.array(counts[a : a + k].astype(np.int64)),
-                ]
-                yield pa.RecordBatch.from_arrays(rows, names)
 
     schema = (
-        "kind int, block bigint, id bigint, held_out boolean, n_tokens bigint, local binary, number int, word binary, train_count bigint"
+        "kind int, block bigint, id bigint, held_out boolean, n_tokens bigint, local binary, part int, words array<binary>, counts array<bigint>"
     )
     path = shared_path(spark, "tokens")
     (
@@ -231,119 +306,196 @@ def tokenised(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     reader = spark.read.schema(schema)  # read twice, so that the two frames share no column
     return (
         reader.parquet(path).where("kind = 0").select("block", "id", "held_out", "n_tokens", "local"),
-        reader.parquet(path).where("kind = 1").select("block", "number", "word", "train_count"),
+        reader.parquet(path).where("kind = 1").select("block", "part", "words", "counts"),
     )
 
 
-def _matrix(rows: pa.Table, names: list[str]) -> np.ndarray:
-    return np.stack([rows[x].to_numpy().astype(np.float64) for x in names], axis=1)
+def counted(words: DataFrame, states: int, classes: int, often: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(known, own, sums) of the words, each part by a task of its own.
+
+    known: (block, part, c, class, at), packed numbers of a block's words: training count, class (-1: a word
+    of its own), and of words of their own the place in their part. own: (part, digest, c) of those
+    words. sums: (class, c, v, g0, ...), by part: training tokens, words with any; of words of their own
+    (class -1) also (c + 0.5) times what ``chance`` gives and a thousandth.
+    """
+    spark = words.sparkSession
+    g = [f"g{k}" for k in range(states)]
+    schema = pa.schema(
+        [("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("class", pa.int32()), ("n", pa.int64()), ("v", pa.int64()),
+         *[(x, pa.binary()) for x in ("c", "classes", "at", "digest")], *[(x, pa.float64()) for x in g]]
+    )
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        part = key[0].as_py()
+        rows = rows.sort_by("block")
+        coded = pc.list_flatten(rows["words"]).combine_chunks().dictionary_encode()
+        codes, found = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        train = pc.list_flatten(rows["counts"]).to_numpy()
+        total = np.zeros(len(found), np.int64)
+        np.add.at(total, codes, train)
+        crc = np.fromiter(map(zlib.crc32, found), np.int64, len(found))
+        own = total >= often
+        kind = np.where(own, -1, crc % classes).astype(np.int32)
+        at = (np.cumsum(own) - 1).astype(np.int32)
+        out = []
+        bounds = np.append(0, np.cumsum(pc.list_value_length(rows["words"]).to_numpy()))
+        for block, a, b in zip(rows["block"].to_pylist(), bounds, bounds[1:]):
+            x = codes[a:b]
+            few = x[own[x]]
+            out.append({"kind": 0, "part": part, "block": block, "c": total[x].tobytes(), "classes": kind[x].tobytes(), "at": at[few].tobytes()})
+        seen = np.bincount(kind[~own], total[~own], classes), np.bincount(kind[~own & (total > 0)], minlength=classes)
+        out += [{"kind": 1, "class": int(k), "n": int(seen[0][k]), "v": int(seen[1][k])} for k in np.flatnonzero(seen[1])]
+        if own.any():
+            second = np.array([zlib.crc32(w, SEED) for w, o in zip(found, own) if o], np.uint64)
+            digest = crc[own].astype(np.uint64) | second << np.uint64(32)
+            c = total[own]
+            spread = ((c + 0.5)[:, None] * (chance(digest, states) + 1e-3)).sum(0)
+            out.append({"kind": 1, "class": -1, "n": int(c.sum()), "v": len(c), **{x: float(y) for x, y in zip(g, spread)}})
+            out.append({"kind": 2, "part": part, "c": c.tobytes(), "digest": digest.tobytes()})
+        return pa.Table.from_pylist(out, schema)
+
+    types = {pa.int32(): "int", pa.int64(): "bigint", pa.binary(): "binary", pa.float64(): "double"}
+    ddl = ", ".join(f"{f.name} {types[f.type]}" for f in schema)
+    path = shared_path(spark, "words")
+    words.groupBy("part").applyInArrow(run, ddl).write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    read = lambda kind: spark.read.schema(ddl).parquet(path).where(F.col("kind") == kind)
+    return (
+        read(0).select("block", "part", "c", F.col("classes").alias("class"), "at"),
+        read(2).select("part", "digest", "c"),
+        read(1).select("class", F.col("n").alias("c"), "v", *g),
+    )
+
 
+def _joined(column: pa.ChunkedArray, dtype: type) -> np.ndarray:
+    """Packed numbers of several rows as one array."""
+    return np.concatenate([np.zeros(0, dtype), *[np.frombuffer(x, dtype) for x in column.to_pylist()]])
 
-def symbols_of(rows: pa.Table, end: int) -> np.ndarray:
-    """The symbol of each number of a block's words: its class, or a place behind the ``end`` for a word of its own.
 
-    ``rows`` (number, class: null for words of their own) are sorted by number.
-    """
-    number, own = rows["number"].to_numpy(), rows["class"].is_null().to_numpy()
-    out = np.zeros(int(number[-1]) + 1 if len(number) else 0, np.int32)
-    out[number] = rows["class"].fill_null(0).to_numpy()
-    out[number[own]] = end + 1 + np.arange(own.sum(), dtype=np.int32)
-    return out
+def symbols_of(kinds: np.ndarray, end: int) -> np.ndarray:
+    """The symbol of each number of a block's words: its class, or a place behind the ``end`` for a word of its own."""
+    own = kinds < 0
+    return np.where(own, end + np.cumsum(own), kinds).astype(np.int32)
 
 
-def _by_block(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` written in buckets of blocks, so that rounds read it where it lies; and the name of its table."""
+def _by_block(df: DataFrame) -> tuple[DataFrame, str, str]:
+    """``df`` written in buckets of blocks, so that rounds read it where it lies; the name and the folder of its table."""
     spark = df.sparkSession
     path = shared_path(spark, "train")
     name = f"train_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.bucketBy(n, "block").sortBy("block").option("compression", "zstd").option("path", path).saveAsTable(name)
-    return spark.table(name), name
+    return spark.table(name), name, path
 
 
 def fit(
-    texts: DataFrame, known: DataFrame, shares: np.ndarray, total: float, n_own: int, states: int = STATES, rounds: int = ROUNDS
-) -> tuple[Model, np.ndarray, DataFrame]:
+    texts: DataFrame, known: DataFrame, own: DataFrame, shares: np.ndarray, total: float, n_own: int, own_sums: np.ndarray,
+    states: int = STATES, rounds: int = ROUNDS,
+) -> tuple[Model, np.ndarray, DataFrame]:
     """Baum-Welch over the training texts: each round reads all of them and sums every task's counts.
 
     ``shares`` are those of the classes and the end, which the driver holds; ``total`` is what
-    they are shares of. The words of their own stay in Spark: (model, norm, own), with own (block,
-    number, word, c, e0, ...) a row per block and word; divided by ``norm`` they are emissions.
+    they are shares of; ``own_sums`` what ``counted`` gives of the words of their own. Those stay in Spark:
+    (model, norm, emitted), with emitted (block, part, values) the packed numbers of a block's words of
+    their own (float32, a row of states each); divided by ``norm`` they are emissions.
     """
     spark = texts.sparkSession
     n = len(shares)
     end = n - 1
-    e, v = [f"e{k}" for k in range(states)], [f"v{k}" for k in range(states)]
+    v = [f"v{k}" for k in range(states)]
+    weight = PRIOR * (n + n_own)
 
     def numbered(texts: pa.Table, rows: pa.Table) -> pa.Table:
-        symbol = symbols_of(rows.sort_by("number"), end)
+        symbol = symbols_of(_joined(rows.sort_by("part")["class"], np.int32), end)
         made = [packed(np.append(symbol[unpacked(x)], end)) for x in texts["local"].to_pylist()]
         return pa.table({"block": texts["block"], "symbols": pa.array(made, pa.binary())})
 
-    train, name = _by_block(
-        texts.where(~F.col("held_out")).select("block", "local").groupBy("block")
-        .cogroup(known.select("block", "number", "class").groupBy("block")).applyInArrow(numbered, "block bigint, symbols binary")
-    )
-    share = (F.col("c") + 0.5) / F.lit(total)
-    # The square of a normal number, drawn by a digest of the word, is the gamma number of ``Model.initial``.
-    even = lambda k: (F.pmod(F.xxhash64("word", F.lit(SEED), F.lit(k)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    normal = lambda k: F.sqrt(-2 * F.log(even(2 * k))) * F.cos(2 * np.pi * even(2 * k + 1))
-    own = known.where("class is null").select(
-        "block", "number", "word", "c", "head", *[(share * (F.pow(normal(k), 2) + 1e-3)).cast("float").alias(e[k]) for k in range(states)]
+    # A part's rows: what its words are (no block), and where they stand in each block.
+    places = own.select("part", F.lit(None).cast("bigint").alias("block"), "digest", "c", F.lit(None).cast("binary").alias("at")).unionByName(
+        known.where(F.octet_length("at") > 0).select("part", "block", F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("binary").alias("c"), "at")
     )
-    model = Model.initial(shares, states)
+    messages = "block bigint, part int, values binary"
+
+    def sent(key: tuple, places: pa.Table, counts: pa.Table | None) -> pa.Table:
+        if not places.num_rows:
+            return pa.table({"block": pa.array([], pa.int64()), "part": pa.array([], pa.int32()), "values": pa.array([], pa.binary())})
+        lies = places["block"].is_null()
+        word = places.filter(lies)
+        share = ((_joined(word["c"], np.int64) + 0.5) / total)[:, None]
+        blocks = places.filter(pc.invert(lies)).sort_by("block")
+        at = [(b, np.frombuffer(x, np.int32)) for b, x in zip(blocks["block"].to_pylist(), blocks["at"].to_pylist())]
+        if counts is None:
+            values = share * (chance(_joined(word["digest"], np.uint64), states) + 1e-3)
+        else:
+            values = np.zeros((len(share), states))
+            found = dict(zip(counts["block"].to_pylist(), counts["values"].to_pylist()))
+            for b, x in at:
+                if b in found:
+                    values[x] += np.frombuffer(found[b], np.float32).reshape(-1, states)  # a word stands once in a block
+            values += weight * share
+        values = values.astype(np.float32)
+        return pa.table(
+            {
+                "block": blocks["block"].cast(pa.int64()),
+                "part": pa.array([key[0].as_py()] * len(at), pa.int32()),
+                "values": pa.array([values[x].tobytes() for _, x in at], pa.binary()),
+            }
+        )
+
+    def begin(key: tuple, places: pa.Table) -> pa.Table:
+        return sent(key, places, None)
+
     rng = np.random.default_rng(SEED)
     of_classes = shares[:, None] * rng.gamma(0.5, 2.0, (n, states)) + 1e-3 * shares[:, None]
-    of_own = own.where("head").agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in e]).first()
-    norm = of_classes.sum(0) + np.array(of_own, np.float64)
-    model = Model(model.first, model.later, model.step, of_classes / norm)
-    own = own.drop("head")
-    by_word = Window.partitionBy("word")
-    weight = PRIOR * (n + n_own)
-    schema = "block bigint, number int, word binary, c bigint, " + ", ".join(f"{x} double" for x in v)
-
-    def expect(key: tuple, texts: pa.Table, own: pa.Table) -> pa.Table:
-        own = own.sort_by("number")
-        whole = Model(model.first, model.later, model.step, np.concatenate([model.emit, _matrix(own, e) / norm]))
+    norm = of_classes.sum(0) + own_sums / total
+    model = Model.initial(shares, states)
+    model = Model(model.first, model.step, of_classes / norm)
+    emitted = places.groupBy("part").applyInArrow(begin, messages)
+    schema = "block bigint, part int, values binary, number int, " + ", ".join(f"{x} double" for x in v)
+
+    def expect(key: tuple, texts: pa.Table, sent: pa.Table) -> pa.Table:
+        sent = sent.sort_by("part")
+        emit = _joined(sent["values"], np.float32).reshape(-1, states) / norm
+        whole = Model(model.first, model.step, np.concatenate([model.emit, emit]).astype(np.float32))
         counts = Counts.zero(len(whole.emit), states)
-        parts, heads = [], []
-        for raw in texts["symbols"].to_pylist():
-            pieces = segments(unpacked(raw))
-            parts += pieces
-            heads += [True] + [False] * (len(pieces) - 1)
-        if parts:
-            counts.add(whole, parts, heads)
-        shared = np.concatenate([counts.emit[:n], counts.first[None], counts.later[None], counts.step])
-        few = len(shared)
-        number = np.concatenate([-1 - np.arange(few, dtype=np.int32), own["number"].to_numpy()])
-        values = np.concatenate([shared, counts.emit[n:]])
-        words = pa.chunked_array([pa.nulls(few, pa.binary()), *own["word"].cast(pa.binary()).chunks])
-        c = pa.chunked_array([pa.nulls(few, pa.int64()), *own["c"].chunks])
-        columns = [pa.array(np.full(len(number), key[0].as_py())), pa.array(number), words, c, *[pa.array(values[:, k]) for k in range(states)]]
-        return pa.table(columns, names=["block", "number", "word", "c", *v])
-
+        if texts.num_rows:
+            counts.add(whole, [unpacked(x) for x in texts["symbols"].to_pylist()])
+        shared = np.concatenate([counts.emit[:n], counts.first[None], counts.step, counts.emit[n:].sum(0)[None]])
+        found = counts.emit[n:].astype(np.float32)
+        bounds = np.append(0, np.cumsum([len(x) for x in sent["values"].to_pylist()])).astype(np.int64) // (4 * states)
+        few, rows = len(shared), sent.num_rows
+        part = pa.concat_arrays([pa.nulls(few, pa.int32()), *sent["part"].cast(pa.int32()).chunks])
+        packs = pa.concat_arrays([pa.nulls(few, pa.binary()), pa.array([found[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())])
+        number = pa.concat_arrays([pa.array(np.arange(few, dtype=np.int32)), pa.nulls(rows, pa.int32())])
+        columns = [pa.concat_arrays([pa.array(shared[:, k]), pa.nulls(rows, pa.float64())]) for k in range(states)]
+        return pa.table([pa.array(np.full(few + rows, key[0].as_py())), part, packs, number, *columns], names=["block", "part", "values", "number", *v])
+
+    train, name, folder = _by_block(
+        texts.where(~F.col("held_out")).select("block", "local").groupBy("block")
+        .cogroup(known.select("block", "part", "class").groupBy("block")).applyInArrow(numbered, "block bigint, symbols binary")
+    )
     path = None
-    for _ in range(rounds):
-        path, before = shared_path(spark, "round"), path
-        train.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(expect, schema).write.option("compression", "zstd").parquet(path)
-        out = spark.read.schema(schema).parquet(path)
-        if before:
-            delete(spark, before)  # the round before is summed up in this one
-        # Bounded by what the driver holds of the model: classes + states + 3 rows, and one for the sum of all words of their own.
-        at = F.when(F.col("word").isNull(), F.col("number")).otherwise(0)
-        sums = out.groupBy(at.alias("at")).agg(*[F.sum(x).alias(x) for x in v]).toPandas()
-        rows = np.zeros((n + states + 3, states))
-        rows[-sums["at"].to_numpy(np.int64)] = sums[v].to_numpy()
-        first, later, step, emit = rows[n + 1], rows[n + 2], rows[n + 3 :], rows[1 : n + 1]
-        new = emit + weight * shares[:, None]
-        norm = new.sum(0) + rows[0] + weight * (1 - shares.sum())
-        model = improved(Counts(first, later, step, emit), shares)
-        model = Model(model.first, model.later, model.step, new / norm)
-        own = out.where("word is not null").select(
-            "block", "number", "word", "c", *[(F.sum(x).over(by_word) + weight * share).cast("float").alias(y) for x, y in zip(v, e)]
-        )
-    spark.sql(f"DROP TABLE {name}")
-    return model, norm, own
+    try:
+        for _ in range(rounds):
+            path, before = shared_path(spark, "round"), path
+            train.groupBy("block").cogroup(emitted.groupBy("block")).applyInArrow(expect, schema).write.option("compression", "zstd").parquet(path)
+            out = spark.read.schema(schema).parquet(path)
+            if before:
+                delete(spark, before)  # the round before is summed up in this one
+            # Bounded by what the driver holds of the model: classes + states + 3 rows.
+            sums = out.where("number is not null").groupBy("number").agg(*[F.sum(x).alias(x) for x in v]).toPandas()
+            rows = np.zeros((n + states + 2, states))
+            rows[sums["number"].to_numpy(np.int64)] = sums[v].to_numpy()
+            emit, first, step = rows[:n], rows[n], rows[n + 1 : n + 1 + states]
+            new = emit + weight * shares[:, None]
+            norm = new.sum(0) + rows[-1] + weight * (1 - shares.sum())
+            model = improved(Counts(first, step, emit), shares)
+            model = Model(model.first, model.step, new / norm)
+            counts = out.where("values is not null").select("part", "block", "values")
+            emitted = places.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(sent, messages)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+        delete(spark, folder)
+    return model, norm, emitted
 
 
 def score_texts(
@@ -358,45 +510,42 @@ def score_texts(
     count as often as they stand. Without training rows nothing is known, and all probability rests
     on what was never seen. ``id`` must be a whole number. Only the two columns named are read.
     """
+    spark = docs.sparkSession
     rows = docs.select(
         F.col(quoted(id_)).cast("bigint").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(quoted(text)).alias("text")
     )
-    texts, words = tokenised(rows)
-    # A word has a row per block that holds it: one for some 60 MB of text, so its rows are few.
-    by_word = Window.partitionBy("word")
-    own = F.col("c") >= often
-    known = stored(
-        words.withColumns({"c": F.sum("train_count").over(by_word), "head": F.row_number().over(by_word.orderBy("block")) == 1})
-        .select(
-            "block", "number", "c", "head", F.when(own, F.col("word")).alias("word"),
-            F.when(~own, (F.crc32("word") % classes).cast("int")).alias("class"),
-        )
-    )
-    heads = known.where("head and c > 0").groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v"))
-    by_class = {r["class"]: (r["c"], r["v"]) for r in heads.collect()}  # a row per class and one for the words of their own
-    own_size, n_own = by_class.get(None, (0, 0))
-    ends = texts.where(~F.col("held_out")).count()
-    size = np.array([by_class.get(k, (0, 0))[0] for k in range(classes)] + [ends], np.float64)
-    kinds = np.array([by_class.get(k, (0, 0))[1] for k in range(classes)] + [int(ends > 0)], np.float64)
-    n, v = int(size.sum()) + own_size, int(kinds.sum()) + n_own
-    total = n + 0.5 * (len(size) + n_own)
-    model, norm, emitted = fit(texts, known, (size + 0.5) / total, total, n_own, states, rounds)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    with swept_shuffles(spark):
+        texts, words = tokenised(rows, max(PARTS, size // PART_BYTES))
+        known, own, sums = counted(words, states, classes, often)
+        g = [f"g{k}" for k in range(states)]
+        heads = sums.groupBy("class").agg(F.sum("c").alias("c"), F.sum("v").alias("v"), *[F.sum(x).alias(x) for x in g])
+        by_class = {r["class"]: r for r in heads.collect()}  # a row per class and one for the words of their own
+        none = {"c": 0, "v": 0, **dict.fromkeys(g, 0.0)}
+        of_own = by_class.get(-1, none)
+        own_size, n_own = of_own["c"], of_own["v"]
+        ends = texts.where(~F.col("held_out")).count()
+        size = np.array([by_class.get(k, none)["c"] for k in range(classes)] + [ends], np.float64)
+        kinds = np.array([by_class.get(k, none)["v"] for k in range(classes)] + [int(ends > 0)], np.float64)
+        n, v = int(size.sum()) + own_size, int(kinds.sum()) + n_own
+        total = n + 0.5 * (len(size) + n_own)
+        own_sums = np.array([of_own[x] for x in g], np.float64)
+        model, norm, emitted = fit(texts, known, own, (size + 0.5) / total, total, n_own, own_sums, states, rounds)
     floor = np.log10(n + 0.5 * (v + 1))
     within = np.log10(size + 0.5 * (kinds + 1))
     known_end = int(ends > 0)
     end_base = np.log10(ends + 0.5) - floor
-    e = [f"e{k}" for k in range(states)]
 
     def score(texts: pa.Table, found: pa.Table) -> pa.Table:
-        found = found.sort_by("number")
-        symbol, at, own = symbols_of(found, classes), found["number"].to_numpy(), found["class"].is_null().to_numpy()
-        whole = Model(model.first, model.later, model.step, np.concatenate([model.emit, _matrix(found.filter(pa.array(own)), e) / norm]))
-        c = np.zeros(len(symbol))
-        c[at] = found["c"].to_numpy()
+        found = found.sort_by("part")
+        kind = _joined(found["class"].drop_null(), np.int32)
+        symbol, own = symbols_of(kind, classes), kind < 0
+        emit = _joined(found["values"].drop_null(), np.float32).reshape(-1, states) / norm
+        whole = Model(model.first, model.step, np.concatenate([model.emit, emit]))
+        c = _joined(found["c"].drop_null(), np.int64)
         logs = np.log10(c + 0.5)
         # What the class leaves open; nothing for a word of its own, and for the end, the only one of its class.
-        spread = np.zeros(len(symbol))
-        spread[at[~own]] = (logs - within[np.minimum(symbol, classes)])[at[~own]]
+        spread = np.where(own, 0.0, logs - within[np.where(own, 0, kind)])
         local = [unpacked(x) for x in texts["local"].to_pylist()]
         hmm = log10_likelihoods(whole, [np.append(symbol[x], classes) for x in local]) if local else np.zeros(0)
         lengths = np.array([len(x) for x in local])
@@ -413,9 +562,11 @@ def score_texts(
         )
 
     result = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
-    by_class = known.where("class is not null").select("block", "number", "c", "class", *[F.lit(None).cast("float").alias(x) for x in e])
-    counts = by_class.unionByName(emitted.select("block", "number", "c", F.lit(None).cast("int").alias("class"), *e))
-    scored = texts.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(score, result)
+    blank = lambda x: F.lit(None).cast("binary").alias(x)
+    words = known.select("block", "part", "c", "class", blank("values")).unionByName(
+        emitted.select("block", "part", blank("c"), blank("class"), "values")
+    )
+    scored = texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(score, result)
     return scored.select(
         F.col("id").alias(id_), "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score"
     )

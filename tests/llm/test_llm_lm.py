@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import product
@@ -42,8 +43,6 @@ def test_counts_are_the_expected_ones_and_rounds_raise_the_likelihood():
     rng = np.random.default_rng(3)
     model = small_model()
     sequences = [rng.integers(0, 5, rng.integers(1, 7)).astype(np.uint16) for _ in range(6)]
-    counts = lm.Counts.zero(5, 3)
-    counts.add(model, sequences, [True] * 6)
     want = lm.Counts.zero(5, 3)
     for s in sequences:
         paths = []
@@ -59,8 +58,11 @@ def test_counts_are_the_expected_ones_and_rounds_raise_the_likelihood():
                 want.emit[x, k] += p / total
             for a, b in zip(path, path[1:]):
                 want.step[a, b] += p / total
-    for name in ("first", "step", "emit"):
-        assert getattr(counts, name) == pytest.approx(getattr(want, name), abs=1e-4)
+    for length in (1, 2, 3, 100):  # whole texts, however they are cut for the work
+        counts = lm.Counts.zero(5, 3)
+        counts.add(model, sequences, length)
+        for name in ("first", "step", "emit"):
+            assert getattr(counts, name) == pytest.approx(getattr(want, name), abs=1e-4)
     assert lm.segments(np.arange(5), 2)[2].tolist() == [4]
 
 
@@ -120,3 +122,61 @@ def test_frequent_words_are_emitted_by_themselves_however_blocks_are_cut(spark,
         assert got[1][i]["score"] == pytest.approx(r["score"], abs=1e-3) and got[1][i]["base_score"] == pytest.approx(r["base_score"])
     held = [r for r in got[0].values() if r["held_out"]]
     assert sum(r["score"] - r["base_score"] for r in held) > 0.1 * sum(r["n_tokens"] for r in held)
+
+
+def test_one_very_long_text_among_short_ones_takes_bounded_memory():
+    rng = np.random.default_rng(4)
+    model = small_model(4, 50)
+    texts = [rng.integers(0, 50, k).astype(np.int32) for k in [500_000, *rng.integers(1, 300, 5_000)]]
+    tracemalloc.start()
+    got = lm.log10_likelihoods(model, texts)
+    counts = lm.Counts.zero(50, 4)
+    counts.add(model, texts)
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    assert got[7] == pytest.approx(lm.log10_likelihoods(model, [texts[7]])[0])
+    assert counts.emit.sum() == pytest.approx(sum(map(len, texts)), rel=1e-5)
+    assert counts.step.sum() == pytest.approx(sum(map(len, texts)) - len(texts), rel=1e-5)
+    assert counts.first.sum() == pytest.approx(len(texts), rel=1e-5)
+
+
+def test_query_is_the_plain_model_on_whole_texts(spark, docs):
+    """Words of their own only: initial numbers, rounds and scores worked out text by text, without parts or blocks."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 12, rng.integers(3, 40))) for _ in range(40)]
+    frame = docs(texts)
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(frame, "doc_id", "text", F.lit(False), states=3, classes=2, rounds=3, often=1).collect()}
+    c = Counter(w for t in texts for w in t.split())
+    words = sorted(c)
+    n, n_own = sum(c.values()) + len(texts), len(words)
+    total = n + 0.5 * (3 + n_own)
+    shares = (np.array([0.0, 0.0, len(texts)]) + 0.5) / total
+    digest = np.array([zlib.crc32(w.encode()) | zlib.crc32(w.encode(), lm.SEED) << 32 for w in words], np.uint64)
+    own_shares = np.array([(c[w] + 0.5) / total for w in words])
+    gamma = np.random.default_rng(lm.SEED).gamma(0.5, 2.0, (3, 3))
+    emit = np.concatenate([shares[:, None] * (gamma + 1e-3), own_shares[:, None] * (lm.chance(digest, 3) + 1e-3)])
+    first, step = np.full(3, 1 / 3), (np.full((3, 3), 0.025) + np.eye(3) * 0.95) / 1.025
+    emit /= emit.sum(0)
+    number = {w: 3 + i for i, w in enumerate(words)}
+    symbols = {r["doc_id"]: [*(number[w] for w in r["text"].split()), 2] for r in frame.collect()}
+
+    def walk(x):
+        a, b = np.zeros((len(x), 3)), np.ones((len(x), 3))
+        a[0] = first * emit[x[0]]
+        for t in range(1, len(x)):
+            a[t] = a[t - 1] @ step * emit[x[t]]
+        for t in range(len(x) - 2, -1, -1):
+            b[t] = step @ (emit[x[t + 1]] * b[t + 1])
+        return a, b, a[-1].sum()
+
+    for _ in range(3):
+        f, s, e = np.ones(3), np.ones((3, 3)), lm.PRIOR * (3 + n_own) * np.concatenate([shares, own_shares])[:, None] * np.ones(3)
+        for x in symbols.values():
+            a, b, p = walk(x)
+            f += a[0] * b[0] / p
+            np.add.at(e, x, a * b / p)
+            for t in range(len(x) - 1):
+                s += a[t][:, None] * step * (emit[x[t + 1]] * b[t + 1]) / p
+        first, step, emit = f / f.sum(), s / s.sum(1, keepdims=True), e / e.sum(0)
+    for i, x in symbols.items():
+        assert got[i] == pytest.approx(math.log10(walk(x)[2]), rel=1e-5)
