@@ -34,7 +34,7 @@ OFTEN = 8
 """Training tokens from which a word is emitted by itself and not by its class, whatever the size of the input."""
 SEGMENT = 2048
 """Tokens of a text walked in one go; longer texts are walked in segments side by side, with the same result."""
-GROUP, CELLS = 1024, 1 << 19
+GROUP, CELLS = 2048, 1 << 19
 """Sequences worked on side by side, and the places of their padded matrix (a longer sequence is alone)."""
 PARTS, PART_BYTES = 64, 64_000_000
 """Parts of the vocabulary: so many at least, one more for so many bytes of text."""
@@ -90,16 +90,16 @@ def _padded(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def log10_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     """Scaled forward recursion over each whole sequence."""
-    result = np.zeros(len(sequences))
+    result, one = np.zeros(len(sequences)), np.ones(len(model.first))
     for own in groups(sequences, 4 * GROUP, 8 * CELLS):
         tokens, running = _padded([sequences[i] for i in own])
         total, a = np.zeros(len(own)), None
         for t in range(len(tokens)):
             n = running[t]
-            e = model.emit[tokens[t, :n]]
+            e = model.emit.take(tokens[t, :n], axis=0)
             a = e * model.first if a is None else (a[:n] @ model.step) * e
-            scale = a.sum(1)
-            a /= scale[:, None]
+            scale = a @ one
+            a *= 1 / scale[:, None]
             total[:n] += np.log10(scale)
         result[own] = total
     return result
@@ -115,13 +115,14 @@ def transfers(emit: np.ndarray, step: np.ndarray, pieces: list[np.ndarray]) -> n
     out = np.zeros((len(pieces), states, states))
     for own in groups(pieces, GROUP // states, CELLS):
         tokens, running = _padded([pieces[i] for i in own])
-        e = emit[tokens[0]]
+        e, one = emit[tokens[0]], np.ones((states, 1), emit.dtype)
         flow = np.eye(states, dtype=emit.dtype) * (e / e.max(1, keepdims=True))[:, None, :]
         for t in range(1, len(tokens)):
             n = running[t]
-            e = emit[tokens[t, :n]]
-            e /= e.max(1, keepdims=True)
-            flow[:n] = (flow[:n].reshape(-1, states) @ step).reshape(n, states, states) * e[:, None, :]
+            e = emit.take(tokens[t, :n], axis=0)
+            e *= 1 / (e @ one)
+            np.matmul(flow[:n].reshape(-1, states), step, out=flow[:n].reshape(-1, states))
+            flow[:n] *= e[:, None, :]
             if t % 4 == 0:
                 flow[:n] /= flow[:n].max((1, 2), keepdims=True)
         out[own] = flow / flow.max((1, 2), keepdims=True)
@@ -176,14 +177,18 @@ class Counts:
         length, width, states = len(tokens), tokens.shape[1], emit.shape[1]
         alpha = np.zeros((length, width, states), np.float32)
         weigh = np.zeros((length, width, states), np.float32)  # emission over scale: what a step back multiplies by
-        start = start.astype(np.float32)
+        start, one = start.astype(np.float32), np.ones((states, 1), np.float32)
         for t in range(length):
             n = running[t]
-            e = emit[tokens[t, :n]]
-            a = (start if t == 0 else alpha[t - 1, :n] @ step) * e
-            scale = a.sum(1, keepdims=True)
-            alpha[t, :n] = a / scale
-            weigh[t, :n] = e / scale
+            e, a, w = emit.take(tokens[t, :n], axis=0), alpha[t, :n], weigh[t, :n]
+            if t == 0:
+                np.multiply(start, e, out=a)
+            else:
+                np.matmul(alpha[t - 1, :n], step, out=a)
+                a *= e
+            scale = 1 / (a @ one)  # a product adds up few columns faster than a sum does
+            a *= scale
+            np.multiply(e, scale, out=w)
         live = np.arange(width)[None, :] < running[:, None]
         last, at = live.sum(0) - 1, np.arange(width)
         beta = end / (alpha[last, at] * end).sum(1, keepdims=True)
@@ -193,16 +198,17 @@ class Counts:
         moves = np.zeros((states, states), np.float64)
         for t in range(length - 2, -1, -1):
             n = running[t + 1]
-            w = weigh[t + 1, :n] * beta[:n]
-            moves += alpha[t, :n].T @ w
-            beta[:n] = w @ back
-            alpha[t, :n] *= beta[:n]
+            w, b, a = weigh[t + 1, :n], beta[:n], alpha[t, :n]
+            w *= b
+            moves += a.T @ w
+            np.matmul(w, back, out=b)
+            a *= b
         moves += before.T @ (weigh[0] * beta)
         self.step += moves * step
         self.first += alpha[0][head].sum(0)
-        symbols = tokens[live]
+        symbols, shares = tokens[live], alpha[live]
         for k in range(states):
-            self.emit[:, k] += np.bincount(symbols, alpha[:, :, k][live], minlength=len(self.emit))
+            self.emit[:, k] += np.bincount(symbols, shares[:, k], minlength=len(self.emit))
 
 
 def improved(counts: Counts, shares: np.ndarray) -> Model:
