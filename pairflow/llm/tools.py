@@ -174,7 +174,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     )
     order = _order(own)
     linked = (
-        own.join(first, ["conv", "id"], "left").join(missing, ["conv", "id"], "left").join(order, ["conv", "id"], "left")
+        own.join(first.hint("shuffle_hash"), ["conv", "id"], "left").join(missing, ["conv", "id"], "left").join(order, ["conv", "id"], "left")
         .withColumn("place", F.struct(
             F.coalesce("late_turn", "turn").alias("a"), F.coalesce("late_idx", "idx").alias("b"), F.coalesce("depth", F.lit(0)).alias("c"),
             F.col("turn").alias("d"), F.col("idx").alias("e"), F.col("id").alias("f")))
@@ -205,6 +205,49 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     )
 
 
+def unlinked(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """(conv, id, turn, name, kind, error, json): what ``link`` gives no row of its own.
+
+    ``kind`` is ``repeated call`` for each other distinct call of an id, ``repeated result`` for each distinct
+    result of an id behind the first, and ``lone result`` for the first result of an id that no call
+    of the conversation has. Rows with a null conversation or id take no part; equal rows are one. Empty tables give
+    no rows.
+    """
+    kept = "conv is not null and id is not null"
+    called = calls.select("conv", "id", F.struct("turn", "idx", "name", "arguments", "needs").alias("c")).where(kept).distinct()
+    heard = results.select("conv", "id", F.struct("turn", "idx", "content").alias("r")).where(kept).distinct()
+    first_call = called.groupBy("conv", "id").agg(F.min("c").alias("first"), F.count(F.lit(1)).alias("n"))
+    first_result = heard.groupBy("conv", "id").agg(F.min("r").alias("first"), F.count(F.lit(1)).alias("n"))
+    none = F.lit(None).cast("string")
+    again = (
+        called.join(first_call.where("n > 1"), ["conv", "id"]).where(~F.col("c").eqNullSafe(F.col("first")))
+        .select("conv", "id", "c.turn", "c.name", F.lit("repeated call").alias("kind"), "c.arguments", none.alias("content"))
+    )
+    late = (
+        heard.join(first_result.where("n > 1"), ["conv", "id"]).where(~F.col("r").eqNullSafe(F.col("first")))
+        .select("conv", "id", "r.turn", none.alias("name"), F.lit("repeated result").alias("kind"), none.alias("arguments"), "r.content")
+    )
+    lone = (
+        first_result.join(first_call.select("conv", "id").hint("shuffle_hash"), ["conv", "id"], "left_anti")
+        .select("conv", "id", "first.turn", none.alias("name"), F.lit("lone result").alias("kind"), none.alias("arguments"), "first.content")
+    )
+    rows = again.unionByName(late).unionByName(lone)
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = [
+                _json(name, id_, arguments, None, False, {name: {}}) if kind == "repeated call" else (None, canonical({"id": id_, "result": content}))
+                for kind, name, id_, arguments, content in zip(b["kind"], b["name"], b["id"], b["arguments"], b["content"])
+            ]
+            b["error"], b["json"] = zip(*made) if made else ((), ())
+            yield b
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("error", T.StringType()), T.StructField("json", T.StringType())])
+    told = {"repeated call": "another call of this id is first", "repeated result": "another result of this id is first", "lone result": "no call"}
+    why = F.coalesce(*[F.when(F.col("kind") == k, F.lit(x)) for k, x in told.items()])
+    return rows.mapInPandas(finish, schema).select("conv", "id", "turn", "name", "kind", F.concat_ws("; ", why, "error").alias("error"), "json")
+
+
 # --- where calls come from -------------------------------------------------------------------
 
 _TAGGED = r"(?s)<tool_call>(.*?)</tool_call>"
@@ -260,8 +303,32 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+ROLES = ("user", "assistant", "tool")
+
+
+def conversation_calls(turns: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+    """(conv_id, turn, call_id, n_results, position, valid, error, json, kind) of ``turns`` (conv_id, turn, role, text).
+
+    Tagged calls and plain turns are linked together; a tagged call whose identifier is the number of a user's turn
+    shares that identifier with it, and both are told. ``kind`` is ``call``, one of those of ``unlinked``, or
+    ``other turn`` for a turn of any other role (or none), which has its place and nothing else. Turns without a
+    conversation or a number ask nothing, and are ``other turn`` too. Empty tables give no rows.
+    """
+    takes = F.coalesce(F.col("role").isin(*ROLES) & F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.lit(False))
+    own = turns.select("conv_id", "turn", "role", "text")
+    part = own.where(takes)
+    calls, results = (a.unionByName(b) for a, b in zip(from_turns(part), from_tags(part)))
+    rest = unlinked(calls, results).select(
+        F.col("conv").alias("conv_id"), "turn", F.col("id").alias("call_id"), F.lit(None).cast("bigint").alias("n_results"),
+        F.lit(None).cast("bigint").alias("position"), F.lit(False).alias("valid"), "error", "json", "kind",
+    )
+    other = own.where(~takes).select("conv_id", "turn", F.lit("other turn").alias("kind"))
+    linked = link(calls, results, schemas).select(
+        F.col("conv").alias("conv_id"), "turn", F.col("id").alias("call_id"), "n_results", "position", "valid", "error", "json", F.lit("call").alias("kind")
+    )
+    return linked.unionByName(rest).unionByName(other, allowMissingColumns=True)
+
+
 def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every question of every conversation, linked to its answer, in order and as canonical JSON."""
-    calls, results = from_turns(table(spark, sf_dir, "conversations"))
-    out = link(calls, results, {"reply": REPLY})
-    return out.select(F.col("conv").alias("conv_id"), "turn", F.col("id").alias("call_id"), "n_results", "position", "valid", "error", "json")
+    """Every call, tagged or plain, of every conversation, linked to its result, in order and as canonical JSON; and what is left."""
+    return conversation_calls(table(spark, sf_dir, "conversations"), {"reply": REPLY})

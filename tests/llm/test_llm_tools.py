@@ -93,9 +93,37 @@ def test_query_equals_plain(spark):
     rows = spark.read.parquet(f"{sf}/conversations.parquet").collect()
     users = {(r["conv_id"], r["turn"]): r["text"] for r in rows if r["role"] == "user"}
     replies = {(r["conv_id"], r["turn"] - 1): r["text"] for r in rows if r["role"] == "assistant"}
-    got = {(r["conv_id"], r["turn"]): r for r in tools.op5_tool_calls(spark, sf).collect()}
+    every = tools.op5_tool_calls(spark, sf).collect()
+    got = {(r["conv_id"], r["turn"]): r for r in every if r["kind"] == "call"}
     assert set(got) == set(users)
+    left = sorted((r["kind"], r["conv_id"], r["turn"]) for r in every if r["kind"] != "call")
+    lone = [("lone result", c, t + 1) for c, t in replies if (c, t) not in users]
+    assert left == sorted(lone + [("other turn", r["conv_id"], r["turn"]) for r in rows if r["role"] not in ("user", "assistant")])
     for k, r in got.items():
         assert r["n_results"] == (k in replies) and r["position"] == sum(c == k[0] and t < k[1] for c, t in users)
         args = {"conversation": k[0], "prompt": users[k], "turn": k[1]}
         assert r["json"] == tools.canonical({"id": str(k[1]), "name": "reply", "arguments": args, "result": replies.get(k)})
+
+
+def test_every_call_result_and_turn_has_a_row(spark):
+    tagged = '<tool_call>{"id":"c","name":"add","arguments":"{\\"x\\":1}","needs":["d"]}</tool_call><tool_call>{"id":"d","name":"add","arguments":"{\\"x\\":2}"}</tool_call>'
+    again = '<tool_call>{"id":"d","name":"add","arguments":"{\\"x\\":9}"}</tool_call>'
+    rows = [
+        (1, 0, "user", "hi"), (1, 1, "assistant", tagged), (1, 2, "tool", '{"id":"c","content":"3"}'), (1, 3, "tool", '{"id":"c","content":"4"}'),
+        (1, 4, "tool", '{"id":"zz","content":"5"}'), (1, 5, "assistant", again), (1, 6, "system", "be brief"), (1, 7, None, None),
+        (None, 0, "user", "lost"), (1, None, "assistant", "lost"), (2, 3, "assistant", None), (2, 3, "assistant", None),
+    ]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("kind", F.lit("mine"))
+    got = tools.conversation_calls(turns, {"reply": tools.REPLY, **SCHEMAS}).collect()
+    told = sorted((r["kind"], str(r["conv_id"]), str(r["turn"]), str(r["call_id"]), str(r["error"])) for r in got)
+    assert told == sorted([
+        ("call", "1", "0", "0", "None"), ("call", "1", "1", "c", "None"), ("call", "1", "1", "d", "several calls have this id; no result"),
+        ("repeated call", "1", "5", "d", "another call of this id is first"), ("repeated result", "1", "3", "c", "another result of this id is first"),
+        ("lone result", "1", "4", "zz", "no call"), ("lone result", "1", "5", "4", "no call"), ("lone result", "2", "3", "2", "no call"),
+        ("other turn", "1", "6", "None", "None"), ("other turn", "1", "7", "None", "None"), ("other turn", "None", "0", "None", "None"), ("other turn", "1", "None", "None", "None"),
+    ])
+    by = {(r["kind"], r["call_id"]): r for r in got}
+    assert by["call", "d"]["position"] < by["call", "c"]["position"]  # moved behind what it needs
+    assert by["repeated call", "d"]["json"] == '{"arguments":{"x":9},"id":"d","name":"add","result":null}'
+    assert by["repeated result", "c"]["json"] == '{"id":"c","result":"4"}'
+    assert tools.conversation_calls(turns.where("false"), SCHEMAS).count() == 0
