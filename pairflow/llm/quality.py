@@ -254,3 +254,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   failure_bits & 3 <> 0 AS base_failed, failure_bits = 0 AS kept, failure_bits, 'web-2' AS policy
 FROM b
 """
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule does to all documents under each policy, from the ledger's bits."""
+    return ablations(ledger(table(spark, sf_dir, "documents").select("text")))
+
+
+_CASES = ", ".join(
+    f"('{policy}', '{r.name}', {mask(names)}, {1 << r.bit})" for policy, names in POLICIES.items() for r in RULES if r.name in names
+)
+
+ABLATIONS_SQL = (
+    OP7_SQL.rpartition("SELECT doc_id")[0]
+    + f"""
+SELECT policy, rule, count(*)::BIGINT AS n_rows,
+  count(*) FILTER (failure_bits & mask <> 0)::BIGINT AS rejected,
+  count(*) FILTER (failure_bits & bit <> 0)::BIGINT AS by_rule,
+  count(*) FILTER (failure_bits & mask = bit)::BIGINT AS by_rule_alone,
+  coalesce(bit_or(failure_bits) FILTER (failure_bits & bit <> 0), 0)::BIGINT AS with_rule
+FROM b, (VALUES {_CASES}) AS cases(policy, rule, mask, bit)
+GROUP BY policy, rule
+"""
+)

@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         tools.op5_tool_calls,
         simhash.op6_simhash,
         quality.op7_quality_rules,
+        quality.quality_ablations,
         mixing.op8_mixing,
         lm.op9_lm_scores,
         pieces.op10_sentencepiece,
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE = {
     "op3_warc": warc.OP3_SQL,
     "op7_quality_rules": quality.OP7_SQL,
+    "quality_ablations": quality.ABLATIONS_SQL,
     "op8_mixing": mixing.OP8_SQL,
     "op11_phrases": phrases.OP11_SQL,
 }

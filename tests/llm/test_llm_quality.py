@@ -45,3 +45,16 @@ def test_stage_keeps_columns_and_clean_rows(spark, docs):
     frame = docs([good, None, "x", good]).withColumn("_rejected", F.lit(7))
     kept = quality.keep_good(spark, frame, "")
     assert kept.columns == frame.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 3]
+
+
+def test_ablations_of_all_documents_are_the_ones_counted_by_the_rules(spark, documents):
+    """Each verdict worked out anew without the rule, over plain measurements, instead of from bits."""
+    tests = {r.name: {row["text"]: row["failure_bits"] >> r.bit & 1 for row in quality.ledger(documents).collect()} for r in quality.RULES}
+    texts = [r["text"] for r in documents.collect()]
+    got = {(r["policy"], r["rule"]): r for r in quality.quality_ablations(spark, "/root/testdata/sf0.001").collect()}
+    assert set(got) == {(p, name) for p, names in quality.POLICIES.items() for name in names}
+    for (policy, rule), r in got.items():
+        names = quality.POLICIES[policy]
+        rejected_by = [{n for n in names if tests[n][t]} for t in texts]
+        assert (r["n_rows"], r["rejected"]) == (len(texts), sum(bool(x) for x in rejected_by))
+        assert (r["by_rule"], r["by_rule_alone"]) == (sum(rule in x for x in rejected_by), sum(x == {rule} for x in rejected_by))
