@@ -52,6 +52,17 @@ def weekly_series(spark: SparkSession, sf_dir: str, nulls: bool = False) -> Data
     return sums.select("site", *_pair_columns("site"), "time", "streamflow", "rain", "n_obs")
 
 
+def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five suppliers together as a site, days as time: networks of more than a thousand rows."""
+    site = F.floor(F.col("l_suppkey") / 5).cast("bigint")
+    sums = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(site.alias("site"), F.to_date("l_shipdate").cast("timestamp_ntz").alias("time"))
+        .agg(F.sum("l_quantity").alias("streamflow"), F.sum("l_linenumber").cast("double").alias("rain"))
+    )
+    return sums.select("site", *_pair_columns("site"), "time", "streamflow", "rain")
+
+
 def hourly_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users as sites, hours as time: sparse pairs that share few hours."""
     hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")

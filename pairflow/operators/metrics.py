@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from pairflow.functions.expr import named, nan_to_null, ratio, value_bucket
 from pairflow.operators import ordering
+from pairflow.operators.joins import lookup
+from pairflow.session import materialize
 
 # Fixed value: where the best NSE starts before the first epoch.
 NSE_FLOOR = -100_000_000.0
@@ -199,8 +201,10 @@ def early_stop(
 
     ``mode='min'``: a value below all earlier ones resets, one above best + delta counts.
     ``mode='max'``: a value at or above all earlier ones resets, one at or below best - delta counts.
-    NaN does neither. A history may be long: it is cut into buckets of epochs. It is read four
-    times, so give a stored one.
+    NaN does neither. A history may be long: it is cut into buckets of epochs. One pass over keys,
+    epochs and values finds the best of each bucket; a second moves the rows to their buckets, once, and
+    stores them with their flags. What is carried from bucket to bucket is a row for each that
+    has something before it, so a shuffle of the stored rows is not needed.
     """
     if mode not in ("min", "max"):
         raise ValueError("mode is min or max")
@@ -231,10 +235,11 @@ def early_stop(
 
     # Within a bucket: bad epochs so far, and how many there were at the last reset.
     inside = Window.partitionBy(*keys, "__bucket").orderBy(epoch).rowsBetween(Window.unboundedPreceding, 0)
-    flagged = (
+    flagged = materialize(
         scored.withColumns({"__reset": reset, "__bad": bad})
         .withColumn("__so_far", F.sum("__bad").over(inside))
         .withColumn("__at_reset", F.max(F.when(F.col("__reset"), F.col("__so_far"))).over(inside))
+        .select(*[named(c) for c in history.columns], "__bucket", "__bad", "__so_far", "__at_reset")
     )
     # Across buckets the same over one row each; the count never falls, so the greatest is the last.
     before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -248,10 +253,11 @@ def early_stop(
             "__bucket",
             (F.col("__earlier") - F.coalesce("__earlier_reset", F.lit(0))).alias("__carry"),
         )
+        .where(F.col("__carry") > 0)
     )
-    counter = F.col("__so_far") - F.coalesce(F.col("__at_reset"), -F.col("__carry"))
+    counter = F.col("__so_far") - F.coalesce(F.col("__at_reset"), -F.col("__carry"), F.lit(0))
     return (
-        flagged.join(carried, [*keys, "__bucket"])
+        lookup(flagged, materialize(carried), [*keys, "__bucket"], "left", spread=[epoch])
         .withColumn("counter", counter.cast("bigint"))
         .withColumn("stop", (F.col("__bad") == 1) & (F.col("counter") >= patience))
         .select(*[named(c) for c in history.columns], "counter", "stop")

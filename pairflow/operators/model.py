@@ -54,16 +54,26 @@ def score_blocks(
     predict: Callable[[np.ndarray], np.ndarray],
     output: str = "m",
     width: int | None = None,
+    target: str | None = None,
+    horizon: int = 1,
 ) -> DataFrame:
     """``(network_id, start_idx, m)``: ``predict`` on every window of every network, for long windows.
 
+    With a ``target`` the column ``o`` holds it as well: that of the row after the window (``horizon=1``, next
+    step) or of the window's last row (``horizon=0``, same step).
+
     Rows go to the tasks once, in blocks of consecutive positions that borrow the ``length`` rows
     ahead of them; the windows are views over a block and are made where they are scored, a few
     thousand at a time. A window of rows i..i+length-1 has ``start_idx`` i; a network of T rows has
     T - length of them, as for samples. ``predict`` takes (windows, steps, features).
     """
+    if horizon not in (0, 1):
+        raise ValueError("horizon is 1 (next step) or 0 (same step)")
     plain = [f"__f{i}" for i in range(len(features))]
-    rows = positioned.select("network_id", "idx", *[F.col(f"`{f}`").cast("double").alias(p) for f, p in zip(features, plain)])
+    wanted = [F.col(f"`{f}`").cast("double").alias(p) for f, p in zip(features, plain)]
+    if target is not None:
+        wanted.append(F.col(f"`{target}`").cast("double").alias("__o"))
+    rows = positioned.select("network_id", "idx", *wanted)
     blocks = ordering.overlapping_blocks(rows, "idx", length, width)
 
     def score(block: pd.DataFrame) -> pd.DataFrame:
@@ -77,11 +87,15 @@ def score_blocks(
             np.asarray(predict(views[ends[i : i + step] - length].transpose(0, 2, 1)), float).reshape(-1)
             for i in range(0, len(ends), step)
         ]
-        return pd.DataFrame(
-            {"network_id": block["network_id"].iloc[0], "start_idx": at[ends] - length, output: np.concatenate(scores) if scores else np.zeros(0)}
-        )
-
-    schema = T.StructType([rows.schema["network_id"], T.StructField("start_idx", T.LongType()), T.StructField(output, T.DoubleType())])
+        found = {"network_id": block["network_id"].iloc[0], "start_idx": at[ends] - length}
+        if target is not None:
+            found["o"] = block["__o"].to_numpy(float)[ends - (1 - horizon)]
+        return pd.DataFrame(found | {output: np.concatenate(scores) if scores else np.zeros(0)})
+
+    numbers = [*(["o"] if target is not None else []), output]
+    schema = T.StructType(
+        [rows.schema["network_id"], T.StructField("start_idx", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in numbers]]
+    )
     return blocks.groupBy("network_id", "block").applyInPandas(score, schema)
 
 

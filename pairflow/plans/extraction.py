@@ -16,7 +16,7 @@ def extract_flow(
     Ids and span limit the scan, and only time, id and streamflow are read.
     """
     ids = io.pair_map_ids(io.read_pair_map(spark, pair_map))
-    return io.select_flow(io.read_flow(spark, flow_path), ids, start, end), ids
+    return io.select_flow(io.read_flow(spark, flow_path, grouped=True), ids, start, end), ids
 
 
 def absent_ids(ids: DataFrame, flow: DataFrame) -> DataFrame:

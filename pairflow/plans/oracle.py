@@ -46,6 +46,29 @@ n AS (
   JOIN num ON num.pair_id = d.pair_id)"""
 
 
+# Pairs of five suppliers each, by day.
+_DAILY = f"""s AS (
+  SELECT l_suppkey // 5 AS site, CAST(l_shipdate AS DATE) AS day, SUM(l_quantity) AS flow, CAST(SUM(l_linenumber) AS DOUBLE) AS rain
+  FROM lineitem GROUP BY ALL),
+ok AS (
+  SELECT site // 2 AS pair_id FROM s GROUP BY pair_id
+  HAVING count(DISTINCT site) = 2 AND stddev_pop(flow) FILTER (site % 2 = 1) >= 0.01),
+num AS (SELECT pair_id, CAST(row_number() OVER (ORDER BY pair_id) - 1 AS BIGINT) AS network_id FROM ok),
+n AS (
+  SELECT network_id, d.flow AS flow_x, d.rain AS rain_x, u.flow AS flow_y,
+         CAST(row_number() OVER (PARTITION BY network_id ORDER BY d.day) - 1 AS BIGINT) AS idx
+  FROM s d JOIN s u ON u.site = d.site + 1 AND d.day = u.day AND d.site % 2 = 0 JOIN num ON num.pair_id = d.site // 2)"""
+
+
+def _samples(target: str) -> str:
+    return f"""WITH {_DAILY},
+w AS (
+  SELECT network_id, idx - 1024 AS start_idx, {target} AS o,
+         round(0.5::DOUBLE * avg(flow_x) OVER f + 0.25::DOUBLE * last_value(rain_x) OVER f, 6) AS m
+  FROM n WINDOW f AS (PARTITION BY network_id ORDER BY idx ROWS BETWEEN 1024 PRECEDING AND 1 PRECEDING))
+SELECT * FROM w WHERE start_idx >= 0"""
+
+
 def _size() -> str:
     return """size AS (
   SELECT count(*) AS k, floor(count(*) * 0.7::double) AS a, floor(count(*) * 0.2::double) AS v, floor(count(*) * 0.1::double) AS t FROM num)"""
@@ -109,6 +132,10 @@ scored AS (
 
 _LINES = f"""SELECT {_t('l_shipdate')} AS time, l_suppkey AS feature_id, l_quantity AS streamflow, l_orderkey AS gage_id FROM lineitem"""
 
+_SELECTED = f"""SELECT {_t('l_shipdate')} AS time, l_suppkey AS feature_id, l_quantity AS streamflow FROM lineitem
+WHERE l_shipdate >= DATE '1999-01-01' AND l_shipdate < DATE '2001-01-01'
+  AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)"""
+
 _HISTORY = f"""{_s()},
 h AS (
   SELECT site AS run_id, CAST(row_number() OVER (PARTITION BY site ORDER BY time) - 1 AS BIGINT) AS epoch,
@@ -403,6 +430,14 @@ w AS (
   SELECT network_id, idx - 128 AS start_idx, round(0.5::DOUBLE * avg(streamflow_x) OVER f + 0.25::DOUBLE * last_value(rain_x) OVER f, 6) AS m
   FROM n WINDOW f AS (PARTITION BY network_id ORDER BY idx ROWS BETWEEN 128 PRECEDING AND 1 PRECEDING))
 SELECT * FROM w WHERE start_idx >= 0""",
+    "score_same_step": f"""WITH {_n()},
+w AS (
+  SELECT network_id, idx - 128 AS start_idx, last_value(streamflow_y) OVER f AS o,
+         round(0.5::DOUBLE * avg(streamflow_x) OVER f + 0.25::DOUBLE * last_value(rain_x) OVER f, 6) AS m
+  FROM n WINDOW f AS (PARTITION BY network_id ORDER BY idx ROWS BETWEEN 128 PRECEDING AND 1 PRECEDING))
+SELECT * FROM w WHERE start_idx >= 0""",
+    "samples_next_step": _samples("flow_y"),
+    "samples_same_step": _samples("last_value(flow_y) OVER f"),
     "window_features_long": f"""WITH {_n()},
 h AS (SELECT network_id, idx, streamflow_y, CASE WHEN idx % 37 <> 5 THEN streamflow_x END AS x FROM n),
 w AS (
@@ -513,9 +548,8 @@ SELECT strftime(day, '%Y-%m-%d') AS day, strftime(day, '%Y/%Y%m%d*') AS key FROM
 UNION ALL SELECT o_orderkey, 1, o_custkey + 7 FROM orders
 UNION ALL SELECT o_orderkey, 2, o_orderkey FROM orders
 UNION ALL SELECT o_orderkey, 3, o_custkey FROM orders""",
-    "select_flow": f"""SELECT {_t('l_shipdate')} AS time, l_suppkey AS feature_id, l_quantity AS streamflow FROM lineitem
-WHERE l_shipdate >= DATE '1999-01-01' AND l_shipdate < DATE '2001-01-01'
-  AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)""",
+    "select_flow": _SELECTED,
+    "select_stored_flow": _SELECTED,
     "flow_batches": """SELECT l_suppkey - l_suppkey % 10 AS batch_start, count(*) AS n_rows,
        count(DISTINCT l_suppkey) AS n_ids, sum(l_quantity) AS total FROM lineitem GROUP BY ALL""",
 }

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pairflow import fixtures
 from pairflow.functions.expr import md5_uniform, ratio, time_text, value_bucket
-from pairflow.operators import assemble, metrics, model, networks, ordering, scale, sites, spatial, split, windows
+from pairflow.operators import assemble, metrics, model, networks, ordering, samples, scale, sites, spatial, split, windows
 from pairflow.operators.joins import lookup
 from pairflow.plans import assembly, training
 from pairflow.session import ensure_checkpoint_dir, materialize, stage
@@ -323,6 +323,34 @@ def score_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("m", r6("m"))
 
 
+STORED = 1024
+
+
+def _stored_samples(spark: SparkSession, sf_dir: str, horizon: int) -> DataFrame:
+    """Samples of daily networks at the full window length: written as blocks, read back, cut and scored."""
+    joined = stage(networks.build_networks(stage(fixtures.daily_series(spark, sf_dir))))
+    path = _folder(spark, "samples")
+    features, target = ["streamflow_x", "rain_x"], "streamflow_y"
+    samples.write_samples(networks.with_position(joined), features, target, STORED, path)
+    out = samples.score_samples(samples.read_samples(spark, path), features, target, STORED, _weighed, horizon)
+    return out.withColumn("m", r6("m"))
+
+
+def samples_next_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored_samples(spark, sf_dir, 1)
+
+
+def samples_same_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored_samples(spark, sf_dir, 0)
+
+
+def score_same_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block scores beside the target of the window's last row."""
+    rows = _rows(spark, sf_dir)
+    out = model.score_blocks(rows, ["streamflow_x", "rain_x"], LONGEST, _weighed, target="streamflow_y", horizon=0)
+    return out.withColumn("m", r6("m"))
+
+
 def window_features_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means over long windows, with missing values among the rows."""
     gone = F.pmod("idx", F.lit(37)) == 5
@@ -759,6 +787,14 @@ def select_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("time", time_text(F.col("time")))
 
 
+def select_stored_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a store clustered by feature: folders without a wanted id are not opened."""
+    path = _folder(spark, "flow")
+    io.write_flow(_lines(spark, sf_dir), path)
+    out = io.select_flow(io.read_flow(spark, path, grouped=True), _wanted(spark, sf_dir), "1999-01-01", "2000-12-31")
+    return out.withColumn("time", time_text(F.col("time")))
+
+
 def flow_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per batch of ten ids in list order: what the batch's store holds."""
     ids = fixtures.site_list(spark, sf_dir).select("pos", F.col("comid").alias("feature_id"))
@@ -809,6 +845,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         windows_in_span,
         inverse_by_network,
         score_windows,
+        score_same_step,
+        samples_next_step,
+        samples_same_step,
         window_features_long,
         stored_series,
         stored_series_csv,
@@ -857,6 +896,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         day_keys,
         pair_map_ids,
         select_flow,
+        select_stored_flow,
         flow_batches,
     )
 }

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pairflow import schemas
 from pairflow.functions.expr import clean_key, day_key, named
 from pairflow.operators.joins import lookup
-from pairflow.session import delete, materialize
+from pairflow.session import delete, fits, materialize
 
 # Names in the stored tables, and where an attribute file lies under its catchment's folder.
 INDEX_COLUMN = "Unnamed: 0"
@@ -151,15 +151,21 @@ def pair_map_ids(pairs: DataFrame) -> DataFrame:
     )
 
 
-def read_flow(spark: SparkSession, path: str, features: list[int] | None = None) -> DataFrame:
-    """A flow store; of one clustered by feature only the folders of the listed ``features`` are read."""
+def read_flow(
+    spark: SparkSession, path: str, features: list[int] | None = None, grouped: bool = False
+) -> DataFrame:
+    """A flow store; of one clustered by feature only the folders of the listed ``features`` are read.
+
+    ``grouped`` keeps the folder's number ``feature_group``, by which ``select_flow`` leaves out folders
+    for a table of ids too.
+    """
     flow = spark.read.parquet(path)
-    if "feature_group" not in flow.columns:
+    if FEATURE_FOLDER not in flow.columns:
         return flow if features is None else flow.where(F.col("feature_id").isin(features))
     if features is not None:
         groups = sorted({f // FEATURES_PER_FOLDER for f in features})
-        flow = flow.where(F.col("feature_group").isin(groups) & F.col("feature_id").isin(features))
-    return flow.drop("feature_group")
+        flow = flow.where(F.col(FEATURE_FOLDER).isin(groups) & F.col("feature_id").isin(features))
+    return flow if grouped else flow.drop(FEATURE_FOLDER)
 
 
 def in_days(time: Column, start: str | None, end: str | None) -> Column:
@@ -204,20 +210,43 @@ def select_flow(
     """Flow of the listed features in a span of days: only key, time and one variable are read.
 
     A short list of ids is pushed into the scan; a table of ids is joined (``repeat`` keeps the
-    repeats of the list, otherwise each id counts once).
+    repeats of the list, otherwise each id counts once). Of a store clustered by feature and read with
+    its folder numbers (``read_flow(..., grouped=True)``) only the folders of wanted ids are opened,
+    however many ids there are, and of their files only the row groups between the least and the
+    greatest id.
     """
     kept = ["time", "feature_id", variable, *([order] if order else [])]
-    out = within_days(flow, start, end).select(*kept)
+    out = within_days(flow, start, end)
     if ids is None:
-        return out
+        return out.select(*kept)
+    clustered = FEATURE_FOLDER in flow.columns
     if isinstance(ids, list) and len(set(ids)) <= MAX_PUSHED_IDS and not repeat:
-        return out.where(F.col("feature_id").isin(sorted(set(ids))))
+        listed = sorted(set(ids))
+        if clustered:
+            out = out.where(F.col(FEATURE_FOLDER).isin(sorted({i // FEATURES_PER_FOLDER for i in listed})))
+        return out.select(*kept).where(F.col("feature_id").isin(listed))
     if isinstance(ids, list):
         ids = flow.sparkSession.createDataFrame([(i,) for i in ids], "feature_id bigint")
     wanted = materialize(ids.select("feature_id") if repeat else ids.select("feature_id").distinct())
+    out = (_in_folders(out, wanted) if clustered else out).select(*kept)
     return lookup(out, wanted, ["feature_id"], "inner" if repeat else "left_semi", spread=["time"])
 
 
+def _in_folders(flow: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Flow in the folders that hold a wanted id: their numbers are joined, so the scan skips the rest at run time."""
+    folders = materialize(wanted.select(folder_of(F.col("feature_id")).alias(FEATURE_FOLDER)).distinct())
+    ends = wanted.agg(F.min("feature_id").alias("low"), F.max("feature_id").alias("high")).first()
+    if ends["low"] is None:
+        return flow.where(F.lit(False))
+    flow = flow.where(F.col("feature_id").between(ends["low"], ends["high"]))
+    # A number per folder of the store at most, as many as the driver lists; still checked.
+    if not fits(folders):
+        return flow
+    # The filter holds for all of them; Spark prunes at run time only by a side that is filtered.
+    least, most = (v // FEATURES_PER_FOLDER for v in (ends["low"], ends["high"]))
+    return flow.join(F.broadcast(folders.where(F.col(FEATURE_FOLDER).between(least, most))), FEATURE_FOLDER, "left_semi")
+
+
 def select_forcing(
     forcing: DataFrame, variables: list[str] = schemas.FORCINGS, start: str | None = None, end: str | None = None
 ) -> DataFrame:
@@ -342,6 +371,12 @@ def replace_days(df: DataFrame, path: str, days: list[str], held: list[str] | No
 
 
 FEATURES_PER_FOLDER = 1000
+FEATURE_FOLDER = "feature_group"
+
+
+def folder_of(feature: Column) -> Column:
+    """Number of a feature's folder, exact for all whole numbers."""
+    return F.call_function("div", feature - F.pmod(feature, F.lit(FEATURES_PER_FOLDER)), F.lit(FEATURES_PER_FOLDER))
 
 
 def write_flow(flow: DataFrame, path: str, by: str = "feature", batches: DataFrame | None = None) -> None:
@@ -352,9 +387,9 @@ def write_flow(flow: DataFrame, path: str, by: str = "feature", batches: DataFra
     features has few. Rows of a batch folder are spread by month over several tasks.
     """
     if by == "feature":
-        keyed = flow.withColumn("feature_group", F.expr(f"(feature_id - pmod(feature_id, {FEATURES_PER_FOLDER})) div {FEATURES_PER_FOLDER}"))
-        ordered = keyed.repartitionByRange("feature_id", "time").sortWithinPartitions("feature_group", "feature_id", "time")
-        ordered.write.mode("overwrite").partitionBy("feature_group").parquet(path)
+        keyed = flow.withColumn(FEATURE_FOLDER, folder_of(F.col("feature_id")))
+        ordered = keyed.repartitionByRange("feature_id", "time").sortWithinPartitions(FEATURE_FOLDER, "feature_id", "time")
+        ordered.write.mode("overwrite").partitionBy(FEATURE_FOLDER).parquet(path)
         return
     if by == "batch":
         keyed, folder = lookup(flow, materialize(batches), ["feature_id"], spread=["time"]), "batch_start"

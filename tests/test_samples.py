@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from pairflow.operators import metrics, model, scale, windows
+from pairflow.operators import metrics, model, samples, scale, windows
 
 
 def positioned(spark, lengths):
@@ -257,3 +257,72 @@ def test_linear_model_beats_persistence(spark):
     assert metrics.nse(pred, ["network_id"]).first().nse == 1.0
     last = windows.previous(df, "flow_y", "m").where("network_id = 3").withColumnRenamed("flow_y", "o")
     assert metrics.nse(last, ["network_id"]).first().nse < 0.5
+
+
+def stored(spark, df, length, width, tmp_path):
+    samples.write_samples(df, ["a", "b=1"], "a", length, str(tmp_path / "samples"), width)
+    return samples.read_samples(spark, str(tmp_path / "samples"))
+
+
+@pytest.mark.parametrize("horizon", [0, 1])
+@pytest.mark.parametrize("width", [None, 40, 57])
+def test_stored_samples_equal_the_arrays(spark, tmp_path, width, horizon):
+    """Networks of all lengths about the block and window; also shorter windows from the same store."""
+    df = positioned(spark, [200, 41, 40, 39, 1, 80, 81, 114]).withColumnRenamed("b", "b=1")
+    store = stored(spark, df, 40, width, tmp_path)
+    scorer = lambda x: x[:, -1, 0] + 1000 * x[:, 0, 0] + x[:, :, 1].sum(axis=1)
+    for length in (40, 13):
+        full = model.score_windows(windows.sample_windows(df, ["a", "b=1"], "a", length, horizon), scorer)
+        got = samples.score_samples(store, ["a", "b=1"], "a", length, scorer, horizon, batch_size=17)
+        want = full.select("network_id", "start_idx", F.col("y").alias("o"), "m")
+        assert sorted(got.collect()) == sorted(want.collect())
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        places = samples.sample_places(store, length)
+        assert sorted((r.network_id, r.start_idx) for r in places.collect()) == sorted((r.network_id, r.start_idx) for r in got.collect())
+
+
+def test_a_store_grows_with_rows_not_with_windows(spark, tmp_path):
+    df = positioned(spark, [20_000]).withColumnRenamed("b", "b=1")
+    for length in (64, 1024):
+        store = stored(spark, df, length, 8192, tmp_path)
+        assert store.agg(F.sum("n_rows")).first()[0] == 20_000 + 2 * length
+
+
+def test_stored_samples_of_odd_rows(spark, tmp_path):
+    """Missing values are NaN to the model and NULL as targets; no rows give none; too long windows are refused."""
+    gone = F.when(F.col("idx") != 50, F.col("a"))
+    df = positioned(spark, [120]).withColumn("a", gone).withColumnRenamed("b", "b=1")
+    store = stored(spark, df, 8, 16, tmp_path)
+    got = samples.score_samples(store, ["a"], "a", 8, lambda x: x.sum(axis=(1, 2))).orderBy("start_idx").collect()
+    assert len(got) == 112
+    assert [r.start_idx for r in got if r.o is None] == [42]
+    assert [r.start_idx for r in got if math.isnan(r.m)] == list(range(43, 51))
+    assert samples.score_samples(store.where("false"), ["a"], "a", 8, len).count() == 0
+    assert samples.pack_samples(df.where("false"), ["a"], "a", 8).count() == 0
+    with pytest.raises(PySparkException):
+        samples.score_samples(store, ["a"], "a", 9, lambda x: x.sum(axis=(1, 2))).collect()
+    with pytest.raises(PySparkException):
+        samples.sample_places(store, 9).collect()
+
+
+@pytest.mark.parametrize("horizon", [0, 1])
+def test_block_scores_bring_their_targets(spark, horizon):
+    df = positioned(spark, [140, 41, 12])
+    scorer = lambda x: x[:, -1, 0]
+    full = model.score_windows(windows.sample_windows(df, ["a", "b"], "a", 40, horizon), scorer)
+    got = model.score_blocks(df, ["a", "b"], 40, scorer, width=50, target="a", horizon=horizon)
+    assert sorted(got.collect()) == sorted(full.select("network_id", "start_idx", F.col("y").alias("o"), "m").collect())
+
+
+def test_early_stop_moves_its_rows_once(spark, monkeypatch):
+    """Rows are read for the best of each bucket and to go to their buckets; then only rows of buckets move."""
+    from pairflow.operators import metrics as module
+
+    seen = []
+    kept = module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df: seen.append(df) or kept(df))
+    got = metrics.early_stop(runs(spark, [float((7 * i) % 50) for i in range(400)], [1.0, 2.0]), patience=3, bucket=50)
+    inner = seen[0]._jdf.queryExecution().executedPlan().toString()
+    outer = got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 402 and inner.count("ExistingRDD") == 2
+    assert "BroadcastHashJoin" in outer and "Exchange hashpartitioning" not in outer

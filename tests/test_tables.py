@@ -391,3 +391,24 @@ def test_a_batch_lists_its_own_days_only(spark, tmp_path):
         writer.partitionBy("day_key", "ingest_batch").parquet(landing)
     got = spark.read.option("basePath", landing).parquet(*ingest.landed_days(landing, ["200820080105"]))
     assert len(got.inputFiles()) == 1 and got.count() == 1
+
+
+def test_many_ids_open_their_folders_only(spark, tmp_path):
+    """More ids than a filter takes: the scan of a clustered store is pruned at run time."""
+    path = str(tmp_path / "flow")
+    n = 20_000
+    flow = spark.range(n).select(F.timestamp_seconds("id").cast("timestamp_ntz").alias("time"), F.col("id").alias("feature_id"), F.lit(1.0).alias("streamflow"))
+    io.write_flow(flow, path)
+    ids = [*range(3000, 4500), *range(9500, 9600), 50_000_000]
+    table = spark.createDataFrame([(i,) for i in [*ids, *ids, None]], "feature_id bigint")
+    for wanted in (ids, table):
+        got = io.select_flow(io.read_flow(spark, path, grouped=True), wanted)
+        assert got.columns == ["time", "feature_id", "streamflow"]
+        assert sorted(r.feature_id for r in got.collect()) == ids[:-1]
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "dynamicpruning" in plan
+        opened = {f.split("feature_group=")[1].split("/")[0] for f in got.inputFiles()}
+        assert len(opened) <= n // io.FEATURES_PER_FOLDER
+    assert io.select_flow(io.read_flow(spark, path, grouped=True), table, repeat=True).count() == 2 * 1600
+    assert io.select_flow(io.read_flow(spark, path, grouped=True), [5, 7000]).count() == 2
+    assert io.select_flow(io.read_flow(spark, path, grouped=True), table.where("feature_id is null")).count() == 0
