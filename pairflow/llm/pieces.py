@@ -307,15 +307,53 @@ def scan(matrices: np.ndarray) -> np.ndarray:
     return out
 
 
-def boundary_states(matrices: np.ndarray) -> tuple[list[tuple[int, int]], int]:
-    """(entry, exit) of each chunk on the best path from state 0 to state 0, and its score."""
-    ahead = np.concatenate([[np.where(np.arange(matrices.shape[1]) == 0, 0, LOST)], scan(matrices)[:, 0, :]])
-    state, out = 0, []
-    for c in range(len(matrices) - 1, -1, -1):
-        before = int(np.argmax(ahead[c] + matrices[c][:, state]))
-        out.append((before, state))
-        state = before
-    return out[::-1], int(ahead[-1][0])
+def scores_after(matrices: np.ndarray) -> tuple[np.ndarray, int]:
+    """Best score from each state behind each chunk to the end of the text, and the score of the whole text."""
+    states = matrices.shape[1]
+    end = np.where(np.arange(states) == 0, 0, LOST)
+    # Products of the last 1, 2, ... n chunks: a product turned round is that of the turned matrices.
+    ends = scan(matrices[::-1].transpose(0, 2, 1))[:, 0, :]
+    return np.concatenate([ends[-2::-1], end[None, :]]), int(ends[-1][0])
+
+
+def loose_end(v: Vocabulary, s: str, length: int) -> tuple[int, bool]:
+    """Where the last part of a chunk begins, and whether every segmentation passes there (0 and not so without a cut)."""
+    lead = min(length, v.reach)
+    ends = np.cumsum([len(p) for p in _words(s[:length])])
+    cuts = [int(c) for c in ends[:-1] if c >= lead]
+    return (cuts[-1], True) if cuts else (0, False)
+
+
+def exit_states(v: Vocabulary, tail: str, length: int, after: np.ndarray, passed: bool) -> np.ndarray:
+    """State behind a chunk for each state before it, on the best path to the end of the text.
+
+    ``tail`` is the chunk from its loose end on, ``length`` characters and what a piece may reach past
+    them; ``after`` holds the scores from there. Of equally good paths the one with the longest first
+    piece is followed, as within a part, so the path does not depend on where texts are cut.
+    """
+    states, root, unknown = v.reach, v.trie(), v.unknown
+    score = [0] * length + [int(x) for x in after]
+    leaves = [0] * length
+    for i in range(length - 1, -1, -1):
+        node, j, best, to = root, i, unknown + score[i + 1], i + 1
+        while j < len(tail) and (node := node.get(tail[j])) is not None:
+            j += 1
+            if (end := node.get("")) is not None and (x := end[1] + score[j]) >= best:
+                best, to = x, j
+        score[i] = best
+        leaves[i] = leaves[to] if to < length else to - length
+    if passed:
+        return np.full(states, leaves[0], np.int32)
+    return np.array([leaves[e] if e < length else e - length for e in range(states)], np.int32)
+
+
+def followed(exits: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(entry, exit) of each chunk, from state 0 on."""
+    out, state = [], 0
+    for e in exits:
+        out.append((state, int(e[state])))
+        state = out[-1][1]
+    return out
 
 
 # --- Spark -------------------------------------------------------------------------------------
@@ -365,8 +403,8 @@ def encode(
     whether the text came back (with a space for each mark U+2581 it held).
 
     A null or empty text has no pieces and score 0. A character that no piece matches gives its
-    UTF-8 bytes. Of equally good segmentations the same one comes out in each run, for a given
-    chunk length. Repeated texts longer than a chunk are worked out once; all rows come back.
+    UTF-8 bytes. Of equally good segmentations that with the longest first piece comes out, and so on
+    from there, whatever the chunk length. Repeated texts longer than a chunk are worked out once; all rows come back.
     An empty table gives an empty one. Columns of ``docs`` named like the results are replaced.
     """
     v = vocabulary or load()
@@ -425,20 +463,49 @@ def _encode_long(texts: DataFrame, v: Vocabulary, chunk: int) -> DataFrame:
 
     def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [transfer(v, s, n).tobytes() for s, n in zip(b.column(3).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], ["sha", "chunk", "m"])
+            rows = list(zip(b.column(3).to_pylist(), b.column(2).to_pylist()))
+            made = [transfer(v, s, n).tobytes() for s, n in rows]
+            loose = [loose_end(v, s, n) for s, n in rows]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0),
+                    b.column(1),
+                    pa.array(made, pa.binary()),
+                    pa.array([s[at:] for (s, _), (at, _) in zip(rows, loose)]),
+                    pa.array([n - at for (_, n), (at, _) in zip(rows, loose)], pa.int32()),
+                    pa.array([passed for _, passed in loose]),
+                ],
+                ["sha", "chunk", "m", "tail", "left", "passed"],
+            )
+
+    def suffixes(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("chunk")
+        m = np.stack([np.frombuffer(x, np.int64).reshape(v.reach, v.reach) for x in group["m"]])
+        after, total = scores_after(m)
+        return pd.DataFrame({"sha": group["sha"], "chunk": group["chunk"], "after": [a.tobytes() for a in after], "score": total})
+
+    def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in range(3, 7)))
+            found = [exit_states(v, s, n, np.frombuffer(after, np.int64), passed).tobytes() for s, n, passed, after in rows]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(found, pa.binary())], ["sha", "chunk", "score", "exits"])
 
     def states(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("chunk")
-        m = np.stack([np.frombuffer(x, np.int64).reshape(v.reach, v.reach) for x in group["m"]])
-        found, total = boundary_states(m)
+        found = followed([np.frombuffer(x, np.int32) for x in group["exits"]])
         return pd.DataFrame(
-            {"sha": group["sha"], "chunk": group["chunk"], "entry": [a for a, _ in found], "exit": [b for _, b in found], "score": total}
+            {"sha": group["sha"], "chunk": group["chunk"], "entry": [a for a, _ in found], "exit": [b for _, b in found], "score": group["score"]}
         )
 
-    # One text's matrices take a few kilobytes a chunk, far less than the text, which was one row.
+    # One text's matrices and states take a few kilobytes a chunk, far less than the text, which was one row.
+    # A loose end is a part of a word, but for words longer than a chunk; it is met with the scores behind it.
+    ends = stored(chunks.mapInArrow(matrix, "sha string, chunk bigint, m binary, tail string, left int, passed boolean"))
+    behind = ends.select("sha", "chunk", "m").groupBy("sha").applyInPandas(suffixes, "sha string, chunk bigint, after binary, score bigint")
     paths = (
-        chunks.mapInArrow(matrix, "sha string, chunk bigint, m binary")
+        ends.drop("m")
+        .join(behind, ["sha", "chunk"])
+        .select("sha", "chunk", "score", "tail", "left", "passed", "after")
+        .mapInArrow(leave, "sha string, chunk bigint, score bigint, exits binary")
         .groupBy("sha")
         .applyInPandas(states, "sha string, chunk bigint, entry int, exit int, score bigint")
     )

@@ -53,19 +53,44 @@ def test_library_finds_the_same_scores():
         assert score_of(other.encode(text), text) == pytest.approx(ours, abs=50)
 
 
+def in_chunks(s, length):
+    """Score and ids of a text by chunks, without Spark."""
+    parts = [(s[i : i + length + V.reach - 1], min(length, len(s) - i)) for i in range(0, len(s), length)]
+    after, total = pieces.scores_after(np.stack([pieces.transfer(V, p, n) for p, n in parts]))
+    exits = []
+    for (p, n), scores in zip(parts, after):
+        at, passed = pieces.loose_end(V, p, n)
+        exits.append(pieces.exit_states(V, p[at:], n - at, scores, passed))
+    states = pieces.followed(exits)
+    assert states[-1][1] == 0
+    return total, b"".join(pieces.encode_part(V, p[a : n + b])[1] for (p, n), (a, b) in zip(parts, states))
+
+
 def test_chunks_give_the_same_as_one_pass():
     rng = random.Random(3)
     bits = ["the ", "ion", "\n", "  ", "é", "你", "x", "token", "====", "▁", "a"]
     for k in range(120):
         text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 120))) if k % 3 else "abcdefghijkl" * rng.randint(1, 15)
         s, length = pieces.marked(text), rng.choice([16, 20, 37])
-        parts = [(s[i : i + length + V.reach - 1], min(length, len(s) - i)) for i in range(0, len(s), length)]
-        states, total = pieces.boundary_states(np.stack([pieces.transfer(V, p, n) for p, n in parts]))
-        ids = b"".join(pieces.encode_part(V, p[a : n + b])[1] for (p, n), (a, b) in zip(parts, states))
-        assert total == pieces.encode_part(V, s)[0]
+        total, ids = in_chunks(s, length)
+        assert (total, ids) == pieces.encode_part(V, s)
         assert pieces.decode_ids(V, np.frombuffer(ids, np.int32)) == text.replace("▁", " ")
 
 
+def test_ties_do_not_depend_on_the_chunk():
+    """Runs of one character have many equally good segmentations."""
+    for text in ("-" * 333, " " * 300, "=" * 257, "a" * 211, "ab" * 150, " " * 90 + "-" * 90 + "\n" * 90, "." * 64 + "é" * 70):
+        s = pieces.marked(text)
+        for length in (16, 17, 31, 50, 100, 128, 1000):
+            assert in_chunks(s, length) == pieces.encode_part(V, s), (text[:5], length)
+
+
+def test_ids_of_rows_do_not_depend_on_the_chunk(docs):
+    rows = docs([*ODD, "-" * 333, " " * 300, "x" * 700 + "\n" * 200])
+    of = lambda chunk: sorted((r["doc_id"], r["ids"], r["score"]) for r in pieces.encode(rows, vocabulary=V, chunk=chunk).collect())
+    assert of(100) == of(23) == of(pieces.CHUNK)
+
+
 def test_product_is_associative():
     rng = np.random.default_rng(1)
     m = rng.integers(-1000, 0, (9, 4, 4))
