@@ -229,7 +229,7 @@ def select_flow(
         ids = flow.sparkSession.createDataFrame([(i,) for i in ids], "feature_id bigint")
     wanted = materialize(ids.select("feature_id") if repeat else ids.select("feature_id").distinct())
     out = (_in_folders(out, wanted) if clustered else out).select(*kept)
-    return lookup(out, wanted, ["feature_id"], "inner" if repeat else "left_semi", spread=["time"])
+    return lookup(out, wanted, ["feature_id"], "inner" if repeat else "left_semi", spread=["time"]).select(*kept)
 
 
 def _in_folders(flow: DataFrame, wanted: DataFrame) -> DataFrame:
