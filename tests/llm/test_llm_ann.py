@@ -63,6 +63,37 @@ def test_recall_on_vectors_of_unlike_length(spark, sigma):
     assert len(got) == 1000 and hit >= 0.95 * 1000
 
 
+@pytest.mark.parametrize("kind", ["wide", "positive", "offset", "clusters"])
+def test_no_neighbour_is_missed_on_other_rows(spark, kind):
+    rng = np.random.default_rng(6)
+    n, dim = 1500, 256
+    v = rng.standard_normal((n, dim))
+    if kind == "positive":
+        v = np.abs(v)
+    if kind == "offset":
+        v += 1
+    if kind == "clusters":
+        v = 0.3 * v + rng.standard_normal((30, dim))[rng.integers(0, 30, n)]
+    frame = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], SCHEMA)
+    got = {}
+    for r in ann.search(frame, "vec_id", "embedding", "vec_id % 20 = 0", shard=1000).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    v = v.astype(np.float32).astype(np.float64)
+    for q in range(0, n, 20):
+        s = v @ v[q]
+        s[q] = -np.inf
+        assert got[q] == np.argsort(-s)[:20].tolist()
+
+
+def test_groups_out_of_reach_are_passed_over():
+    rng = np.random.default_rng(7)
+    far = np.repeat(np.eye(16), 64, axis=0) + 0.01 * rng.standard_normal((1024, 16))
+    shard = ann.Shard(far)
+    shard.vectors[far[:, 0] < 0.5] = np.nan  # never multiplied out
+    hit = shard.check(np.eye(16)[:1], np.array([0.4]))
+    assert hit[0].tolist() == (far[:, 0] > 0.5).tolist()
+
+
 def test_lengths_at_the_ends_of_double():
     v = np.array([[1e300, 1e300], [1e-300, 0.0], [3.0, 4.0], [2.0, 0.0]])
     assert ann.lengths(v)[2] == pytest.approx(np.log2(5))
