@@ -95,4 +95,8 @@ def inside_square(corner: Column, edge_list: Column, x0: Column, y0: Column, x:
         along = F.when(spans, (x < at) != right_of(e, x0, y)).otherwise(F.lit(False))
         return up != along
 
-    return F.aggregate(edge_list, corner, lambda inside, e: inside != changes(e))
+    # Most squares hold an edge or two; these are compiled, where a fold over a list is interpreted.
+    n, e = F.size(edge_list), lambda i: F.get(edge_list, F.lit(i))
+    many = F.aggregate(edge_list, corner, lambda inside, e: inside != changes(e))
+    few = F.when(n == 0, corner).when(n == 1, corner != changes(e(0)))
+    return few.when(n == 2, (corner != changes(e(0))) != changes(e(1))).otherwise(many)

@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from pairflow.functions import geometry
 from pairflow.functions.expr import lambert, ratio
 from pairflow.operators.joins import lookup
-from pairflow.session import materialize
+from pairflow.session import materialize, stage
 
 LEAST_SHARE = 1e-9
 """Share of a cell up to which a polygon only touches it."""
 
+SQUARES_PER_EDGE, HALVINGS = 16, 12
+"""Squares that the join grid may have in the boxes of all rings, for each of their edges; halvings of its side."""
+
 
 def to_lcc(df: DataFrame, lon: str = "x", lat: str = "y", x: str = "x", y: str = "y") -> DataFrame:
     """Project longitude and latitude columns to the forcing grid's metres."""
@@ -99,8 +102,9 @@ def edge_index(polygons: DataFrame, keep: list[str], cell: float, ring: str = "r
     A square holds only the edges that cross it, and whether its lower left corner is inside. So the rows that make
     it are as many as crossings of edges and squares plus squares covered, however many vertices a ring has.
     """
-    # Numbered once and stored, so that equal rows stay apart.
-    rings = materialize(polygons.select(*keep, F.col(ring).alias("__ring")).withColumn("__rid", F.monotonically_increasing_id()))
+    # Numbered once and stored, so that equal rows stay apart; dealt anew, as a file of rings is often one task.
+    spread = polygons.select(*keep, F.col(ring).alias("__ring")).repartition(polygons.sparkSession.sparkContext.defaultParallelism)
+    rings = materialize(spread.withColumn("__rid", F.monotonically_increasing_id()))
     # Outer, so that the edges are not made once more to look for empty rings.
     edges = rings.select("__rid", F.explode_outer(geometry.edges(geometry.closed(F.col("__ring")))).alias("e")).where(F.col("e").isNotNull())
     crossed = _touched(edges, cell).select("__rid", "__cx", "__cy", "e", F.lit(False).alias("__in"))
@@ -111,12 +115,76 @@ def edge_index(polygons: DataFrame, keep: list[str], cell: float, ring: str = "r
     return squares.join(rings.drop("__ring"), "__rid").select(*keep, "__cx", "__cy", "__inside", "__edges")
 
 
-def _points_join(points, polygons, keep, cell, how, x, y, ring, spread):
-    table = materialize(edge_index(polygons, keep, cell, ring))
-    at = lambda v: F.floor(F.col(v) / F.lit(cell)).cast("bigint")
-    within = geometry.inside_square(
-        F.col("__inside"), F.col("__edges"), F.col("__cx") * F.lit(cell), F.col("__cy") * F.lit(cell), F.col(x), F.col(y)
+def _join_side(points: DataFrame, polygons: DataFrame, cell: float, ring: str) -> float:
+    """``cell`` halved as long as the squares in the rings' boxes stay few beside the rings' edges and the points.
+
+    A point is tested against the rings that cross its square; the smaller the squares beside the rings, the fewer
+    are tested in vain.
+    """
+    box = geometry.bbox(F.col(ring))
+    wide, high = box["x_max"] - box["x_min"], box["y_max"] - box["y_min"]
+    squares = [F.sum((wide / F.lit(side) + 1) * (high / F.lit(side) + 1)) for side in (cell / 2**k for k in range(1, HALVINGS + 1))]
+    edges, *sums = polygons.agg(F.sum(F.size(ring)), *squares).first()
+    most = min(SQUARES_PER_EDGE * (edges or 0), points.count())
+    halved = 0
+    while halved < HALVINGS and sums[halved] is not None and sums[halved] <= most:
+        halved += 1
+    return cell / 2**halved
+
+
+def _without_holes(squares: DataFrame, polygon_id: str) -> DataFrame:
+    """``(polygon_id, __cx, __cy, __parts, __holes)``: a row per square that a polygon's parts meet and no hole covers.
+
+    Where a part covers the square the others say nothing more.
+    """
+    held = F.struct("__inside", "__edges")
+    covers = F.col("__inside") & (F.size("__edges") == 0)
+    merged = squares.groupBy(polygon_id, "__cx", "__cy").agg(
+        F.collect_list(F.when(~F.col("__hole") & ~covers, held)).alias("__parts"),
+        F.collect_list(F.when(F.col("__hole"), held)).alias("__holes"),
+        F.max(F.when(~F.col("__hole") & covers, held)).alias("__cover"),
+        F.max(F.col("__hole") & covers).alias("__hidden"),
+    )
+    parts = F.when(F.col("__cover").isNotNull(), F.array("__cover")).otherwise(F.col("__parts"))
+    return merged.where(~F.col("__hidden")).withColumn("__parts", parts).drop("__cover", "__hidden").where(F.size("__parts") > 0)
+
+
+def _once_covered(table: DataFrame, covers: Column) -> DataFrame:
+    """For points in any polygon: one row of a square that a polygon covers, all rows of the others."""
+    covered = table.where(covers).dropDuplicates(["__cx", "__cy"])
+    return covered.unionByName(table.join(covered, ["__cx", "__cy"], "left_anti"))
+
+
+def _points_join(points, polygons, polygon_id, cell, how, x, y, ring, spread):
+    """Points joined with the rings, or, with a ``hole`` column, with the polygons, that they lie in."""
+    holes = "hole" in polygons.columns
+    side = _join_side(points, polygons, cell, ring)
+    if holes:
+        marked = polygons.withColumn("__hole", F.coalesce(F.col("hole"), F.lit(False)))
+        # Written in columns and compressed: it may be as large as the points.
+        table = stage(_without_holes(edge_index(marked, [polygon_id, "__hole"], side, ring), polygon_id))
+        first = F.get("__parts", F.lit(0))
+        alone = (F.size("__parts") == 1) & (F.size("__holes") == 0)
+        covers = alone & first["__inside"] & (F.size(first["__edges"]) == 0)
+    else:
+        table = stage(edge_index(polygons, [polygon_id] if how == "inner" else [], side, ring))
+        covers = F.col("__inside") & (F.size("__edges") == 0)
+    if how == "left_semi":
+        table = stage(_once_covered(table.drop(polygon_id), covers))
+
+    # A point that is not a number lies in no square.
+    at = lambda v: F.floor(F.nanvl(F.col(v).cast("double"), F.lit(None).cast("double")) / F.lit(side)).cast("bigint")
+    inside = lambda inside, edges: geometry.inside_square(
+        inside, edges, F.col("__cx") * F.lit(side), F.col("__cy") * F.lit(side), F.col(x), F.col(y)
     )
+    if holes:
+        any_of = lambda rings: F.exists(rings, lambda r: inside(r["__inside"], r["__edges"]))
+        within = F.when(alone, inside(first["__inside"], first["__edges"])).otherwise(any_of("__parts") & ~any_of("__holes"))
+        listed = lambda rings: F.aggregate(rings, F.lit(0), lambda n, r: n + 32 + F.size(r["__edges"]) * 32)
+        extra = listed("__parts") + listed("__holes")
+        points = points.distinct()
+    else:
+        within, extra = inside(F.col("__inside"), F.col("__edges")), F.size("__edges") * 32
     joined = lookup(
         points.withColumns({"__cx": at(x), "__cy": at(y)}),
         table,
@@ -124,16 +192,9 @@ def _points_join(points, polygons, keep, cell, how, x, y, ring, spread):
         how,
         spread=spread,
         condition=within,
-        extra=F.size("__edges") * 32,
+        extra=extra,
     )
-    return joined.drop("__cx", "__cy", "__inside", "__edges")
-
-
-def _outside_holes(points, polygons, polygon_id, cell, x, y, ring, spread):
-    """Points in a part of a polygon but in none of its holes, a row per polygon."""
-    hole = F.coalesce(F.col("hole"), F.lit(False))
-    within = lambda rings: _points_join(points, rings, [polygon_id], cell, "inner", x, y, ring, spread).distinct()
-    return within(polygons.where(~hole)).exceptAll(within(polygons.where(hole)))
+    return joined.drop("__cx", "__cy", "__inside", "__edges", "__parts", "__holes")
 
 
 def points_in_polygons(
@@ -146,15 +207,12 @@ def points_in_polygons(
     spread: list[str] | None = None,
     polygon_id: str = "divide_id",
 ) -> DataFrame:
-    """Points inside at least one polygon, each once. ``cell`` is the side of the square join grid.
+    """Points inside at least one polygon, each once. ``cell`` is the largest side of the squares of the join grid.
 
     With a ``hole`` column (and then ``polygon_id``) a point in a polygon's hole is not inside it,
     and equal points are one.
     """
-    if "hole" in polygons.columns:
-        found = _outside_holes(points, polygons, polygon_id, cell, x, y, ring, spread)
-        return found.select(*points.columns).distinct()
-    return _points_join(points, polygons, [], cell, "left_semi", x, y, ring, spread)
+    return _points_join(points, polygons, polygon_id, cell, "left_semi", x, y, ring, spread)
 
 
 def locate_points(
@@ -167,10 +225,11 @@ def locate_points(
     ring: str = "ring",
     spread: list[str] | None = None,
 ) -> DataFrame:
-    """Points with the id of the polygon they lie in; a row for each where polygons overlap."""
-    if "hole" in polygons.columns:
-        return _outside_holes(points, polygons, polygon_id, cell, x, y, ring, spread)
-    return _points_join(points, polygons, [polygon_id], cell, "inner", x, y, ring, spread)
+    """Points with the id of the polygon they lie in; a row for each where polygons overlap.
+
+    With a ``hole`` column a polygon is all rows of its id, and equal points are one.
+    """
+    return _points_join(points, polygons, polygon_id, cell, "inner", x, y, ring, spread)
 
 
 def _area_under(y: Column, low: Column, high: Column) -> Column:

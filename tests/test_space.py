@@ -193,6 +193,54 @@ def test_points_equal_a_ray_test_on_the_grid_and_off_it(spark, cell):
     assert got == {(i, k) for i, x, y in points for k, c in shapes.items() if _plain_inside(c, x, y)}
 
 
+def test_join_squares_follow_the_rings_and_not_the_given_side(spark):
+    """Many small rings in one square of the given side: each square of the join holds a few of them."""
+    shapes = {f"r{i}": [(i % 40, i // 40), (i % 40 + 1.5, i // 40), (i % 40, i // 40 + 1.5)] for i in range(1600)}
+    rng = random.Random(3)
+    points = [(i, rng.uniform(0, 40), rng.uniform(0, 40)) for i in range(20_000)]
+    df = spark.createDataFrame(points, "id bigint, x double, y double")
+    side = spatial._join_side(df, rings(spark, shapes), 1000.0, "ring")
+    index = spatial.edge_index(rings(spark, shapes), ["divide_id"], side)
+    per_square = index.groupBy("__cx", "__cy").count().agg(F.max("count")).first()[0]
+    assert per_square < 20 and index.count() < 20_000
+    assert spatial._join_side(df.limit(5), rings(spark, shapes), 1000.0, "ring") == 1000.0
+    got = {(r.id, r.divide_id) for r in spatial.locate_points(df, rings(spark, shapes), "divide_id", 1000.0).where("id < 100").collect()}
+    assert got == {(i, k) for i, x, y in points[:100] for k, c in shapes.items() if _plain_inside(c, x, y)}
+
+
+@pytest.mark.parametrize("cell", [0.5, 8.0])
+def test_parts_and_holes_that_overlap(spark, cell):
+    """In a part and in no hole of the same id, over parts, holes, equal points and ids that are null."""
+    rng = random.Random(5)
+    ring = lambda: [(rng.uniform(0, 10), rng.uniform(0, 10)) for _ in range(rng.randint(3, 5))]
+    rows = [(rng.choice(["a", "b", "c", None]), ring(), rng.choice([False, False, None, True])) for _ in range(16)]
+    rows.append(("a", [(1.0, 1.0), (1.0, 9.0), (9.0, 9.0), (9.0, 1.0)], False))
+    rows.append(("b", [(0.0, 0.0), (0.0, 10.0), (10.0, 10.0), (10.0, 0.0)], True))
+    polygons = spark.createDataFrame(rows, "divide_id string, ring array<struct<x double, y double>>, hole boolean")
+    points = [(i // 2, *p) for i, p in enumerate(p for p in [(rng.uniform(-1, 11), rng.uniform(-1, 11)) for _ in range(300)] for _ in range(2))]
+    points.append((9999, float("nan"), 5.0))
+    df = spark.createDataFrame(points, "id bigint, x double, y double")
+    want = {
+        (i, d)
+        for i, x, y in points
+        for d in {r[0] for r in rows}
+        if any(_plain_inside(c, x, y) for e, c, h in rows if e == d and not h)
+        and not any(_plain_inside(c, x, y) for e, c, h in rows if e == d and h)
+    }
+    found = [(r.id, r.divide_id) for r in spatial.locate_points(df, polygons, "divide_id", cell).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    inside = [r.id for r in spatial.points_in_polygons(df, polygons, cell).collect()]
+    assert sorted(inside) == sorted({i for i, _ in want})
+
+
+def test_a_square_that_a_polygon_covers_is_one_row(spark):
+    shapes = {f"r{i}": [(-i, -i), (-i, 50 + i), (50 + i, 50 + i), (50 + i, -i)] for i in range(1, 30)}
+    index = spatial.edge_index(rings(spark, shapes), [], 5.0)
+    once = spatial._once_covered(index, F.col("__inside") & (F.size("__edges") == 0))
+    inner = once.where("__cx between 0 and 9 and __cy between 0 and 9")
+    assert index.where("__cx = 4 and __cy = 4").count() == 29 and inner.count() == 100
+
+
 def test_equal_rings_stay_apart(spark):
     polygons = rings(spark, {"a": SHAPES["square"]})
     df = spark.createDataFrame([(1, 1.0, 1.0)], "id bigint, x double, y double")
