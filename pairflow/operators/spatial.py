@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairflow.functions import geometry
 from pairflow.functions.expr import lambert, ratio
 from pairflow.operators.joins import lookup
-from pairflow.session import materialize, stage
+from pairflow.session import fits, materialize, stage
 
 LEAST_SHARE = 1e-9
 """Share of a cell up to which a polygon only touches it."""
@@ -263,7 +263,9 @@ def cell_weights(
     many as cells crossed and cells covered, however far below an edge its ring goes.
     """
     hole = F.coalesce(F.col("hole"), F.lit(False)) if "hole" in polygons.columns else F.lit(False)
-    edge = polygons.select(
+    # Dealt anew, as a file of rings is often one task, and each makes many rows.
+    dealt = polygons.repartition(polygons.sparkSession.sparkContext.defaultParallelism)
+    edge = dealt.select(
         polygon_id,
         # Rows of equal rings share their direction too, so they may be summed under one key.
         F.xxhash64(F.col(ring), hole).alias("ring_key"),
@@ -347,12 +349,17 @@ def zonal_mean(
 ) -> DataFrame:
     """Coverage-weighted mean of each variable per polygon and time, all variables in one pass.
 
-    A missing cell is left out of both sums of its variable. The weights are static and checked
-    for size: broadcast when small, else joined by cell with crowded cells split by time.
+    A missing cell is left out of both sums of its variable. A small forcing meets the weights polygon by
+    polygon, so that a task only sums its own polygons and passes nothing on. Else the weights are checked for
+    size: broadcast when small, else joined by cell with crowded cells split by time.
     """
-    cells = forcing.select(time, "iy", "ix", *variables)
-    table = materialize(weights.select(polygon_id, "iy", "ix", "w"))
-    joined = lookup(cells, table, ["iy", "ix"], spread=[time])
+    cells = stage(forcing.select(time, "iy", "ix", *variables))
+    if fits(cells):
+        parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        table = weights.select(polygon_id, "iy", "ix", "w").repartition(parts, polygon_id)
+        joined = table.join(F.broadcast(cells), ["iy", "ix"])
+    else:
+        joined = lookup(cells, materialize(weights.select(polygon_id, "iy", "ix", "w")), ["iy", "ix"], spread=[time])
 
     def mean(v: str) -> Column:
         value = F.col(v)

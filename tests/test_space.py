@@ -241,6 +241,17 @@ def test_a_square_that_a_polygon_covers_is_one_row(spark):
     assert index.where("__cx = 4 and __cy = 4").count() == 29 and inner.count() == 100
 
 
+def test_zonal_mean_of_a_small_forcing_sums_polygon_by_polygon(spark):
+    """Sums of (time, polygon) never travel, so a task holds those of its own polygons only."""
+    forcing = spark.createDataFrame([(t, y, x, float(t + y * x)) for t in range(3) for y in range(2) for x in range(2)], "time int, iy int, ix int, rain double")
+    weights = spark.createDataFrame([(f"c{i}", i % 2, x, 0.5) for i in range(50) for x in range(2)], "divide_id string, iy int, ix int, w double")
+    out = spatial.zonal_mean(forcing, weights, ["rain"])
+    got = {(r.time, r.divide_id): r.rain for r in out.collect()}
+    assert got == {(t, f"c{i}"): t + (i % 2) / 2 for t in range(3) for i in range(50)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(divide_id" in plan and "hashpartitioning(time" not in plan
+
+
 def test_equal_rings_stay_apart(spark):
     polygons = rings(spark, {"a": SHAPES["square"]})
     df = spark.createDataFrame([(1, 1.0, 1.0)], "id bigint, x double, y double")
