@@ -34,8 +34,10 @@ OFTEN = 8
 """Training tokens from which a word is emitted by itself and not by its class, whatever the size of the input."""
 SEGMENT = 2048
 """Tokens of a text walked in one go; longer texts are walked in segments side by side, with the same result."""
-GROUP, CELLS = 2048, 1 << 19
+GROUP, CELLS = 2048, 1 << 20
 """Sequences worked on side by side, and the places of their padded matrix (a longer sequence is alone)."""
+BLOCK_BYTES = 48_000_000
+"""Bytes of text of a block about; half as many more at most, unless one Arrow batch holds more."""
 PARTS, PART_BYTES = 64, 64_000_000
 """Parts of the vocabulary: so many at least, one more for so many bytes of text."""
 PRIOR = 0.5
@@ -88,10 +90,22 @@ def _padded(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, running
 
 
+def _by_step(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of sequences, longest first: the first of each, then the second of each that has one, and so on; where each step begins."""
+    lengths = np.array([len(s) for s in sequences])
+    flat, starts = np.concatenate(sequences).astype(np.intp), np.cumsum(lengths) - lengths
+    running = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
+    bounds = np.append(0, np.cumsum(running))
+    out = np.empty(len(flat), np.intp)
+    for t, n in enumerate(running):
+        flat.take(starts[:n] + t, out=out[bounds[t] : bounds[t + 1]], mode="clip")
+    return out, bounds
+
+
 def log10_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     """Scaled forward recursion over each whole sequence."""
     result, one = np.zeros(len(sequences)), np.ones(len(model.first))
-    for own in groups(sequences, 4 * GROUP, 8 * CELLS):
+    for own in groups(sequences, 4 * GROUP, 4 * CELLS):
         tokens, running = _padded([sequences[i] for i in own])
         total, a = np.zeros(len(own)), None
         for t in range(len(tokens)):
@@ -139,7 +153,7 @@ class Counts:
 
     @staticmethod
     def zero(classes: int, states: int) -> Counts:
-        return Counts(np.zeros(states), np.zeros((states, states)), np.zeros((classes, states)))
+        return Counts(np.zeros(states), np.zeros((states, states)), np.zeros((states, classes)).T)  # a state's counts lie together
 
     def add(self, model: Model, texts: list[np.ndarray], length: int = SEGMENT) -> None:
         """Forward and backward over whole texts (none empty).
@@ -157,6 +171,7 @@ class Counts:
         start, before, end = np.tile(model.first, (len(pieces), 1)), np.zeros((len(pieces), states)), np.ones((len(pieces), states))
         long = [(int(at), len(own)) for at, own in zip(heads, cut) if len(own) > 1]
         flows = iter(transfers(emit, step, [x for at, n in long for x in pieces[at : at + n]]))
+        emit = np.ascontiguousarray(emit.T)
         for at, n in long:
             flow = [next(flows) for _ in range(n)]
             for s in range(1, n):
@@ -167,48 +182,45 @@ class Counts:
                 right = model.step @ (flow[s + 1] @ end[at + s + 1])
                 end[at + s] = right / right.max()
         for own in groups(pieces):
-            self._add(emit, step, *_padded([pieces[i] for i in own]), head[own], start[own], before[own], end[own])
+            self._add(emit, step, *_by_step([pieces[i] for i in own]), head[own], start[own].T, before[own].T, end[own].T)
 
     def _add(
-        self, emit: np.ndarray, step: np.ndarray, tokens: np.ndarray, running: np.ndarray, head: np.ndarray,
+        self, emit: np.ndarray, step: np.ndarray, symbols: np.ndarray, bounds: np.ndarray, head: np.ndarray,
         start: np.ndarray, before: np.ndarray, end: np.ndarray,
     ) -> None:
-        """``start``: states at the first token; ``before``: at the token ahead of it (zero: none); ``end``: what follows."""
-        length, width, states = len(tokens), tokens.shape[1], emit.shape[1]
-        alpha = np.zeros((length, width, states), np.float32)
-        weigh = np.zeros((length, width, states), np.float32)  # emission over scale: what a step back multiplies by
-        start, one = start.astype(np.float32), np.ones((states, 1), np.float32)
-        for t in range(length):
-            n = running[t]
-            e, a, w = emit.take(tokens[t, :n], axis=0), alpha[t, :n], weigh[t, :n]
+        """A row a state throughout. ``start``: states at the first token; ``before``: at the token ahead of it (zero: none); ``end``: what follows."""
+        running, width = np.diff(bounds), len(head)
+        weigh = emit.take(symbols, axis=1)  # becomes emission over scale: what a step back multiplies by
+        alpha = np.empty_like(weigh)
+        start, forth = start.astype(np.float32), step.T.copy()
+        for t, n in enumerate(running):
+            low = bounds[t]
+            w, a = weigh[:, low : low + n], alpha[:, low : low + n]
             if t == 0:
-                np.multiply(start, e, out=a)
+                np.multiply(start, w, out=a)
             else:
-                np.matmul(alpha[t - 1, :n], step, out=a)
-                a *= e
-            scale = 1 / (a @ one)  # a product adds up few columns faster than a sum does
+                np.matmul(forth, alpha[:, bounds[t - 1] : bounds[t - 1] + n], out=a)
+                a *= w
+            scale = 1 / a.sum(0)
             a *= scale
-            np.multiply(e, scale, out=w)
-        live = np.arange(width)[None, :] < running[:, None]
-        last, at = live.sum(0) - 1, np.arange(width)
-        beta = end / (alpha[last, at] * end).sum(1, keepdims=True)
-        beta = beta.astype(np.float32)
-        alpha[last, at] *= beta  # from here on the share of each state
-        back = step.T.copy()
-        moves = np.zeros((states, states), np.float64)
-        for t in range(length - 2, -1, -1):
+            w *= scale
+        lengths = np.searchsorted(-running, -np.arange(width), side="left")  # steps that more sequences reach than lie ahead of it
+        last = bounds[lengths - 1] + np.arange(width)
+        beta = (end / (alpha[:, last] * end).sum(0)).astype(np.float32)
+        alpha[:, last] *= beta  # from here on the share of each state
+        moves = np.zeros(step.shape, np.float64)
+        for t in range(len(running) - 2, -1, -1):
             n = running[t + 1]
-            w, b, a = weigh[t + 1, :n], beta[:n], alpha[t, :n]
+            w, b, a = weigh[:, bounds[t + 1] : bounds[t + 1] + n], beta[:, :n], alpha[:, bounds[t] : bounds[t] + n]
             w *= b
-            moves += a.T @ w
-            np.matmul(w, back, out=b)
+            moves += a @ w.T
+            np.matmul(step, w, out=b)
             a *= b
-        moves += before.T @ (weigh[0] * beta)
+        moves += before @ (weigh[:, :width] * beta).T
         self.step += moves * step
-        self.first += alpha[0][head].sum(0)
-        symbols, shares = tokens[live], alpha[live]
-        for k in range(states):
-            self.emit[:, k] += np.bincount(symbols, shares[:, k], minlength=len(self.emit))
+        self.first += alpha[:, :width][:, head].sum(1)
+        for k, shares in enumerate(alpha):
+            self.emit[:, k] += np.bincount(symbols, shares, minlength=len(self.emit))
 
 
 def improved(counts: Counts, shares: np.ndarray) -> Model:
@@ -251,55 +263,69 @@ def chance(digests: np.ndarray, states: int) -> np.ndarray:
 # --- Spark -----------------------------------------------------------------------------------
 
 
-def tokenised(docs: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+def tokenised(docs: DataFrame, parts: int, most: int = BLOCK_BYTES * 3 // 2) -> tuple[DataFrame, DataFrame]:
     """(texts, words) of ``docs`` (id, held_out, text), in one pass.
 
     texts: (block, id, held_out, n_tokens, local: ``packed`` numbers of the words within the block).
     words: (block, part, words, counts: of the training texts); the numbers of a block's words run through
-    its parts in order. A block is what one Arrow batch holds, which is bounded in rows and bytes. Both
-    are written at once, so that a block's numbers always belong together.
+    its parts in order. A block is as many of a task's Arrow batches as hold ``most`` bytes of text, one at
+    least: the fewer blocks, the fewer words stand in several. Texts and words are written at once, so
+    that a block's numbers always belong together.
     """
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        for at, b in enumerate(batches):
-            block = (task << 24) + at
-            numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
-            held = b.column(1).to_pylist()
-            texts = [
-                np.array(list(map(numbers.__getitem__, t.encode("utf-8", "replace").lower().split())), np.int32) if t else np.zeros(0, np.int32)
-                for t in b.column(2).to_pylist()
-            ]
-            words = list(numbers)
-            n, m = len(texts), len(words)
-            part = np.fromiter(map(zlib.crc32, words), np.int64, m) % parts
-            order = np.argsort(part, kind="stable")
-            place = np.empty(m, np.int32)
-            place[order] = np.arange(m, dtype=np.int32)
-            texts = [place[t] for t in texts]
-            train = [t for t, h in zip(texts, held) if not h]
-            counts = np.bincount(np.concatenate([*train, np.zeros(0, np.int32)]), minlength=m)
-            none = pa.nulls
-            lists = pa.list_(pa.binary()), pa.list_(pa.int64())
-            names = ["kind", "block", "id", "held_out", "n_tokens", "local", "part", "words", "counts"]
-            rows = [
-                pa.array([0] * n, pa.int32()), pa.array([block] * n, pa.int64()), b.column(0).cast(pa.int64()), b.column(1),
-                pa.array([len(t) + 1 for t in texts], pa.int64()),
-                pa.array([packed(t) for t in texts], pa.binary()),
-                none(n, pa.int32()), none(n, lists[0]), none(n, lists[1]),
-            ]
-            yield pa.RecordBatch.from_arrays(rows, names)
-            found, starts = np.unique(part[order], return_index=True)
-            bounds = pa.array(np.append(starts, m).astype(np.int32))
-            k = len(found)
+        at, size, held, ids, texts = 0, 0, [], [], []
+        numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
+        for b in batches:
+            here = b.column(2).nbytes
+            if texts and size + here > most:
+                yield from block((task << 24) + at, pa.chunked_array(ids, pa.int64()), held, texts, numbers)
+                at, size, held, ids, texts = at + 1, 0, [], [], []
+                numbers = defaultdict(count().__next__)
+            size += here
+            held += b.column(1).to_pylist()
+            ids.append(b.column(0).cast(pa.int64()))
+            for t in b.column(2):
+                t = t.as_py()
+                texts.append(np.array(list(map(numbers.__getitem__, t.encode("utf-8", "replace").lower().split())) if t else [], np.int32))
+        if texts:
+            yield from block((task << 24) + at, pa.chunked_array(ids, pa.int64()), held, texts, numbers)
+
+    def block(number: int, ids: pa.ChunkedArray, held: list[bool], texts: list[np.ndarray], numbers: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+        words = list(numbers)
+        n, m = len(texts), len(words)
+        part = np.fromiter(map(zlib.crc32, words), np.int64, m) % parts
+        order = np.argsort(part, kind="stable")
+        place = np.empty(m, np.int32)
+        place[order] = np.arange(m, dtype=np.int32)
+        counts = np.zeros(m, np.int64)
+        none = pa.nulls
+        lists = pa.list_(pa.binary()), pa.list_(pa.int64())
+        names = ["kind", "block", "id", "held_out", "n_tokens", "local", "part", "words", "counts"]
+        for low in range(0, n, GROUP):
+            some = [place[t] for t in texts[low : low + GROUP]]
+            k = len(some)
+            train = [t for t, h in zip(some, held[low : low + k]) if not h]
+            counts += np.bincount(np.concatenate([*train, np.zeros(0, np.int32)]), minlength=m)
             rows = [
-                pa.array([1] * k, pa.int32()), pa.array([block] * k, pa.int64()), none(k, pa.int64()), none(k, pa.bool_()),
-                none(k, pa.int64()), none(k, pa.binary()), pa.array(found.astype(np.int32)),
-                pa.ListArray.from_arrays(bounds, pa.array([words[i] for i in order], pa.binary())),
-                pa.ListArray.from_arrays(bounds, pa.array(counts.astype(np.int64))),
+                pa.array([0] * k, pa.int32()), pa.array([number] * k, pa.int64()), pa.concat_arrays(ids.slice(low, k).chunks),
+                pa.array(held[low : low + k], pa.bool_()), pa.array([len(t) + 1 for t in some], pa.int64()),
+                pa.array([packed(t) for t in some], pa.binary()),
+                none(k, pa.int32()), none(k, lists[0]), none(k, lists[1]),
             ]
             yield pa.RecordBatch.from_arrays(rows, names)
+        found, starts = np.unique(part[order], return_index=True)
+        bounds = pa.array(np.append(starts, m).astype(np.int32))
+        k = len(found)
+        rows = [
+            pa.array([1] * k, pa.int32()), pa.array([number] * k, pa.int64()), none(k, pa.int64()), none(k, pa.bool_()),
+            none(k, pa.int64()), none(k, pa.binary()), pa.array(found.astype(np.int32)),
+            pa.ListArray.from_arrays(bounds, pa.array([words[i] for i in order], pa.binary())),
+            pa.ListArray.from_arrays(bounds, pa.array(counts)),
+        ]
+        yield pa.RecordBatch.from_arrays(rows, names)
 
     schema = (
         "kind int, block bigint, id bigint, held_out boolean, n_tokens bigint, local binary, part int, words array<binary>, counts array<bigint>"
@@ -522,7 +548,9 @@ def score_texts(
     )
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     with swept_shuffles(spark):
-        texts, words = tokenised(rows, max(PARTS, size // PART_BYTES))
+        # Two blocks a core, more beyond BLOCK_BYTES each: every block sends and gets the numbers of all its words in each round.
+        blocks = max(2 * spark.sparkContext.defaultParallelism, size // BLOCK_BYTES)
+        texts, words = tokenised(rows.coalesce(blocks), max(PARTS, size // PART_BYTES))
         known, own, sums = counted(words, states, classes, often)
         g = [f"g{k}" for k in range(states)]
         heads = sums.groupBy("class").agg(F.sum("c").alias("c"), F.sum("v").alias("v"), *[F.sum(x).alias(x) for x in g])

@@ -180,3 +180,39 @@ def test_query_is_the_plain_model_on_whole_texts(spark, docs):
         first, step, emit = f / f.sum(), s / s.sum(1, keepdims=True), e / e.sum(0)
     for i, x in symbols.items():
         assert got[i] == pytest.approx(math.log10(walk(x)[2]), rel=1e-5)
+
+
+def test_a_block_spans_batches_up_to_its_bytes(spark, docs):
+    """Messages of a round are as many as (block, word) pairs: batches of one task share a block until it is full."""
+    frame = docs([f"same words in all texts and own{i}" for i in range(60)]).repartition(1)
+    rows = frame.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 5 == 1).alias("held_out"), "text")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10")
+    try:
+        texts, words = lm.tokenised(rows, 4)
+        few = [(r["block"], w, c) for r in words.collect() for w, c in zip(r["words"], r["counts"])]
+        cut, of_cut = lm.tokenised(rows, 4, 700)  # a batch of ten holds about 330 bytes, so two fit
+        many = [(r["block"], w, c) for r in of_cut.collect() for w, c in zip(r["words"], r["counts"])]
+    finally:
+        spark.conf.set(key, before)
+    assert texts.count() == cut.count() == 60
+    assert len({b for b, _, _ in few}) == 1 and len(few) == 6 + 60
+    assert len({b for b, _, _ in many}) > 1
+    summed = Counter()
+    for _, w, c in many:
+        summed[bytes(w)] += c
+    assert summed == Counter({bytes(w): c for _, w, c in few}) and summed[b"same"] == 48
+
+
+def test_counts_of_wide_groups_are_those_of_texts_alone():
+    """Texts of unlike length walked side by side, long ones in segments, give the sum of what each gives alone."""
+    rng = np.random.default_rng(9)
+    model = small_model(4, 30)
+    texts = [rng.integers(0, 30, k).astype(np.int32) for k in [*rng.integers(1, 60, 300), 1, 1, 257, 400]]
+    together, alone = lm.Counts.zero(30, 4), lm.Counts.zero(30, 4)
+    together.add(model, texts, 100)
+    for x in texts:
+        alone.add(model, [x], 1000)
+    for name in ("first", "step", "emit"):
+        assert getattr(together, name) == pytest.approx(getattr(alone, name), rel=1e-4)
