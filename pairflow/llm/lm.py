@@ -14,10 +14,8 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -124,23 +122,30 @@ def segments(tokens: np.ndarray, length: int = SEGMENT) -> list[np.ndarray]:
 
 
 def transfers(emit: np.ndarray, step: np.ndarray, pieces: list[np.ndarray]) -> np.ndarray:
-    """For each piece and state at its first token, what flows to each state at its last one, up to a factor of the piece."""
+    """For each piece and state at its first token, what flows to each state at its last one, up to a factor of the piece.
+
+    ``emit`` has a row a state here.
+    """
     states = len(step)
     out = np.zeros((len(pieces), states, states))
-    for own in groups(pieces, GROUP // states, CELLS):
-        tokens, running = _padded([pieces[i] for i in own])
-        e, one = emit[tokens[0]], np.ones((states, 1), emit.dtype)
-        flow = np.eye(states, dtype=emit.dtype) * (e / e.max(1, keepdims=True))[:, None, :]
-        for t in range(1, len(tokens)):
-            n = running[t]
-            e = emit.take(tokens[t, :n], axis=0)
-            e *= 1 / (e @ one)
-            np.matmul(flow[:n].reshape(-1, states), step, out=flow[:n].reshape(-1, states))
-            flow[:n] *= e[:, None, :]
+    forth = np.ascontiguousarray(step.T)
+    for own in groups(pieces, GROUP // 4, CELLS):
+        symbols, bounds = _by_step([pieces[i] for i in own])
+        emitted = emit.take(symbols, axis=1)
+        emitted /= emitted.max(0)
+        n, flow = len(own), np.eye(states, dtype=emit.dtype)[:, :, None] * emitted[:, None, : len(own)]  # to, from, piece
+        for t in range(1, len(bounds) - 1):
+            low, high = bounds[t], bounds[t + 1]
+            if high - low < n:
+                out[own[high - low : n]] = flow[:, :, high - low :].transpose(2, 1, 0)
+                n = high - low
+                flow = flow[:, :, :n].copy()
+            flow = (forth @ flow.reshape(states, -1)).reshape(states, states, n)
+            flow *= emitted[:, None, low:high]
             if t % 4 == 0:
-                flow[:n] /= flow[:n].max((1, 2), keepdims=True)
-        out[own] = flow / flow.max((1, 2), keepdims=True)
-    return out
+                flow /= flow.max((0, 1))
+        out[own[:n]] = flow.transpose(2, 1, 0)
+    return out / out.max((1, 2), keepdims=True)
 
 
 @dataclass
@@ -170,8 +175,8 @@ class Counts:
         head[heads] = True
         start, before, end = np.tile(model.first, (len(pieces), 1)), np.zeros((len(pieces), states)), np.ones((len(pieces), states))
         long = [(int(at), len(own)) for at, own in zip(heads, cut) if len(own) > 1]
-        flows = iter(transfers(emit, step, [x for at, n in long for x in pieces[at : at + n]]))
         emit = np.ascontiguousarray(emit.T)
+        flows = iter(transfers(emit, step, [x for at, n in long for x in pieces[at : at + n]]))
         for at, n in long:
             flow = [next(flows) for _ in range(n)]
             for s in range(1, n):
@@ -181,17 +186,21 @@ class Counts:
             for s in range(n - 2, -1, -1):
                 right = model.step @ (flow[s + 1] @ end[at + s + 1])
                 end[at + s] = right / right.max()
+        room = np.empty((2, 0), np.float32)  # kept over the groups: fresh memory costs as much as the work on it
         for own in groups(pieces):
-            self._add(emit, step, *_by_step([pieces[i] for i in own]), head[own], start[own].T, before[own].T, end[own].T)
+            symbols, bounds = _by_step([pieces[i] for i in own])
+            if room.shape[1] < states * len(symbols):
+                room = np.empty((2, states * len(symbols)), np.float32)
+            alpha, weigh = room[:, : states * len(symbols)].reshape(2, states, -1)
+            self._add(emit, step, symbols, bounds, head[own], start[own].T, before[own].T, end[own].T, alpha, weigh)
 
     def _add(
         self, emit: np.ndarray, step: np.ndarray, symbols: np.ndarray, bounds: np.ndarray, head: np.ndarray,
-        start: np.ndarray, before: np.ndarray, end: np.ndarray,
+        start: np.ndarray, before: np.ndarray, end: np.ndarray, alpha: np.ndarray, weigh: np.ndarray,
     ) -> None:
-        """A row a state throughout. ``start``: states at the first token; ``before``: at the token ahead of it (zero: none); ``end``: what follows."""
+        """A row a state throughout; ``alpha`` and ``weigh`` are room to work in. ``start``: states at the first token; ``before``: at the token ahead of it (zero: none); ``end``: what follows."""
         running, width = np.diff(bounds), len(head)
-        weigh = emit.take(symbols, axis=1)  # becomes emission over scale: what a step back multiplies by
-        alpha = np.empty_like(weigh)
+        emit.take(symbols, axis=1, out=weigh, mode="clip")  # becomes emission over scale: what a step back multiplies by
         start, forth = start.astype(np.float32), step.T.copy()
         for t, n in enumerate(running):
             low = bounds[t]
@@ -219,8 +228,10 @@ class Counts:
         moves += before @ (weigh[:, :width] * beta).T
         self.step += moves * step
         self.first += alpha[:, :width][:, head].sum(1)
+        wide = np.empty(len(symbols))
         for k, shares in enumerate(alpha):
-            self.emit[:, k] += np.bincount(symbols, shares, minlength=len(self.emit))
+            wide[:] = shares
+            self.emit[:, k] += np.bincount(symbols, wide, minlength=len(self.emit))
 
 
 def improved(counts: Counts, shares: np.ndarray) -> Model:
@@ -260,6 +271,14 @@ def chance(digests: np.ndarray, states: int) -> np.ndarray:
     return np.stack(normal, axis=1) ** 2
 
 
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of some texts one after the other, lower case in ASCII, and how many each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    each, owner = pc.list_flatten(split), pc.list_parent_indices(split)
+    some = pc.not_equal(each, "")  # blanks at either end leave empty words
+    return each.filter(some).cast(pa.large_binary()), np.bincount(owner.filter(some).to_numpy(), minlength=len(texts))
+
+
 # --- Spark -----------------------------------------------------------------------------------
 
 
@@ -276,26 +295,26 @@ def tokenised(docs: DataFrame, parts: int, most: int = BLOCK_BYTES * 3 // 2) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        at, size, held, ids, texts = 0, 0, [], [], []
-        numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
+        at, size, held, ids, split = 0, 0, [], [], []
         for b in batches:
             here = b.column(2).nbytes
-            if texts and size + here > most:
-                yield from block((task << 24) + at, pa.chunked_array(ids, pa.int64()), held, texts, numbers)
-                at, size, held, ids, texts = at + 1, 0, [], [], []
-                numbers = defaultdict(count().__next__)
+            if split and size + here > most:
+                yield from block((task << 24) + at, ids, held, split)
+                at, size, held, ids, split = at + 1, 0, [], [], []
             size += here
             held += b.column(1).to_pylist()
             ids.append(b.column(0).cast(pa.int64()))
-            for t in b.column(2):
-                t = t.as_py()
-                texts.append(np.array(list(map(numbers.__getitem__, t.encode("utf-8", "replace").lower().split())) if t else [], np.int32))
-        if texts:
-            yield from block((task << 24) + at, pa.chunked_array(ids, pa.int64()), held, texts, numbers)
-
-    def block(number: int, ids: pa.ChunkedArray, held: list[bool], texts: list[np.ndarray], numbers: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-        words = list(numbers)
-        n, m = len(texts), len(words)
+            split.append(_split(b.column(2)))
+        if split:
+            yield from block((task << 24) + at, ids, held, split)
+
+    def block(number: int, ids: list[pa.Array], held: list[bool], split: list[tuple[pa.Array, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        lengths = np.concatenate([n for _, n in split])
+        coded = pa.concat_arrays([x for x, _ in split]).dictionary_encode()
+        split.clear()
+        ids, texts = pa.concat_arrays(ids), np.split(coded.indices.to_numpy(), np.cumsum(lengths)[:-1])
+        words = coded.dictionary.to_pylist()
+        n, m = len(ids), len(words)
         part = np.fromiter(map(zlib.crc32, words), np.int64, m) % parts
         order = np.argsort(part, kind="stable")
         place = np.empty(m, np.int32)
@@ -305,12 +324,12 @@ def tokenised(docs: DataFrame, parts: int, most: int = BLOCK_BYTES * 3 // 2) ->
         lists = pa.list_(pa.binary()), pa.list_(pa.int64())
         names = ["kind", "block", "id", "held_out", "n_tokens", "local", "part", "words", "counts"]
         for low in range(0, n, GROUP):
-            some = [place[t] for t in texts[low : low + GROUP]]
+            some = [place[t] for t in texts[low : min(n, low + GROUP)]]  # without rows there is one empty piece
             k = len(some)
             train = [t for t, h in zip(some, held[low : low + k]) if not h]
             counts += np.bincount(np.concatenate([*train, np.zeros(0, np.int32)]), minlength=m)
             rows = [
-                pa.array([0] * k, pa.int32()), pa.array([number] * k, pa.int64()), pa.concat_arrays(ids.slice(low, k).chunks),
+                pa.array([0] * k, pa.int32()), pa.array([number] * k, pa.int64()), ids.slice(low, k),
                 pa.array(held[low : low + k], pa.bool_()), pa.array([len(t) + 1 for t in some], pa.int64()),
                 pa.array([packed(t) for t in some], pa.binary()),
                 none(k, pa.int32()), none(k, lists[0]), none(k, lists[1]),
@@ -322,7 +341,7 @@ def tokenised(docs: DataFrame, parts: int, most: int = BLOCK_BYTES * 3 // 2) ->
         rows = [
             pa.array([1] * k, pa.int32()), pa.array([number] * k, pa.int64()), none(k, pa.int64()), none(k, pa.bool_()),
             none(k, pa.int64()), none(k, pa.binary()), pa.array(found.astype(np.int32)),
-            pa.ListArray.from_arrays(bounds, pa.array([words[i] for i in order], pa.binary())),
+            pa.ListArray.from_arrays(bounds, coded.dictionary.take(pa.array(order)).cast(pa.binary())),
             pa.ListArray.from_arrays(bounds, pa.array(counts)),
         ]
         yield pa.RecordBatch.from_arrays(rows, names)
@@ -436,10 +455,29 @@ def fit(
     v = [f"v{k}" for k in range(states)]
     weight = PRIOR * (n + n_own)
 
-    def numbered(texts: pa.Table, rows: pa.Table) -> pa.Table:
+    def numbered(key: tuple, texts: pa.Table, rows: pa.Table) -> pa.Table:
+        """A block's symbols by how often they stand in its training texts, which keeps what the walk needs most close by; and that order (size 0)."""
         symbol = symbols_of(_joined(rows.sort_by("part")["class"], np.int32), end)
-        made = [packed(np.append(symbol[unpacked(x)], end)) for x in texts["local"].to_pylist()]
-        return pa.table({"block": texts["block"], "symbols": pa.array(made, pa.binary())})
+        found, made = [], []
+        often = np.zeros(n + int((symbol >= n).sum()), np.int64)
+        for low in range(0, texts.num_rows, GROUP):  # texts follow each other in a row, each up to its end
+            found.append(np.concatenate([np.append(symbol[unpacked(x)], end) for x in texts["local"].slice(low, GROUP).to_pylist()]))
+            often += np.bincount(found[-1], minlength=len(often))
+        if found:
+            order = np.argsort(-often, kind="stable").astype(np.int32)
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            made.append((0, order.tobytes()))
+            for x in found:
+                planes = packed(rank[x])
+                made.append((len(planes), pa.compress(planes, "zstd", asbytes=True)))
+        return pa.table(
+            {
+                "block": pa.array([key[0].as_py()] * len(made), pa.int64()),
+                "size": pa.array([n for n, _ in made], pa.int64()),
+                "symbols": pa.array([x for _, x in made], pa.binary()),
+            }
+        )
 
     # A part's rows: what its words are (no block), and where they stand in each block.
     places = own.select("part", F.lit(None).cast("bigint").alias("block"), "digest", "c", F.lit(None).cast("binary").alias("at")).unionByName(
@@ -487,10 +525,16 @@ def fit(
     def expect(key: tuple, texts: pa.Table, sent: pa.Table) -> pa.Table:
         sent = sent.sort_by("part")
         emit = _joined(sent["values"], np.float32).reshape(-1, states) / norm
-        whole = Model(model.first, model.step, np.concatenate([model.emit, emit]).astype(np.float32))
-        counts = Counts.zero(len(whole.emit), states)
+        emit = np.concatenate([model.emit, emit]).astype(np.float32)
+        counts = Counts.zero(len(emit), states)
         if texts.num_rows:
-            counts.add(whole, [unpacked(x) for x in texts["symbols"].to_pylist()])
+            rows = list(zip(texts["size"].to_pylist(), texts["symbols"].to_pylist()))
+            order = next(np.frombuffer(x, np.int32) for size, x in rows if not size)
+            stop = np.flatnonzero(order == end)[0]
+            found = [unpacked(pa.decompress(x, size, "zstd")) for size, x in rows if size]
+            counts.add(Model(model.first, model.step, emit[order]), [t for x in found for t in np.split(x, np.flatnonzero(x == stop) + 1)[:-1]])
+            for k in range(states):
+                counts.emit[order, k] = counts.emit[:, k].copy()
         shared = np.concatenate([counts.emit[:n], counts.first[None], counts.step, counts.emit[n:].sum(0)[None]])
         found = counts.emit[n:].astype(np.float32)
         bounds = np.append(0, np.cumsum([len(x) for x in sent["values"].to_pylist()])).astype(np.int64) // (4 * states)
@@ -503,7 +547,7 @@ def fit(
 
     train, name, folder = _by_block(
         texts.where(~F.col("held_out")).select("block", "local").groupBy("block")
-        .cogroup(known.select("block", "part", "class").groupBy("block")).applyInArrow(numbered, "block bigint, symbols binary")
+        .cogroup(known.select("block", "part", "class").groupBy("block")).applyInArrow(numbered, "block bigint, size bigint, symbols binary")
     )
     path = None
     try:
@@ -580,18 +624,21 @@ def score_texts(
         logs = np.log10(c + 0.5)
         # What the class leaves open; nothing for a word of its own, and for the end, the only one of its class.
         spread = np.where(own, 0.0, logs - within[np.where(own, 0, kind)])
-        local = [unpacked(x) for x in texts["local"].to_pylist()]
-        hmm = log10_likelihoods(whole, [np.append(symbol[x], classes) for x in local]) if local else np.zeros(0)
-        lengths = np.array([len(x) for x in local])
-        base = np.array([logs[x].sum() for x in local]) - lengths * floor + end_base
+        base, score, known = [], [], []
+        for low in range(0, texts.num_rows, 2 * GROUP):
+            local = [unpacked(x) for x in texts["local"].slice(low, 2 * GROUP).to_pylist()]
+            hmm = log10_likelihoods(whole, [np.append(symbol[x], classes) for x in local])
+            score += (hmm + np.array([spread[x].sum() for x in local])).tolist()
+            base += [logs[x].sum() - len(x) * floor + end_base for x in local]
+            known += [int((c[x] > 0).sum()) + known_end for x in local]
         return pa.table(
             {
                 "id": texts["id"],
                 "held_out": texts["held_out"],
                 "n_tokens": texts["n_tokens"],
-                "n_known": pa.array([int((c[x] > 0).sum()) + known_end for x in local], pa.int64()),
+                "n_known": pa.array(known, pa.int64()),
                 "base_score": pa.array(base, pa.float64()),
-                "score": pa.array(hmm + np.array([spread[x].sum() for x in local]), pa.float64()),
+                "score": pa.array(score, pa.float64()),
             }
         )
 
