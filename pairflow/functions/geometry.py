@@ -100,3 +100,34 @@ def inside_square(corner: Column, edge_list: Column, x0: Column, y0: Column, x:
     many = F.aggregate(edge_list, corner, lambda inside, e: inside != changes(e))
     few = F.when(n == 0, corner).when(n == 1, corner != changes(e(0)))
     return few.when(n == 2, (corner != changes(e(0))) != changes(e(1))).otherwise(many)
+
+
+def passing(e: Column, x0: Column, y0: Column) -> Column:
+    """Three bits by which ``passed`` tells what ``inside_square`` does at an edge, for squares with lower left corner (x0, y0).
+
+    The side of the edge on which the turn of the way lies counts twice there, once up and once along, so it
+    need not be known.
+    """
+    a, b = e["a"], e["b"]
+    meets, over = (a["x"] > x0) != (b["x"] > x0), above(e, x0, y0)
+    along = F.when(meets, (over != (b["x"] > a["x"])) == (b["y"] > a["y"])).otherwise(a["x"] > x0)
+    bit = lambda c, v: F.when(c, F.lit(v)).otherwise(F.lit(0))
+    return bit(along, 1) + bit(meets & over, 2) + bit(meets & ~over, 4)
+
+
+def ends(e: Column) -> list[Column]:
+    """Five numbers of an edge for ``passed``, never null: x and y of its start, y of its end, its extents.
+
+    Where the heights are equal, or one is missing on an upright edge, the edge spans no height and is not divided by.
+    """
+    a, b = e["a"], e["b"]
+    number = lambda *c: F.coalesce(*c, F.lit(0.0))
+    start, end = number(a["y"], b["y"]), number(b["y"], a["y"])
+    return [number(a["x"]), start, end, number(b["x"] - a["x"]), F.when(start == end, F.lit(1.0)).otherwise(end - start)]
+
+
+def passed(ax: Column, ay: Column, by: Column, dx: Column, dy: Column, bits: Column, shift: int, x: Column, y: Column) -> Column:
+    """Whether the way from a square's corner to (x, y) changes sides at an edge; ``bits`` has those of ``passing``."""
+    bit = lambda v: bits.bitwiseAND(F.lit(v << shift)) != 0
+    up = ay > y
+    return F.when(up != (by > y), (x < ax + (y - ay) * dx / dy) != bit(1)).when(up, bit(4)).otherwise(bit(2))

@@ -26,6 +26,8 @@ def lookup(
     max_bytes: int = MAX_BROADCAST_BYTES,
     hot_rows: int = HOT_ROWS,
     extra: Column | None = None,
+    small: bool | None = None,
+    hint: str | None = None,
 ) -> DataFrame:
     """Join the large ``df`` with ``table``; ``how`` is inner, left, left_semi or left_anti.
 
@@ -34,9 +36,10 @@ def lookup(
     salt taken from the ``spread`` columns, and the table's rows for those keys are repeated
     per salt. At most rows/hot_rows keys are hot, which bounds the salt table; it is broadcast
     only if it too fits. Rows with a null key, which match nothing, are spread as well. ``condition``
-    may use columns of both sides. Call with a cheap or materialized ``table``: it is counted.
+    may use columns of both sides. Call with a cheap or materialized ``table``: it is counted, unless the
+    caller knows whether it is ``small`` enough for a broadcast. ``hint`` is given to the join by shuffle.
     """
-    if fits(table, max_bytes, extra):
+    if fits(table, max_bytes, extra) if small is None else small:
         return _join(df, F.broadcast(table), on, how, condition)
 
     salts = materialize(
@@ -45,21 +48,22 @@ def lookup(
         .where(F.col("__n") > hot_rows)
         .select(*on, F.ceil(F.col("__n") / hot_rows).cast("int").alias("__salts"))
     )
-    small = F.broadcast if fits(salts, max_bytes) else (lambda x: x)
+    few = F.broadcast if fits(salts, max_bytes) else (lambda x: x)
     n_salts = F.coalesce(F.col("__salts"), F.lit(1))
     # A row with a null key meets nothing, so it may go anywhere.
     unmatched = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
     by = [F.col(c) for c in (spread or df.columns)]
     left = (
-        df.join(small(salts), on, "left")
+        df.join(few(salts), on, "left")
         .withColumn("__salt", F.pmod(F.xxhash64(*by), F.when(unmatched, F.lit(NULL_SALTS)).otherwise(n_salts)).cast("int"))
         .drop("__salts")
     )
     right = (
-        table.join(small(salts), on, "left")
+        table.join(few(salts), on, "left")
         .withColumn("__salt", F.explode(F.sequence(F.lit(0), n_salts - 1)))
         .drop("__salts")
     )
+    right = right.hint(hint) if hint else right
     return _join(left, right, [*on, "__salt"], how, condition).drop("__salt")
 
 

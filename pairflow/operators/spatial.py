@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairflow.functions import geometry
-from pairflow.functions.expr import lambert, ratio
+from pairflow.functions.expr import lambert, named, ratio
 from pairflow.operators.joins import lookup
-from pairflow.session import fits, materialize, stage
+from pairflow.session import MAX_BROADCAST_BYTES, fits, materialize, stage
 
 LEAST_SHARE = 1e-9
 """Share of a cell up to which a polygon only touches it."""
@@ -16,6 +18,18 @@ LEAST_SHARE = 1e-9
 SQUARES_PER_EDGE, HALVINGS = 16, 12
 """Squares that the join grid may have in the boxes of all rings, for each of their edges; halvings of its side."""
 
+SLOTS = (2, 4)
+"""Edges of a polygon in a square up to which its test there is compiled, with few or with more of them at hand."""
+
+VARIABLES = (0xAAAA, 0xCCCC, 0xF0F0, 0xFF00)
+"""Truth tables of the variables that ``SLOTS`` edges are: bit k is the variable's value in case k."""
+
+ALWAYS = 0xFFFF
+"""Truth table of what holds in every case."""
+
+SQUARE_BYTES, HOT_POINTS, TASK_POINTS = 1 << 20, 100_000, 250_000
+"""Bytes that a row of a square's polygons holds, more or less; points of a square above which they are spread; points of a task."""
+
 
 def to_lcc(df: DataFrame, lon: str = "x", lat: str = "y", x: str = "x", y: str = "y") -> DataFrame:
     """Project longitude and latitude columns to the forcing grid's metres."""
@@ -115,17 +129,17 @@ def edge_index(polygons: DataFrame, keep: list[str], cell: float, ring: str = "r
     return squares.join(rings.drop("__ring"), "__rid").select(*keep, "__cx", "__cy", "__inside", "__edges")
 
 
-def _join_side(points: DataFrame, polygons: DataFrame, cell: float, ring: str) -> float:
+def _join_side(points: DataFrame, polygons: DataFrame, cell: float, ring: str, n: int | None = None) -> float:
     """``cell`` halved as long as the squares in the rings' boxes stay few beside the rings' edges and the points.
 
     A point is tested against the rings that cross its square; the smaller the squares beside the rings, the fewer
-    are tested in vain.
+    are tested in vain. ``n`` is the number of points, when it is known.
     """
     box = geometry.bbox(F.col(ring))
     wide, high = box["x_max"] - box["x_min"], box["y_max"] - box["y_min"]
     squares = [F.sum((wide / F.lit(side) + 1) * (high / F.lit(side) + 1)) for side in (cell / 2**k for k in range(1, HALVINGS + 1))]
     edges, *sums = polygons.agg(F.sum(F.size(ring)), *squares).first()
-    most = min(SQUARES_PER_EDGE * (edges or 0), points.count())
+    most = min(SQUARES_PER_EDGE * (edges or 0), points.count() if n is None else n)
     halved = 0
     while halved < HALVINGS and sums[halved] is not None and sums[halved] <= most:
         halved += 1
@@ -155,10 +169,108 @@ def _once_covered(table: DataFrame, covers: Column) -> DataFrame:
     return covered.unionByName(table.join(covered, ["__cx", "__cy"], "left_anti"))
 
 
+def _truth(rings: Column, first: Column) -> Column:
+    """Truth table of being in any of the rings, whose edges are variables from number ``first`` on."""
+    odd = [0]
+    for v in VARIABLES:
+        odd.append(odd[-1] ^ v)
+    up_to = lambda n: F.get(F.array(*[F.lit(v) for v in odd]), n)
+    corner = lambda r: F.when(r["__inside"], F.lit(ALWAYS)).otherwise(F.lit(0))
+    start = F.struct(first.alias("n"), F.lit(0).alias("t"))
+
+    def add(s: Column, r: Column) -> Column:
+        n = s["n"] + F.size(r["__edges"])
+        t = up_to(n).bitwiseXOR(up_to(s["n"])).bitwiseXOR(corner(r))
+        return F.struct(n.alias("n"), s["t"].bitwiseOR(t).alias("t"))
+
+    return F.aggregate(rings, start, add, lambda s: s["t"])
+
+
+def _listed(table: DataFrame, alone: Column, side: float) -> DataFrame:
+    """Squares of few edges with ``__code`` and ``__at``, by which ``_held`` tests a point.
+
+    ``__at`` holds the ends of the edges. The lower bits of ``__code`` tell for each set of edges passed on the way
+    from the corner whether the point is inside, the others are those of ``geometry.passing``.
+    """
+    if "__parts" in table.columns:
+        n_parts = F.coalesce(F.aggregate("__parts", F.lit(0), lambda n, r: n + F.size(r["__edges"])), F.lit(0))
+        apart = _truth(F.col("__parts"), F.lit(0)).bitwiseAND(F.bitwise_not(_truth(F.col("__holes"), n_parts)))
+        first = F.get("__parts", F.lit(0))
+        inside, mixed = first["__inside"], F.when(~alone, apart)
+    else:
+        inside, mixed = F.col("__inside"), None
+    odd, by_count = 0, F.when(F.col("__n") == 0, F.when(inside, F.lit(ALWAYS)).otherwise(F.lit(0)))
+    for n, v in enumerate(VARIABLES, 1):
+        odd ^= v
+        by_count = by_count.when(F.col("__n") == n, F.when(inside, F.lit(ALWAYS ^ odd)).otherwise(F.lit(odd)))
+    truth = F.coalesce(by_count if mixed is None else F.coalesce(mixed, by_count), F.lit(0))
+    # Edges that decide nothing are left out.
+    listed = table.withColumn("__truth", truth).where("__truth <> 0").withColumn("__n", F.when(F.col("__truth") == ALWAYS, 0).otherwise(F.col("__n")))
+    x0, y0 = F.col("__cx") * F.lit(side), F.col("__cy") * F.lit(side)
+    bits = F.transform("__list", lambda e, i: F.call_function("shiftleft", geometry.passing(e, x0, y0), 3 * i + 16))
+    code = F.aggregate(bits, F.col("__truth"), lambda s, b: s + b)
+    at = F.flatten(F.transform("__list", lambda e: F.array(*geometry.ends(e))))
+    decided, none = F.col("__n") == 0, F.array_repeat(F.lit(0.0), 0)
+    return listed.withColumns({
+        "__code": F.coalesce(F.when(~decided, code), F.col("__truth")),
+        "__at": F.coalesce(F.when(~decided, at), none),
+    })
+
+
+def _held(slots: int, x: Column, y: Column) -> Column:
+    """Whether a point of the square lies in the polygon with ``__code`` and ``__at`` of at most ``slots`` edges."""
+    code, n = F.col("__code"), F.size("__at")
+    way = lambda i: geometry.passed(*[F.col("__at")[5 * i + k] for k in range(5)], code, 16 + 3 * i, x, y)
+    case = F.lit(0)
+    for i in reversed(range(slots)):
+        case = F.when(n > 5 * i, F.when(way(i), F.lit(1 << i)).otherwise(F.lit(0)) + case).otherwise(F.lit(0))
+    return (n == 0) | (F.call_function("shiftright", code, case).bitwiseAND(F.lit(1)) == 1)
+
+
+def _located(points, table, alone, polygon_id, side, n_points, x, y, spread):
+    """``points``, which have their square, with the polygons of the squares' ``table`` that hold them and have few edges there.
+
+    The polygons of a square are one row, or a few of about ``SQUARE_BYTES``: a point meets that row and goes over its
+    polygons in compiled code, as where polygons overlap there are far more rows out than points. Also gives the
+    points as they should be read again, and whether there are polygons of more edges.
+    """
+    slots = F.when(F.col("__n") <= SLOTS[0], SLOTS[0]).when(F.col("__n") <= SLOTS[1], SLOTS[1]).otherwise(0)
+    held = F.coalesce(F.octet_length(F.col(polygon_id).cast("string")), F.lit(0)) + F.col("__n") * 40 + F.lit(72)
+    squares = table.groupBy(slots.alias("slots"), "__cx", "__cy").agg(F.sum(held).alias("b"))
+    sizes = {r["slots"]: r for r in squares.groupBy("slots").agg(F.max("b").alias("most"), F.sum("b").alias("total")).collect()}
+    more = sizes.pop(0, None) is not None
+    if all(r["total"] <= MAX_BROADCAST_BYTES for r in sizes.values()):
+        # Dealt anew, as a file of points is often one task, and each makes many rows.
+        points = points.repartition(max(points.sparkSession.sparkContext.defaultParallelism, n_points // TASK_POINTS))
+    else:
+        points = stage(points)
+    kept = [named(c) for c in points.columns if c not in ("__cx", "__cy")]
+    found = []
+    for k, size in sorted(sizes.items()) or [(SLOTS[0], {"most": 0, "total": 0})]:
+        rows, by = _listed(table.where(slots == k), alone, side), ["__cx", "__cy"]
+        blocks = -(-size["most"] // SQUARE_BYTES)
+        if blocks > 1:
+            rows = rows.withColumn("__block", F.pmod(F.xxhash64(polygon_id, "__at"), F.lit(blocks)))
+            by.append("__block")
+        packed = rows.groupBy(*by).agg(F.collect_list(F.struct(polygon_id, "__code", "__at")).alias("__held"))
+        met = lookup(
+            points,
+            packed.select("__cx", "__cy", "__held"),
+            ["__cx", "__cy"],
+            spread=spread,
+            hot_rows=HOT_POINTS,
+            small=size["total"] <= MAX_BROADCAST_BYTES,
+            hint="merge",
+        )
+        found.append(met.select(*kept, F.inline("__held")).where(_held(k, F.col(x), F.col(y))).drop("__code", "__at"))
+    return reduce(DataFrame.unionByName, found), points, more
+
+
 def _points_join(points, polygons, polygon_id, cell, how, x, y, ring, spread):
     """Points joined with the rings, or, with a ``hole`` column, with the polygons, that they lie in."""
     holes = "hole" in polygons.columns
-    side = _join_side(points, polygons, cell, ring)
+    n_points = points.count()
+    side = _join_side(points, polygons, cell, ring, n_points)
     if holes:
         marked = polygons.withColumn("__hole", F.coalesce(F.col("hole"), F.lit(False)))
         # Written in columns and compressed: it may be as large as the points.
@@ -168,7 +280,7 @@ def _points_join(points, polygons, polygon_id, cell, how, x, y, ring, spread):
         covers = alone & first["__inside"] & (F.size(first["__edges"]) == 0)
     else:
         table = stage(edge_index(polygons, [polygon_id] if how == "inner" else [], side, ring))
-        covers = F.col("__inside") & (F.size("__edges") == 0)
+        alone, covers = F.lit(True), F.col("__inside") & (F.size("__edges") == 0)
     if how == "left_semi":
         table = stage(_once_covered(table.drop(polygon_id), covers))
 
@@ -182,19 +294,21 @@ def _points_join(points, polygons, polygon_id, cell, how, x, y, ring, spread):
         within = F.when(alone, inside(first["__inside"], first["__edges"])).otherwise(any_of("__parts") & ~any_of("__holes"))
         listed = lambda rings: F.aggregate(rings, F.lit(0), lambda n, r: n + 32 + F.size(r["__edges"]) * 32)
         extra = listed("__parts") + listed("__holes")
+        edges = F.flatten(F.concat(F.col("__parts")["__edges"], F.col("__holes")["__edges"]))
         points = points.distinct()
     else:
-        within, extra = inside(F.col("__inside"), F.col("__edges")), F.size("__edges") * 32
-    joined = lookup(
-        points.withColumns({"__cx": at(x), "__cy": at(y)}),
-        table,
-        ["__cx", "__cy"],
-        how,
-        spread=spread,
-        condition=within,
-        extra=extra,
-    )
-    return joined.drop("__cx", "__cy", "__inside", "__edges", "__parts", "__holes")
+        within, extra, edges = inside(F.col("__inside"), F.col("__edges")), F.size("__edges") * 32, F.col("__edges")
+    placed = points.withColumns({"__cx": at(x), "__cy": at(y)})
+    located, more = None, True
+    if how == "inner":
+        counted = table.withColumn("__list", edges).withColumn("__n", F.size("__list"))
+        located, placed, more = _located(placed, counted, alone, polygon_id, side, n_points, x, y, spread)
+        table = table.where(F.size(edges) > SLOTS[1])
+    if not more:
+        return located
+    joined = lookup(placed, table, ["__cx", "__cy"], how, spread=spread, condition=within, extra=extra)
+    joined = joined.drop("__cx", "__cy", "__inside", "__edges", "__parts", "__holes")
+    return joined if located is None else located.unionByName(joined)
 
 
 def points_in_polygons(

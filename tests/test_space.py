@@ -233,6 +233,48 @@ def test_parts_and_holes_that_overlap(spark, cell):
     assert sorted(inside) == sorted({i for i, _ in want})
 
 
+def test_a_point_meets_one_row_of_a_square(spark, monkeypatch):
+    """Overlapping polygons stand in one row of their square, and each point inside gets a row for each of them."""
+    seen, lookup = [], spatial.lookup
+    monkeypatch.setattr(spatial, "lookup", lambda df, table, *a, **k: seen.append(table) or lookup(df, table, *a, **k))
+    rng = random.Random(8)
+    shapes = {f"r{i}": [(rng.uniform(0, 9), rng.uniform(0, 9)) for _ in range(3)] for i in range(200)}
+    points = [(i // 2, rng.uniform(0, 9), rng.uniform(0, 9)) for i in range(40)]
+    df = spark.createDataFrame(points, "id bigint, x double, y double")
+    got = [(r.id, r.x, r.divide_id) for r in spatial.locate_points(df, rings(spark, shapes), "divide_id", 3.0).collect()]
+    assert sorted(got) == sorted((i, x, k) for i, x, y in points for k, c in shapes.items() if _plain_inside(c, x, y))
+    assert seen and all(t.groupBy("__cx", "__cy").count().where("count > 1").isEmpty() for t in seen)
+
+
+@pytest.mark.parametrize("limits", [{}, {"SQUARE_BYTES": 300, "MAX_BROADCAST_BYTES": 0, "HOT_POINTS": 5}])
+def test_squares_of_few_and_of_many_edges(spark, monkeypatch, limits):
+    """Parts and holes with up to four edges in a square and with more, in one row a square and in several."""
+    for name, value in limits.items():
+        monkeypatch.setattr(spatial, name, value)
+    rng = random.Random(21)
+    at = lambda: rng.choice([rng.randint(0, 16) * 0.25, rng.uniform(0, 4)])
+    rows = [(rng.choice(["a", "b", "c", "d", None]), [(at(), at()) for _ in range(rng.randint(3, 4))], rng.choice([False, False, None, True])) for _ in range(14)]
+    rows.append(("e", [(at(), at()) for _ in range(40)], False))
+    polygons = spark.createDataFrame(rows, "divide_id string, ring array<struct<x double, y double>>, hole boolean")
+    points = [(i, at(), at()) for i in range(300)]
+    df = spark.createDataFrame(points, "id bigint, x double, y double")
+    table = spatial._without_holes(spatial.edge_index(polygons.withColumn("__hole", F.coalesce("hole", F.lit(False))), ["divide_id", "__hole"], 0.5), "divide_id")
+    edges = F.size(F.flatten(F.concat(F.col("__parts")["__edges"], F.col("__holes")["__edges"])))
+    assert {r.n for r in table.select(F.least(edges, F.lit(5)).alias("n")).distinct().collect()} == {0, 1, 2, 3, 4, 5}
+    want = {
+        (i, d)
+        for i, x, y in points
+        for d in {r[0] for r in rows}
+        if any(_plain_inside(c, x, y) for e, c, h in rows if e == d and not h)
+        and not any(_plain_inside(c, x, y) for e, c, h in rows if e == d and h)
+    }
+    found = [(r.id, r.divide_id) for r in spatial.locate_points(df, polygons, "divide_id", 0.5).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    single = polygons.drop("hole")
+    located = [(r.id, r.divide_id) for r in spatial.locate_points(df, single, "divide_id", 0.5).collect()]
+    assert sorted(located, key=str) == sorted(((i, d) for i, x, y in points for d, c, _ in rows if _plain_inside(c, x, y)), key=str)
+
+
 def test_a_square_that_a_polygon_covers_is_one_row(spark):
     shapes = {f"r{i}": [(-i, -i), (-i, 50 + i), (50 + i, 50 + i), (50 + i, -i)] for i in range(1, 30)}
     index = spatial.edge_index(rings(spark, shapes), [], 5.0)
