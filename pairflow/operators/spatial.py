@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -460,14 +461,16 @@ def zonal_mean(
     variables: list[str],
     polygon_id: str = "divide_id",
     time: str = "time",
+    staged: Callable[[DataFrame], DataFrame] = stage,
 ) -> DataFrame:
     """Coverage-weighted mean of each variable per polygon and time, all variables in one pass.
 
     A missing cell is left out of both sums of its variable. A small forcing meets the weights polygon by
     polygon, so that a task only sums its own polygons and passes nothing on. Else the weights are checked for
     size: broadcast when small, else joined by cell with crowded cells split by time.
+    The forcing is written by ``staged``, which may be a job's ``session.Staging``.
     """
-    cells = stage(forcing.select(time, "iy", "ix", *variables))
+    cells = staged(forcing.select(time, "iy", "ix", *variables))
     if fits(cells):
         parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         table = weights.select(polygon_id, "iy", "ix", "w").repartition(parts, polygon_id)

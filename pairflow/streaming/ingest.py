@@ -67,7 +67,7 @@ def run_log(
     return log.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.RUN_LOG.fields])
 
 
-def _assembled(inputs: Inputs, forcing: DataFrame, flow: DataFrame, order: str, times: DataFrame | None) -> DataFrame:
+def _assembled(inputs: Inputs, forcing: DataFrame, flow: DataFrame, order: str, times: DataFrame | None, staged: Staging) -> DataFrame:
     return assembly.assemble_series(
         assembly.described(inputs.sites),
         forcing,
@@ -76,6 +76,7 @@ def _assembled(inputs: Inputs, forcing: DataFrame, flow: DataFrame, order: str,
         inputs.attributes,
         inputs.variables,
         times,
+        staged=staged,
     )
 
 
@@ -106,7 +107,7 @@ def run_days(
     selected = io.select_flow(flow, wanted, start, end, order=order)
     # Read by the row writer and the log: computed once.
     with Staging(spark) as staged:
-        series = staged(_assembled(inputs, forcing, selected, order, None))
+        series = staged(_assembled(inputs, forcing, selected, order, None, staged))
         places = materialize(assemble.place_days(series))
         io.replace_days(assemble.split_errors(series)[0], out_path, _day_names(forcing), _good_days(places))
         run_log(spark, run, places, started, dt.datetime.now()).write.mode("append").parquet(log_path)
@@ -144,7 +145,7 @@ def _ingest(inputs: Inputs, out_path: str, log_path: str, run: str, landing: str
             store = spark.read.parquet(inputs.forcing_path)
             span = io.select_forcing(store, inputs.variables, first.date().isoformat(), last.date().isoformat())
             forcing = span.join(times, "time", "left_semi")
-            series = staged(_assembled(inputs, forcing, records, "source", times))
+            series = staged(_assembled(inputs, forcing, records, "source", times, staged))
             places = materialize(assemble.place_days(series))
             io.replace_days(assemble.split_errors(series)[0], out_path, days, _good_days(places))
             log = run_log(spark, f"{run}-{batch_id}", places, started, dt.datetime.now())
